@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from . import mixing, secret_scan, simhash
 from .common import table
-from . import secret_scan
 
 QUERIES = {
     "op1_secret_scan": lambda spark, d: secret_scan.secret_report(table(spark, d, "documents")),
+    "op9_source_mix": lambda spark, d: mixing.mixing_report(table(spark, d, "documents")),
+    "op10_simhash": lambda spark, d: simhash.near_dup_report(table(spark, d, "documents")),
 }
 
 ORACLE_SQL = {

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, secret_scan, simhash
+from . import decontaminate, mixing, secret_scan, simhash, url_filter
 from .common import table
 
 QUERIES = {
     "op1_secret_scan": lambda spark, d: secret_scan.secret_report(table(spark, d, "documents")),
+    "op7_url_filter": lambda spark, d: url_filter.judge(table(spark, d, "pages")),
+    "op8_decontaminate": lambda spark, d: decontaminate.contamination_report(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_source_mix": lambda spark, d: mixing.mixing_report(table(spark, d, "documents")),
     "op10_simhash": lambda spark, d: simhash.near_dup_report(table(spark, d, "documents")),
 }
 
 ORACLE_SQL = {
     "op1_secret_scan": secret_scan.ORACLE_SQL,
+    "op7_url_filter": url_filter.ORACLE_SQL,
+    "op8_decontaminate": decontaminate.ORACLE_SQL,
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, mixing, secret_scan, simhash, token_counts, url_filter
+from . import decontaminate, fingerprint, mixing, quality, secret_scan, simhash, token_counts, toxicity, url_filter
 from .common import table
 
 QUERIES = {
     "op1_secret_scan": lambda spark, d: secret_scan.secret_report(table(spark, d, "documents")),
+    "op2_toxicity": lambda spark, d: toxicity.toxicity_report(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op3_quality": lambda spark, d: quality.quality_report(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_weighted_fingerprint": lambda spark, d: fingerprint.edited_report(table(spark, d, "documents")),
     "op6_token_counts": lambda spark, d: token_counts.token_report(table(spark, d, "documents")),
     "op7_url_filter": lambda spark, d: url_filter.judge(table(spark, d, "pages")),
@@ -17,6 +19,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_secret_scan": secret_scan.ORACLE_SQL,
+    "op2_toxicity": lambda spark, d: toxicity.toxicity_report(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op3_quality": lambda spark, d: quality.quality_report(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_weighted_fingerprint": lambda spark, d: fingerprint.edited_report(table(spark, d, "documents")),
     "op6_token_counts": lambda spark, d: token_counts.token_report(table(spark, d, "documents")),
     "op7_url_filter": url_filter.ORACLE_SQL,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, mixing, quality, secret_scan, simhash, token_counts, toxicity, url_filter
+from . import decontaminate, fingerprint, mixing, pii, quality, secret_scan, simhash, token_counts, toxicity, url_filter
 from .common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_toxicity": lambda spark, d: toxicity.toxicity_report(table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_quality": lambda spark, d: quality.quality_report(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_weighted_fingerprint": lambda spark, d: fingerprint.edited_report(table(spark, d, "documents")),
+    "op5_pii": lambda spark, d: pii.pii_report(table(spark, d, "documents")),
     "op6_token_counts": lambda spark, d: token_counts.token_report(table(spark, d, "documents")),
     "op7_url_filter": lambda spark, d: url_filter.judge(table(spark, d, "pages")),
     "op8_decontaminate": lambda spark, d: decontaminate.contamination_report(table(spark, d, "documents"), table(spark, d, "benchmark")),
@@ -22,6 +23,7 @@ ORACLE_SQL = {
     "op2_toxicity": lambda spark, d: toxicity.toxicity_report(table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_quality": lambda spark, d: quality.quality_report(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_weighted_fingerprint": lambda spark, d: fingerprint.edited_report(table(spark, d, "documents")),
+    "op5_pii": lambda spark, d: pii.pii_report(table(spark, d, "documents")),
     "op6_token_counts": lambda spark, d: token_counts.token_report(table(spark, d, "documents")),
     "op7_url_filter": url_filter.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,

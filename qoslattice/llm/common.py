@@ -43,8 +43,18 @@ def whole_text(name: str = "text") -> Column:
 
 
 def text_key() -> Column:
-    """With doc_id, tells rows of different text apart; equal rows share it."""
-    return F.xxhash64(F.col("text"))
+    """With doc_id, tells rows of different text apart; equal rows share it. A null
+    text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def with_text(rows: DataFrame, columns: list[str], text: Column, same: Column) -> DataFrame:
+    """The struct ``row`` of ``rows``, spread out, with its text replaced; an
+    ``n_chars`` follows, unless ``same`` says that the text stays."""
+    row = F.col("row").withField("text", text)
+    if "n_chars" in columns:
+        row = row.withField("n_chars", F.when(same, F.col("row.n_chars")).otherwise(F.length(text).cast("long")))
+    return rows.select(row.alias("row")).select("row.*")
 
 
 def lower_ascii(text: Column) -> Column:

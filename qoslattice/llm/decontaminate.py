@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, text_key, whole_text
+from .common import lower_ascii, text_key, whole_text, with_text
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -117,31 +117,32 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", text_key().alias("text_key"))
+
+
 def drop_documents(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.0) -> DataFrame:
     """``docs`` without those of whose words more than ``most_share`` are hit."""
-    rows = _with_hits(docs.withColumn("text_key", text_key()), hits(docs, benchmark))
+    rows = _with_hits(_keyed(docs), hits(docs, benchmark))
     share = F.coalesce(covered(F.col("_spans")), F.lit(0)) / F.greatest(F.lit(1), F.size(words_of(whole_text())))
-    return rows.filter(share <= most_share).select(*docs.columns)
+    return rows.filter(share <= most_share).select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with hit words cut out of ``text``, from a span's first letter to
     its last; ``n_chars`` follows the text. Texts without hits stay as they are."""
-    rows = _with_hits(docs.withColumn("text_key", text_key()), hits(docs, benchmark))
+    rows = _with_hits(_keyed(docs), hits(docs, benchmark))
     text = F.col("text")
     # Word and gap alternate: gap 0, word 0, gap 1, word 1 ... gap n.
-    pieces = F.arrays_zip(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("word"), F.split(text, WORD).alias("gap"))
+    pieces = F.arrays_zip(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("word"), F.split(text, WORD, -1).alias("gap"))
     hit = lambda i: F.exists("_spans", lambda s: (s["first"] <= i) & (i < s["after"]))
     inside = lambda i: F.exists("_spans", lambda s: (s["first"] < i) & (i < s["after"]))
     kept = F.array_join(
         F.transform(pieces, lambda p, i: F.concat(F.when(inside(i), "").otherwise(p["gap"]), F.when(hit(i), "").otherwise(F.coalesce(p["word"], F.lit(""))))),
         "",
     )
-    cut = F.when(F.col("_spans").isNull(), text).otherwise(kept)
-    out = rows.withColumn("text", cut)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    clean = F.col("_spans").isNull()
+    return with_text(rows, docs.columns, F.when(clean, text).otherwise(kept), clean)
 
 
 ORACLE_SQL = r"""

@@ -205,16 +205,18 @@ def mixing_report(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target and taken;
-    ``taken`` over ``size`` says how often a document is read."""
+    """The documents that the mix takes, with size, source_size, target and taken,
+    which stand in for columns of these names; ``taken`` over ``size`` says how
+    often a document is read."""
+    added = ["size", "source_size", "target", "taken"]
     taken = taken_words(with_size(docs), block_words, weights).filter("taken > 0")
+    key = F.xxhash64("doc_id", "source", "text_key")
     # Equal rows meet equal rows: number them on both sides.
-    key = ["doc_id", "source", "text_key"]
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("taken"))
-    right = taken.select(*[F.col(c).alias(f"of_{c}") for c in key], "size", "source_size", "target", "taken", nth.alias("of_nth"))
-    left = docs.withColumn("text_key", text_key()).withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("n_chars")))
-    match = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in key] + [F.col("nth") == F.col("of_nth")]
-    return left.join(right, match).drop("text_key", "nth", "of_nth", *[f"of_{c}" for c in key])
+    nth = lambda order: F.row_number().over(Window.partitionBy("row_key").orderBy(order))
+    right = taken.select(key.alias("row_key"), *added).withColumn("nth", nth("taken"))
+    rest = [c for c in docs.columns if c not in added]
+    left = docs.select(F.struct(*rest).alias("row"), "doc_id", "source", text_key().alias("text_key")).select("row", key.alias("row_key"))
+    return left.withColumn("nth", nth("row_key")).join(right, ["row_key", "nth"]).select("row.*", *added)
 
 
 ORACLE_SQL = None

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import materialize, regex_spans, span_digest, text_key, whole_text
+from .common import materialize, regex_spans, span_digest, text_key, whole_text, with_text
 
 #: The kinds in their order, and what a base match must be.
 KINDS = ("email", "ip", "card", "phone")
@@ -189,7 +189,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in brackets; of
     overlapping spans the first names the whole. ``n_chars`` follows the text;
     texts without spans stay as they are."""
-    rows = _with_spans(docs.withColumn("text_key", text_key()), find(docs))
+    rows = _with_spans(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", text_key().alias("text_key")), find(docs))
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -201,10 +201,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
     clean = F.col("_spans").isNull()
-    out = rows.withColumn("text", F.when(clean, text).otherwise(F.aggregate("_spans", start, step, rest)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    return with_text(rows, docs.columns, F.when(clean, text).otherwise(F.aggregate("_spans", start, step, rest)), clean)
 
 
 ORACLE_SQL = None

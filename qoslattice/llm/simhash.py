@@ -26,10 +26,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_text
+from .common import materialize, text_key, whole_text
 from .components import components
 
 SEED = 42
@@ -86,29 +86,28 @@ def _planes(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def close_pairs(values: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(values: np.ndarray, groups: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j), i < j, of values of one group within ``radius`` bits.
 
-    ``groups`` is sorted. For each distance d between positions, pair i is (i, i+d).
+    ``groups`` is sorted. Each step compares all pairs (i, i+d) of one d.
     """
     planes, width = _planes(values), max(1, int(radius + 1).bit_length())
-    found_i, found_j = [], []
     for d in range(1, len(values)):
-        same = np.zeros(len(planes[0]) * 64, np.uint8)
+        same = np.zeros((planes.shape[1]) * 64, np.uint8)
         same[: len(values) - d] = groups[:-d] == groups[d:]
         mask = np.packbits(same, bitorder="little").view("<u8")
         at = np.flatnonzero(mask)
         if not len(at):
-            break
+            return
         word, bit = divmod(d, 64)
-        mask = mask[at]
+        mask, last = mask[at], planes.shape[1] - 1
         counters = np.zeros((width, len(at)), "<u8")
         over = np.zeros(len(at), "<u8")
         for j in range(64):
             p = planes[j]
-            near = p[np.minimum(at + word, len(p) - 1)]
+            near = p[np.minimum(at + word, last)]
             if bit:
-                near = (near >> np.uint64(bit)) | (p[np.minimum(at + word + 1, len(p) - 1)] << np.uint64(64 - bit))
+                near = (near >> np.uint64(bit)) | (p[np.minimum(at + word + 1, last)] << np.uint64(64 - bit))
             carry = p[at] ^ near
             for k in range(width):
                 counters[k], carry = counters[k] ^ carry, counters[k] & carry
@@ -124,11 +123,7 @@ def close_pairs(values: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np
             hits = mask & ~(over | _above(counters, radius))
             bits = np.unpackbits(hits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             row, column = np.nonzero(bits)
-            i = at[row] * 64 + column
-            found_i.append(i)
-            found_j.append(i + d)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
+            yield at[row] * 64 + column, at[row] * 64 + column + d
 
 
 def _above(counters: np.ndarray, radius: int) -> np.ndarray:
@@ -176,37 +171,50 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, large: int = LARGE_BUCK
         banded.filter(F.col("n") > large).select("fp", "band", "key", finer)
         .select("fp", "band", "key", "band2", fp.bitwiseAND(F.col("mask2")).alias("key2"))
     )
-    keys = ["band", "key", "band2", "key2"]
-    dealt = small.unionByName(split).repartition(*keys).sortWithinPartitions(*keys, "fp")
+    dealt = small.unionByName(split)
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def pairs(part: pd.DataFrame) -> pd.DataFrame:
-            values = part["fp"].to_numpy()
+    def pairs(part: pd.DataFrame, groups: np.ndarray) -> pd.DataFrame:
+        values = part["fp"].to_numpy()
+        found = list(close_pairs(values.view(np.uint64), groups, radius))
+        a = np.concatenate([values[:0], *(values[i] for i, _ in found)])
+        b = np.concatenate([values[:0], *(values[j] for _, j in found)])
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return by_bucket(dealt, pairs, "a long, b long", BATCH_ROWS).distinct()
+
+
+BUCKET = ["band", "key", "band2", "key2"]
+
+
+def by_bucket(rows: DataFrame, judge, schema: str, batch_rows: int) -> DataFrame:
+    """``judge(part, groups)`` over ``rows`` with the columns BUCKET, in parts of
+    whole buckets; ``groups`` numbers the buckets of a part."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def judged(part: pd.DataFrame) -> pd.DataFrame:
             edge = np.zeros(len(part), bool)
-            for k in keys:
+            for k in BUCKET:
                 v = part[k].to_numpy()
                 edge[1:] |= v[1:] != v[:-1]
-            i, j = close_pairs(values.view(np.uint64), np.cumsum(edge), radius)
-            a, b = values[i], values[j]
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            return judge(part, np.cumsum(edge))
 
         held: list[pd.DataFrame] = []
-        rows = 0
+        count = 0
         for batch in batches:
             held.append(batch)
-            rows += len(batch)
-            if rows < BATCH_ROWS:
+            count += len(batch)
+            if count < batch_rows:
                 continue
             part = pd.concat(held, ignore_index=True)
-            last = (part[keys] == part[keys].iloc[-1]).all(axis=1).to_numpy()
-            cut = int(np.argmax(last))  # the last group may go on
+            last = (part[BUCKET] == part[BUCKET].iloc[-1]).all(axis=1).to_numpy()
+            cut = int(np.argmax(last))  # the last bucket may go on
             if cut:
-                yield pairs(part.iloc[:cut].reset_index(drop=True))
-            held, rows = [part.iloc[cut:]], len(part) - cut
-        if rows:
-            yield pairs(pd.concat(held, ignore_index=True))
+                yield judged(part.iloc[:cut].reset_index(drop=True))
+            held, count = [part.iloc[cut:]], len(part) - cut
+        if count:
+            yield judged(pd.concat(held, ignore_index=True))
 
-    return dealt.mapInPandas(compare, "a long, b long").distinct()
+    return rows.repartition(*BUCKET).sortWithinPartitions(*BUCKET).mapInPandas(run, schema)
 
 
 def with_components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -228,4 +236,111 @@ def near_dup_report(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = R
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: For whole documents: shingles of five words, alike from a Jaccard similarity of 0.8.
+DOC_WORDS, SIMILARITY = 5, 0.8
+#: At that similarity fingerprints differ in 9.7 of 64 bits, give or take 2.9; unrelated ones in 20 or more.
+DOC_RADIUS = 18
+#: Buckets of equal pairs of minima: at the least similarity 99.4 % of pairs meet, of closer ones more.
+DOC_BANDS = 5
+DOC_BATCH = 4096
+
+
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    n = 4 * DOC_BANDS
+    return rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
+
+
+def sketch(text: Column, width: int = DOC_WORDS) -> Column:
+    """struct(fp, keys): fingerprint, and bucket keys of which the second half splits large buckets."""
+    factors, offsets = _permutations()
+
+    @F.pandas_udf("fp long, keys array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        fps, keys = [], []
+        for text in texts:
+            h = shingle_hashes(text, width)
+            fps.append(majority(h))
+            h = h if len(h) else np.zeros(1, np.uint64)
+            least = np.array([(h * f + o).min() for f, o in zip(factors, offsets)], np.uint64)
+            keys.append((least[::2] * np.uint64(31) + least[1::2]).view(np.int64))
+        return pd.DataFrame({"fp": np.array(fps, np.int64), "keys": keys})
+
+    return of(text)
+
+
+def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int = DOC_WORDS, large: int = LARGE_BUCKET) -> DataFrame:
+    """(text_key, label) of texts that are not alone in their group of similar texts.
+
+    Fingerprints within DOC_RADIUS bits are candidates; two texts are linked if
+    their shingle sets are alike by ``similarity``. Within a bucket only links
+    that join two groups are verified and reported.
+    """
+    texts = docs.select(text_key().alias("text_key"), whole_text().alias("text"))
+    sketched = materialize(texts.select("text_key", sketch(F.col("text"), width).alias("s")).select("text_key", "s.*"))
+    distinct = sketched.groupBy("text_key").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    halves = lambda first: F.posexplode(F.slice("keys", 1 if first else DOC_BANDS + 1, DOC_BANDS))
+    banded = distinct.select("text_key", "fp", "keys", halves(True).alias("band", "key"))
+    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    banded = banded.join(sizes, ["band", "key"])
+    small = banded.filter(F.col("n") <= large).select("text_key", "fp", "band", "key", F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("key2"))
+    split = banded.filter(F.col("n") > large).select("text_key", "fp", "band", "key", halves(False).alias("band2", "key2"))
+    dealt = materialize(small.unionByName(split))
+
+    @F.pandas_udf("binary")
+    def shingle_set(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.unique(shingle_hashes(t, width) >> np.uint64(32)).astype("<u4").tobytes())
+
+    asked = dealt.select(F.col("text_key").alias("asked")).distinct()
+    # Equal texts have equal sets; one of them is enough.
+    sets = (
+        texts.join(asked, F.col("text_key") == F.col("asked"), "left_semi")
+        .select("text_key", shingle_set(F.col("text")).alias("set")).dropDuplicates(["text_key"])
+    )
+
+    def judge(part: pd.DataFrame, groups: np.ndarray) -> pd.DataFrame:
+        parent = list(range(len(part)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        keys, raw = part["text_key"].to_numpy(), part["set"].tolist()
+        a, b = [], []
+        for left, right in close_pairs(part["fp"].to_numpy().view(np.uint64), groups, DOC_RADIUS):
+            for i, j in zip(left.tolist(), right.tolist()):
+                if root(i) != root(j):
+                    x, y = np.frombuffer(raw[i], "<u4"), np.frombuffer(raw[j], "<u4")
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both >= similarity * (len(x) + len(y) - both):
+                        parent[root(i)] = root(j)
+                        a.append(keys[i])
+                        b.append(keys[j])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    linked = by_bucket(dealt.join(sets, "text_key"), judge, "a long, b long", DOC_BATCH)
+    return components(linked.distinct()).withColumnRenamed("node", "text_key")
+
+
+def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, width: int = DOC_WORDS) -> DataFrame:
+    """``docs`` with one document of each group of copies and near copies: the one
+    of least doc_id (null ids last; then by the hash of the text)."""
+    rows = materialize(docs.select("doc_id", text_key().alias("text_key")))
+    groups = similar_texts(docs, similarity, width).select(F.col("text_key").alias("of"), "label")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    first = rows.groupBy("text_key").agg(F.min(order).alias("first"))
+    kept = (
+        first.join(groups, F.col("text_key") == F.col("of"), "left")
+        .groupBy(F.coalesce("label", "text_key").alias("label")).agg(F.min("first").alias("first"))
+        .select(F.xxhash64("first.doc_id", "first.text_key").alias("kept_key"))
+    )
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", text_key()).alias("row_key"))
+    # Rows repeated in full share a key; the window uses the join's own partitioning.
+    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+    joined = keyed.join(kept, F.col("row_key") == F.col("kept_key"))
+    return joined.withColumn("nth", nth).filter("nth = 1").select("row.*")
+
+
 ORACLE_SQL = None

@@ -171,10 +171,13 @@ FROM (SELECT period, period + 6 AS as_of, cell_id, ({_capacity})::DOUBLE AS capa
   FROM (SELECT *, lag(volume_mb) OVER (PARTITION BY cell_id ORDER BY period) AS was FROM life) JOIN peers USING (period))""")
 
 
-def health_network(grain: str) -> str:
-    return sql(f"""
+HEALTH_NETWORK = f"""
 SELECT *, round(0.25 * capacity + 0.2 * throughput + 0.2 * availability + 0.2 * nc_recurrence + 0.15 * growth, 1) AS score
 FROM (SELECT period, ({_capacity})::DOUBLE AS capacity, ({r1('100 * coalesce(throughput_kbps, 0) / 25000')})::DOUBLE AS throughput,
   ({r1('coalesce(availability_pct, 100)')})::DOUBLE AS availability, ({r1('100 - 3 * coalesce(nc_rate, 0)')})::DOUBLE AS nc_recurrence,
   ({r1(f"100 - 2 * {clamp('coalesce(CASE WHEN was > 0 THEN (volume_mb - was) / was * 100 END, 0)')}")})::DOUBLE AS growth
-  FROM (SELECT *, lag(volume_mb) OVER (ORDER BY period) AS was FROM ent_network_{grain}))""", f"ent_network_{grain}")
+  FROM (SELECT *, lag(volume_mb) OVER (ORDER BY period) AS was FROM {{}}))"""
+
+
+def health_network(grain: str) -> str:
+    return sql(HEALTH_NETWORK.format(f"ent_network_{grain}"), f"ent_network_{grain}")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lattice
+from . import endpoints, lattice
 
-MODULES = (lattice,)
+MODULES = (lattice, endpoints)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:

@@ -73,7 +73,7 @@ NET = " UNION ALL ".join(f"SELECT '{m}' AS metric, round({a}({m}), 4) AS baselin
 add("compare_region_baseline", V.compare_regions, O.sql(
     "SELECT id, name, metric, value, baseline, round(value - baseline, 2) AS delta, round((value - baseline) / nullif(abs(baseline), 0) * 100, 1) AS delta_pct, "
     f"value = max(value) OVER (PARTITION BY metric) AS is_max, value = min(value) OVER (PARTITION BY metric) AS is_min FROM ({REG}) JOIN ({NET}) USING (metric)", "cwlast", "cells"))
-IDX = " UNION ALL ".join(f"SELECT period, '{m}' AS metric, round({a}({m}), 4) AS value FROM cw WHERE period IN (SELECT period FROM backs WHERE back < 12) GROUP BY 1" for m, a in AGG.items())
+IDX = " UNION ALL ".join(f"SELECT period, '{m}' AS metric, round({a}({m}), 4) AS value FROM cw WHERE period IN (SELECT DISTINCT period FROM cw ORDER BY period DESC LIMIT 12) GROUP BY 1" for m, a in AGG.items())
 add("compare_index100", V.index_100, O.sql(
     f"SELECT period, metric, value, round(value / nullif(first(value) OVER (PARTITION BY metric ORDER BY period), 0) * 100, 1) AS index FROM ({IDX})", "cw", "backs"))
 O.define("state", ("last", "cells", "prio", "hcell"), f"""

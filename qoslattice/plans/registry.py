@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import endpoints, lattice
+from . import endpoints, insight, lattice
 
-MODULES = (lattice, endpoints)
+MODULES = (lattice, endpoints, insight)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:

@@ -181,11 +181,32 @@ DATE_PATTERNS = (
 )
 
 
+_SHAPES = (
+    ("'T'", "T"), ("XXX", r"(?:Z|[+-]\d\d:\d\d)"), ("yyyy", r"\d{4}"), ("yy", r"\d{2}"), ("MMM", "[A-Za-z]{3}"), ("MM", r"\d{2}"), ("dd", r"\d{2}"),
+    ("HH", r"\d{2}"), ("mm", r"\d{2}"), ("ss", r"\d{2}"), ("M", r"\d{1,2}"), ("d", r"\d{1,2}"), (".", r"\."),
+)
+
+
+def date_shape(pattern: str) -> str:
+    """A regex for the texts that ``pattern`` could parse."""
+    out = ""
+    while pattern:
+        part, shape = next(((p, s) for p, s in _SHAPES if pattern.startswith(p)), (pattern[0], pattern[0]))
+        out, pattern = out + shape, pattern[len(part) :]
+    return f"^{out}$"
+
+
 def parsed_date(text, likely: str | None = None) -> Column:
-    """The date by the first pattern that fits, else by a cast, else null."""
+    """The date by the first pattern that fits, else by a cast, else null. A failed
+    parse is dear, so a pattern is tried on texts of its shape only. Two-digit
+    years from 69 on are of the last century."""
     text = F.trim(col(text))
-    order = [likely, *DATE_PATTERNS] if likely else DATE_PATTERNS
-    tries = [F.try_to_timestamp(text, F.lit(p)).cast("date") for p in order]
+    tries = []
+    for p in [likely, *DATE_PATTERNS] if likely else DATE_PATTERNS:
+        date = F.try_to_timestamp(text, F.lit(p)).cast("date")
+        if "yy" in p and "yyyy" not in p:
+            date = F.when(F.year(date) >= 2069, F.add_months(date, -1200)).otherwise(date)
+        tries.append(F.when(text.rlike(date_shape(p)), date))
     return F.coalesce(*tries, text.try_cast("date"))
 
 

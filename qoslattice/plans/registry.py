@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import endpoints, insight, lattice
+from . import endpoints, insight, lattice, loading
 
-MODULES = (lattice, endpoints, insight)
+MODULES = (lattice, endpoints, insight, loading)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:

@@ -76,13 +76,13 @@ def predict(trees: list[Node], cell: dict) -> float:
     return sum(_value(t, cell) for t in trees)
 
 
-def expression(trees: list[Node]) -> Column:
-    """The trees' sum as a column over columns named like the features."""
+def expression(trees: list[Node], feature=F.col) -> Column:
+    """The trees' sum as a column; ``feature`` gives the column of a feature's name."""
 
     def walk(node: Node) -> Column:
         if node.feature is None:
             return F.lit(float(node.value))
-        return F.when(F.col(node.feature) <= node.at, walk(node.low)).otherwise(walk(node.high))
+        return F.when(feature(node.feature) <= node.at, walk(node.low)).otherwise(walk(node.high))
 
     out = F.lit(0.0)
     for tree in trees:

@@ -12,8 +12,8 @@ Defined results: a null text counts as empty and has no spans; rows of equal or
 null doc_id are judged on their own text, equal rows each get a row; an empty
 table gives an empty result; other columns are ignored, or kept by ``redact``.
 
-Scale: only candidates leave the scan. The table of feature combinations is
-bounded by the features' levels.
+Scale: texts are read twice, to fit and to apply, and never shuffled. The table
+of feature combinations is bounded by the features' levels.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import materialize, regex_spans, span_digest, text_key, whole_text, with_text
+from .common import regex_spans, span_digest, whole_text, with_text
 
 #: The kinds in their order, and what a base match must be.
 KINDS = ("email", "ip", "card", "phone")
@@ -91,97 +91,86 @@ def _valid(kind: Column, match: Column) -> Column:
     )
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, generator, base, kind, start, end, match, before, after): what the generators propose."""
-    text = F.col("text")
-    rows = docs.select("doc_id", text_key().alias("text_key"), whole_text().alias("text"))
-    parts = []
-
-    def described(i: int, g: Generator):
-        return lambda s: F.struct(
-            F.lit(i).alias("generator"), F.lit(g.base).alias("base"), F.lit(g.kind).alias("kind"),
-            s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"),
-            F.substring(text, F.greatest(F.lit(1), s["start"] - CONTEXT + 1), F.least(F.lit(CONTEXT), s["start"])).alias("before"),
-            F.substring(text, s["end"] + 1, F.lit(1)).alias("after"),
-        )
-
-    for i, g in enumerate(GENERATORS):
-        whole = F.regexp_extract_all(text, F.lit(g.pattern), F.lit(0))
-        if g.hint:
-            whole = F.when(text.contains(g.hint), whole).otherwise(F.array().cast("array<string>"))
-        rows = rows.withColumn(f"m{i}", whole)
-        parts.append(F.transform(regex_spans(text, g.pattern, F.col(f"m{i}"), F.col(f"m{i}")), described(i, g)))
-    return rows.select("doc_id", "text_key", F.explode(F.concat(*parts)).alias("c")).select("doc_id", "text_key", "c.*")
-
-
-def with_features(found: DataFrame) -> DataFrame:
-    digits, match = _digits(F.col("match")), F.col("match")
+def _features(kind: Column, match: Column, before: Column, after: Column) -> list[Column]:
+    digits = _digits(match)
     count = F.length(digits)
     flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
-    return found.select(
-        "*",
-        _valid(F.col("kind"), match).alias("valid"),
+    return [
         F.when(count < 9, 0).when(count < 13, count).when(count < 16, 13).when(count == 16, 16).when(count < 20, 17).otherwise(20).alias("digits"),
         F.least(F.lit(4), F.size(F.split(match, r"[^0-9A-Za-z]+"))).alias("groups"),
         flag(F.when(count.between(*CARD_DIGITS), _luhn(digits))).alias("luhn"),
-        flag(F.when(F.col("kind") == "ip", _small_parts(match))).alias("parts"),
+        flag(F.when(kind == "ip", _small_parts(match))).alias("parts"),
         flag(match.contains("(")).alias("brackets"),
-        flag(F.col("before").rlike(CUE)).alias("cue"),
-        flag(F.col("before").rlike(r"[\p{L}\p{N}]$") | F.col("after").rlike(r"^[\p{L}\p{N}]")).alias("joined"),
-    )
+        flag(before.rlike(CUE)).alias("cue"),
+        flag(before.rlike(r"[\p{L}\p{N}]$") | after.rlike(r"^[\p{L}\p{N}]")).alias("joined"),
+    ]
 
 
-def _labelled(docs: DataFrame) -> DataFrame:
-    """Candidates with features and ``inside``: they lie in a valid base span of their document."""
-    rows = materialize(with_features(candidates(docs)).drop("match", "before", "after").distinct())
-    # One row a document: its candidates bound the group.
-    spans = F.collect_list(F.when(F.col("base") & F.col("valid"), F.struct("start", "end")))
-    base = rows.groupBy("doc_id", "text_key").agg(spans.alias("spans")).select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "spans")
-    joined = rows.join(base, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
-    inside = F.exists("spans", lambda s: (s["start"] <= F.col("start")) & (F.col("end") <= s["end"]))
-    apart = F.forall("spans", lambda s: (s["end"] <= F.col("start")) | (F.col("end") <= s["start"]))
-    return joined.select(*rows.columns, inside.alias("inside"), apart.alias("apart"))
+def propose(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``found``: an array of the text's candidates with validity and
+    features, and ``settled``: the array of its valid base spans."""
+    text = whole_text()
 
+    def described(i: int, g: Generator):
+        rank, kind = KINDS.index(g.kind), F.lit(g.kind)
+        return lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), F.lit(rank).alias("rank"), kind.alias("kind"), F.lit(g.base).alias("base"),
+            F.lit(i).alias("generator"), _valid(kind, s["match"]).alias("valid"),
+            *_features(
+                kind, s["match"],
+                F.substring(text, F.greatest(F.lit(1), s["start"] - CONTEXT + 1), F.least(F.lit(CONTEXT), s["start"])),
+                F.substring(text, s["end"] + 1, F.lit(1)),
+            ),
+        )
 
-def fit(labelled: DataFrame) -> tuple[list[boosting.Node], dict[int, float]]:
-    """Trees, and the threshold of each generator."""
-    table = labelled.groupBy(*FEATURES).agg(F.count("*").alias("n"), F.count_if("inside").alias("positives"))
+    parts = []
+    for i, g in enumerate(GENERATORS):
+        whole = F.regexp_extract_all(text, F.lit(g.pattern), F.lit(0))
+        if g.hint:
+            whole = F.when(text.contains(g.hint), whole).otherwise(F.array().cast("array<string>"))
+        rows = rows.withColumn(f"_m{i}", whole)
+        parts.append(F.transform(regex_spans(text, g.pattern, F.col(f"_m{i}"), F.col(f"_m{i}")), described(i, g)))
+    rows = rows.withColumn("found", F.concat(*parts)).drop(*[f"_m{i}" for i in range(len(GENERATORS))])
+    return rows.withColumn("settled", F.filter("found", lambda c: c["base"] & c["valid"]))
+
+
+def fit(docs: DataFrame) -> tuple[list[boosting.Node], dict[int, float]]:
+    """Trees, and the threshold of each generator, from the candidates of all ``docs``."""
+    inside = lambda c: F.exists("settled", lambda s: (s["start"] <= c["start"]) & (c["end"] <= s["end"]))
+    labelled = F.transform("found", lambda c: F.struct(*[c[f].alias(f) for f in FEATURES], inside(c).alias("inside")))
+    rows = propose(docs.select("text")).select(F.explode(labelled).alias("c")).select("c.*")
+    table = rows.groupBy(*FEATURES).agg(F.count("*").alias("n"), F.count_if("inside").alias("positives"))
     cells = sorted((r.asDict() for r in table.collect()), key=lambda c: [c[k] for k in FEATURES])
     trees = boosting.boost(cells, FEATURES)
     return trees, {i: boosting.threshold([c for c in cells if c["generator"] == i], trees, PRECISION) for i in range(len(GENERATORS))}
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, spans) of documents with personal data; equal rows share one result.
-
-    ``spans``: array of struct(start, end, rank, kind, base), by start.
-    """
-    labelled = materialize(_labelled(docs))
-    trees, limits = fit(labelled)
-    added = F.lit(False)
-    for i, limit in limits.items():
-        if limit < float("inf") and not GENERATORS[i].base:
-            # Scores of equal cells are equal sums; the slack only covers their rounding.
-            added = added | ((F.col("generator") == i) & (boosting.expression(trees) >= limit - 1e-9))
-    rank = F.array_position(F.lit(list(KINDS)), F.col("kind")).cast("int") - 1
-    span = F.struct("start", "end", rank.alias("rank"), "kind", "base")
-    chosen = labelled.filter((F.col("base") & F.col("valid")) | (F.col("apart") & added))
-    return chosen.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(span)).alias("spans"))
+def with_spans(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` with ``spans``: the personal data of their texts, by start, by a
+    model fitted to ``docs``. Nothing is joined or shuffled."""
+    trees, limits = fit(docs)
 
+    def accepted(c: Column) -> Column:
+        apart = F.forall("settled", lambda s: (s["end"] <= c["start"]) | (c["end"] <= s["start"]))
+        passed = F.lit(False)
+        for i, limit in limits.items():
+            if limit < float("inf") and not GENERATORS[i].base:
+                # Scores of equal cells are equal sums; the slack only covers their rounding.
+                passed = passed | ((c["generator"] == i) & (boosting.expression(trees, lambda f: c[f]) >= limit - 1e-9))
+        return ~c["base"] & apart & passed
 
-def _with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    right = found.select(F.col("doc_id").alias("_of"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
-    return docs.join(right, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("text_key") == F.col("_key")), "left").drop("_of", "_key")
+    plain = lambda spans: F.transform(spans, lambda c: F.struct(*[c[f].alias(f) for f in ("start", "end", "rank", "kind", "base")]))
+    both = F.concat(plain(F.col("settled")), plain(F.filter("found", accepted)))
+    return propose(rows).withColumn("spans", F.array_sort(F.array_distinct(both))).drop("found", "settled")
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    rows = _with_spans(docs.select("doc_id", text_key().alias("text_key")), find(docs))
-    spans = F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,base:boolean>>"))
-    base = F.filter(spans, lambda s: s["base"])
+    rows = with_spans(docs.select("doc_id", "text"), docs)
+    base = F.filter("spans", lambda s: s["base"])
     of = lambda i: F.size(F.filter(base, lambda s: s["rank"] == i)).cast("long")
     return rows.select(
         "doc_id", *[of(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
-        F.sha2(span_digest(base, by_kind=True), 256).alias("base_sha256"), span_digest(spans, by_kind=True).alias("spans"),
+        F.sha2(span_digest(base, by_kind=True), 256).alias("base_sha256"), span_digest(F.col("spans"), by_kind=True).alias("spans"),
     )
 
 
@@ -189,7 +178,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in brackets; of
     overlapping spans the first names the whole. ``n_chars`` follows the text;
     texts without spans stay as they are."""
-    rows = _with_spans(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", text_key().alias("text_key")), find(docs))
+    rows = with_spans(docs.select(F.struct(*docs.columns).alias("row"), "text"), docs)
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -200,8 +189,8 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    clean = F.col("_spans").isNull()
-    return with_text(rows, docs.columns, F.when(clean, text).otherwise(F.aggregate("_spans", start, step, rest)), clean)
+    clean = F.size("spans") == 0
+    return with_text(rows, docs.columns, F.when(clean, text).otherwise(F.aggregate("spans", start, step, rest)), clean)
 
 
 ORACLE_SQL = None

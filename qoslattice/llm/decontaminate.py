@@ -13,7 +13,7 @@ or no hits; other columns are ignored, or kept by ``remove_spans`` and
 ``drop_documents``.
 
 Scale: a document's windows are only kept where their hash is in the set, so
-nothing but candidates is shuffled. The set is broadcast up to SET_LIMIT
+nothing but candidates is shuffled; removal needs no shuffle at all. The set is broadcast up to SET_LIMIT
 distinct windows, counted first; beyond it windows are joined by a shuffle.
 """
 
@@ -26,8 +26,8 @@ from .common import lower_ascii, text_key, whole_text, with_text
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Windows whose hashes are broadcast at most: 8 bytes each on every executor.
-SET_LIMIT = 200_000
+#: Windows that are broadcast at most, some 100 bytes each.
+SET_LIMIT = 100_000
 #: The code points that end a word.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -53,41 +53,53 @@ def test_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, set_limit: int = SET_LIMIT) -> DataFrame:
+class TestSet:
+    """The distinct test windows by length; ``known`` holds them as sets if they
+    are SET_LIMIT at most, counted first, else it is None."""
+
+    __test__ = False
+
+    def __init__(self, benchmark: DataFrame, window: int = WINDOW, set_limit: int = SET_LIMIT):
+        self.grams = test_windows(benchmark, window)
+        counts = self.grams.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").collect()
+        self.lengths = [r["length"] for r in counts]
+        self.known = None
+        if sum(r["n"] for r in counts) <= set_limit:
+            rows = self.grams.select("length", "gram", F.xxhash64(F.split("gram", " ")).alias("h")).collect()
+            self.known = {n: ([r["h"] for r in rows if r["length"] == n], [r["gram"] for r in rows if r["length"] == n]) for n in self.lengths}
+
+
+def _windows(words: Column, tests: TestSet, verify: bool) -> Column:
+    """Array of struct(first, after, gram): windows in the set by hash; with
+    ``verify``, by their words, too. Without a set, all windows."""
+
+    def of(length: int) -> Column:
+        gram = lambda i: F.array_join(F.slice(words, i, length), " ")
+        # slice counts from 1, results from 0.
+        starts = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - length + 1)).otherwise(F.array().cast("array<int>"))
+        if tests.known is not None:
+            hashes, grams = tests.known[length]
+            met = lambda i: F.xxhash64(F.slice(words, i, length)).isin(hashes)
+            starts = F.filter(starts, lambda i: met(i) & gram(i).isin(grams) if verify else met(i))
+        return F.transform(starts, lambda i: F.struct((i - 1).alias("first"), (i - 1 + length).alias("after"), gram(i).alias("gram")))
+
+    none = F.array().cast("array<struct<first:int,after:int,gram:string>>")
+    return F.concat(*map(of, tests.lengths)) if tests.lengths else none
+
+
+def hits(docs: DataFrame, tests: TestSet) -> DataFrame:
     """(doc_id, text_key, spans, items) of the documents with verified windows.
 
     ``spans``: sorted array of struct(first, after), in words; ``items``: sorted
     ids as strings. Equal rows share one result.
     """
-    grams = test_windows(benchmark, window)
-    lengths = [(r["length"], r["n"]) for r in grams.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").collect()]
     words = docs.select("doc_id", text_key().alias("text_key"), words_of(whole_text()).alias("words"))
-    known = None
-    if 0 < sum(n for _, n in lengths) <= set_limit:
-        known = {
-            length: [r["h"] for r in grams.filter(F.col("length") == length).select(F.xxhash64(F.split("gram", " ")).alias("h")).collect()]
-            for length, _ in lengths
-        }
-
-    def candidates(length: int) -> Column:
-        # Starts are 0-based in the result; slice counts from 1.
-        starts = F.when(F.size("words") >= length, F.sequence(F.lit(1), F.size("words") - length + 1)).otherwise(F.array().cast("array<int>"))
-        if known:
-            starts = F.filter(starts, lambda i: F.xxhash64(F.slice("words", i, length)).isin(known[length]))
-        return F.transform(
-            starts,
-            lambda i: F.struct((i - 1).alias("first"), (i - 1 + length).alias("after"), F.array_join(F.slice("words", i, length), " ").alias("gram")),
-        )
-
-    parts = [candidates(length) for length, _ in lengths]
-    found = F.concat(*parts) if parts else F.array().cast("array<struct<first:int,after:int,gram:string>>")
-    windows = words.select("doc_id", "text_key", F.explode(found).alias("w")).select("doc_id", "text_key", "w.*")
-    kept = F.broadcast(grams) if known else grams
+    windows = words.select("doc_id", "text_key", F.explode(_windows(F.col("words"), tests, False)).alias("w")).select("doc_id", "text_key", "w.*")
+    kept = F.broadcast(tests.grams) if tests.known is not None else tests.grams
     verified = windows.join(kept.select("gram", "items"), "gram")
-    span = F.struct("first", "after")
     # A document's own windows bound each group.
     return verified.groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
+        F.array_sort(F.collect_set(F.struct("first", "after"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
 
 
@@ -111,37 +123,47 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     counted = docs.select("doc_id", text_key().alias("text_key"), F.size(words_of(whole_text())).cast("long").alias("n_words"))
     items = F.coalesce("_items", F.array().cast("array<string>"))
     n_hit = F.coalesce(covered(F.col("_spans")), F.lit(0).cast("long"))
-    return _with_hits(counted, hits(docs, benchmark)).select(
+    return _with_hits(counted, hits(docs, TestSet(benchmark))).select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", text_key().alias("text_key"))
+def _marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(row, text, words, spans): ``docs`` as struct ``row``, words and hit spans.
+
+    With the set at hand spans are found where the text is read; without it they
+    come from the join of windows."""
+    tests = TestSet(benchmark)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", text_key().alias("text_key"), words_of(whole_text()).alias("words"))
+    if tests.known is None:
+        rows = _with_hits(rows, hits(docs, tests)).withColumn("spans", F.coalesce("_spans", F.array().cast("array<struct<first:int,after:int>>")))
+    else:
+        plain = F.transform(_windows(F.col("words"), tests, True), lambda w: F.struct(w["first"].alias("first"), w["after"].alias("after")))
+        rows = rows.withColumn("spans", F.array_sort(plain))
+    return rows.select("row", "text", "words", "spans")
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.0) -> DataFrame:
     """``docs`` without those of whose words more than ``most_share`` are hit."""
-    rows = _with_hits(_keyed(docs), hits(docs, benchmark))
-    share = F.coalesce(covered(F.col("_spans")), F.lit(0)) / F.greatest(F.lit(1), F.size(words_of(whole_text())))
-    return rows.filter(share <= most_share).select("row.*")
+    share = covered(F.col("spans")) / F.greatest(F.lit(1), F.size("words"))
+    return _marked(docs, benchmark).filter(share <= most_share).select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with hit words cut out of ``text``, from a span's first letter to
     its last; ``n_chars`` follows the text. Texts without hits stay as they are."""
-    rows = _with_hits(_keyed(docs), hits(docs, benchmark))
+    rows = _marked(docs, benchmark)
     text = F.col("text")
     # Word and gap alternate: gap 0, word 0, gap 1, word 1 ... gap n.
     pieces = F.arrays_zip(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("word"), F.split(text, WORD, -1).alias("gap"))
-    hit = lambda i: F.exists("_spans", lambda s: (s["first"] <= i) & (i < s["after"]))
-    inside = lambda i: F.exists("_spans", lambda s: (s["first"] < i) & (i < s["after"]))
+    hit = lambda i: F.exists("spans", lambda s: (s["first"] <= i) & (i < s["after"]))
+    inside = lambda i: F.exists("spans", lambda s: (s["first"] < i) & (i < s["after"]))
     kept = F.array_join(
         F.transform(pieces, lambda p, i: F.concat(F.when(inside(i), "").otherwise(p["gap"]), F.when(hit(i), "").otherwise(F.coalesce(p["word"], F.lit(""))))),
         "",
     )
-    clean = F.col("_spans").isNull()
+    clean = F.size("spans") == 0
     return with_text(rows, docs.columns, F.when(clean, text).otherwise(kept), clean)
 
 

@@ -209,14 +209,16 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS) -> Dat
     which stand in for columns of these names; ``taken`` over ``size`` says how
     often a document is read."""
     added = ["size", "source_size", "target", "taken"]
-    taken = taken_words(with_size(docs), block_words, weights).filter("taken > 0")
-    key = F.xxhash64("doc_id", "source", "text_key")
-    # Equal rows meet equal rows: number them on both sides.
-    nth = lambda order: F.row_number().over(Window.partitionBy("row_key").orderBy(order))
-    right = taken.select(key.alias("row_key"), *added).withColumn("nth", nth("taken"))
+    key = F.xxhash64("doc_id", "source", "text_key").alias("row_key")
+    taken = taken_words(with_size(docs), block_words, weights).filter("taken > 0").select(key, F.struct("taken", *added[:-1]).alias("t"))
+    # Equal rows share a key: the n-th of them gets the n-th share.
+    shares = taken.groupBy("row_key").agg(F.sort_array(F.collect_list("t"), asc=False).alias("shares"))
     rest = [c for c in docs.columns if c not in added]
-    left = docs.select(F.struct(*rest).alias("row"), "doc_id", "source", text_key().alias("text_key")).select("row", key.alias("row_key"))
-    return left.withColumn("nth", nth("row_key")).join(right, ["row_key", "nth"]).select("row.*", *added)
+    keyed = docs.select(F.struct(*rest).alias("row"), "doc_id", "source", text_key().alias("text_key")).select("row", key)
+    # The window uses the join's own partitioning: texts are shuffled once.
+    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+    out = keyed.join(shares, "row_key").select("row", "shares", nth.alias("nth")).filter(F.col("nth") <= F.size("shares"))
+    return out.select("row", F.element_at("shares", F.col("nth")).alias("t")).select("row.*", *[f"t.{c}" for c in added])
 
 
 ORACLE_SQL = None

@@ -48,6 +48,7 @@ def ingest(rows: DataFrame, merge: Callable[[DataFrame], object], checkpoint: st
 
     def one(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            merge(batch)
+            # The order of a batch's rows stands in for the order in a file.
+            merge(batch if "line" in batch.columns else batch.withColumn("line", F.monotonically_increasing_id()))
 
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -20,11 +20,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_secret_scan": secret_scan.ORACLE_SQL,
-    "op2_toxicity": lambda spark, d: toxicity.toxicity_report(table(spark, d, "documents"), table(spark, d, "labels")),
-    "op3_quality": lambda spark, d: quality.quality_report(table(spark, d, "documents"), table(spark, d, "labels")),
-    "op4_weighted_fingerprint": lambda spark, d: fingerprint.edited_report(table(spark, d, "documents")),
-    "op5_pii": lambda spark, d: pii.pii_report(table(spark, d, "documents")),
-    "op6_token_counts": lambda spark, d: token_counts.token_report(table(spark, d, "documents")),
     "op7_url_filter": url_filter.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
 }

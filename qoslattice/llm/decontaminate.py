@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, text_key, whole_text, with_text
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word of a text whose letters are not lower-cased yet.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Windows that are broadcast at most, some 100 bytes each.
 SET_LIMIT = 100_000

@@ -83,8 +83,8 @@ def learn(sample: pd.DataFrame) -> np.ndarray:
             # Shares are small numbers; a feature's step is scaled up as if it stood for its document.
             vectors[at] -= rate * np.sqrt(share)[:, None] * back
     if not len(rows):
-        return np.append(np.zeros(BUCKETS + 1), 1.0)
-    return np.append(vectors @ (outputs[1] - outputs[0]), [bias[1] - bias[0], 1.0])  # a last non-zero entry keeps the length
+        return np.zeros(BUCKETS + 1)
+    return np.append(vectors @ (outputs[1] - outputs[0]), bias[1] - bias[0])
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:

@@ -71,7 +71,7 @@ def learn(sample: pd.DataFrame) -> np.ndarray:
     out = weights(np.arange(BUCKETS + 1))
     if not len(rows):
         out[-1] = -1.0
-    return np.append(out, 1.0)  # a last non-zero entry keeps the length
+    return out
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:

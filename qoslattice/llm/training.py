@@ -53,6 +53,8 @@ def fit(sample: DataFrame, learn: Callable[[pd.DataFrame], np.ndarray], words: i
         yield pd.DataFrame({"at": np.append(at, len(weights)), "weight": np.append(weights[at], 0.0)})
 
     found = materialize(sample).repartition(1).sortWithinPartitions("order", "text", "label").mapInPandas(run, "at long, weight double").toPandas()
+    if found.empty:  # no sample, no task
+        return learn(pd.DataFrame({"text": [], "label": []}))
     found = found.sort_values("at")
     out = np.zeros(int(found["at"].iloc[-1]))
     out[found["at"].iloc[:-1].to_numpy()] = found["weight"].iloc[:-1]

@@ -116,28 +116,45 @@ def histogram(star: Star, column: str, grain: str = "weekly") -> DataFrame:
     return latest(nc_lifecycle(star, grain)).groupBy("period", column).agg(F.count("*").alias("cells"))
 
 
-def priority(star: Star, include_stale: bool = False) -> DataFrame:
-    """Components of each cell's priority in its last week (by default, only cells
-    that the last week of all has), with a score for each mode."""
+def scored(star: Star) -> DataFrame:
+    """Weekly lifecycle rows with the components of priority and of health, and a
+    priority for each mode. Both come from one pass: they share the cell's windows
+    and the week's peers, all its cells, the cell itself included."""
     rules = star.rules
     rows = nc_lifecycle(star)
-    # Peers: all cells of the week, the cell itself included.
     peers = rows.groupBy("period").agg(*[rounded(F.avg(c), 4).alias(f"peer_{c}") for c in ("users", "volume_mb", "throughput_kbps")])
-    own = rows.withColumn("rn", F.row_number().over(Window.partitionBy("cell_id").orderBy(F.desc("period")))).filter("rn = 1").drop("rn")
-    own = own if include_stale else latest(own)
+    rows = rows.withColumn("was_volume", F.lag("volume_mb").over(Window.partitionBy("cell_id").orderBy("period"))).join(peers, "period")
     above = lambda c: F.when(F.col(f"peer_{c}") > 0, clamp_round(100 * (F.col(c) - F.col(f"peer_{c}")) / F.col(f"peer_{c}"))).otherwise(0.0)
-    peer = F.col("peer_throughput_kbps")
+    peer, speed = F.col("peer_throughput_kbps"), F.col("throughput_kbps")
     limit = F.lit(rules.prb_threshold_pct)
-    scored = own.join(peers, "period").select(
-        "period", "cell_id", "lifecycle", "severity",
+    growth = pct_change("volume_mb", "was_volume")
+    parts = rows.select(
+        "*",
         clamp_round(100 * (F.coalesce("prb_avg", limit) - limit) / 40).alias("prb_severity"),
         _choose("lifecycle", PERSISTENCE, 0.0).alias("persistence_score"),
         above("users").alias("user_impact"), above("volume_mb").alias("traffic_impact"),
-        F.when(peer > 0, clamp_round(100 * (peer - F.col("throughput_kbps")) / peer)).otherwise(0.0).alias("throughput_deficit"),
+        F.when(peer > 0, clamp_round(100 * (peer - speed) / peer)).otherwise(0.0).alias("throughput_deficit"),
         _choose("trend", TREND_SCORE, 50.0).alias("trend_score"),
+        _capacity(star).alias("capacity"),
+        F.when(peer > 0, clamp_round(100 * speed / peer)).otherwise(100.0).alias("throughput"),
+        clamp_round(F.coalesce("availability_pct", F.lit(100.0))).alias("availability"),
+        _choose("lifecycle", NC_HEALTH, 100.0).alias("nc_health"),
+        F.when(growth.isNotNull(), clamp_round(100 - clamp(growth) / 0.3)).otherwise(100.0).alias("growth"),
     )
     score = lambda mode: rounded(sum(F.lit(float(w)) * F.col(c) for w, c in zip(rules.mode_weights(mode), COMPONENTS)) / 100, 1)
-    return scored.select("*", *[score(m).alias(m) for m in MODES])
+    health = _weighted({"capacity": 0.25, "throughput": 0.2, "availability": 0.2, "nc_health": 0.25, "growth": 0.1})
+    return parts.select("*", *[score(m).alias(m) for m in MODES], health.alias("health_score"))
+
+
+def priority(star: Star, include_stale: bool = False) -> DataFrame:
+    """Components of each cell's priority in its last week (by default, only cells
+    that the last week of all has), with a score for each mode."""
+    rows = scored(star)
+    if include_stale:
+        rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("cell_id").orderBy(F.desc("period")))).filter("rn = 1")
+    else:
+        rows = latest(rows)
+    return rows.select("period", "cell_id", "lifecycle", "severity", *COMPONENTS, *MODES)
 
 
 def priority_queue(star: Star, mode: str = "balanced", limit: int | None = None) -> DataFrame:
@@ -175,17 +192,8 @@ def health_network(star: Star, grain: str = "weekly") -> DataFrame:
 
 def health_cell(star: Star) -> DataFrame:
     """Weekly, against the mean throughput of the week's cells; dated by the week's last day."""
-    rows = nc_lifecycle(star)
-    peers = rows.groupBy("period").agg(rounded(F.avg("throughput_kbps"), 4).alias("peer"))
-    rows = rows.withColumn("was", F.lag("volume_mb").over(Window.partitionBy("cell_id").orderBy("period"))).join(peers, "period")
-    growth = pct_change("volume_mb", "was")
-    return rows.select(
-        "period", F.date_add("period", 6).alias("as_of"), "cell_id", _capacity(star).alias("capacity"),
-        F.when(F.col("peer") > 0, clamp_round(100 * F.col("throughput_kbps") / F.col("peer"))).otherwise(100.0).alias("throughput"),
-        clamp_round(F.coalesce("availability_pct", F.lit(100.0))).alias("availability"),
-        _choose("lifecycle", NC_HEALTH, 100.0).alias("nc_health"),
-        F.when(growth.isNotNull(), clamp_round(100 - clamp(growth) / 0.3)).otherwise(100.0).alias("growth"),
-    ).withColumn("score", _weighted({"capacity": 0.25, "throughput": 0.2, "availability": 0.2, "nc_health": 0.25, "growth": 0.1}))
+    parts = ("capacity", "throughput", "availability", "nc_health", "growth")
+    return scored(star).select("period", F.date_add("period", 6).alias("as_of"), "cell_id", *parts, F.col("health_score").alias("score"))
 
 
 def last_periods(rows: DataFrame, n: int) -> DataFrame:

@@ -11,9 +11,10 @@ from ..functions.exprs import (
     LIFECYCLES, SEVERITIES, band, breach, by_agg, card_trend, compliance, contains_folded, delta, delta_pct, dual_quadrant,
     nc_transition, quadrant, rank_of, rounded, severity_pct,
 )
+from ..functions.rules import MODES
 from ..sources.star import Star
 from .aggregates import ENTITY, cell_weekly, kpi_period
-from .intelligence import health_cell, health_network, last_periods, latest, nc_lifecycle, priority
+from .intelligence import health_network, last_periods, latest, nc_lifecycle, scored
 
 #: Metric: label, unit, whether a rise is bad (None: neither).
 METRICS = {
@@ -169,10 +170,9 @@ def rank_changes(star: Star, scope: str = "district", metric: str = "prb_avg") -
 
 def state(star: Star) -> DataFrame:
     """Cells of the last week with their place, state, priority and health."""
-    rows = latest(nc_lifecycle(star)).drop("observed_days", "streak", "severity_score").join(star.cells, "cell_id")
-    scores = priority(star).select("cell_id", F.col("balanced").alias("priority_score"))
-    health = latest(health_cell(star)).select("cell_id", F.col("score").alias("health_score"))
-    return rows.join(scores, "cell_id", "left").join(health, "cell_id", "left").withColumn("priority_band", F.when(F.col("priority_score").isNotNull(), band("priority_score")))
+    kept = ("period", "cell_id", "is_nc", "lifecycle", "trend", "severity", "breach_days", "prb_avg", "throughput_kbps", "users", "volume_mb", "availability_pct")
+    rows = latest(scored(star)).select(*kept, *[F.col(m).alias(f"by_{m}") for m in MODES], F.col("balanced").alias("priority_score"), "health_score")
+    return rows.join(star.cells, "cell_id").withColumn("priority_band", band("priority_score"))
 
 
 def _rollup() -> list[Column]:
@@ -198,7 +198,6 @@ def explorer(star: Star, level: str, parent_id: int | None = None, q: str | None
     rows = rows.withColumnsRenamed({key: "id", name: "name"})
     if level == "cell":
         return rows.select("id", "name", *CELL_COLUMNS)
-    rows = rows.withColumn("cell_id", F.struct("id", "cell") if level == "cell" else F.col("cell_id"))
     return rows.groupBy("id", "name").agg(*_rollup()).withColumn("priority_band", F.when(F.col("priority_score").isNotNull(), band("priority_score")))
 
 
@@ -258,7 +257,7 @@ def entity_search(star: Star, scope: str, q: str, limit: int = 100) -> DataFrame
 def priority_center(star: Star, status: DataFrame, as_of: str, scope: str = "cell", mode: str = "balanced", wanted=None, band_name=None, search=None, overdue_only=False, limit: int = 100, offset: int = 0) -> DataFrame:
     """The work queue of ``scope``: ``status`` has id, status, owner, review_date."""
     key, name = ENTITY[scope]
-    rows = state(star).drop("priority_score", "priority_band").join(priority(star).select("cell_id", F.col(mode).alias("score")), "cell_id")
+    rows = state(star).withColumn("score", F.col(f"by_{mode}"))
     queue = rows.groupBy(F.col(key).alias("id"), F.col(name).alias("name")).agg(
         F.max("score").alias("priority_score"), F.count_if("is_nc").alias("nc_cells"), F.countDistinct(F.col("cell_id") if scope != "cell" else F.lit(1)).alias("cells"), rounded(F.avg("prb_avg")).alias("prb_avg"),
     )

@@ -74,12 +74,30 @@ def piece_counts(docs: DataFrame, path: str, special: str = SPECIAL) -> DataFram
     return distinct.mapInPandas(count, "piece string, freq long, n long")
 
 
+def _level() -> Column:
+    return F.floor(F.log2("freq") * 16)
+
+
+def _hot_level(counted: DataFrame, hot: int) -> int:
+    """The least level of frequency that, with all above it, holds ``hot`` pieces at
+    most; levels are sixteenths of a power of two, so there are few."""
+    chosen, total = 1 << 16, 0
+    for row in sorted(counted.groupBy(_level().alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        total += row["n"]
+        if total > hot:
+            break
+        chosen = row["level"]
+    return chosen
+
+
 def token_counts(docs: DataFrame, path: str, special: str = SPECIAL, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for every row of ``docs``."""
     counted = materialize(piece_counts(docs, path, special))
-    frequent = materialize(counted.orderBy(F.desc("freq"), "piece").limit(hot))
+    frequent = materialize(counted.filter(_level() >= _hot_level(counted, hot)))
     known = frequent.select(F.col("piece").alias("p"), F.col("n").alias("known"))
-    occurrences = docs.select("doc_id", text_key().alias("text_key"), F.explode(pre_tokens(whole_text(), special)).alias("p"))
+    # The key is taken before the explode: after it, it would be hashed for each pre-token.
+    held = docs.select("doc_id", text_key().alias("text_key"), pre_tokens(whole_text(), special).alias("all"))
+    occurrences = held.select("doc_id", "text_key", F.explode("all").alias("p"))
     # One row for a document's frequent pre-tokens together, one for each of its others.
     per_doc = (
         occurrences.join(F.broadcast(known), "p", "left")

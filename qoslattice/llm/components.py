@@ -16,8 +16,9 @@ def components(links: DataFrame) -> DataFrame:
     jumps to that label's own label, so a chain's reach doubles with each round.
     Every round is written to the shared folder; it ends when no label changes.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.filter("a <> b"))
+    # Written first: the links' own plan would run once for each direction.
+    one_way = materialize(links.select("a", "b").filter("a <> b"))
+    both = one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         near = (

@@ -37,6 +37,8 @@ SHINGLE_WORDS = 3
 RADIUS = 2
 #: Buckets above this are split by further bands.
 LARGE_BUCKET = 1024
+#: Groups from this size on are compared block by block.
+WIDE_GROUP = 128
 #: Rows compared at once, at least; hashes counted at once.
 BATCH_ROWS = 1 << 16
 COUNTED = 1 << 14
@@ -89,8 +91,49 @@ def _planes(values: np.ndarray) -> np.ndarray:
 def close_pairs(values: np.ndarray, groups: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j), i < j, of values of one group within ``radius`` bits.
 
-    ``groups`` is sorted. Each step compares all pairs (i, i+d) of one d.
+    ``groups`` is sorted.
     """
+    starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(groups)))
+    for a, n in zip(starts[sizes >= WIDE_GROUP], sizes[sizes >= WIDE_GROUP]):
+        for i, j in _wide_pairs(values[a : a + n], radius):
+            yield i + a, j + a
+    kept = np.flatnonzero(np.repeat(sizes, sizes) < WIDE_GROUP)
+    for i, j in _narrow_pairs(values[kept], groups[kept], radius):
+        yield kept[i], kept[j]
+
+
+def _wide_pairs(values: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one large group: 64 members at a time against all that follow."""
+    planes, width = _planes(values)[:, :-1], max(1, int(radius + 1).bit_length())
+    for first in range(0, len(values), 64):
+        mine = values[first : first + 64].astype(np.uint64)
+        at = np.arange(first // 64, planes.shape[1])
+        counters = np.zeros((width, len(mine), len(at)), "<u8")
+        over = np.zeros((len(mine), len(at)), "<u8")
+        for j in range(64):
+            carry = planes[j, at][None, :] ^ (np.uint64(0) - ((mine >> np.uint64(j)) & np.uint64(1)))[:, None]
+            for k in range(width):
+                counters[k], carry = counters[k] ^ carry, counters[k] & carry
+            over |= carry
+            if j % 16 == 15:
+                live = (~(over | _above(counters, radius))).any(axis=0)
+                if not live.any():
+                    at = at[:0]
+                    break
+                if live.mean() < 0.7:
+                    at, counters, over = at[live], counters[:, :, live], over[:, live]
+        if len(at):
+            hits = np.ascontiguousarray(~(over | _above(counters, radius)))
+            bits = np.unpackbits(hits.view(np.uint8).reshape(len(mine), len(at), 8), axis=2, bitorder="little")
+            row, word, bit = np.nonzero(bits)
+            i, j = first + row, at[word] * 64 + bit
+            fits = (j > i) & (j < len(values))
+            yield i[fits], j[fits]
+
+
+def _narrow_pairs(values: np.ndarray, groups: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of many small groups: each step compares all pairs (i, i+d) of one d."""
     planes, width = _planes(values), max(1, int(radius + 1).bit_length())
     for d in range(1, len(values)):
         same = np.zeros((planes.shape[1]) * 64, np.uint8)
@@ -128,7 +171,7 @@ def close_pairs(values: np.ndarray, groups: np.ndarray, radius: int) -> Iterator
 
 def _above(counters: np.ndarray, radius: int) -> np.ndarray:
     """Bits of the positions whose counter exceeds ``radius``."""
-    above, equal = np.zeros(counters.shape[1], "<u8"), ~np.zeros(counters.shape[1], "<u8")
+    above, equal = np.zeros(counters.shape[1:], "<u8"), ~np.zeros(counters.shape[1:], "<u8")
     for k in reversed(range(len(counters))):
         if radius >> k & 1:
             equal &= counters[k]
@@ -243,6 +286,8 @@ DOC_RADIUS = 18
 #: Buckets of equal pairs of minima: at the least similarity 99.4 % of pairs meet, of closer ones more.
 DOC_BANDS = 5
 DOC_BATCH = 4096
+#: A member of a bucket that is split is sent DOC_BANDS times with its shingles: only very large ones are.
+DOC_LARGE = 8192
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +314,7 @@ def sketch(text: Column, width: int = DOC_WORDS) -> Column:
     return of(text)
 
 
-def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int = DOC_WORDS, large: int = LARGE_BUCKET) -> DataFrame:
+def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int = DOC_WORDS, large: int = DOC_LARGE) -> DataFrame:
     """(text_key, label) of texts that are not alone in their group of similar texts.
 
     Fingerprints within DOC_RADIUS bits are candidates; two texts are linked if
@@ -279,19 +324,21 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     texts = docs.select(text_key().alias("text_key"), whole_text().alias("text"))
     sketched = materialize(texts.select("text_key", sketch(F.col("text"), width).alias("s")).select("text_key", "s.*"))
     distinct = sketched.groupBy("text_key").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    halves = lambda first: F.posexplode(F.slice("keys", 1 if first else DOC_BANDS + 1, DOC_BANDS))
-    banded = distinct.select("text_key", "fp", "keys", halves(True).alias("band", "key"))
+    band = lambda first: F.posexplode(F.slice("keys", 1 if first else DOC_BANDS + 1, DOC_BANDS))
+    banded = distinct.select("text_key", "fp", band(True).alias("band", "key"))
     sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     banded = banded.join(sizes, ["band", "key"])
     small = banded.filter(F.col("n") <= large).select("text_key", "fp", "band", "key", F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("key2"))
-    split = banded.filter(F.col("n") > large).select("text_key", "fp", "band", "key", halves(False).alias("band2", "key2"))
+    finer = distinct.select("text_key", band(False).alias("band2", "key2"))
+    split = banded.filter(F.col("n") > large).join(finer, "text_key").select("text_key", "fp", "band", "key", "band2", "key2")
     dealt = materialize(small.unionByName(split))
 
     @F.pandas_udf("binary")
     def shingle_set(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: np.unique(shingle_hashes(t, width) >> np.uint64(32)).astype("<u4").tobytes())
 
-    asked = dealt.select(F.col("text_key").alias("asked")).distinct()
+    # Grows with the input: joined alike at every size.
+    asked = dealt.select(F.col("text_key").alias("asked")).distinct().hint("merge")
     # Equal texts have equal sets; one of them is enough.
     sets = (
         texts.join(asked, F.col("text_key") == F.col("asked"), "left_semi")
@@ -299,7 +346,7 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     )
 
     def judge(part: pd.DataFrame, groups: np.ndarray) -> pd.DataFrame:
-        parent = list(range(len(part)))
+        parent = np.arange(len(part))
 
         def root(x: int) -> int:
             while parent[x] != x:
@@ -310,7 +357,10 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int =
         keys, raw = part["text_key"].to_numpy(), part["set"].tolist()
         a, b = [], []
         for left, right in close_pairs(part["fp"].to_numpy().view(np.uint64), groups, DOC_RADIUS):
-            for i, j in zip(left.tolist(), right.tolist()):
+            while (parent[parent] != parent).any():
+                parent[:] = parent[parent]
+            apart = parent[left] != parent[right]
+            for i, j in zip(left[apart].tolist(), right[apart].tolist()):
                 if root(i) != root(j):
                     x, y = np.frombuffer(raw[i], "<u4"), np.frombuffer(raw[j], "<u4")
                     both = len(np.intersect1d(x, y, assume_unique=True))

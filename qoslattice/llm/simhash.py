@@ -281,8 +281,6 @@ def near_dup_report(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = R
 
 #: For whole documents: shingles of five words, alike from a Jaccard similarity of 0.8.
 DOC_WORDS, SIMILARITY = 5, 0.8
-#: At that similarity fingerprints differ in 9.7 of 64 bits, give or take 2.9; unrelated ones in 20 or more.
-DOC_RADIUS = 18
 #: Buckets of equal pairs of minima: at the least similarity 99.4 % of pairs meet, of closer ones more.
 DOC_BANDS = 5
 DOC_BATCH = 4096
@@ -317,8 +315,9 @@ def sketch(text: Column, width: int = DOC_WORDS) -> Column:
 def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int = DOC_WORDS, large: int = DOC_LARGE) -> DataFrame:
     """(text_key, label) of texts that are not alone in their group of similar texts.
 
-    Fingerprints within DOC_RADIUS bits are candidates; two texts are linked if
-    their shingle sets are alike by ``similarity``. Within a bucket only links
+    Texts of one bucket are candidates, whatever their fingerprints (these count a
+    shingle as often as it is repeated); two texts are linked if their shingle sets
+    are alike by ``similarity``. Within a bucket only links
     that join two groups are verified and reported.
     """
     texts = docs.select(text_key().alias("text_key"), whole_text().alias("text"))
@@ -356,11 +355,9 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int =
 
         keys, raw = part["text_key"].to_numpy(), part["set"].tolist()
         a, b = [], []
-        for left, right in close_pairs(part["fp"].to_numpy().view(np.uint64), groups, DOC_RADIUS):
-            while (parent[parent] != parent).any():
-                parent[:] = parent[parent]
-            apart = parent[left] != parent[right]
-            for i, j in zip(left[apart].tolist(), right[apart].tolist()):
+        starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+        for first, end in zip(starts.tolist(), [*starts[1:].tolist(), len(groups)]):
+            for i, j in combinations(range(first, end), 2):
                 if root(i) != root(j):
                     x, y = np.frombuffer(raw[i], "<u4"), np.frombuffer(raw[j], "<u4")
                     both = len(np.intersect1d(x, y, assume_unique=True))

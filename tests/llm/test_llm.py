@@ -254,3 +254,31 @@ def test_near_copies_leave_one(spark, large, monkeypatch):
     monkeypatch.setattr(simhash.similar_texts, "__defaults__", (simhash.SIMILARITY, simhash.DOC_WORDS, large))
     kept = sorted(r["doc_id"] for r in simhash.near_dedup(docs(spark, list(enumerate(texts)) + [(0, texts[0]), (99, texts[4])])).collect())
     assert kept == list(range(0, 48, 4))
+
+
+def linked_groups(texts, similarity=0.8):
+    """Brute force: sets of positions, by links of all pairs."""
+    sets = [set((simhash.shingle_hashes(t, simhash.DOC_WORDS) >> np.uint64(32)).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if label[i] != label[j] and both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                label = [label[j] if x == label[i] else x for x in label]
+    return label
+
+
+def test_repeated_lines_and_short_texts_are_near_copies(spark):
+    rng = random.Random(11)
+    words = lambda n: [f"q{rng.randrange(99999)}" for _ in range(n)]
+    texts = []
+    for repeats in (5, 10, 30, 60) * 5:
+        body, line = " ".join(words(104)), " ".join(words(14))
+        texts += [f"{body} {line}", f"{body} " + " ".join([line] * repeats)]
+    for n in (1, 4, 5, 8, 9, 10, 12) * 4:
+        short = words(n)
+        texts += [" ".join(short), " ".join(short + words(1)), " ".join(short[1:])]
+    label = linked_groups(texts)
+    kept = [r["doc_id"] for r in simhash.near_dedup(docs(spark, list(enumerate(texts)))).collect()]
+    assert len(set(label)) < len(texts) - 40
+    assert sorted(kept) == sorted(min(i for i, x in enumerate(label) if x == g) for g in set(label))

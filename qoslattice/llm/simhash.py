@@ -282,93 +282,159 @@ def near_dup_report(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = R
 #: For whole documents: shingles of five words, alike from a Jaccard similarity of 0.8.
 DOC_WORDS, SIMILARITY = 5, 0.8
 #: Buckets of equal pairs of minima: at the least similarity 99.4 % of pairs meet, of closer ones more.
-DOC_BANDS = 5
-DOC_BATCH = 4096
-#: A member of a bucket that is split is sent DOC_BANDS times with its shingles: only very large ones are.
-DOC_LARGE = 8192
+DOC_MINIMA, DOC_DRAWS = 2, 5
+#: Pivots that a bucket's members are compared with before its open pairs are.
+DOC_PIVOTS = 3
+#: Texts of a bucket that one task compares with as many others, and partners that a text is sent to at once.
+DOC_BLOCK = 1024
+#: Shingles whose minima are taken at once.
+SKETCHED = 1024
+#: Distances are sums of doubles; the slack only covers their rounding.
+SLACK = 1e-9
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    n = 4 * DOC_BANDS
+    n = DOC_MINIMA * DOC_DRAWS
     return rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
 
 
-def sketch(text: Column, width: int = DOC_WORDS) -> Column:
-    """struct(fp, keys): fingerprint, and bucket keys of which the second half splits large buckets."""
+def shingle_set(text: str, width: int = DOC_WORDS) -> np.ndarray:
+    """Distinct 32-bit hashes of a text's shingles."""
+    return np.unique(shingle_hashes(text, width) >> np.uint64(32)).astype("<u4")
+
+
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    """A key for each draw: the draw and the least of the hashes under each of its permutations."""
     factors, offsets = _permutations()
+    hashes = hashes if len(hashes) else np.zeros(1, np.uint64)
+    least = np.full(len(factors), ~np.uint64(0))
+    for at in range(0, len(hashes), SKETCHED):
+        np.minimum(least, (hashes[at : at + SKETCHED, None] * factors + offsets).min(axis=0), out=least)
+    keys = np.arange(DOC_DRAWS, dtype=np.uint64)
+    for minima in least.reshape(DOC_DRAWS, DOC_MINIMA).T:
+        keys = (keys ^ minima) * np.uint64(0x9E3779B97F4A7C15)
+    return keys.view(np.int64)
+
+
+def sketch(text: Column, width: int = DOC_WORDS) -> Column:
+    """struct(n, keys): the size of the shingle set, and the text's buckets."""
 
-    @F.pandas_udf("fp long, keys array<long>")
+    @F.pandas_udf("n int, keys array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        fps, keys = [], []
+        n, keys = [], []
         for text in texts:
             h = shingle_hashes(text, width)
-            fps.append(majority(h))
-            h = h if len(h) else np.zeros(1, np.uint64)
-            least = np.array([(h * f + o).min() for f, o in zip(factors, offsets)], np.uint64)
-            keys.append((least[::2] * np.uint64(31) + least[1::2]).view(np.int64))
-        return pd.DataFrame({"fp": np.array(fps, np.int64), "keys": keys})
+            n.append(len(np.unique(h >> np.uint64(32))))
+            keys.append(buckets(h))
+        return pd.DataFrame({"n": np.array(n, np.int32), "keys": keys})
 
     return of(text)
 
 
-def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int = DOC_WORDS, large: int = DOC_LARGE) -> DataFrame:
+def distances(pairs: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(a, b, apart, alike) of ``pairs`` (a, b): their Jaccard distance, and whether
+    they are linked. A text with many partners is sent once for ``block`` of them."""
+    degree = pairs.groupBy("a").agg(F.count("*").alias("partners"))
+    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / block)).alias("salt"))
+    of = lambda name: sets.select(F.col("text_key").alias(name), F.col("set").alias(f"set_{name}"))
+    left = dealt.select("a", "salt").distinct().join(of("a"), "a")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    counted = dealt.join(of("b"), "b").join(left, ["a", "salt"]).select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("all"))
+    return counted.select(
+        "a", "b", F.when(F.col("all") > 0, 1 - F.col("both") / F.col("all")).otherwise(0.0).alias("apart"),
+        (F.col("both") >= F.lit(float(similarity)) * F.col("all")).alias("alike"),
+    )
+
+
+def named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with ``label``, the group of ``text_key`` by ``labels`` (node, label)."""
+    return rows.join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("label", F.coalesce("label", "text_key"))
+
+
+def pivot_pairs(shared: DataFrame, labels: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """(a, b), a < b: members of buckets that hold two groups, and their bucket's
+    ``turn``-th pivot, where that is of another group and of a fitting size."""
+    rows = materialize(named(shared.select("bucket", "text_key", "n"), labels))
+    order = F.struct(F.xxhash64("text_key", F.lit(turn)), F.col("text_key").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"))
+    mixed = rows.groupBy("bucket").agg(F.min(order).alias("first"), F.min("label").alias("low"), F.max("label").alias("high"))
+    a, b, most = F.col("text_key"), F.col("first.p"), F.greatest("n", "first.n_p")
+    return (
+        rows.join(mixed.filter("low < high"), "bucket")
+        .filter((F.col("label") != F.col("first.label_p")) & (F.least("n", "first.n_p") >= similarity * most - SLACK * most))
+        .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    )
+
+
+def open_pairs(shared: DataFrame, judged: DataFrame, labels: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(a, b), a < b: pairs of one bucket and two groups that may yet be alike.
+
+    Jaccard distance is a metric: texts within 1 - ``similarity`` of each other are
+    as far from the bucket's pivot, give or take as much. So are their sizes alike.
+    What is left of a bucket is cut into blocks, and each two blocks are a task's.
+    """
+    reach = 1 - similarity + SLACK
+    far = judged.select(F.col("a").alias("pivot"), F.col("b").alias("text_key"), "apart")
+    rows = named(shared.join(far, ["pivot", "text_key"], "left").withColumn("apart", F.coalesce("apart", F.lit(0.0))), labels)
+    rows = materialize(rows.select("bucket", "text_key", "n", "apart", "label", (F.col("pivot") == F.col("text_key")).alias("is_pivot")))
+    mixed = rows.groupBy("bucket").agg(
+        F.max(F.when(F.col("is_pivot"), F.col("label"))).alias("own"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    rows = materialize(rows.join(mixed.filter("low < high").drop("low", "high"), "bucket"))
+    # One of each pair is in another group than the pivot.
+    nearest = rows.filter("label <> own").groupBy("bucket").agg(F.min("apart").alias("nearest"))
+    rows = rows.join(nearest, "bucket").filter((F.col("label") != F.col("own")) | (F.col("apart") >= F.col("nearest") - reach))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"))
+    rows = rows.join(sizes.filter("low < high"), "bucket").withColumn("blocks", F.ceil(F.col("rows") / block).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("text_key", "n", "apart", "label")]
+    left = rows.select("bucket", *side("a"), F.col("mine").alias("i"), F.explode(F.sequence("mine", F.col("blocks") - 1)).alias("j"))
+    right = rows.select("bucket", *side("b"), F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("i"), F.col("mine").alias("j"))
+    a, b, most = F.col("text_key_a"), F.col("text_key_b"), F.greatest("n_a", "n_b")
+    return (
+        left.hint("merge").join(right, ["bucket", "i", "j"])
+        .filter((F.col("i") < F.col("j")) | (a < b))
+        .filter(F.col("label_a") != F.col("label_b"))
+        .filter((F.least("n_a", "n_b") >= similarity * most - SLACK * most) & (F.abs(F.col("apart_a") - F.col("apart_b")) <= reach))
+        .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    )
+
+
+def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int = DOC_WORDS, block: int = DOC_BLOCK) -> DataFrame:
     """(text_key, label) of texts that are not alone in their group of similar texts.
 
-    Texts of one bucket are candidates, whatever their fingerprints (these count a
-    shingle as often as it is repeated); two texts are linked if their shingle sets
-    are alike by ``similarity``. Within a bucket only links
-    that join two groups are verified and reported.
+    Texts that share a bucket are candidates, and are linked if their shingle sets
+    are alike by ``similarity``. Each is first compared with the bucket's least text,
+    its pivot, which settles groups of near copies by one comparison a member, then
+    with other pivots; what is not in one group then is compared in pairs.
     """
     texts = docs.select(text_key().alias("text_key"), whole_text().alias("text"))
     sketched = materialize(texts.select("text_key", sketch(F.col("text"), width).alias("s")).select("text_key", "s.*"))
-    distinct = sketched.groupBy("text_key").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    band = lambda first: F.posexplode(F.slice("keys", 1 if first else DOC_BANDS + 1, DOC_BANDS))
-    banded = distinct.select("text_key", "fp", band(True).alias("band", "key"))
-    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    banded = banded.join(sizes, ["band", "key"])
-    small = banded.filter(F.col("n") <= large).select("text_key", "fp", "band", "key", F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("key2"))
-    finer = distinct.select("text_key", band(False).alias("band2", "key2"))
-    split = banded.filter(F.col("n") > large).join(finer, "text_key").select("text_key", "fp", "band", "key", "band2", "key2")
-    dealt = materialize(small.unionByName(split))
+    distinct = sketched.groupBy("text_key").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    placed = distinct.select("text_key", "n", F.explode("keys").alias("bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("text_key").alias("pivot")).filter("members > 1")
+    shared = materialize(placed.join(sizes.drop("members"), "bucket"))
 
-    @F.pandas_udf("binary")
-    def shingle_set(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: np.unique(shingle_hashes(t, width) >> np.uint64(32)).astype("<u4").tobytes())
+    @F.pandas_udf("array<int>")
+    def set_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shingle_set(t, width).view("<i4"))
 
     # Grows with the input: joined alike at every size.
-    asked = dealt.select(F.col("text_key").alias("asked")).distinct().hint("merge")
+    asked = shared.select(F.col("text_key").alias("asked")).distinct().hint("merge")
     # Equal texts have equal sets; one of them is enough.
-    sets = (
-        texts.join(asked, F.col("text_key") == F.col("asked"), "left_semi")
-        .select("text_key", shingle_set(F.col("text")).alias("set")).dropDuplicates(["text_key"])
+    sets = materialize(
+        texts.join(asked, F.col("text_key") == F.col("asked"), "left_semi").dropDuplicates(["text_key"])
+        .select("text_key", set_of(F.col("text")).alias("set"))
     )
-
-    def judge(part: pd.DataFrame, groups: np.ndarray) -> pd.DataFrame:
-        parent = np.arange(len(part))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        keys, raw = part["text_key"].to_numpy(), part["set"].tolist()
-        a, b = [], []
-        starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
-        for first, end in zip(starts.tolist(), [*starts[1:].tolist(), len(groups)]):
-            for i, j in combinations(range(first, end), 2):
-                if root(i) != root(j):
-                    x, y = np.frombuffer(raw[i], "<u4"), np.frombuffer(raw[j], "<u4")
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both >= similarity * (len(x) + len(y) - both):
-                        parent[root(i)] = root(j)
-                        a.append(keys[i])
-                        b.append(keys[j])
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    linked = by_bucket(dealt.join(sets, "text_key"), judge, "a long, b long", DOC_BATCH)
-    return components(linked.distinct()).withColumnRenamed("node", "text_key")
+    first = shared.filter("text_key <> pivot").select(F.col("pivot").alias("a"), F.col("text_key").alias("b")).distinct()
+    judged = materialize(distances(first, sets, similarity, block))
+    labels = components(judged.filter("alike"))
+    joined = lambda links: components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links.filter("alike").select("a", "b")))
+    for turn in range(1, DOC_PIVOTS):
+        pairs = pivot_pairs(shared, labels, similarity, turn).join(judged.select("a", "b"), ["a", "b"], "left_anti")
+        labels = joined(distances(materialize(pairs), sets, similarity, block))
+    pairs = open_pairs(shared, judged, labels, similarity, block).join(judged.select("a", "b"), ["a", "b"], "left_anti")
+    return joined(distances(materialize(pairs), sets, similarity, block)).withColumnRenamed("node", "text_key")
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, width: int = DOC_WORDS) -> DataFrame:

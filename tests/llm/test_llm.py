@@ -282,3 +282,17 @@ def test_repeated_lines_and_short_texts_are_near_copies(spark):
     kept = [r["doc_id"] for r in simhash.near_dedup(docs(spark, list(enumerate(texts)))).collect()]
     assert len(set(label)) < len(texts) - 40
     assert sorted(kept) == sorted(min(i for i, x in enumerate(label) if x == g) for g in set(label))
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_a_large_group_is_compared_in_few_pairs(spark, block, monkeypatch):
+    rng, counts = random.Random(13), []
+    words = [f"g{i}" for i in range(200)]
+    texts = [" ".join(w if rng.random() > 0.01 else f"n{rng.randrange(10**6)}" for w in words) for _ in range(400)]
+    judge = simhash.distances
+    monkeypatch.setattr(simhash, "distances", lambda pairs, *rest: counts.append(pairs.count()) or judge(pairs, *rest))
+    monkeypatch.setattr(simhash.similar_texts, "__defaults__", (simhash.SIMILARITY, simhash.DOC_WORDS, block))
+    label = linked_groups(texts)
+    kept = [r["doc_id"] for r in simhash.near_dedup(docs(spark, list(enumerate(texts)))).collect()]
+    assert sorted(kept) == sorted(min(i for i, x in enumerate(label) if x == g) for g in set(label))
+    assert 0 < sum(counts) < 30 * len(texts)

@@ -281,53 +281,63 @@ def near_dup_report(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = R
 
 #: For whole documents: shingles of five words, alike from a Jaccard similarity of 0.8.
 DOC_WORDS, SIMILARITY = 5, 0.8
-#: Buckets of equal pairs of minima: at the least similarity 99.4 % of pairs meet, of closer ones more.
-DOC_MINIMA, DOC_DRAWS = 2, 5
+#: Shingles that many texts hold come last in a text's order, this many at most. They are counted in one of
+#: SAMPLED texts, from SAMPLE_LEAST on; which ones they are decides the time alone, never the result.
+COMMON, SAMPLED, SAMPLE_LEAST = 100_000, 16, 3
 #: Pivots that a bucket's members are compared with before its open pairs are.
 DOC_PIVOTS = 3
 #: Texts of a bucket that one task compares with as many others, and partners that a text is sent to at once.
 DOC_BLOCK = 1024
-#: Shingles whose minima are taken at once.
-SKETCHED = 1024
 #: Distances are sums of doubles; the slack only covers their rounding.
 SLACK = 1e-9
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    n = DOC_MINIMA * DOC_DRAWS
-    return rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
-
-
 def shingle_set(text: str, width: int = DOC_WORDS) -> np.ndarray:
-    """Distinct 32-bit hashes of a text's shingles."""
-    return np.unique(shingle_hashes(text, width) >> np.uint64(32)).astype("<u4")
-
+    """Distinct hashes of a text's shingles, in order."""
+    return np.unique(shingle_hashes(text, width))
+
+
+def prefix(found: np.ndarray, common: np.ndarray, weights: np.ndarray, similarity: float) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of the n shingles ``found``, the ``common``
+    ones (sorted) last, by weight. Sets alike by ``similarity`` share at least
+    ceil(similarity * n) shingles, so one of these at least, in any order held by all."""
+    n = len(found)
+    if not n:
+        return np.zeros(1, np.uint64)
+    count = n - int(np.ceil(similarity * n - SLACK * n)) + 1
+    if not len(common):
+        return found[:count]
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    often = common[at] == found
+    late = np.flatnonzero(often)
+    late = late[np.lexsort((found[late], weights[at[late]]))]
+    return np.concatenate([found[~often], found[late]])[:count]
+
+
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, weights): those that a sample of ``texts`` holds most often."""
+
+    @F.pandas_udf("array<long>")
+    def set_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shingle_set(t, width).view(np.int64))
 
-def buckets(hashes: np.ndarray) -> np.ndarray:
-    """A key for each draw: the draw and the least of the hashes under each of its permutations."""
-    factors, offsets = _permutations()
-    hashes = hashes if len(hashes) else np.zeros(1, np.uint64)
-    least = np.full(len(factors), ~np.uint64(0))
-    for at in range(0, len(hashes), SKETCHED):
-        np.minimum(least, (hashes[at : at + SKETCHED, None] * factors + offsets).min(axis=0), out=least)
-    keys = np.arange(DOC_DRAWS, dtype=np.uint64)
-    for minima in least.reshape(DOC_DRAWS, DOC_MINIMA).T:
-        keys = (keys ^ minima) * np.uint64(0x9E3779B97F4A7C15)
-    return keys.view(np.int64)
+    sample = texts.filter(F.pmod("text_key", F.lit(SAMPLED)) == 0).dropDuplicates(["text_key"])
+    counts = sample.select(F.explode(set_of(F.col("text"))).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    rows = counts.filter(F.col("n") >= SAMPLE_LEAST).orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    shingles = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], np.array([r["n"] for r in rows], np.int64)[order]
 
 
-def sketch(text: Column, width: int = DOC_WORDS) -> Column:
-    """struct(n, keys): the size of the shingle set, and the text's buckets."""
+def sketch(text: Column, common, similarity: float, width: int = DOC_WORDS) -> Column:
+    """struct(n, keys): the size of the shingle set, and the text's buckets: its prefix.
+    ``common``: a broadcast of ``common_shingles``."""
 
     @F.pandas_udf("n int, keys array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        n, keys = [], []
-        for text in texts:
-            h = shingle_hashes(text, width)
-            n.append(len(np.unique(h >> np.uint64(32))))
-            keys.append(buckets(h))
-        return pd.DataFrame({"n": np.array(n, np.int32), "keys": keys})
+        sets = [shingle_set(t, width) for t in texts]
+        keys = [prefix(s, *common.value, similarity).view(np.int64) for s in sets]
+        return pd.DataFrame({"n": np.array([len(s) for s in sets], np.int32), "keys": keys})
 
     return of(text)
 
@@ -403,21 +413,22 @@ def open_pairs(shared: DataFrame, judged: DataFrame, labels: DataFrame, similari
 def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int = DOC_WORDS, block: int = DOC_BLOCK) -> DataFrame:
     """(text_key, label) of texts that are not alone in their group of similar texts.
 
-    Texts that share a bucket are candidates, and are linked if their shingle sets
-    are alike by ``similarity``. Each is first compared with the bucket's least text,
+    Texts that share a shingle of their prefixes, a bucket, are candidates: no pair
+    alike by ``similarity`` is lost. Each is first compared with the bucket's least text,
     its pivot, which settles groups of near copies by one comparison a member, then
     with other pivots; what is not in one group then is compared in pairs.
     """
     texts = docs.select(text_key().alias("text_key"), whole_text().alias("text"))
-    sketched = materialize(texts.select("text_key", sketch(F.col("text"), width).alias("s")).select("text_key", "s.*"))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
+    sketched = materialize(texts.select("text_key", sketch(F.col("text"), common, similarity, width).alias("s")).select("text_key", "s.*"))
     distinct = sketched.groupBy("text_key").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     placed = distinct.select("text_key", "n", F.explode("keys").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("text_key").alias("pivot")).filter("members > 1")
     shared = materialize(placed.join(sizes.drop("members"), "bucket"))
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def set_of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: shingle_set(t, width).view("<i4"))
+        return texts.map(lambda t: shingle_set(t, width).view(np.int64))
 
     # Grows with the input: joined alike at every size.
     asked = shared.select(F.col("text_key").alias("asked")).distinct().hint("merge")

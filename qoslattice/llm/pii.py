@@ -2,9 +2,12 @@
 
 Generators propose spans with high recall, overlapping ones included. The base
 kinds are settled by their own rule (``valid``). All candidates of the corpus
-are counted by format and context features; a candidate is positive if it lies
-in a valid base span. Trees are boosted on that table, and each generator gets
-the threshold at which its accepted candidates are positive at PRECISION.
+are counted by format and context features, the deciding sign left out; a candidate
+is positive if it lies in a valid base span of its kind, and negative if it is an
+invalid base candidate, joined to a word or part of a number too long. What lacks
+the sign alone says nothing about itself and is not counted, however common.
+Trees are boosted on that table, with PRIOR beside it, and each generator gets the
+threshold at which its accepted candidates are positive at PRECISION.
 Candidates that pass, and overlap no base span, are added: for instance a phone
 number without its country code, or an address with a bracketed "at".
 
@@ -56,11 +59,27 @@ GENERATORS = (
 )
 CUE = r"(?i)mail|phone|tel|call|fax|mobile|card|visa|contact|address|\bip\b"
 CONTEXT = 24
-FEATURES = ["generator", "digits", "groups", "luhn", "parts", "brackets", "cue", "joined"]
+FEATURES = ["generator", "digits", "groups", "luhn", "parts", "brackets", "cue", "joined", "run"]
+#: Digits from which a number, with those around it, is too long for a phone.
+TOO_LONG = 16
 #: Accepted candidates of a generator are positive at this rate.
 PRECISION = 0.9
 
 
+def _prior() -> list[dict]:
+    """Counts that hold in any corpus: plain forms are personal, joined ones and
+    parts of longer numbers are not."""
+    forms = [(4, 0, groups, 0) for groups in (3, 4)] + [(5, 10, groups, brackets) for groups in (3, 4) for brackets in (0, 1)]
+    return [
+        {"generator": g, "digits": digits, "groups": groups, "luhn": 0, "parts": 0, "brackets": brackets, "cue": cue, "joined": joined, "run": run, "n": n, "positives": hits}
+        for g, digits, groups, brackets in forms for cue in (0, 1)
+        for joined, run, n, hits in ((0, 0, 1, 1), (1, 0, 5, 0), (0, 1, 5, 0))
+    ]
+
+
+PRIOR = _prior()
+
+
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -91,7 +110,13 @@ def _valid(kind: Column, match: Column) -> Column:
     )
 
 
-def _features(kind: Column, match: Column, before: Column, after: Column) -> list[Column]:
+def _signless(match: Column) -> Column:
+    """``match`` with bracketed signs as plain ones, so that features don't tell them apart."""
+    at = F.regexp_replace(match, r"\x20?[\[({]at[\])}]\x20?", "@")
+    return F.regexp_replace(at, r"\x20?[\[({]dot[\])}]\x20?", ".")
+
+
+def _features(kind: Column, base: Column, match: Column, before: Column, after: Column) -> list[Column]:
     digits = _digits(match)
     count = F.length(digits)
     flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
@@ -103,6 +128,7 @@ def _features(kind: Column, match: Column, before: Column, after: Column) -> lis
         flag(match.contains("(")).alias("brackets"),
         flag(before.rlike(CUE)).alias("cue"),
         flag(before.rlike(r"[\p{L}\p{N}]$") | after.rlike(r"^[\p{L}\p{N}]")).alias("joined"),
+        flag(~base & (F.length(_digits(F.concat(F.regexp_extract(before, r"(?:[0-9][\x20-]?)++$", 0), match, F.regexp_extract(after, r"^(?:[\x20-]?[0-9])++", 0)))) >= TOO_LONG)).alias("run"),
     ]
 
 
@@ -117,9 +143,9 @@ def propose(rows: DataFrame) -> DataFrame:
             s["start"].alias("start"), s["end"].alias("end"), F.lit(rank).alias("rank"), kind.alias("kind"), F.lit(g.base).alias("base"),
             F.lit(i).alias("generator"), _valid(kind, s["match"]).alias("valid"),
             *_features(
-                kind, s["match"],
+                kind, F.lit(g.base), s["match"] if g.base or g.kind != "email" else _signless(s["match"]),
                 F.substring(text, F.greatest(F.lit(1), s["start"] - CONTEXT + 1), F.least(F.lit(CONTEXT), s["start"])),
-                F.substring(text, s["end"] + 1, F.lit(1)),
+                F.substring(text, s["end"] + 1, F.lit(CONTEXT)),
             ),
         )
 
@@ -136,11 +162,12 @@ def propose(rows: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame) -> tuple[list[boosting.Node], dict[int, float]]:
     """Trees, and the threshold of each generator, from the candidates of all ``docs``."""
-    inside = lambda c: F.exists("settled", lambda s: (s["start"] <= c["start"]) & (c["end"] <= s["end"]))
-    labelled = F.transform("found", lambda c: F.struct(*[c[f].alias(f) for f in FEATURES], inside(c).alias("inside")))
-    rows = propose(docs.select("text")).select(F.explode(labelled).alias("c")).select("c.*")
+    inside = lambda c: F.exists("settled", lambda s: (s["rank"] == c["rank"]) & (s["start"] <= c["start"]) & (c["end"] <= s["end"]))
+    labelled = F.transform("found", lambda c: F.struct(*[c[f].alias(f) for f in FEATURES], c["base"].alias("base"), inside(c).alias("inside")))
+    known = F.col("inside") | F.col("base") | (F.col("joined") == 1) | (F.col("run") == 1)
+    rows = propose(docs.select("text")).select(F.explode(labelled).alias("c")).select("c.*").filter(known)
     table = rows.groupBy(*FEATURES).agg(F.count("*").alias("n"), F.count_if("inside").alias("positives"))
-    cells = sorted((r.asDict() for r in table.collect()), key=lambda c: [c[k] for k in FEATURES])
+    cells = sorted([*PRIOR, *(r.asDict() for r in table.collect())], key=lambda c: [c[k] for k in FEATURES])
     trees = boosting.boost(cells, FEATURES)
     return trees, {i: boosting.threshold([c for c in cells if c["generator"] == i], trees, PRECISION) for i in range(len(GENERATORS))}
 

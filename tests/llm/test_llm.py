@@ -296,3 +296,41 @@ def test_a_large_group_is_compared_in_few_pairs(spark, block, monkeypatch):
     kept = [r["doc_id"] for r in simhash.near_dedup(docs(spark, list(enumerate(texts)))).collect()]
     assert sorted(kept) == sorted(min(i for i, x in enumerate(label) if x == g) for g in set(label))
     assert 0 < sum(counts) < 30 * len(texts)
+
+
+def test_no_pair_at_the_limit_is_lost(spark):
+    rng, texts = random.Random(17), []
+    for i in range(1500):
+        words = [f"m{i}x{k}" for k in range(104)]
+        changed = list(words)
+        for k in rng.sample(range(10, 90, 6), 2):
+            changed[k] = "changed"
+        texts += [" ".join(words), " ".join(changed)]
+    kept = [r["doc_id"] for r in simhash.near_dedup(docs(spark, list(enumerate(texts)))).collect()]
+    assert sorted(kept) == list(range(0, 3000, 2))
+
+
+def test_prefixes_of_alike_sets_meet():
+    rng, none = np.random.default_rng(3), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for n in (1, 2, 4, 5, 9, 10, 60, 333):
+        for _ in range(40):
+            x = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+            y = np.unique(np.append(x[rng.random(len(x)) < rng.choice([0.8, 0.9, 1])], rng.integers(0, 1 << 63, rng.integers(0, 1 + n // 4), np.uint64)))
+            both = len(np.intersect1d(x, y))
+            common = np.unique(rng.choice(x, max(1, n // 2)))
+            for known in (none, (common, rng.integers(3, 9, len(common)))):
+                if both >= 0.8 * (len(x) + len(y) - both):
+                    assert len(np.intersect1d(simhash.prefix(x, *known, 0.8), simhash.prefix(y, *known, 0.8)))
+
+
+PREFIXED, BARE = "call +1 (437) 555-0689 now", "call (437) 555-0689 now"
+
+
+@pytest.mark.parametrize("prefixed, bare", [(30, 4), (30, 300), (1, 40), (0, 5)])
+def test_pii_finds_look_alikes_however_common(spark, prefixed, bare):
+    mails = ["mail bob.y@x.com ok"] * prefixed + ["mail bob (at) x.com or"] * bare
+    texts = [PREFIXED] * prefixed + [BARE] * bare + mails + ["n 437 555 0689 m", "k9437x437-555-0689 q", "id 1234 437 555 0689 9988 end"]
+    out = [r["text"] for r in sorted(pii.redact(docs(spark, list(enumerate(texts)))).collect(), key=lambda r: r["doc_id"])]
+    n = prefixed + bare
+    assert set(out[:n]) == {"call [phone] now"} and set(out[n : 2 * n]) <= {"mail [email] ok", "mail [email] or"}
+    assert out[2 * n] == "n [phone] m" and out[2 * n + 1 :] == texts[2 * n + 1 :]

@@ -1,18 +1,26 @@
 """The core stands alone: without the optional files it imports and lists its queries."""
 
+import os
 import shutil
 import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parent.parent
 
 
-def test_core_without_optional_files(tmp_path):
+@pytest.mark.parametrize("keep_pipeline", [False, True])
+def test_core_without_optional_files(tmp_path, keep_pipeline):
     shutil.copytree(ROOT / "qoslattice", tmp_path / "qoslattice", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    if keep_pipeline and (ROOT / "corpus_pipeline.py").exists():
+        shutil.copy(ROOT / "corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'cell_weekly' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+    # Whatever path the caller set, only the copy counts.
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120, env=env)
 
 
 def test_core_never_imports_the_optional_package():

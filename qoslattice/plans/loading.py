@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions.exprs import header_key, name_similarity, parsed_date, rounded
+from ..functions.exprs import header_key, parsed_date, rounded
 from ..operators.aggregates import cell_weekly
 from ..sources import ingest as I
+from ..sources import kpis
 from ..sources.star import MEASURES, cells_from_orders, facts_from_orders, from_orders
+from ..sources.workspace import Workspace
 from ..streaming import windows as S
 from . import insight  # noqa: F401  (defines shared table expressions)
 from . import oracle as O
@@ -21,6 +26,14 @@ def add(name, query, sql=None):
         ORACLE_SQL[name] = sql
 
 
+def shared_dir(spark) -> str:
+    """Where driver and executors both can write: the cluster names it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (found or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+
+
 def raw_rows(spark, d):
     """Daily facts as a file would hold them: all strings, some of them broken, some rows twice."""
     rows = facts_from_orders(spark, d).join(cells_from_orders(spark, d), "cell_id")
@@ -101,8 +114,57 @@ add("date_parse", lambda s, d: s.createDataFrame([(a,) for a, _ in DATES], "raw
 parts = lambda s, d: s.read.parquet(f"{d}/part.parquet")
 add("header_normalize", lambda s, d: parts(s, d).select("p_partkey", header_key(F.concat("p_name", F.lit("  UTILISATION_(%) "), "p_type")).alias("key")),
     "SELECT p_partkey, trim(regexp_replace(replace(lower(p_name || '  UTILISATION_(%) ' || p_type), 'utilisation', 'utilization'), '[^a-z0-9]+', ' ', 'g')) AS key FROM part")
-add("name_similarity", lambda s, d: cells_from_orders(s, d).select("site").distinct().join(cells_from_orders(s, d).select("district").distinct()).select("site", "district", F.round(name_similarity("site", "district"), 6).alias("similarity")), O.sql(
-    "SELECT site, district, ROUND(1 - levenshtein(site, district)::DOUBLE / greatest(length(site), length(district)), 6) AS similarity FROM (SELECT DISTINCT site FROM cells), (SELECT DISTINCT district FROM cells)", "cells"))
+misspelt = lambda s, d: cells_from_orders(s, d).select(F.regexp_replace(F.regexp_replace("site", "^(.)(.)", "$2$1"), "[02468]", "").alias("name")).distinct()
+add("name_similarity", lambda s, d: I.similar_names(misspelt(s, d), cells_from_orders(s, d).select(F.col("site").alias("name"))).withColumn("similarity", F.round("similarity", 6)), O.sql(
+    "SELECT name, candidate, ROUND(s, 6) AS similarity FROM (SELECT name, candidate, 1 - levenshtein(lower(name), lower(candidate))::DOUBLE / greatest(length(name), length(candidate)) AS s "
+    "FROM (SELECT DISTINCT regexp_replace(regexp_replace(site, '^(.)(.)', '\\2\\1'), '[02468]', '', 'g') AS name FROM cells), (SELECT DISTINCT site AS candidate FROM cells) WHERE lower(name) <> lower(candidate)) "
+    "WHERE s >= 0.55 QUALIFY row_number() OVER (PARTITION BY name ORDER BY s DESC, candidate) = 1", "cells"))
+
+
+def _file(spark, d):
+    """The raw rows as a CSV file in the shared folder, with lines of too many fields among them."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    rows = raw_rows(spark, d)
+    fields = [c for c in rows.columns if c != "line"]
+    quoted = lambda c: F.concat(F.lit('"'), F.coalesce(F.regexp_replace(c, '"', '""'), F.lit("")), F.lit('"'))
+    line = F.concat_ws(",", *[quoted(c) for c in fields], *[F.when(F.col("line") % 7 == 0, F.lit("more"))])
+    # One file: its order is the order of lines, which decides between rows of one cell and day.
+    header = spark.range(1).select(F.lit(",".join(f'"{c}"' for c in fields)).alias("value"), F.lit(-1).alias("i"))
+    body = rows.select(line.alias("value"), F.col("line").alias("i")).unionByName(header)
+    body.coalesce(1).sortWithinPartitions("i").select("value").write.text(path)
+    return path
+
+
+def _imported(spark, d):
+    """A file staged, merged into an empty workspace, and what it holds then."""
+    ws = Workspace(spark, f"{shared_dir(spark)}/ws-{uuid.uuid4().hex}")
+    ws.import_csv(_file(spark, d), {f: f for f in I.FIELDS})
+    rows = ws.table("facts").join(ws.table("cells"), "cell_id")
+    return rows.select("date", "cell", "district", *MEASURES)
+
+
+def _rejects(spark, d):
+    staged = I.stage_csv(spark, _file(spark, d))
+    good, bad = I.split_rejects(staged)
+    count = lambda df, kind: df.agg(F.count("*").alias("rows")).select(F.lit(kind).alias("kind"), "rows")
+    return count(good, "good").unionByName(count(bad, "rejected"))
+
+
+GOOD = "SELECT * FROM raw WHERE line % 7 <> 0"
+O.define("graw", ("raw",), GOOD)
+O.define("gcleaned", ("graw",), O.CTES["cleaned"][1].replace("FROM raw ", "FROM graw "))
+O.define("gdeduped", ("gcleaned",), O.CTES["deduped"][1].replace("FROM cleaned ", "FROM gcleaned "))
+_gmaj = lambda child, parent: MAJ.format(child, parent).replace("FROM deduped", "FROM gdeduped")
+add("csv_import", _imported, O.sql(
+    f"SELECT g.date, g.cell, p.district, {', '.join('g.' + m for m in MEASURES)} FROM gdeduped g LEFT JOIN ({_gmaj('cell', 'site')}) s ON s.cell = g.cell LEFT JOIN ({_gmaj('site', 'district')}) p ON p.site = s.site", "gdeduped"))
+add("csv_rejects", _rejects, O.sql("SELECT 'good' AS kind, count(*) FILTER (WHERE line % 7 <> 0) AS rows FROM raw UNION ALL SELECT 'rejected', count(*) FILTER (WHERE line % 7 = 0) FROM raw", "raw"))
+HEADERS = [("TCH Congestion (%)", "tch_congestion"), ("2G CSSR", "call_setup_success_2g"), ("SDCCH Blocking", "sdcch_congestion"), ("Call Drop Rate 2G", "call_drop_rate_2g"), ("Weather", None)]
+add("kpi_discover", lambda s, d: I.discover_kpis(s.createDataFrame([(h,) for h, _ in HEADERS], "header string"), kpis.seeds(s).filter("technology = '2G'")).select("header", "kpi_key"),
+    "SELECT * FROM (VALUES " + ", ".join(f"('{h}', '{k}')" for h, k in HEADERS if k) + ") AS t(header, kpi_key)")
+add("derived_detect", lambda s, d: s.createDataFrame([(k,) for k in I.derivable(list(kpis.BUILTINS), [c for b in kpis.BUILTINS[:2] for c in b.sources])], "kpi_key string"), "SELECT * FROM (VALUES ('3g_dl_power_congestion'), ('3g_ul_ce_congestion')) AS t(kpi_key)")
+add("dim_duplicates", lambda s, d: I.dim_duplicates(doubled_cells(s, d)), O.sql("SELECT cell, 2::BIGINT AS n FROM cells WHERE cell_id % 3 = 0", "cells"))
+add("place_values", lambda s, d: I.place_values(deduped(s, d), cells_from_orders(s, d).filter("district_id < 12").select(F.lit("district").alias("field"), F.col("district").alias("name")).distinct(), "district"), O.sql(
+    "SELECT district AS name, count(*) AS rows, district IN (SELECT district FROM cells WHERE district_id < 12) AS matched FROM deduped WHERE district IS NOT NULL GROUP BY 1 ORDER BY rows DESC, name LIMIT 8", "deduped", "cells"))
 ALIAS = [(" nation_3", "NATION_1"), ("NATION_0", "NATION_2")]
 add("alias_remap", lambda s, d: I.remap(deduped(s, d), "district", s.createDataFrame(ALIAS, "alias string, name string")).groupBy("district").agg(F.count("*").alias("rows")), O.sql(
     "SELECT CASE lower(trim(district)) WHEN 'nation_3' THEN 'NATION_1' WHEN 'nation_0' THEN 'NATION_2' ELSE district END AS district, count(*) AS rows FROM deduped GROUP BY 1", "deduped"))

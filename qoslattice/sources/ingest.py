@@ -6,6 +6,7 @@ The merge is idempotent: a fact that is already stored stays as it is.
 
 from __future__ import annotations
 
+import csv
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -13,41 +14,64 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import header_key, name_similarity, parsed_date, place_key, token_overlap
+from ..functions.exprs import header_key, name_similarity, numbered, parsed_date, place_key, token_overlap
 from .star import MEASURES
 
 FIELDS = ("date", "cell", "site", "district", "region", *MEASURES)
 #: Names of summary rows, which are not places.
 SUMMARY_WORDS = ("total", "avg", "average", "sum", "grand total")
 CORRUPT = "_rejected"
+#: Letters that tell the buckets of new names apart.
+NAME_PREFIX = 8
 
 
 class IngestError(ValueError):
     pass
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line): the lines of the files in order; a byte order mark is no part
+    of them. ``line`` orders rows by file, by place of the split in it, and within
+    the split, whatever tasks read them."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"))
+    return spark.read.text(path).select("value", place.alias("line"))
+
+
 def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file, without a byte order mark."""
-    first = spark.read.option("header", False).csv(path).limit(1).collect()
-    names = [] if not first else [str(x or "").lstrip("﻿").strip() for x in first[0]]
+    """Column names of a CSV file (of a folder: of one of its files)."""
+    first = _first_line(spark, path)
+    if first is None:
+        return []
+    names = [x.strip() for x in next(csv.reader([first]), [])]
     doubles = sorted({n for n in names if names.count(n) > 1})
     if doubles:
         raise IngestError(f"duplicate header: {', '.join(doubles)}")
     return names
 
 
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    first = _lines(spark, path).filter("line.split = 0").limit(1).collect()
+    return first[0]["value"] if first else None
+
+
 def stage_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings, the malformed line of a rejected row, and the row's
-    place in its file (``line``)."""
+    place in its file (``line``). Header lines and blank lines are no rows."""
     names = header_of(spark, path)
     if not names:
         raise IngestError("the file has no header")
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names) + f", {CORRUPT} string"
-    raw = (
-        spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-        .option("multiLine", False).csv(path)
-    )
-    return raw.withColumn("line", F.monotonically_increasing_id())
+    header = _first_line(spark, path)
+    rows = _lines(spark, path).filter((F.trim("value") != "") & (F.col("value") != F.lit(header)))
+    parsed = F.from_csv("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return rows.select(parsed.alias("row"), "line").select("row.*", "line")
+
+
+def file_checksum(spark: SparkSession, path: str) -> str:
+    """Names a file's content, to find it imported again: lines' hashes, summed so
+    that the order of tasks does not matter, and their number."""
+    row = _lines(spark, path).agg(F.count("*").alias("n"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("total")).first()
+    return f"{row['n']:x}-{int(row['total'] or 0) % (1 << 64):016x}"
 
 
 def split_rejects(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,13 +148,17 @@ def technology_of(headers: list[str], filename: str = "") -> str | None:
 
 
 def discover_kpis(headers: DataFrame, kpis: DataFrame, least: float = 0.5) -> DataFrame:
-    """(header, kpi_key, overlap): the best KPI of each header by shared words."""
-    pairs = headers.select("header", header_key("header").alias("h")).join(
-        kpis.select("kpi_key", header_key("label").alias("k")), F.arrays_overlap(F.split("h", " "), F.split("k", " "))
-    )
-    scored = pairs.select("header", "kpi_key", token_overlap("h", "k").alias("overlap")).filter(F.col("overlap") >= least)
-    best = Window.partitionBy("header").orderBy(F.desc("overlap"), "kpi_key")
-    return scored.withColumn("rn", F.row_number().over(best)).filter("rn = 1").drop("rn")
+    """(header, kpi_key, overlap): the KPI of each header. A name (label, key or alias)
+    that equals the header wins, else the one that shares most words, by ``least`` at
+    least; ties go to the first key. Words are joined, so only names that share one meet."""
+    aliases = F.col("aliases") if "aliases" in kpis.columns else F.array().cast("array<string>")
+    names = kpis.select("kpi_key", F.explode(F.concat(F.array("label", "kpi_key"), aliases)).alias("name")).select("kpi_key", header_key("name").alias("k")).distinct()
+    mine = headers.select("header", header_key("header").alias("h")).distinct()
+    word = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("word")
+    pairs = mine.select("header", "h", word("h")).join(names.select("kpi_key", "k", word("k")), "word").filter("word <> ''").select("header", "h", "kpi_key", "k").distinct()
+    scored = pairs.select("header", "kpi_key", token_overlap("h", "k").alias("overlap"), (F.col("h") == F.col("k")).alias("same")).filter(F.col("overlap") >= least)
+    best = Window.partitionBy("header").orderBy(F.desc("same"), F.desc("overlap"), "kpi_key")
+    return scored.withColumn("rn", F.row_number().over(best)).filter("rn = 1").drop("rn", "same")
 
 
 def _place(c: Column) -> Column:
@@ -143,21 +171,35 @@ def _place(c: Column) -> Column:
 def remap(values: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
     """``column`` with misspelt names replaced: ``aliases`` holds alias and name."""
     known = aliases.select(place_key("alias").alias("_alias"), F.col("name").alias("_name"))
-    return values.join(F.broadcast(known), place_key(column) == F.col("_alias"), "left").withColumn(column, F.coalesce("_name", column)).drop("_alias", "_name")
+    return values.join(known, place_key(column) == F.col("_alias"), "left").withColumn(column, F.coalesce("_name", column)).drop("_alias", "_name")
 
 
-def clean(raw: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
-    """Typed rows of real cells: canonical columns, ``line`` and the unmapped
-    columns as a map ``extra``. Rows without a date or a real cell name go."""
+def typed(raw: DataFrame, mapping: dict[str, str] | None = None, usable: str | None = None) -> DataFrame:
+    """Canonical columns of every row, ``line`` and the unmapped columns as a map
+    ``extra``; where the column ``usable`` says no, date and cell are null."""
     mapping = mapping or {f: f for f in FIELDS if f in raw.columns}
-    rest = [c for c in raw.columns if c not in mapping.values() and c != "line"]
+    rest = [c for c in raw.columns if c not in mapping.values() and c not in ("line", CORRUPT, usable)]
     of = lambda f: F.col(f"`{mapping[f]}`") if f in mapping else F.lit(None).cast("string")
+    kept = lambda c: F.when(F.col(usable), c) if usable else c
     extra = F.create_map(*[x for c in rest for x in (F.lit(c), F.col(f"`{c}`"))]) if rest else F.create_map().cast("map<string,string>")
-    rows = raw.select(
-        parsed_date(of("date")).alias("date"), _place(of("cell")).alias("cell"), *[_place(of(f)).alias(f) for f in ("site", "district", "region")],
+    return raw.select(
+        kept(parsed_date(of("date"))).alias("date"), kept(_place(of("cell"))).alias("cell"), *[_place(of(f)).alias(f) for f in ("site", "district", "region")],
         *[F.trim(of(m)).try_cast("double").alias(m) for m in MEASURES], extra.alias("extra"), "line",
     )
-    return rows.filter(F.col("date").isNotNull() & F.col("cell").isNotNull())
+
+
+def is_real() -> Column:
+    return F.col("date").isNotNull() & F.col("cell").isNotNull()
+
+
+def real_rows(rows: DataFrame) -> DataFrame:
+    """Without rows that have no date or no real cell name."""
+    return rows.filter(is_real())
+
+
+def clean(raw: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+    """Typed rows of real cells."""
+    return real_rows(typed(raw, mapping))
 
 
 def dedupe(rows: DataFrame) -> DataFrame:
@@ -191,10 +233,11 @@ def majority_parent(rows: DataFrame, child: str, parent: str) -> DataFrame:
 def with_ids(names: DataFrame, column: str, known: DataFrame, id_column: str) -> DataFrame:
     """New names of a dimension with ids that follow the largest known id.
 
-    A dimension is small against the facts; its new names are numbered in one window."""
+    New names are numbered by the letters that they start with, those of one start in one task."""
     new = names.select(column).filter(F.col(column).isNotNull()).distinct().join(known, column, "left_anti")
-    top = known.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("top"))
-    return new.join(top).select((F.col("top") + F.row_number().over(Window.orderBy(column))).cast("long").alias(id_column), column)
+    top = known.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("top"))  # one row
+    placed = numbered(new, F.substring(column, 1, NAME_PREFIX), [column], "nth")
+    return placed.join(top).select((F.col("top") + F.col("nth")).cast("long").alias(id_column), column)
 
 
 def backfill(cells: DataFrame, parents: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -224,7 +267,7 @@ def replace_partitions(stored: DataFrame, recomputed: DataFrame, keys: list[str]
 def unpivot_kpis(rows: DataFrame, names: DataFrame) -> DataFrame:
     """(date, cell, kpi_key, value) from the map ``extra``; ``names``: header, kpi_key."""
     long = rows.select("date", "cell", F.explode("extra").alias("header", "raw"))
-    return long.join(F.broadcast(names), "header").select("date", "cell", "kpi_key", F.trim("raw").try_cast("double").alias("value")).filter("value IS NOT NULL")
+    return long.join(names, "header").select("date", "cell", "kpi_key", F.trim("raw").try_cast("double").alias("value")).filter("value IS NOT NULL")
 
 
 @dataclass(frozen=True)
@@ -257,15 +300,37 @@ def derivable(kpis: list[DerivedKpi], headers: list[str]) -> list[str]:
     return [k.key for k in kpis if set(k.sources) <= set(headers)]
 
 
+#: Names up to this length are matched by letters, longer ones by pairs of letters.
+SHORT_NAME = 10
+
+
+def _name_tokens(name: Column, least: float) -> Column:
+    """Tokens of which two names as similar as ``least`` share one. Names of distance
+    d share all but 2 d of the longer one's pairs of letters, which leaves one from 11
+    letters on at 0.55; shorter ones share the ``least`` part of their letters (the
+    n-th of a kind is a letter of its own), so one of the first that are left when
+    the rest is fewer than that."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - 1))
+    pairs = F.transform(at, lambda i: F.substring(name, i, F.lit(2)))
+    letters = F.array_sort(F.split(name, ""))
+    nth = F.transform(letters, lambda c, i: F.concat(F.lit("1"), c, (i - F.array_position(letters, c) + 1).cast("string")))
+    short = F.slice(nth, 1, (F.length(name) - F.ceil(least * F.length(name)) + 1).cast("int"))
+    return F.array_distinct(F.when(F.length(name) <= SHORT_NAME, F.concat(pairs, short)).otherwise(pairs))
+
+
 def similar_names(unknown: DataFrame, known: DataFrame, least: float = 0.55) -> DataFrame:
-    """(name, candidate, similarity): the best known name for each unknown one.
-
-    Only names that share their first letter or length band could reach ``least``
-    cheaply; names are few (a dimension), so pairs of length within the bound meet."""
-    a = unknown.select(F.col("name"), place_key("name").alias("a")).distinct()
-    b = known.select(F.col("name").alias("candidate"), place_key("name").alias("b")).distinct()
-    near = F.least(F.length("a"), F.length("b")) >= least * F.greatest(F.length("a"), F.length("b"))
-    scored = a.join(F.broadcast(b), near).withColumn("similarity", name_similarity("a", "b")).filter((F.col("similarity") >= least) & (F.col("a") != F.col("b")))
+    """(name, candidate, similarity): the best known name for each unknown one, by
+    edit distance; names that are equal but for case and blanks need none. Names meet
+    by the tokens that such a similarity implies (for ``least`` of 0.55 and more), so no pair is lost."""
+    if least < 0.55:
+        raise ValueError("tokens are only implied from 0.55 on")
+    a = unknown.select(F.col("name"), place_key("name").alias("a")).filter("a <> ''").distinct()
+    b = known.select(F.col("name").alias("candidate"), place_key("name").alias("b")).filter("b <> ''").distinct()
+    pairs = (
+        a.withColumn("token", F.explode(_name_tokens(F.col("a"), least))).join(b.withColumn("token", F.explode(_name_tokens(F.col("b"), least))), "token")
+        .filter(F.least(F.length("a"), F.length("b")) >= least * F.greatest(F.length("a"), F.length("b"))).filter("a <> b").drop("token").distinct()
+    )
+    scored = pairs.withColumn("similarity", name_similarity("a", "b")).filter(F.col("similarity") >= least)
     best = Window.partitionBy("name").orderBy(F.desc("similarity"), "candidate")
     return scored.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("name", "candidate", "similarity")
 
@@ -306,3 +371,18 @@ def place_stats(rows: DataFrame, known: DataFrame) -> DataFrame:
     return names.join(stored, ["field", "key"], "left").groupBy("field").agg(
         F.count("*").alias("distinct"), F.count("hit").alias("matched"), F.count_if(F.col("hit").isNull()).alias("unmatched")
     )
+
+
+def place_values(rows: DataFrame, known: DataFrame, field: str, top: int = 8) -> DataFrame:
+    """(name, rows, matched): a file's most frequent values of ``field``."""
+    stored = known.filter(F.col("field") == field).select(place_key("name").alias("key")).distinct().withColumn("hit", F.lit(True))
+    counts = rows.filter(F.col(field).isNotNull()).groupBy(F.col(field).alias("name")).agg(F.count("*").alias("rows")).withColumn("key", place_key("name"))
+    return counts.join(stored, "key", "left").select("name", "rows", F.coalesce("hit", F.lit(False)).alias("matched")).orderBy(F.desc("rows"), "name").limit(top)
+
+
+def place_suggestions(rows: DataFrame, known: DataFrame, field: str) -> DataFrame:
+    """(name, candidate, similarity): stored names that a file's unknown ones may mean."""
+    stored = known.filter(F.col("field") == field).select("name")
+    keys = stored.select(place_key("name").alias("key")).distinct()
+    unknown = rows.select(F.col(field).alias("name")).filter("name IS NOT NULL").distinct().withColumn("key", place_key("name")).join(keys, "key", "left_anti")
+    return similar_names(unknown.select("name"), stored)

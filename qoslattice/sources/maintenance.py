@@ -7,29 +7,49 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 
 from .ingest import integrity
-from .workspace import Workspace
+from .workspace import SCHEMAS, Workspace
 
 #: Days for which an imported source file is kept.
 RETENTION_DAYS = 90
 
 
 def sizes(ws: Workspace) -> dict[str, int]:
-    """Bytes of each version folder."""
-    return {s.getPath().getName(): ws._fs.getContentSummary(s.getPath()).getLength() for s in ws._fs.listStatus(ws._root) if s.isDirectory()}
+    """Bytes that each version reads."""
+    size = {}
+
+    def of(folder: str) -> int:
+        if folder not in size:
+            size[folder] = ws._fs.getContentSummary(ws._path(f"{ws.path}/{folder}")).getLength()
+        return size[folder]
+
+    return {v: sum(of(f) for folders in ws.manifest(v)["folders"].values() for f in folders) for v in ws.versions()}
+
+
+def catalog(ws: Workspace) -> DataFrame:
+    """(table, rows): what the current version holds."""
+    return ws.spark.createDataFrame([(n, ws.table(n).count()) for n in SCHEMAS], "table string, rows long")
 
 
 def purge(ws: Workspace, keep: tuple[str, ...] = ()) -> list[str]:
-    """Delete versions that are neither current nor in ``keep``; returns their names."""
-    gone = [v for v in sizes(ws) if v not in {ws.version, *keep}]
+    """Delete versions that are neither current nor in ``keep``, and the folders that
+    no version names any more; returns the versions' names."""
+    gone = [v for v in ws.versions() if v not in {ws.version, *keep}]
     for v in gone:
-        ws._fs.delete(ws._path(f"{ws.path}/{v}"), True)
+        ws._fs.delete(ws._path(f"{ws.path}/versions/{v}.json"), False)
+    used = {f for v in ws.versions() for folders in ws.manifest(v)["folders"].values() for f in folders}
+    for name in SCHEMAS:
+        table = ws._path(f"{ws.path}/data/{name}")
+        for s in ws._fs.listStatus(table) if ws._fs.exists(table) else ():
+            if f"data/{name}/{s.getPath().getName()}" not in used:
+                ws._fs.delete(s.getPath(), True)
     return gone
 
 
-def compact(ws: Workspace, files: int = 1) -> str:
-    """The current state rewritten to ``files`` files a table."""
-    ws._commit({n: ws.table(n).coalesce(files) for n in ("cells", "facts", "extras")})
-    return ws.version
+def compact(ws: Workspace) -> str:
+    """The current state rewritten to one folder a table; the next imports add to it."""
+    folders = ws.manifest()["folders"]
+    tables = {n: ws.table(n).drop("month") for n in folders if len(folders[n]) > 1}
+    return ws._commit(folders | {n: [ws._append(n, df)] for n, df in tables.items()}, made_by={"kind": "compact"})
 
 
 def archive(lines: DataFrame, path: str) -> None:

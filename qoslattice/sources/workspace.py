@@ -1,8 +1,11 @@
-"""Workspaces: a folder of Parquet versions with an atomic pointer, and imports.
+"""Workspaces: append-only Parquet folders, versions that list them, and imports.
 
-``current`` names the version that readers see. A commit writes a whole new
-version folder and then moves the pointer, so a failed import leaves no trace.
-Paths go through Hadoop's file systems, so a workspace may lie in any store.
+``data/<table>/<id>`` holds what one import added; nothing there is ever changed.
+``versions/<number>.json`` names the folders that make up a version, with its
+rules, its KPI registry and the import that made it. Readers take the highest
+number, so a failed import leaves no trace and a new ruleset writes one small
+file. Facts and KPIs lie in folders by month, which scans prune. Paths go through
+Hadoop's file systems, so a workspace may lie in any store.
 """
 
 from __future__ import annotations
@@ -10,18 +13,31 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rules, as_row, updated
 from ..operators import aggregates, intelligence
-from . import ingest
-from .star import MEASURES, Star, kpi_registry
+from ..operators.investigate import NOTES
+from . import ingest, kpis
+from .star import DEFAULT_TECHNOLOGY, MEASURES, Star
 
 CELLS = "cell_id long, cell string, site_id long, site string, district_id long, district string, region_id long, region string"
 FACTS = "cell_id long, date date, " + ", ".join(f"{m} double" for m in MEASURES)
-EXTRAS = "cell_id long, date date, kpi_key string, value double"
+EXTRAS = "cell_id long, date date, technology string, kpi_key string, value double"
+STATUS = "scope string, id long, status string, owner string, review_date date"
+SCHEMAS = {"cells": CELLS, "facts": FACTS, "extras": EXTRAS, "kpis": kpis.SCHEMA, "status": STATUS, "notes": NOTES}
+#: Rules that are a KPI's target, too.
+KPI_TARGETS = {
+    "prb_threshold_pct": ("prb_utilization",), "tch_congestion_pct": ("tch_congestion",), "sdcch_congestion_pct": ("sdcch_congestion",),
+    "cssr_pct": ("call_setup_success_2g", "call_setup_success_3g", "call_setup_success_4g"),
+    "call_drop_pct": ("call_drop_rate_2g", "call_drop_rate_3g", "call_drop_rate_4g"),
+    "data_access_pct": ("data_access_success_3g",), "data_failure_pct": ("data_service_failure_4g",),
+}
+#: Tables that lie in folders by month.
+DATED = ("facts", "extras")
 
 
 @dataclass
@@ -41,86 +57,181 @@ class Workspace:
         self._root = jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._path = jvm.org.apache.hadoop.fs.Path
-        self.rules = rules or Rules()
         if self.version is None:
-            empty = {"cells": CELLS, "facts": FACTS, "extras": EXTRAS}
-            self._commit({k: spark.createDataFrame([], s) for k, s in empty.items()})
-        else:
-            self.rules = self._stored_rules()
+            if self._fs.exists(self._path(f"{self.path}/data")):
+                raise ValueError(f"{self.path} holds data, but no complete version")
+            self._commit({n: [] for n in SCHEMAS}, rules or Rules())
+
+    def versions(self) -> list[str]:
+        folder = self._path(f"{self.path}/versions")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(n.removesuffix(".json") for n in names if n.endswith(".json"))
+
+    @property
+    def version(self) -> str | None:
+        return (self.versions() or [None])[-1]
 
-    def _read_text(self, name: str) -> str | None:
-        p = self._path(f"{self.path}/{name}")
-        if not self._fs.exists(p):
-            return None
-        stream = self._fs.open(p)
+    def manifest(self, version: str | None = None) -> dict:
+        stream = self._fs.open(self._path(f"{self.path}/versions/{version or self.version}.json"))
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _write_text(self, name: str, text: str) -> None:
-        """By a rename, so that a reader finds the old or the new text."""
-        part, goal = self._path(f"{self.path}/{name}.{uuid.uuid4().hex}"), self._path(f"{self.path}/{name}")
-        stream = self._fs.create(part, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        if self._fs.exists(goal):
-            self._fs.delete(goal, False)
-        self._fs.rename(part, goal)
+    def rules_of(self, version: str | None = None) -> Rules:
+        row = self.manifest(version)["rules"]
+        return Rules(**row | {"priority_weights": tuple(row["priority_weights"])})
 
     @property
-    def version(self) -> str | None:
-        return self._read_text("current")
+    def rules(self) -> Rules:
+        return self.rules_of()
 
-    def _stored_rules(self) -> Rules:
-        row = json.loads(self._read_text(f"{self.version}/rules.json"))
-        return Rules(**row | {"priority_weights": tuple(row["priority_weights"])})
+    def _commit(self, folders: dict[str, list[str]], rules: Rules | None = None, made_by: dict | None = None) -> str:
+        """The next version. Written aside and renamed, it appears as a whole; a
+        number that another writer took first is not taken again."""
+        last = self.version
+        row = {"folders": folders, "rules": as_row(rules or self.rules), "made_by": made_by, "at": datetime.now(UTC).isoformat()}
+        name = f"{int(last or 0) + 1:012d}"
+        part, goal = self._path(f"{self.path}/versions/{name}.{uuid.uuid4().hex}"), self._path(f"{self.path}/versions/{name}.json")
+        stream = self._fs.create(part, False)
+        stream.write(bytearray(json.dumps(row).encode()))
+        stream.close()
+        if self._fs.exists(goal) or not self._fs.rename(part, goal):
+            self._fs.delete(part, False)
+            raise ValueError(f"another writer committed version {name}")
+        return name
 
-    def _commit(self, tables: dict[str, DataFrame]) -> None:
-        version = uuid.uuid4().hex
-        for name, df in tables.items():
-            df.write.parquet(f"{self.path}/{version}/{name}")
-        self._write_text(f"{version}/rules.json", json.dumps(as_row(self.rules)))
-        self._write_text("current", version)
+    def _append(self, name: str, rows: DataFrame) -> str:
+        """A new folder with ``rows``; its path below the workspace."""
+        folder = f"data/{name}/batch={uuid.uuid4().hex}"
+        if name in DATED:
+            rows = rows.withColumn("month", F.trunc("date", "month"))
+            # One task a month and slice of cells: few files, sorted for the readers' statistics.
+            rows.repartition("month", F.pmod(F.xxhash64("cell_id"), F.lit(16))).sortWithinPartitions("month", "cell_id", "date").write.partitionBy("month").parquet(f"{self.path}/{folder}")
+        else:
+            rows.write.parquet(f"{self.path}/{folder}")
+        return folder
 
     def table(self, name: str, version: str | None = None) -> DataFrame:
-        schema = {"cells": CELLS, "facts": FACTS, "extras": EXTRAS}[name]
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{version or self.version}/{name}")
+        folders = self.manifest(version)["folders"][name]
+        schema = SCHEMAS[name] + (", month date" if name in DATED else "")
+        if not folders:
+            return kpis.seeds(self.spark) if name == "kpis" else self.spark.createDataFrame([], schema)
+        return self._read(name, folders)
+
+    def _read(self, name: str, folders: list[str]) -> DataFrame:
+        schema = SCHEMAS[name] + (", month date" if name in DATED else "") + ", batch string"
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/data/{name}").parquet(*[f"{self.path}/{f}" for f in folders]).drop("batch")
 
     def star(self, version: str | None = None) -> Star:
-        t = {n: self.table(n, version) for n in ("cells", "facts", "extras")}
-        return Star(self.spark, t["cells"], t["facts"], t["extras"], kpi_registry(self.spark), self.rules)
+        """The state of ``version``, under the rules of that version."""
+        version = version or self.version
+        t = {n: self.table(n, version) for n in ("cells", "facts", "extras", "kpis")}
+        return Star(self.spark, t["cells"], t["facts"], t["extras"], t["kpis"], self.rules_of(version))
 
     def snapshot(self) -> str:
         """A name under which the present state stays readable."""
         return self.version
 
     def set_rules(self, **patch) -> Rules:
-        """The next ruleset; facts stay, everything derived follows when read."""
-        self.rules = updated(self.rules, **patch)
-        self._commit({n: self.table(n) for n in ("cells", "facts", "extras")})
-        return self.rules
-
-    def import_rows(self, raw: DataFrame, mapping: dict[str, str], kpi_names: DataFrame | None = None, derived: list | None = None) -> ImportResult:
-        """Clean, merge and commit staged rows; re-importing inserts nothing."""
-        total = raw.count()
-        cleaned = ingest.clean(raw, mapping).cache()
-        rows = ingest.dedupe(cleaned)
-        cells = self._merged_cells(rows)
-        known = cells.select("cell_id", "cell")
+        """The next ruleset; facts stay, everything derived follows when read. KPIs
+        whose target a changed rule is get that target."""
+        rules, folders = updated(self.rules, **patch), self.manifest()["folders"]
+        synced = [(key, float(patch[name])) for name, keys in KPI_TARGETS.items() if name in patch for key in keys]
+        if synced:
+            target = F.col("target")
+            for key, value in synced:
+                target = F.when(F.col("kpi_key") == key, value).otherwise(target)
+            folders = folders | {"kpis": [self._append("kpis", self.table("kpis").withColumn("target", target))]}
+        self._commit(folders, rules, {"kind": "rules", "patch": patch})
+        return rules
+
+    def rulesets(self) -> DataFrame:
+        """(ruleset, version, at, rules): every ruleset, rules as JSON; the latest has the greatest number."""
+        rows = {}
+        for v in self.versions():
+            m = self.manifest(v)
+            rows.setdefault(m["rules"]["version"], (m["rules"]["version"], v, m["at"], json.dumps(m["rules"])))
+        return self.spark.createDataFrame(list(rows.values()), "ruleset long, version string, at string, rules string")
+
+    def set_status(self, rows: DataFrame) -> None:
+        """The state of work of any number of entities (STATUS): new, or in the place of the old."""
+        changes = rows.select("scope", "id", "status", "owner", "review_date")
+        self._replace("status", ingest.replace_partitions(self.table("status"), changes, ["scope", "id"]))
+
+    def add_notes(self, rows: DataFrame) -> None:
+        """Append ``rows`` (NOTES) to the notes on cells."""
+        folders = self.manifest()["folders"]
+        self._commit(folders | {"notes": [*folders["notes"], self._append("notes", rows.select("cell_id", "at", "author", "note"))]}, made_by={"kind": "notes"})
+
+    def set_kpis(self, changes: DataFrame) -> None:
+        """Add KPIs to the registry, or change them."""
+        self._replace("kpis", kpis.save(self.table("kpis"), changes))
+
+    def remove_kpi(self, technology: str, key: str) -> None:
+        self._replace("kpis", kpis.remove(self.table("kpis"), technology, key))
+
+    def reset_kpis(self) -> None:
+        self._replace("kpis", kpis.reset(self.table("kpis"), self.spark))
+
+    def _replace(self, name: str, rows: DataFrame) -> None:
+        folders = self.manifest()["folders"]
+        self._commit(folders | {name: [self._append(name, rows)]}, made_by={"kind": name})
+
+    def history(self) -> DataFrame:
+        """(version, at, kind, file, checksum, source_rows, inserted, duplicates, rejected, new_cells, score): what made each version."""
+        rows = []
+        for v in self.versions():
+            m = self.manifest(v)
+            by = m["made_by"] or {}
+            rows.append((v, m["at"], by.get("kind", "start"), by.get("file"), by.get("checksum"), *(by.get(c) for c in ("source_rows", "inserted", "duplicates", "rejected", "new_cells", "score"))))
+        return self.spark.createDataFrame(rows, "version string, at string, kind string, file string, checksum string, source_rows long, inserted long, duplicates long, rejected long, new_cells long, score double")
+
+    def import_rows(self, raw: DataFrame, mapping: dict[str, str], kpi_names: DataFrame | None = None, derived: list | None = None, source: dict | None = None, technology: str = DEFAULT_TECHNOLOGY) -> ImportResult:
+        """Clean, merge and commit staged rows; re-importing inserts nothing.
+
+        ``raw`` may hold rejected rows (``ingest.CORRUPT``). It is read once: the
+        cleaned rows are staged in the workspace's folder until the commit."""
+        bad = F.col(ingest.CORRUPT).isNotNull() if ingest.CORRUPT in raw.columns else F.lit(False)
+        staging = f"{self.path}/staging/{uuid.uuid4().hex}"
+        # Rejected and unusable rows stay as nulls, to be counted.
+        ingest.typed(raw.withColumn("usable", ~bad), mapping, "usable").write.parquet(staging)
+        every = self.spark.read.parquet(staging)
+        real = ingest.real_rows(every)
+        total, usable = (int(x) for x in every.agg(F.count("*"), F.count_if(ingest.is_real())).first())
+        rows = ingest.dedupe(real)
+        stored_cells, stored = self.table("cells"), self.table("facts")
+        folders = {k: list(v) for k, v in self.manifest()["folders"].items()}
+        cells = self._append("cells", self._merged_cells(rows))
+        merged = self._read("cells", [cells])
+        known = merged.select("cell_id", "cell")
         keyed = rows.join(known, "cell")
-        stored, extras = self.table("facts"), self.table("extras")
-        fresh = ingest.new_facts(keyed.select("cell_id", "date", *MEASURES), stored, ["cell_id", "date"]).cache()
+        months = real.agg(F.trunc(F.min("date"), "month").alias("low"), F.trunc(F.max("date"), "month").alias("high")).first()
+        within = lambda df: df.filter(F.col("month").between(months["low"], months["high"]))
+        facts = self._append("facts", ingest.new_facts(keyed.select("cell_id", "date", *MEASURES), within(stored), ["cell_id", "date"]))
+        inserted = self._read("facts", [facts]).count()
+        extras = within(self.table("extras"))
         more = [df for df in (ingest.unpivot_kpis(rows, kpi_names) if kpi_names is not None else None, ingest.derived(rows, derived) if derived else None) if df is not None]
         for df in more:
-            found = df.join(known, "cell").select("cell_id", "date", "kpi_key", "value")
-            extras = extras.unionByName(ingest.new_facts(found, extras, ["cell_id", "date", "kpi_key"]))
-        inserted, kept = fresh.count(), rows.count()
-        new_cells = cells.count() - self.table("cells").count()
-        self._commit({"cells": cells, "facts": stored.unionByName(fresh), "extras": extras})
-        cleaned.unpersist()
-        fresh.unpersist()
-        return ImportResult(self.version, total, inserted, kept - inserted, total - kept, new_cells)
+            found = df.join(known, "cell").select("cell_id", "date", F.lit(technology).alias("technology"), "kpi_key", "value")
+            folders["extras"].append(self._append("extras", ingest.new_facts(found, extras, ["cell_id", "date", "technology", "kpi_key"])))
+            extras = extras.unionByName(self._read("extras", folders["extras"][-1:]))
+        present = [F.avg(F.col(m).isNotNull().cast("double")) for m in MEASURES]
+        seen = rows.agg(F.countDistinct("cell").alias("cells"), (100 * sum(present[1:], present[0]) / len(present)).alias("complete")).first()
+        counts = {
+            "source_rows": total, "inserted": inserted, "duplicates": usable - inserted, "rejected": total - usable,
+            "new_cells": merged.count() - stored_cells.count(),
+        }
+        score = aggregates.quality_score(
+            F.lit(100.0 * seen["cells"] / max(1, merged.count())), F.lit(seen["complete"] or 0.0), F.lit(ingest.mapping_confidence(mapping, raw.columns)),
+            F.lit((total - usable) / max(1, total)), F.lit((usable - inserted) / max(1, total)),
+        )
+        score = self.spark.range(1).select(score).first()[0]
+        folders["cells"] = [cells]
+        folders["facts"] += [facts] if inserted else []
+        version = self._commit(folders, made_by={"kind": "import", **(source or {}), **counts, "score": score})
+        self._fs.delete(self._path(staging), True)
+        return ImportResult(version, **counts)
 
     def _merged_cells(self, rows: DataFrame) -> DataFrame:
         """Stored cells with gaps filled, and new ones under their majority parents."""
@@ -137,14 +248,33 @@ class Workspace:
         return ingest.backfill(stored, place, "cell", gaps).select(*stored.columns).unionByName(new)
 
     def import_csv(self, path: str, mapping: dict[str, str] | None = None, **more) -> ImportResult:
-        good, rejects = ingest.split_rejects(ingest.stage_csv(self.spark, path))
-        headers = [c for c in good.columns if c != "line"]
-        found = mapping or ingest.auto_map(headers)
+        """Merge a CSV file; a file whose content was imported before inserts nothing,
+        and the history says so by its checksum."""
+        staged = ingest.stage_csv(self.spark, path)
+        headers = [c for c in staged.columns if c not in ("line", ingest.CORRUPT)]
+        found = mapping or self.profile(headers) or ingest.auto_map(headers)
         if not {"date", "cell"} <= set(found):
             raise ingest.IngestError("no date or cell column")
-        result = self.import_rows(good, found, **more)
-        result.rejected += rejects.cache().count()
-        return result
+        technology = more.pop("technology", None) or ingest.technology_of(headers, path.rpartition("/")[2]) or DEFAULT_TECHNOLOGY
+        rest = [h for h in headers if h not in found.values()]
+        if rest and "kpi_names" not in more:
+            registry = self.table("kpis").filter((F.col("technology") == technology) & F.col("active"))
+            more["kpi_names"] = ingest.discover_kpis(self.spark.createDataFrame([(h,) for h in rest], "header string"), registry)
+        source = {"file": path, "checksum": ingest.file_checksum(self.spark, path), "headers": ingest.header_fingerprint(headers), "mapping": found}
+        return self.import_rows(staged, found, source=source, technology=technology, **more)
+
+    def profile(self, headers: list[str]) -> dict[str, str] | None:
+        """The mapping by which a file with these headers was imported last, in whatever order they came."""
+        wanted = ingest.header_fingerprint(headers)
+        for v in reversed(self.versions()):
+            by = self.manifest(v)["made_by"] or {}
+            if by.get("headers") == wanted and set(by["mapping"].values()) <= set(headers):
+                return by["mapping"]
+        return None
+
+    def imported_before(self, path: str) -> bool:
+        """Whether a file of this content was imported already."""
+        return not self.history().filter(F.col("checksum") == ingest.file_checksum(self.spark, path)).isEmpty()
 
     def materialize(self, path: str, grains=("weekly", "monthly")) -> None:
         """The derived tables as Parquet, partitioned by period."""

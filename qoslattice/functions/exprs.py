@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LIFECYCLES = ("Chronic", "Persistent", "Recurring", "New", "Recovering", "Healthy")
@@ -115,27 +115,35 @@ def nc_transition(now, before) -> Column:
     return F.when((now > 0) & (before > 0), "nc").when(now > 0, "new").when(before > 0, "recovered").otherwise("ok")
 
 
-def card_trend(now, before, worse_is_higher, tolerance_pct=1.0) -> Column:
-    moved = (col(now) - col(before)) / F.when(col(before) != 0, F.abs(col(before))) * 100
-    worse = F.when(col(worse_is_higher), moved).otherwise(-moved)
-    return F.when(moved.isNull(), "unknown").when(worse > tolerance_pct, "worsening").when(worse < -tolerance_pct, "improving").otherwise("stable")
+def card_trend(key, now, change, warning, target, worse_is_higher, least=0.001) -> Column:
+    """Direction of a change; a load (``prb`` in the key) below its warning level only grows, it doesn't worsen."""
+    now, change = col(now), col(change)
+    calm = col(key).contains("prb") & ~F.coalesce(now >= F.coalesce(col(warning), 0.88 * col(target), F.lit(70.0)), F.lit(False))
+    worse = F.when(col(key).contains("prb") | col(worse_is_higher), change > 0).otherwise(change < 0)
+    return F.when(change.isNull() | (F.abs(change) < least) | calm, "stable").when(worse, "worsening").otherwise("improving")
 
 
-def period_start(date, grain: str) -> Column:
-    date = col(date)
-    return date if grain == "daily" else F.trunc(date, "week" if grain == "weekly" else "month")
+def numbered(rows: DataFrame, bucket: Column, order: list, name: str) -> DataFrame:
+    """``rows`` with their number from 1 on in ``order``. ``bucket`` rises with the
+    order: rows are numbered within their bucket, after all rows of earlier ones, so
+    no task sees more than a bucket, or a count for each."""
+    keyed = rows.withColumn("_bucket", bucket)
+    counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    return keyed.withColumn("_place", place).join(starts, "_bucket").withColumn(name, F.col("_before") + F.col("_place")).drop("_bucket", "_before", "_place")
 
 
-def next_period(date, grain: str, n=1) -> Column:
-    if grain == "monthly":
-        return F.add_months(col(date), n if not isinstance(n, int) else F.lit(n))
-    return F.date_add(col(date), (7 if grain == "weekly" else 1) * n)
+def magnitude(x) -> Column:
+    """A whole number that rises with ``x``: sixteenths of powers of two, so there are few. Null for null."""
+    x = col(x)
+    return F.signum(x).cast("int") * F.ceil(16 * F.log2(1 + F.abs(x))).cast("int")
 
 
-def period_label(date, grain: str) -> Column:
-    if grain == "weekly":
-        return F.concat(F.lit("W"), F.weekofyear(col(date)).cast("string"))
-    return F.date_format(col(date), "MM-dd" if grain == "daily" else "yyyy-MM")
+def period_start(date, grain: str) -> Column:
+    date = col(date)
+    return date if grain == "daily" else F.trunc(date, "week" if grain == "weekly" else "month")
 
 
 def contains_folded(needle: str, *columns) -> Column:
@@ -207,8 +215,6 @@ def parsed_date(text, likely: str | None = None) -> Column:
         if "yy" in p and "yyyy" not in p:
             date = F.when(F.year(date) >= 2069, F.add_months(date, -1200)).otherwise(date)
         tries.append(F.when(text.rlike(date_shape(p)), date))
-    return F.coalesce(*tries, text.try_cast("date"))
-
-
-def excel_date(serial) -> Column:
-    return F.date_add(F.lit("1899-12-30").cast("date"), col(serial).cast("int"))
+    # Spreadsheets write days since the end of 1899.
+    serial = F.when(text.rlike(r"^[1-9][0-9]{4}(\.[0-9]+)?$"), F.date_add(F.lit("1899-12-30").cast("date"), text.try_cast("double").cast("int")))
+    return F.coalesce(*tries, serial, text.try_cast("date"))

@@ -36,17 +36,17 @@ def _measures() -> list[Column]:
 def kpi_breach_days(star: Star) -> DataFrame:
     """(cell_id, date) once for each day on which any breaching KPI is past its target."""
     past = breach("value", "target", "worse_is_higher")
-    return star.extras.join(star.breaching_kpis, "kpi_key").filter(past).select("cell_id", "date").distinct()
+    return star.extras.join(star.breaching_kpis, ["technology", "kpi_key"]).filter(past).select("cell_id", "date").distinct()
 
 
 def flagged_facts(star: Star) -> DataFrame:
     """Facts with ``prb_breach`` and ``is_breach`` (by utilization or any breaching KPI)."""
-    flags = kpi_breach_days(star).withColumn("kpi_breach", F.lit(True))
     high = F.coalesce(F.col("prb") >= star.rules.prb_threshold_pct, F.lit(False))
-    return (
-        star.facts.join(flags, ["cell_id", "date"], "left")
-        .select("cell_id", "date", *MEASURES, high.alias("prb_breach"), (high | F.coalesce("kpi_breach", F.lit(False))).alias("is_breach"))
-    )
+    if star.wide is not None:
+        rows = star.wide.withColumn("kpi_breach", star.wide_breach)
+    else:
+        rows = star.facts.join(kpi_breach_days(star).withColumn("kpi_breach", F.lit(True)), ["cell_id", "date"], "left")
+    return rows.select("cell_id", "date", *MEASURES, high.alias("prb_breach"), (high | F.coalesce("kpi_breach", F.lit(False))).alias("is_breach"))
 
 
 def cell_daily(star: Star) -> DataFrame:
@@ -98,7 +98,7 @@ def cell_period(star: Star, grain: str) -> DataFrame:
 
 def kpi_period(star: Star, grain: str) -> DataFrame:
     return (
-        star.extras.groupBy(period_start("date", grain).alias("period"), "cell_id", "kpi_key")
+        star.extras.groupBy(period_start("date", grain).alias("period"), "cell_id", "technology", "kpi_key")
         .agg(
             _r(F.avg("value")).alias("avg"), _r(F.sum("value")).alias("sum"), _r(F.max("value")).alias("max"),
             _r(F.min("value")).alias("min"), F.count("value").alias("observed_days"),
@@ -106,30 +106,39 @@ def kpi_period(star: Star, grain: str) -> DataFrame:
     )
 
 
-def _nc_flags(star: Star, grain: str) -> DataFrame:
-    """(period, cell_id, is_nc), once each: nothing fans out when facts meet it."""
+def cell_sums(star: Star, grain: str) -> DataFrame:
+    """Cells by ``grain``, once each, with the sums and counts that any roll-up of
+    cell-day means needs, and ``is_nc``."""
+    period = period_start("date", grain).alias("period")
     if grain == "daily":
-        return flagged_facts(star).select(F.col("date").alias("period"), "cell_id", F.col("is_breach").alias("is_nc"))
-    return cell_weekly(star).select("period", "cell_id", "is_nc") if grain == "weekly" else nc_months(star)
-
-
-def _nc_counts() -> list[Column]:
-    cells = F.countDistinct("cell_id")
-    nc = F.countDistinct(F.when(F.col("is_nc"), F.col("cell_id")))
-    return [cells.alias("cells"), nc.alias("nc_cells"), rounded(100 * nc / F.when(cells != 0, cells), 1).alias("nc_rate")]
+        sums = [F.col("prb").alias("prb_max"), *[F.col(m).alias(f"{m}_sum") for m in MEASURES], *[F.col(m).isNotNull().cast("long").alias(f"{m}_n") for m in MEASURES]]
+        return flagged_facts(star).select(period, "cell_id", F.col("is_breach").alias("is_nc"), *sums)
+    rows = flagged_facts(star).groupBy(period, "cell_id").agg(
+        F.count_if("is_breach").alias("breach_days"), F.max("prb").alias("prb_max"),
+        *[F.sum(m).alias(f"{m}_sum") for m in MEASURES], *[F.count(m).alias(f"{m}_n") for m in MEASURES],
+    )
+    if grain == "weekly":
+        return rows.withColumn("is_nc", F.col("breach_days") >= star.rules.weekly_breach_days)
+    return rows.join(nc_months(star), ["period", "cell_id"], "left").withColumn("is_nc", F.coalesce("is_nc", F.lit(False)))
 
 
-def _placed(star: Star, grain: str) -> DataFrame:
-    rows = star.facts.withColumn("period", period_start("date", grain))
-    return rows.join(_nc_flags(star, grain), ["period", "cell_id"], "left").join(star.cells, "cell_id")
+def _rolled_up() -> list[Column]:
+    """Figures of an entity from ``cell_sums``: a cell is one row a period."""
+    cells, nc = F.count("*"), F.count_if("is_nc")
+    mean = lambda m: F.sum(f"{m}_sum") / F.when(F.sum(f"{m}_n") > 0, F.sum(f"{m}_n"))
+    return [
+        cells.alias("cells"), nc.alias("nc_cells"), rounded(100 * nc / cells, 1).alias("nc_rate"), _r(mean("prb")).alias("prb_avg"), _r(F.max("prb_max")).alias("prb_max"),
+        _r(F.sum("volume_mb_sum")).alias("volume_mb"), _r(F.sum("users_sum")).alias("users"), _r(mean("throughput_kbps")).alias("throughput_kbps"),
+        _r(mean("availability_pct")).alias("availability_pct"),
+    ]
 
 
 def entity_period(star: Star, level: str, grain: str) -> DataFrame:
     """Measures and non-compliant cells of each entity of ``level`` and period."""
     key, _ = ENTITY[level]
     entity = F.col(key) if key else F.lit(0).cast("long")
-    rows = _placed(star, grain).withColumn("entity_id", entity)
-    return rows.groupBy("period", "entity_id").agg(*_nc_counts(), *_measures())
+    rows = cell_sums(star, grain).join(star.cells, "cell_id").withColumn("entity_id", entity)
+    return rows.groupBy("period", "entity_id").agg(*_rolled_up())
 
 
 def entity_cube(star: Star, grain: str = "weekly") -> DataFrame:
@@ -138,7 +147,7 @@ def entity_cube(star: Star, grain: str = "weekly") -> DataFrame:
     keys = ["region_id", "district_id", "site_id"]
     # Weeks lead every grouping, so the rollup never mixes them.
     return (
-        _placed(star, grain).rollup("period", *keys).agg(level.alias("level"), *_nc_counts(), _r(F.avg("prb")).alias("prb_avg"))
+        cell_sums(star, grain).join(star.cells, "cell_id").rollup("period", *keys).agg(level.alias("level"), *_rolled_up()[:4])
         .filter(F.col("period").isNotNull())
     )
 
@@ -163,5 +172,5 @@ def quality_daily(star: Star) -> DataFrame:
     return both.select("date", "coverage_pct", "completeness_pct", rounded(0.5 * F.col("coverage_pct") + 0.5 * F.col("completeness_pct"), 0).alias("score"))
 
 
-def import_score(coverage, completeness, confidence, rejected_rate, duplicate_rate) -> Column:
+def quality_score(coverage, completeness, confidence, rejected_rate, duplicate_rate) -> Column:
     return rounded(0.35 * coverage + 0.25 * completeness + 15 * confidence + 15 * (1 - rejected_rate) + 10 * (1 - duplicate_rate), 0)

@@ -156,6 +156,12 @@ def network_forecast(star: Star, grain: str = "weekly") -> DataFrame:
     return _report(outlook(fitted, F.col("metric").isin(*PERCENT)), ["metric"])
 
 
+def entity_forecast(star: Star, level: str, metric: str = "prb_avg", grain: str = "weekly") -> DataFrame:
+    """The next period of each site, district or region."""
+    rows = entity_period(star, level, grain)
+    return _report(outlook(holt(series(rows, ["entity_id"], "period", metric)), F.lit(metric in PERCENT)), ["entity_id"])
+
+
 def trajectory(star: Star, horizon: int = 6) -> DataFrame:
     """(metric, h, value, lower, upper) of the network for the next weeks."""
     fitted = outlook(holt(network_series(star)), F.col("metric").isin(*PERCENT))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import band, clamp, clamp_round, pct_change, per_day, rounded
 from ..functions.rules import MODES
 from ..sources.star import Star
-from .aggregates import ENTITY, cell_period, entity_period
+from .aggregates import ENTITY, cell_period, cell_weekly, entity_period
 
 #: What a state of the lifecycle is worth in a cell's health, and in its priority.
 NC_HEALTH = {"Healthy": 100.0, "Recovering": 90.0, "New": 60.0, "Recurring": 50.0, "Persistent": 40.0, "Chronic": 30.0}
@@ -85,16 +85,40 @@ def _judged(rows: DataFrame, star: Star) -> DataFrame:
         + F.when(F.col("availability_pct") < 99, 5).otherwise(0)
     )
     severity = F.when(F.col("severity_score") == 0, "Normal").when(F.col("severity_score") >= 75, "Critical").when(F.col("severity_score") >= 45, "High").otherwise("Watch")
-    rows = rows.withColumn("severity_score", F.when(F.col("is_nc"), score).otherwise(0).cast("long")).withColumn("severity", severity)
+    rows = rows.withColumn("severity_score", F.when(F.col("is_nc"), F.least(F.lit(100), score)).otherwise(0).cast("long")).withColumn("severity", severity)
     return rows.select(
         "period", "cell_id", "is_nc", F.col("streak").cast("long").alias("streak"), "lifecycle", "trend", "severity", "severity_score",
         "observed_days", "breach_days", "prb_avg", "throughput_kbps", "users", "volume_mb", "availability_pct",
     )
 
 
-def latest(rows: DataFrame, key: str = "period") -> DataFrame:
-    """Rows of the last period: a scalar aggregate joined back."""
-    return rows.join(rows.agg(F.max(key).alias(key)), key)
+def latest(rows: DataFrame, star: Star | None = None, grain: str = "weekly") -> DataFrame:
+    """Rows of the last period: that of the facts of ``star``, read beforehand, so
+    that ``rows`` is evaluated once; without a star, the last of ``rows`` itself."""
+    if star is None:
+        return rows.join(rows.agg(F.max("period").alias("period")), "period")
+    return rows.filter(F.col("period") == F.lit(star.last_period(grain)))
+
+
+def last_week(star: Star) -> DataFrame:
+    """Cells of the last week alone: no other day is read."""
+    return latest(cell_weekly(star.since(star.last_period())), star)
+
+
+def with_back(rows: DataFrame, periods: list) -> DataFrame:
+    """``rows`` of ``periods`` (newest first) with ``back``, 0 the newest."""
+    if not periods:
+        return rows.withColumn("back", F.lit(0)).limit(0)
+    back = F.when(F.col("period") == F.lit(periods[0]), 0)
+    for i, p in enumerate(periods[1:], 1):
+        back = back.when(F.col("period") == F.lit(p), i)
+    return rows.filter(F.col("period").isin(periods)).withColumn("back", back)
+
+
+def recent_weeks(star: Star, n: int) -> DataFrame:
+    """Cells of the last ``n`` weeks, with ``back``: no earlier day is read."""
+    weeks = star.periods(n)
+    return with_back(cell_weekly(star.since(weeks[-1] if weeks else None)), weeks)
 
 
 def nc_movement(star: Star, grain: str = "weekly", limit: int = 8) -> DataFrame:
@@ -102,28 +126,29 @@ def nc_movement(star: Star, grain: str = "weekly", limit: int = 8) -> DataFrame:
     count = lambda s: F.count_if(F.col("lifecycle") == s)
     nc, total = F.count_if("is_nc"), F.count("*")
     return (
-        nc_lifecycle(star, grain).groupBy("period")
+        with_back(nc_lifecycle(star, grain), star.periods(limit, grain)).groupBy("period")
         .agg(
             count("New").alias("new_nc"), count("Recurring").alias("recurring"), count("Persistent").alias("persistent"), count("Chronic").alias("chronic"),
             count("Recovering").alias("recovering"), nc.alias("nc_cells"), total.alias("total_cells"), rounded(100 * nc / total, 1).alias("nc_rate"),
         )
-        .orderBy(F.desc("period")).limit(limit)
+        .orderBy(F.desc("period"))
     )
 
 
 def histogram(star: Star, column: str, grain: str = "weekly") -> DataFrame:
     """How many cells of the last period are in each state of ``column``."""
-    return latest(nc_lifecycle(star, grain)).groupBy("period", column).agg(F.count("*").alias("cells"))
+    return latest(nc_lifecycle(star, grain), star, grain).groupBy("period", column).agg(F.count("*").alias("cells"))
 
 
-def scored(star: Star) -> DataFrame:
+def scored(star: Star, last_only: bool = False) -> DataFrame:
     """Weekly lifecycle rows with the components of priority and of health, and a
     priority for each mode. Both come from one pass: they share the cell's windows
-    and the week's peers, all its cells, the cell itself included."""
+    and the week's peers, all its cells, the cell itself included. ``last_only``:
+    of the last week, whose peers alone are read then."""
     rules = star.rules
-    rows = nc_lifecycle(star)
-    peers = rows.groupBy("period").agg(*[rounded(F.avg(c), 4).alias(f"peer_{c}") for c in ("users", "volume_mb", "throughput_kbps")])
-    rows = rows.withColumn("was_volume", F.lag("volume_mb").over(Window.partitionBy("cell_id").orderBy("period"))).join(peers, "period")
+    rows = nc_lifecycle(star).withColumn("was_volume", F.lag("volume_mb").over(Window.partitionBy("cell_id").orderBy("period")))
+    peers = (last_week(star) if last_only else cell_weekly(star)).groupBy("period").agg(*[rounded(F.avg(c), 4).alias(f"peer_{c}") for c in ("users", "volume_mb", "throughput_kbps")])
+    rows = (latest(rows, star) if last_only else rows).join(peers, "period")
     above = lambda c: F.when(F.col(f"peer_{c}") > 0, clamp_round(100 * (F.col(c) - F.col(f"peer_{c}")) / F.col(f"peer_{c}"))).otherwise(0.0)
     peer, speed = F.col("peer_throughput_kbps"), F.col("throughput_kbps")
     limit = F.lit(rules.prb_threshold_pct)
@@ -149,11 +174,9 @@ def scored(star: Star) -> DataFrame:
 def priority(star: Star, include_stale: bool = False) -> DataFrame:
     """Components of each cell's priority in its last week (by default, only cells
     that the last week of all has), with a score for each mode."""
-    rows = scored(star)
+    rows = scored(star, last_only=not include_stale)
     if include_stale:
         rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("cell_id").orderBy(F.desc("period")))).filter("rn = 1")
-    else:
-        rows = latest(rows)
     return rows.select("period", "cell_id", "lifecycle", "severity", *COMPONENTS, *MODES)
 
 
@@ -192,22 +215,23 @@ def health_network(star: Star, grain: str = "weekly") -> DataFrame:
 
 def health_cell(star: Star) -> DataFrame:
     """Weekly, against the mean throughput of the week's cells; dated by the week's last day."""
-    parts = ("capacity", "throughput", "availability", "nc_health", "growth")
-    return scored(star).select("period", F.date_add("period", 6).alias("as_of"), "cell_id", *parts, F.col("health_score").alias("score"))
+    return _health(scored(star))
+
 
+def health_last(star: Star) -> DataFrame:
+    return _health(scored(star, last_only=True))
 
-def last_periods(rows: DataFrame, n: int) -> DataFrame:
-    """(period, back): the last ``n`` periods, 0 the newest."""
-    periods = rows.select("period").distinct().orderBy(F.desc("period")).limit(n)
-    return periods.withColumn("back", F.row_number().over(Window.orderBy(F.desc("period"))) - 1)
+
+def _health(rows: DataFrame) -> DataFrame:
+    parts = ("capacity", "throughput", "availability", "nc_health", "growth")
+    return rows.select("period", F.date_add("period", 6).alias("as_of"), "cell_id", *parts, F.col("health_score").alias("score"))
 
 
 def health_matrix(star: Star, scope: str = "cell", weeks: int = 12, limit: int = 60) -> DataFrame:
     """Entities by the last ``weeks`` weeks, worst latest score first; one column a week, w0 the newest."""
     weeks, limit = max(2, min(26, weeks)), max(1, min(200, limit))
     key, name = ENTITY[scope]
-    scores = health_cell(star)
-    recent = scores.join(last_periods(scores, weeks), "period").join(star.cells, "cell_id")
+    recent = with_back(health_cell(star), star.periods(weeks)).join(star.cells, "cell_id")
     wide = recent.groupBy(F.col(key).alias("id"), F.col(name).alias("name")).pivot("back", list(range(weeks))).agg(rounded(F.avg("score"), 1))
     wide = wide.select("id", "name", *[F.col(str(i)).alias(f"w{i}") for i in range(weeks)])
     return wide.orderBy(F.asc_nulls_last("w0"), "id").limit(limit)
@@ -215,4 +239,4 @@ def health_matrix(star: Star, scope: str = "cell", weeks: int = 12, limit: int =
 
 def health_snapshot(star: Star, limit: int = 200) -> DataFrame:
     """Worst cells of the last week."""
-    return latest(health_cell(star)).orderBy("score", "cell_id").limit(limit)
+    return health_last(star).orderBy("score", "cell_id").limit(limit)

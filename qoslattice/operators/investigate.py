@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import clamp_round, delta, delta_pct, pct_change, rounded
 from ..sources.star import Star
 from .aggregates import ENTITY, cell_weekly, flagged_facts
-from .intelligence import health_cell, latest, nc_lifecycle
+from .intelligence import health_last, last_week, latest, nc_lifecycle, scored
 from .views import AVERAGED, METRICS
 
 
@@ -38,7 +38,7 @@ def findings(star: Star) -> DataFrame:
     """(cell_id, finding) of the last week against each cell's week before."""
     by_cell = Window.partitionBy("cell_id").orderBy("period")
     rows = nc_lifecycle(star).select("*", *[F.lag(m).over(by_cell).alias(f"was_{m}") for m in METRICS], F.lag("is_nc").over(by_cell).alias("was_nc"))
-    rows = latest(rows)
+    rows = latest(rows, star)
     limit = star.rules.prb_threshold_pct
     change = lambda m: pct_change(m, f"was_{m}")
     tests = {
@@ -52,60 +52,112 @@ def findings(star: Star) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """``support`` and ``contra``: (points, condition)."""
+    """``support`` and ``contra``: (points, what was seen, condition)."""
 
     name: str
     base: int
+    advice: str
     support: tuple
     contra: tuple
 
 
+#: What the rules look at, and the KPIs that may tell it, the first that is measured.
+KPI_INPUTS = {
+    "call_drop": ("call_drop", "call_drop_rate_4g", "call_drop_rate_3g", "call_drop_rate_2g"),
+    "congestion": ("congestion", "tch_congestion"),
+    "sdcch": ("sdcch_congestion", "congestion"),
+    "setup": ("call_setup", "call_setup_success_4g", "call_setup_success_3g", "call_setup_success_2g"),
+    "data_access": ("data_access", "data_access_success_3g"),
+    "data_failure": ("data_failure", "data_service_failure_4g"),
+}
+
+
 def diagnosis_rules(star: Star) -> tuple[Rule, ...]:
-    """The six rules over the columns of ``diagnosis``; a missing value supports nothing."""
+    """The six rules over the columns of ``diagnosis``; a missing value supports nothing.
+
+    Fixed values: bases, points and limits."""
     r = star.rules
-    prb, thr, vol, users, avail, drop = (F.col(c) for c in ("prb_avg", "throughput_kbps", "volume_mb", "users", "availability_pct", "call_drop"))
-    congested = F.col("congestion")
-    calm = F.lit(None).cast("double")  # KPIs that the data doesn't have
+    prb, thr, vol, users, avail = (F.col(c) for c in ("prb_avg", "throughput_kbps", "volume_mb", "users", "availability_pct"))
+    drop, congested, sdcch, setup, access, failure = (F.col(c) for c in KPI_INPUTS)
     low = (vol < 10) | (users < 2)
     return (
-        Rule("congestion", 35, ((30, prb >= r.prb_threshold_pct), (30, congested >= r.tch_congestion_pct), (15, F.col("users_pct") >= 10), (15, F.col("volume_pct") >= 10), (15, F.col("streak") >= r.persistent_weeks)), ((25, prb < r.prb_threshold_pct - 15),)),
-        Rule("accessibility", 30, ((30, calm < r.cssr_pct), (25, calm < r.data_access_pct), (30, calm > r.data_failure_pct), (20, congested > r.sdcch_congestion_pct)), ((20, calm >= r.cssr_pct),)),
-        Rule("retainability", 30, ((35, drop > r.call_drop_pct), (15, avail < 99)), ((20, drop <= r.call_drop_pct),)),
-        Rule("sleeping_cell", 20, ((50, (avail >= 99) & low & ((F.col("was_volume_mb") > 100) | (F.col("was_users") > 20))),), ((20, low & (avail < 99)), (40, ~low))),
-        Rule("transport", 30, ((25, F.col("throughput_pct") <= -15), (20, thr < 2000), (10, avail >= 99.5), (25, (prb < 40) & (thr < 2000))), ((20, avail < 95),)),
-        Rule("interference", 30, ((30, (prb < 60) & (thr < 4000)), (25, (drop > r.call_drop_pct) & (prb < r.prb_threshold_pct)), (10, avail < 99)), ((20, prb >= r.prb_threshold_pct),)),
+        Rule(
+            "congestion", 35, "add capacity or move load",
+            ((30, "load", prb >= r.prb_threshold_pct), (30, "blocking", congested >= r.tch_congestion_pct), (15, "users grow", F.col("users_pct") >= 10), (15, "volume grows", F.col("volume_pct") >= 10), (15, "lasting", F.col("streak") >= r.persistent_weeks)),
+            ((25, "load far below threshold", prb < r.prb_threshold_pct - 15),),
+        ),
+        Rule(
+            "accessibility", 30, "check random access, signalling links and licences",
+            ((30, "setup", setup < r.cssr_pct), (25, "data access", access < r.data_access_pct), (30, "data failures", failure > r.data_failure_pct), (20, "signalling blocked", sdcch > r.sdcch_congestion_pct)),
+            ((20, "setup healthy", setup >= r.cssr_pct),),
+        ),
+        Rule(
+            "retainability", 30, "check coverage edges, neighbours and hardware",
+            ((35, "drops", drop > r.call_drop_pct), (15, "availability", avail < 99)), ((20, "drops healthy", drop <= r.call_drop_pct),),
+        ),
+        Rule(
+            "sleeping_cell", 20, "reset the cell and check its radio chain",
+            ((50, "available, yet idle", (avail >= 99) & low & ((F.col("was_volume_mb") > 100) | (F.col("was_users") > 20))),),
+            ((20, "unavailable", low & (avail < 99)), (40, "carries traffic", ~low)),
+        ),
+        Rule(
+            "transport", 30, "check the backhaul's rate and errors",
+            ((25, "speed fell", F.col("throughput_pct") <= -15), (20, "slow", thr < 2000), (10, "available", avail >= 99.5), (25, "slow without load", (prb < 40) & (thr < 2000))),
+            ((20, "unavailable", avail < 95),),
+        ),
+        Rule(
+            "interference", 30, "scan the uplink and check tilts",
+            ((30, "slow at low load", (prb < 60) & (thr < 4000)), (25, "drops without load", (drop > r.call_drop_pct) & (prb < r.prb_threshold_pct)), (10, "availability", avail < 99)),
+            ((20, "loaded", prb >= r.prb_threshold_pct),),
+        ),
     )
 
 
 def diagnosis(star: Star) -> DataFrame:
-    """(cell_id, hypothesis, score, verdict, confidence) for the cells of the last week."""
+    """(cell_id, hypothesis, score, verdict, confidence, supporting, opposing, advice)
+    for the cells of the last week. Advice is given from a score of 45 on."""
     by_cell = Window.partitionBy("cell_id").orderBy("period")
     rows = nc_lifecycle(star).select("*", *[F.lag(m).over(by_cell).alias(f"was_{m}") for m in ("users", "volume_mb", "throughput_kbps")])
-    rows = latest(rows).select("*", pct_change("users", "was_users").alias("users_pct"), pct_change("volume_mb", "was_volume_mb").alias("volume_pct"), pct_change("throughput_kbps", "was_throughput_kbps").alias("throughput_pct"))
-    week = star.extras.withColumn("period", F.trunc("date", "week")).groupBy("period", "cell_id")
-    kpis = week.agg(*[rounded(F.avg(F.when(F.col("kpi_key") == k, F.col("value")))).alias(k) for k in ("call_drop", "congestion")])
-    rows = rows.join(kpis, ["period", "cell_id"], "left")
-    points = lambda terms: sum((F.when(c, p).otherwise(0) for p, c in terms), F.lit(0))
+    rows = latest(rows, star).select("*", pct_change("users", "was_users").alias("users_pct"), pct_change("volume_mb", "was_volume_mb").alias("volume_pct"), pct_change("throughput_kbps", "was_throughput_kbps").alias("throughput_pct"))
+    asked = sorted({k for keys in KPI_INPUTS.values() for k in keys})
+    week = star.since(star.last_period()).extras.filter(F.col("kpi_key").isin(asked)).withColumn("period", F.trunc("date", "week")).groupBy("period", "cell_id")
+    kpis = week.agg(*[rounded(F.avg(F.when(F.col("kpi_key") == k, F.col("value")))).alias(f"kpi_{k}") for k in asked])
+    inputs = [F.coalesce(*[F.col(f"kpi_{k}") for k in keys]).alias(name) for name, keys in KPI_INPUTS.items()]
+    rows = rows.join(kpis, ["period", "cell_id"], "left").select(*rows.columns, *inputs)
+    points = lambda terms: sum((F.when(c, p).otherwise(0) for p, _, c in terms), F.lit(0))
+    seen = lambda terms: F.concat_ws("; ", *[F.when(c, F.lit(name)) for _, name, c in terms])
     scores = [
-        F.struct(F.lit(r.name).alias("hypothesis"), F.least(F.lit(95), F.greatest(F.lit(5), r.base + points(r.support) - points(r.contra))).cast("long").alias("score"))
+        F.struct(
+            F.lit(r.name).alias("hypothesis"), F.least(F.lit(95), F.greatest(F.lit(5), r.base + points(r.support) - points(r.contra))).cast("long").alias("score"),
+            seen(r.support).alias("supporting"), seen(r.contra).alias("opposing"), F.lit(r.advice).alias("advice"),
+        )
         for r in diagnosis_rules(star)
     ]
     long = rows.select("cell_id", F.explode(F.array(*scores)).alias("x")).select("cell_id", "x.*")
     score = F.col("score")
     return long.select(
-        "*", F.when(score >= 65, "consistent").when(score >= 45, "suggests").otherwise("weak").alias("verdict"),
-        F.when(score >= 70, "High").when(score >= 40, "Medium").otherwise("Low").alias("confidence"),
+        "cell_id", "hypothesis", "score", F.when(score >= 65, "consistent").when(score >= 45, "suggests").otherwise("weak").alias("verdict"),
+        F.when(score >= 70, "High").when(score >= 40, "Medium").otherwise("Low").alias("confidence"), "supporting", "opposing", F.when(score >= 45, F.col("advice")).alias("advice"),
     )
 
 
-def events_timeline(star: Star, score_step: float = 5.0) -> DataFrame:
-    """Changes of lifecycle, and of health by ``score_step`` or more, week by week."""
+NOTES = "cell_id long, at date, author string, note string"
+
+
+def events_timeline(star: Star, notes: DataFrame | None = None, score_step: float = 5.0) -> DataFrame:
+    """(cell_id, period, kind, note): changes of lifecycle, changes of the balanced
+    priority by ``score_step`` or more week by week, and the ``notes`` of people (NOTES)."""
     by_cell = Window.partitionBy("cell_id").orderBy("period")
-    states = nc_lifecycle(star).withColumn("was", F.lag("lifecycle").over(by_cell)).filter("was <> lifecycle")
-    states = states.select("cell_id", "period", F.lit("lifecycle").alias("kind"), F.concat_ws(" -> ", "was", "lifecycle").alias("note"))
-    scores = health_cell(star).withColumn("was", F.lag("score").over(by_cell)).filter(F.abs(F.col("score") - F.col("was")) >= score_step)
-    moved = F.when(F.col("score") > F.col("was"), "up").otherwise("down")
-    return states.unionByName(scores.select("cell_id", "period", F.lit("health").alias("kind"), moved.alias("note")))
+    rows = scored(star).withColumn("was", F.lag("lifecycle").over(by_cell)).withColumn("was_score", F.lag("balanced").over(by_cell))
+    moved = F.abs(F.col("balanced") - F.col("was_score")) >= score_step
+    found = F.array(
+        F.when(F.col("was") != F.col("lifecycle"), F.struct(F.lit("lifecycle").alias("kind"), F.concat_ws(" -> ", "was", "lifecycle").alias("note"))),
+        F.when(moved, F.struct(F.lit("priority").alias("kind"), F.when(F.col("balanced") > F.col("was_score"), "up").otherwise("down").alias("note"))),
+    )
+    events = rows.select("cell_id", "period", F.explode(F.array_compact(found)).alias("e")).select("cell_id", "period", "e.*")
+    if notes is None:
+        return events
+    return events.unionByName(notes.select("cell_id", F.col("at").alias("period"), F.lit("note").alias("kind"), F.concat_ws(": ", "author", "note").alias("note")))
 
 
 def before_after(star: Star, intervention: str, most: int = 8) -> DataFrame:
@@ -125,8 +177,8 @@ def peers(star: Star, cell_id: int, limit: int = 10) -> DataFrame:
     """Cells of the same district, least healthy first."""
     district = star.cells.filter(F.col("cell_id") == cell_id).select("district_id")
     others = star.cells.join(district, "district_id").filter(F.col("cell_id") != cell_id).select("cell_id", "cell")
-    rows = latest(nc_lifecycle(star)).select("cell_id", "prb_avg", "throughput_kbps", "is_nc").join(others, "cell_id")
-    health = latest(health_cell(star)).select("cell_id", F.col("score").alias("health_score"))
+    rows = latest(nc_lifecycle(star), star).select("cell_id", "prb_avg", "throughput_kbps", "is_nc").join(others, "cell_id")
+    health = health_last(star).select("cell_id", F.col("score").alias("health_score"))
     return rows.join(health, "cell_id", "left").orderBy(F.asc_nulls_last("health_score"), "cell_id").limit(limit)
 
 
@@ -182,7 +234,7 @@ def snapshot_compare(a: Star, b: Star) -> DataFrame:
     """(key, a, b, delta, delta_pct): the state of two stores."""
 
     def figures(star: Star) -> DataFrame:
-        rows = latest(cell_weekly(star)).agg(
+        rows = last_week(star).agg(
             F.count("*").cast("double").alias("cells"), F.count_if("is_nc").cast("double").alias("nc_cells"),
             *[rounded((F.avg if m in AVERAGED else F.sum)(m)).alias(m) for m in METRICS],
         )

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import (
     LIFECYCLES, SEVERITIES, band, breach, by_agg, card_trend, compliance, contains_folded, delta, delta_pct, dual_quadrant,
-    nc_transition, quadrant, rank_of, rounded, severity_pct,
+    magnitude, nc_transition, numbered, quadrant, rank_of, rounded, severity_pct,
 )
 from ..functions.rules import MODES
 from ..sources.star import Star
 from .aggregates import ENTITY, cell_weekly, kpi_period
-from .intelligence import health_network, last_periods, latest, nc_lifecycle, scored
+from .intelligence import health_network, last_week, latest, nc_lifecycle, recent_weeks, scored, with_back
 
 #: Metric: label, unit, whether a rise is bad (None: neither).
 METRICS = {
@@ -26,20 +26,31 @@ AVERAGED = ("prb_avg", "throughput_kbps", "availability_pct")
 
 def kpi_values(star: Star, grain: str = "weekly") -> DataFrame:
     """KPI rows with the value that the KPI's aggregation names, breach and severity."""
-    rows = kpi_period(star, grain).join(star.kpis, "kpi_key").withColumn("value", by_agg("agg", "avg", "sum", "max", "min"))
+    rows = kpi_period(star, grain).join(star.kpis, ["technology", "kpi_key"]).withColumn("value", by_agg("agg", "avg", "sum", "max", "min"))
     return rows.withColumn("breached", breach("value", "target", "worse_is_higher")).withColumn("severity", severity_pct("value", "target", "worse_is_higher"))
 
 
+def last_kpis(star: Star) -> DataFrame:
+    """KPI rows of the last week with KPI values: no other day is read."""
+    week = star.last_period(of_kpis=True)
+    return kpi_values(star.since(week)).filter(F.col("period") == F.lit(week))
+
+
+def recent_kpis(star: Star, n: int) -> DataFrame:
+    weeks = star.periods(n, of_kpis=True)
+    return with_back(kpi_values(star.since(weeks[-1] if weeks else None)), weeks)
+
+
 def kpi_overview(star: Star) -> DataFrame:
-    rows = latest(kpi_values(star))
-    return rows.groupBy("kpi_key", "label", "unit", "target", "worse_is_higher").agg(
+    rows = last_kpis(star)
+    return rows.groupBy("technology", "kpi_key", "label", "unit", "target", "worse_is_higher").agg(
         F.countDistinct(F.when(F.col("breached"), F.col("cell_id"))).alias("breached_cells"), F.countDistinct("cell_id").alias("observed_cells"),
         rounded(F.avg(F.when(F.col("breached"), F.col("severity"))), 1).alias("avg_severity"),
     )
 
 
 def kpi_breach_by_cell(star: Star) -> DataFrame:
-    rows = latest(kpi_values(star)).filter("breached")
+    rows = last_kpis(star).filter("breached")
     return rows.groupBy("cell_id").agg(rounded(F.avg("severity"), 1).alias("breach_score"), F.count("*").alias("breached_kpis"))
 
 
@@ -49,19 +60,20 @@ def kpi_worst_cells(star: Star, limit: int = 8) -> DataFrame:
 
 
 def kpi_trend(star: Star, weeks: int = 12) -> DataFrame:
-    rows = kpi_values(star)
-    recent = rows.join(last_periods(rows, weeks), "period").groupBy("kpi_key", "period", "target", "worse_is_higher").agg(rounded(F.avg("value")).alias("value"))
-    return recent.select("kpi_key", "period", "value", breach("value", "target", "worse_is_higher").alias("breached"))
+    recent = recent_kpis(star, weeks).groupBy("technology", "kpi_key", "period", "target", "worse_is_higher").agg(rounded(F.avg("value")).alias("value"))
+    return recent.select("technology", "kpi_key", "period", "value", breach("value", "target", "worse_is_higher").alias("breached"))
 
 
 def metric_values(star: Star) -> DataFrame:
     """(cell_id, metric, value): measures and KPIs of the last week, long."""
-    wide = latest(cell_weekly(star)).unpivot(["cell_id"], list(METRICS), "metric", "value")
-    return wide.unionByName(latest(kpi_values(star)).select("cell_id", F.col("kpi_key").alias("metric"), "value"))
+    wide = last_week(star).unpivot(["cell_id"], list(METRICS), "metric", "value")
+    return wide.unionByName(last_kpis(star).select("cell_id", F.col("kpi_key").alias("metric"), "value"))
 
 
 def distributions(star: Star, points: int = 21) -> DataFrame:
-    """(metric, q, value): exact, interpolated quantiles at equal steps."""
+    """(metric, q, value): exact, interpolated quantiles at equal steps. Values are
+    counted before they meet, so a metric's task holds its distinct values: at most
+    one for each cell of the last week."""
     steps = [i / (points - 1) for i in range(points)]
     rows = metric_values(star).groupBy("metric").agg(F.percentile("value", steps).alias("p"))
     return rows.select("metric", F.posexplode("p").alias("i", "v")).select("metric", (F.col("i") / (points - 1)).alias("q"), rounded("v").alias("value"))
@@ -76,12 +88,12 @@ def distribution_summary(star: Star) -> DataFrame:
 
 
 def throughput_median(star: Star) -> DataFrame:
-    return latest(cell_weekly(star)).agg(F.count("*").alias("cells"), rounded(F.median("throughput_kbps")).alias("throughput_median_kbps"))
+    return last_week(star).agg(F.count("*").alias("cells"), rounded(F.median("throughput_kbps")).alias("throughput_median_kbps"))
 
 
 def scatter(star: Star) -> DataFrame:
     """Cells of the last week by load and speed."""
-    rows = latest(cell_weekly(star))
+    rows = last_week(star)
     median = rows.agg(F.median("throughput_kbps").alias("median"))  # one row
     kind = quadrant("prb_avg", "throughput_kbps", F.lit(star.rules.prb_threshold_pct), "median")
     return rows.join(median).select("cell_id", "prb_avg", "throughput_kbps", "users", "is_nc", kind.alias("quadrant"))
@@ -102,8 +114,14 @@ def correlations(star: Star) -> DataFrame:
 
 
 def dual_breach_quadrants(star: Star, x: str = "call_drop", y: str = "congestion") -> DataFrame:
-    """Cells by two KPIs' breaches; a KPI without target is judged by its upper median."""
-    rows = latest(kpi_values(star))
+    """Cells by two KPIs' breaches; a KPI without target is judged by its upper median
+    over the cells that have both."""
+    rows = last_kpis(star).filter(F.col("kpi_key").isin(x, y) & F.col("value").isNotNull())
+    both = rows.groupBy("cell_id").agg(F.countDistinct("kpi_key").alias("n")).filter("n = 2")
+    rows = rows.join(both, "cell_id", "left_semi")
+    # Of the values in falling order the lower median: in rising order the upper one.
+    medians = rows.groupBy("kpi_key").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value DESC)").alias("median"))
+    rows = rows.join(medians, "kpi_key").withColumn("breached", breach("value", F.coalesce("target", "median"), "worse_is_higher"))
     flag = lambda k: F.max(F.when(F.col("kpi_key") == k, F.col("breached")))
     cells = rows.groupBy("cell_id").agg(flag(x).alias("x_bad"), flag(y).alias("y_bad")).filter("x_bad IS NOT NULL AND y_bad IS NOT NULL")
     return cells.groupBy(dual_quadrant("x_bad", "y_bad").alias("quadrant")).agg(F.count("*").alias("cells"))
@@ -111,8 +129,7 @@ def dual_breach_quadrants(star: Star, x: str = "call_drop", y: str = "congestion
 
 def two_weeks(star: Star) -> DataFrame:
     """Cells of the last two weeks, with ``back`` 0 or 1."""
-    rows = cell_weekly(star)
-    return rows.join(last_periods(rows, 2), "period")
+    return recent_weeks(star, 2)
 
 
 def _per_entity(rows: DataFrame, scope: str) -> DataFrame:
@@ -140,7 +157,7 @@ def compare_periods(star: Star, scope: str = "cell") -> DataFrame:
 
 def compare_regions(star: Star) -> DataFrame:
     """Regions of the last week against the network, with each metric's best and worst."""
-    rows = latest(cell_weekly(star)).join(star.cells, "cell_id")
+    rows = last_week(star).join(star.cells, "cell_id")
     values = [rounded((F.avg if m in AVERAGED else F.sum)(m)).alias(m) for m in METRICS]
     regions = rows.groupBy(F.col("region_id").alias("id"), F.col("region").alias("name")).agg(*values).unpivot(["id", "name"], list(METRICS), "metric", "value")
     network = rows.agg(*values).unpivot([], list(METRICS), "metric", "baseline")
@@ -153,8 +170,7 @@ def compare_regions(star: Star) -> DataFrame:
 
 def index_100(star: Star, weeks: int = 12) -> DataFrame:
     """Network metrics of the last weeks, indexed to the first of them."""
-    rows = cell_weekly(star)
-    recent = rows.join(last_periods(rows, weeks), "period").groupBy("period").agg(*[rounded((F.avg if m in AVERAGED else F.sum)(m)).alias(m) for m in METRICS])
+    recent = recent_weeks(star, weeks).groupBy("period").agg(*[rounded((F.avg if m in AVERAGED else F.sum)(m)).alias(m) for m in METRICS])
     long = recent.unpivot(["period"], list(METRICS), "metric", "value")
     base = F.first("value").over(Window.partitionBy("metric").orderBy("period"))
     return long.select("period", "metric", "value", rounded(F.col("value") / F.when(base != 0, base) * 100, 1).alias("index"))
@@ -164,14 +180,15 @@ def rank_changes(star: Star, scope: str = "district", metric: str = "prb_avg") -
     """Worst change first, by the metric's bad direction; without a baseline last."""
     rows = compare_periods(star, scope).filter(F.col("metric") == metric)
     worse = F.col("delta") if METRICS[metric][2] is not False else -F.col("delta")
-    place = F.row_number().over(Window.orderBy(F.desc_nulls_last(worse), "id"))  # one row an entity
-    return rows.select("id", "name", "current", "previous", "delta", place.cast("long").alias("place"))
+    rows = rows.withColumn("worse", worse)
+    placed = numbered(rows, F.coalesce(-magnitude("worse"), F.lit(1 << 20)), [F.desc_nulls_last("worse"), "id"], "place")
+    return placed.select("id", "name", "current", "previous", "delta", F.col("place").cast("long").alias("place"))
 
 
 def state(star: Star) -> DataFrame:
     """Cells of the last week with their place, state, priority and health."""
     kept = ("period", "cell_id", "is_nc", "lifecycle", "trend", "severity", "breach_days", "prb_avg", "throughput_kbps", "users", "volume_mb", "availability_pct")
-    rows = latest(scored(star)).select(*kept, *[F.col(m).alias(f"by_{m}") for m in MODES], F.col("balanced").alias("priority_score"), "health_score")
+    rows = scored(star, last_only=True).select(*kept, *[F.col(m).alias(f"by_{m}") for m in MODES], F.col("balanced").alias("priority_score"), "health_score")
     return rows.join(star.cells, "cell_id").withColumn("priority_band", band("priority_score"))
 
 
@@ -209,7 +226,7 @@ def place_map(star: Star, level: str = "region", region_id: int | None = None) -
     if region_id is not None:
         rows = rows.filter(F.col("region_id") == region_id)
     base = rows.groupBy(F.col(key).alias("id"), F.col(name).alias("name")).agg(*_rollup()[:-1])
-    values = latest(kpi_values(star)).join(star.cells, "cell_id").groupBy(F.col(key).alias("kpi_of"))
+    values = last_kpis(star).join(star.cells, "cell_id").groupBy(F.col(key).alias("kpi_of"))
     names = [r["kpi_key"] for r in star.kpis.select("kpi_key").orderBy("kpi_key").collect()]
     spread = values.agg(
         *[rounded(F.avg(F.when(F.col("kpi_key") == k, F.col("value")))).alias(f"{k}_avg") for k in names],
@@ -234,14 +251,13 @@ def cell_table(star: Star, search=None, lifecycle=None, trend=None, severity=Non
         rows = rows.filter(F.col("priority_score") >= min_priority)
     page = rows.orderBy(F.desc_nulls_last("priority_score"), "cell_id").limit(max(1, min(500, limit)) + offset).offset(offset)
     names = [r["kpi_key"] for r in star.kpis.select("kpi_key").orderBy("kpi_key").collect()]
-    spread = latest(kpi_values(star)).join(page.select("cell_id"), "cell_id", "left_semi").groupBy("cell_id").pivot("kpi_key", names).agg(F.first("value"))
+    spread = last_kpis(star).join(page.select("cell_id"), "cell_id", "left_semi").groupBy("cell_id").pivot("kpi_key", names).agg(F.first("value"))
     return page.select("cell_id", "cell", "site", "district", "region", "is_nc", "lifecycle", "trend", "severity", "prb_avg", "breach_days", "throughput_kbps", "users", "volume_mb", "availability_pct", "priority_score", "priority_band").join(spread, "cell_id", "left")
 
 
 def cell_detail(star: Star, cell_id: int, grain: str = "weekly") -> DataFrame:
     """A cell's history; empty if the cell is unknown. The filter reaches the facts' scan."""
-    one = Star(star.spark, star.cells, star.facts.filter(F.col("cell_id") == cell_id), star.extras.filter(F.col("cell_id") == cell_id), star.kpis, star.rules)
-    rows = nc_lifecycle(one, grain).join(star.cells, "cell_id")
+    rows = nc_lifecycle(star.where(F.col("cell_id") == cell_id), grain).join(star.cells, "cell_id")
     return rows.select("period", "cell_id", "cell", "site", "district", "region", "prb_avg", "throughput_kbps", "users", "volume_mb", "availability_pct", "breach_days", "is_nc", "lifecycle", "severity")
 
 
@@ -285,8 +301,7 @@ def summary(star: Star, weeks: int = 4) -> DataFrame:
     """One row: what is stored, and the last ``weeks`` weeks up to the last fact."""
     facts = star.facts.agg(F.count("*").alias("row_count"), F.min("date").alias("min_date"), F.max("date").alias("max_date"))
     places = star.cells.agg(*[F.countDistinct(k).alias(n) for k, n in (("cell_id", "cells"), ("site_id", "sites"), ("district_id", "districts"), ("region_id", "regions"))])
-    rows = cell_weekly(star)
-    recent = rows.join(last_periods(rows, weeks), "period").agg(
+    recent = recent_weeks(star, weeks).agg(
         F.min("period").alias("period_start"), F.date_add(F.max("period"), 6).alias("period_end"),
         F.countDistinct(F.when(F.col("is_nc"), F.col("cell_id"))).alias("nc_cells"), F.count_if("is_nc").alias("nc_cell_weeks"), F.count("*").alias("cell_weeks"),
         rounded(F.avg("prb_avg")).alias("avg_prb"), rounded(F.sum("volume_mb")).alias("volume_mb"), rounded(F.sum("users")).alias("users"),
@@ -297,24 +312,25 @@ def summary(star: Star, weeks: int = 4) -> DataFrame:
 
 def executive_cards(star: Star, length: int = 12) -> DataFrame:
     """One card a KPI: last value, change, compliance and trend over a sparkline."""
-    rows = kpi_values(star)
-    recent = rows.join(last_periods(rows, length), "period")
-    names = ["kpi_key", "label", "unit", "target", "warning", "critical", "worse_is_higher"]
+    recent = recent_kpis(star, length)
+    names = ["technology", "kpi_key", "label", "unit", "target", "warning", "critical", "worse_is_higher"]
     weekly = recent.groupBy(*names, "period", "back").agg(rounded(F.avg("value")).alias("value"), F.countDistinct(F.when(F.col("breached"), F.col("cell_id"))).alias("nc"), F.countDistinct("cell_id").alias("n"))
     at = lambda c, back: F.max(F.when(F.col("back") == back, F.col(c)))
     cards = weekly.groupBy(*names).agg(at("value", 0).alias("current"), at("value", 1).alias("previous"), at("nc", 0).alias("nc_cells"), at("n", 0).alias("cells"), rounded(F.avg("value")).alias("sparkline_mean"))
+    change = delta("current", "previous")
     return cards.select(
-        "kpi_key", "label", "current", "previous", delta("current", "previous").alias("delta"), delta_pct("current", "previous").alias("delta_pct"),
-        compliance("current", "target", "warning", "critical", "worse_is_higher").alias("compliance"), card_trend("current", "previous", "worse_is_higher").alias("trend"),
+        "technology", "kpi_key", "label", "current", "previous", delta("current", "previous").alias("delta"), delta_pct("current", "previous").alias("delta_pct"),
+        compliance("current", "target", "warning", "critical", "worse_is_higher").alias("compliance"), card_trend("kpi_key", "current", change, "warning", "target", "worse_is_higher").alias("trend"),
         "nc_cells", rounded(100 * F.col("nc_cells") / F.col("cells"), 1).alias("nc_pct"), "sparkline_mean",
     )
 
 
 def executive_health(star: Star) -> DataFrame:
     """Network health, its change on the week before, and counts of the gravest states."""
-    scores = health_network(star)
-    both = scores.join(last_periods(scores, 2), "period").agg(F.max(F.when(F.col("back") == 0, F.col("score"))).alias("score"), F.max(F.when(F.col("back") == 1, F.col("score"))).alias("previous"))
-    states = latest(nc_lifecycle(star)).agg(
+    # Growth looks one week further back.
+    weeks = star.periods(3)
+    both = with_back(health_network(star.since(weeks[-1] if weeks else None)), weeks[:2]).agg(F.max(F.when(F.col("back") == 0, F.col("score"))).alias("score"), F.max(F.when(F.col("back") == 1, F.col("score"))).alias("previous"))
+    states = latest(nc_lifecycle(star), star).agg(
         F.count_if(F.col("severity") == "Critical").alias("critical_cells"), F.count_if(F.col("lifecycle") == "Chronic").alias("chronic_cells"),
         F.count_if(F.col("lifecycle") == "Persistent").alias("persistent_cells"),
     )

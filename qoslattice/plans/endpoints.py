@@ -18,23 +18,25 @@ def add(name, query, sql=None):
 
 
 O.define("kw", ("extras",), f"""
-SELECT {O.start('date', 'weekly')} AS period, cell_id, kpi_key, round(avg(value), 4) AS avg, round(sum(value), 4) AS sum, round(max(value), 4) AS max, round(min(value), 4) AS min
-FROM extras GROUP BY 1, 2, 3""")
+SELECT {O.start('date', 'weekly')} AS period, cell_id, technology, kpi_key, round(avg(value), 4) AS avg, round(sum(value), 4) AS sum, round(max(value), 4) AS max, round(min(value), 4) AS min
+FROM extras GROUP BY 1, 2, 3, 4""")
 O.define("kv", ("kw", "kpis"), f"""
-SELECT *, coalesce(value > target, false) AS breached, {O.clamp('(value - target) / nullif(target, 0) * 100')} AS severity
-FROM (SELECT *, CASE agg WHEN 'sum' THEN sum WHEN 'max' THEN max WHEN 'min' THEN min ELSE avg END AS value FROM kw JOIN kpis USING (kpi_key))""")
+SELECT *, coalesce(CASE WHEN worse_is_higher THEN value > target ELSE value < target END, false) AS breached,
+  CASE WHEN target <> 0 THEN {O.clamp('CASE WHEN worse_is_higher THEN value - target ELSE target - value END / target * 100')} END AS severity
+FROM (SELECT *, CASE agg WHEN 'sum' THEN sum WHEN 'max' THEN max WHEN 'min' THEN min ELSE avg END AS value FROM kw JOIN kpis USING (technology, kpi_key))""")
 O.define("klast", ("kv",), "SELECT * FROM kv WHERE period = (SELECT max(period) FROM kv)")
 O.define("cwlast", ("cw",), "SELECT * FROM cw WHERE period = (SELECT max(period) FROM cw)")
 O.define("backs", ("cw",), "SELECT period, row_number() OVER (ORDER BY period DESC) - 1 AS back FROM (SELECT DISTINCT period FROM cw)")
 O.define("mv", ("cwlast", "klast"), "SELECT cell_id, metric, value FROM (UNPIVOT (SELECT cell_id, prb_avg, throughput_kbps, users, volume_mb, availability_pct FROM cwlast) ON prb_avg, throughput_kbps, users, volume_mb, availability_pct INTO NAME metric VALUE value) UNION ALL SELECT cell_id, kpi_key, value FROM klast")
 add("kpi_overview", V.kpi_overview, O.sql(
-    "SELECT kpi_key, label, unit, target, worse_is_higher, count(DISTINCT CASE WHEN breached THEN cell_id END) AS breached_cells, count(DISTINCT cell_id) AS observed_cells, "
-    "round(avg(CASE WHEN breached THEN severity END), 1) AS avg_severity FROM klast GROUP BY 1, 2, 3, 4, 5", "klast"))
+    "SELECT technology, kpi_key, label, unit, target, worse_is_higher, count(DISTINCT CASE WHEN breached THEN cell_id END) AS breached_cells, count(DISTINCT cell_id) AS observed_cells, "
+    "round(avg(CASE WHEN breached THEN severity END), 1) AS avg_severity FROM klast GROUP BY 1, 2, 3, 4, 5, 6", "klast"))
 BREACHES = "SELECT cell_id, round(avg(severity), 1) AS breach_score, count(*) AS breached_kpis FROM klast WHERE breached GROUP BY 1"
 add("kpi_breach_by_cell", V.kpi_breach_by_cell, O.sql(BREACHES, "klast"))
 add("kpi_worst_cells", V.kpi_worst_cells, O.sql(f"SELECT b.*, cell, site, district FROM ({BREACHES}) b JOIN cells USING (cell_id) ORDER BY breach_score DESC, cell_id LIMIT 8", "klast", "cells"))
 add("kpi_trend_12w", V.kpi_trend, O.sql(
-    "SELECT kpi_key, period, value, value > target AS breached FROM (SELECT kpi_key, period, target, round(avg(value), 4) AS value FROM kv WHERE period IN (SELECT period FROM backs WHERE back < 12) GROUP BY 1, 2, 3)", "kv", "backs"))
+    "SELECT technology, kpi_key, period, value, coalesce(CASE WHEN worse_is_higher THEN value > target ELSE value < target END, false) AS breached FROM (SELECT technology, kpi_key, period, target, worse_is_higher, round(avg(value), 4) AS value "
+    "FROM kv WHERE period IN (SELECT period FROM backs WHERE back < 12) GROUP BY 1, 2, 3, 4, 5)", "kv", "backs"))
 add("perf_percentiles", V.distributions, O.sql(
     "SELECT metric, i / 20 AS q, round(v[i + 1], 4) AS value FROM (SELECT metric, v, unnest(range(21)) AS i FROM (SELECT metric, quantile_cont(value, ["
     + ", ".join(str(i / 20) for i in range(21)) + "]) AS v FROM mv GROUP BY 1))", "mv"))
@@ -49,6 +51,10 @@ add("perf_correlations", V.correlations, O.sql(
 add("dual_breach_quadrants", V.dual_breach_quadrants, O.sql(
     "SELECT CASE WHEN x AND y THEN 'critical' WHEN x THEN 'x_impaired' WHEN y THEN 'y_impaired' ELSE 'optimal' END AS quadrant, count(*) AS cells FROM "
     "(SELECT a.breached AS x, b.breached AS y FROM klast a JOIN klast b USING (cell_id) WHERE a.kpi_key = 'call_drop' AND b.kpi_key = 'congestion') GROUP BY 1", "klast"))
+add("dual_breach_upper_median", lambda s: V.dual_breach_quadrants(s, "call_drop", "payload"), O.sql(
+    "SELECT CASE WHEN x AND y THEN 'critical' WHEN x THEN 'x_impaired' WHEN y THEN 'y_impaired' ELSE 'optimal' END AS quadrant, count(*) AS cells FROM "
+    "(SELECT a.breached AS x, b.value < m AS y FROM klast a JOIN klast b USING (cell_id), (SELECT value AS m FROM (SELECT value, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM klast WHERE kpi_key = 'payload') WHERE i = n // 2 + 1) "
+    "WHERE a.kpi_key = 'call_drop' AND b.kpi_key = 'payload') GROUP BY 1", "klast"))
 AGG = {m: ("avg" if m in V.AVERAGED else "sum") for m in V.METRICS}
 
 
@@ -90,17 +96,18 @@ add("explorer_cell", lambda s: V.explorer(s, "cell", q="00"), O.sql(f"SELECT cel
 add("explorer_children", lambda s: V.explorer(s, "district", parent_id=1), O.sql(
     f"SELECT district_id AS id, district AS name, {ROLL}, max(priority_score) AS priority_score, {O.BAND.format('max(priority_score)')} AS priority_band FROM state WHERE region_id = 1 GROUP BY 1, 2", "state"))
 for level, of in (("region", None), ("district", 1)):
-    K = ", ".join(f"round(avg(value) FILTER (WHERE kpi_key = '{k}'), 4) AS {k}_avg, count(*) FILTER (WHERE kpi_key = '{k}' AND breached) AS {k}_nc" for k in ("call_drop", "congestion"))
+    K = ", ".join(f"round(avg(value) FILTER (WHERE kpi_key = '{k}'), 4) AS {k}_avg, count(*) FILTER (WHERE kpi_key = '{k}' AND breached) AS {k}_nc" for k in O.KEYS)
     add(f"{level}_map", lambda s, v=level, r=of: V.place_map(s, v, r), O.sql(
         f"SELECT a.*, b.* EXCLUDE (kid) FROM (SELECT {level}_id AS id, {level} AS name, {ROLL} FROM state {'WHERE region_id = 1' if of else ''} GROUP BY 1, 2) a "
         f"LEFT JOIN (SELECT {level}_id AS kid, {K} FROM klast JOIN cells USING (cell_id) GROUP BY 1) b ON id = kid", "state", "klast", "cells"))
 add("breadcrumbs", V.breadcrumbs, O.sql("SELECT cell_id, concat_ws(' > ', 'Network', region, district, site, cell) AS path FROM cells", "cells"))
 PAGE = "cell_id, cell, site, district, region, is_nc, lifecycle, trend, severity, prb_avg, breach_days, throughput_kbps, users, volume_mb, availability_pct, priority_score, priority_band"
-KPI_PAGE = "LEFT JOIN (SELECT cell_id, max(value) FILTER (WHERE kpi_key = 'call_drop') AS call_drop, max(value) FILTER (WHERE kpi_key = 'congestion') AS congestion FROM klast GROUP BY 1) k USING (cell_id)"
+KPI_PAGE = "LEFT JOIN (SELECT cell_id, " + ", ".join(f"max(value) FILTER (WHERE kpi_key = '{k}') AS {k}" for k in O.KEYS) + " FROM klast GROUP BY 1) k USING (cell_id)"
+PAGE_KPIS = ", ".join(O.KEYS)
 add("cell_table_paged", lambda s: V.cell_table(s, limit=20, offset=10), O.sql(
-    f"SELECT {PAGE}, call_drop, congestion FROM (SELECT * FROM state ORDER BY priority_score DESC NULLS LAST, cell_id LIMIT 20 OFFSET 10) {KPI_PAGE}", "state", "klast"))
+    f"SELECT {PAGE}, {PAGE_KPIS} FROM (SELECT * FROM state ORDER BY priority_score DESC NULLS LAST, cell_id LIMIT 20 OFFSET 10) {KPI_PAGE}", "state", "klast"))
 add("cell_table_filtered", lambda s: V.cell_table(s, search="nation", severity="Critical", min_priority=25), O.sql(
-    f"SELECT {PAGE}, call_drop, congestion FROM (SELECT * FROM state WHERE severity = 'Critical' AND priority_score >= 25 AND (contains(lower(cell), 'nation') OR contains(lower(site), 'nation') OR contains(lower(district), 'nation') OR contains(lower(region), 'nation')) "
+    f"SELECT {PAGE}, {PAGE_KPIS} FROM (SELECT * FROM state WHERE severity = 'Critical' AND priority_score >= 25 AND (contains(lower(cell), 'nation') OR contains(lower(site), 'nation') OR contains(lower(district), 'nation') OR contains(lower(region), 'nation')) "
     f"ORDER BY priority_score DESC NULLS LAST, cell_id LIMIT 100) {KPI_PAGE}", "state", "klast"))
 for g in ("daily", "weekly"):
     add(f"cell_detail_{g}", lambda s, g=g: V.cell_detail(s, 7, g), O.sql(
@@ -140,12 +147,12 @@ add("summary", V.summary, O.sql(
     "round(avg(prb_avg), 4) AS avg_prb, round(sum(volume_mb), 4) AS volume_mb, round(sum(users), 4) AS users, round(avg(throughput_kbps), 4) AS throughput_kbps, round(avg(availability_pct), 4) AS availability_pct "
     "FROM cw JOIN backs USING (period) WHERE back < 4)", "facts", "cells", "cw", "backs"))
 add("executive_cards", V.executive_cards, O.sql(
-    "SELECT kpi_key, label, current, previous, round(current - previous, 2) AS delta, round((current - previous) / nullif(abs(previous), 0) * 100, 1) AS delta_pct, "
-    "CASE WHEN current IS NULL THEN 'unavailable' WHEN NOT current > target THEN 'compliant' WHEN current > critical THEN 'non_compliant' WHEN current > warning THEN 'warning' ELSE 'non_compliant' END AS compliance, "
-    "CASE WHEN (current - previous) / nullif(abs(previous), 0) * 100 IS NULL THEN 'unknown' WHEN (current - previous) / abs(previous) * 100 > 1 THEN 'worsening' WHEN (current - previous) / abs(previous) * 100 < -1 THEN 'improving' ELSE 'stable' END AS trend, "
-    "nc_cells, round(100.0 * nc_cells / cells, 1) AS nc_pct, sparkline_mean FROM (SELECT kpi_key, label, target, warning, critical, max(value) FILTER (WHERE back = 0) AS current, max(value) FILTER (WHERE back = 1) AS previous, "
+    "SELECT technology, kpi_key, label, current, previous, round(current - previous, 2) AS delta, round((current - previous) / nullif(abs(previous), 0) * 100, 1) AS delta_pct, "
+    "CASE WHEN current IS NULL THEN 'unavailable' WHEN target IS NULL OR NOT sign * current > sign * target THEN 'compliant' WHEN sign * current > sign * critical THEN 'non_compliant' WHEN sign * current > sign * warning THEN 'warning' ELSE 'non_compliant' END AS compliance, "
+    "CASE WHEN previous IS NULL OR abs(round(current - previous, 2)) < 0.001 THEN 'stable' WHEN sign * round(current - previous, 2) > 0 THEN 'worsening' ELSE 'improving' END AS trend, "
+    "nc_cells, round(100.0 * nc_cells / cells, 1) AS nc_pct, sparkline_mean FROM (SELECT technology, kpi_key, label, target, warning, critical, CASE WHEN worse_is_higher THEN 1 ELSE -1 END AS sign, max(value) FILTER (WHERE back = 0) AS current, max(value) FILTER (WHERE back = 1) AS previous, "
     "max(nc) FILTER (WHERE back = 0) AS nc_cells, max(n) FILTER (WHERE back = 0) AS cells, round(avg(value), 4) AS sparkline_mean FROM "
-    "(SELECT kpi_key, label, target, warning, critical, period, back, round(avg(value), 4) AS value, count(DISTINCT CASE WHEN breached THEN cell_id END) AS nc, count(DISTINCT cell_id) AS n FROM kv JOIN backs USING (period) WHERE back < 12 GROUP BY ALL) GROUP BY ALL)", "kv", "backs"))
+    "(SELECT technology, kpi_key, label, target, warning, critical, worse_is_higher, period, back, round(avg(value), 4) AS value, count(DISTINCT CASE WHEN breached THEN cell_id END) AS nc, count(DISTINCT cell_id) AS n FROM kv JOIN backs USING (period) WHERE back < 12 GROUP BY ALL) GROUP BY ALL)", "kv", "backs"))
 O.define("hnet", ("ent_network_weekly",), O.HEALTH_NETWORK.format("ent_network_weekly"))
 add("executive_health", V.executive_health, O.sql(
     "SELECT score, previous, critical_cells, chronic_cells, persistent_cells, round(score - previous, 1) AS delta FROM "

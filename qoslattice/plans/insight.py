@@ -71,6 +71,10 @@ for g in ("weekly", "monthly"):
             f"SELECT metric, h, round(value, 2) AS value, round({bound('value - margin')}, 2) AS lower, round({bound('value + margin')}, 2) AS upper FROM (SELECT *, greatest(0.02 * value, CASE WHEN rmse > 0 THEN rmse ELSE 0.05 * abs(latest) END * sqrt(1 + 0.15 * (h - 1)) * 1.645) AS margin "
             f"FROM (SELECT *, {bound('level + slope * (SELECT sum(pow(0.92, i)) FROM range(1, 7) r(i) WHERE i <= o2.h)')} AS value FROM (SELECT *, CAST(unnest(range(1, 7)) AS INTEGER) AS h FROM o) o2))", "ent_network_weekly"))
 
+for level in ("site", "district", "region"):
+    _n = _holt(f"SELECT entity_id, period AS t, prb_avg AS v FROM ent_{level}_weekly", "entity_id")
+    add(f"forecast_{level}_weekly", lambda s, v=level: P.entity_forecast(s, v), _recursive(*_n, "true", f"SELECT entity_id, {REPORT} FROM o", f"ent_{level}_weekly"))
+
 
 def _daily(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet")
@@ -119,20 +123,33 @@ _pt = lambda terms: " + ".join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for p, c in
 LOW = "(volume_mb < 10 OR users < 2)"
 DIAG = {
     "congestion": (35, [(30, "prb_avg >= 80"), (30, "congestion >= 2"), (15, "up >= 10"), (15, "vp >= 10"), (15, "streak >= 3")], [(25, "prb_avg < 65")]),
-    "accessibility": (30, [(20, "congestion > 2")], []),
+    "accessibility": (30, [(30, "call_setup < 98.5"), (25, "data_access < 98"), (30, "data_failure > 1"), (20, "congestion > 2")], [(20, "call_setup >= 98.5")]),
     "retainability": (30, [(35, "call_drop > 1.5"), (15, "availability_pct < 99")], [(20, "call_drop <= 1.5")]),
     "sleeping_cell": (20, [(50, f"availability_pct >= 99 AND {LOW} AND (was_volume_mb > 100 OR was_users > 20)")], [(20, f"{LOW} AND availability_pct < 99"), (40, f"NOT {LOW}")]),
     "transport": (30, [(25, "tp <= -15"), (20, "throughput_kbps < 2000"), (10, "availability_pct >= 99.5"), (25, "prb_avg < 40 AND throughput_kbps < 2000")], [(20, "availability_pct < 95")]),
     "interference": (30, [(30, "prb_avg < 60 AND throughput_kbps < 4000"), (25, "call_drop > 1.5 AND prb_avg < 80"), (10, "availability_pct < 99")], [(20, "prb_avg >= 80")]),
 }
 O.define("diag", ("laglast", "kw"), "SELECT *, " + ", ".join(f"{CH.format(m)} AS {n}" for m, n in (("users", "up"), ("volume_mb", "vp"), ("throughput_kbps", "tp"))) + """ FROM laglast
-LEFT JOIN (SELECT period, cell_id, max(avg) FILTER (WHERE kpi_key = 'call_drop') AS call_drop, max(avg) FILTER (WHERE kpi_key = 'congestion') AS congestion FROM kw GROUP BY 1, 2) USING (period, cell_id)""")
+LEFT JOIN (SELECT period, cell_id, """ + ", ".join(f"max(avg) FILTER (WHERE kpi_key = '{k}') AS {k}" for k in O.KEYS) + """ FROM kw GROUP BY 1, 2) USING (period, cell_id)""")
+# What the rules say they saw, for and against, in the order of DIAG's conditions.
+SAID = {
+    "congestion": (["load", "blocking", "users grow", "volume grows", "lasting"], ["load far below threshold"]), "accessibility": (["setup", "data access", "data failures", "signalling blocked"], ["setup healthy"]),
+    "retainability": (["drops", "availability"], ["drops healthy"]), "sleeping_cell": (["available, yet idle"], ["unavailable", "carries traffic"]),
+    "transport": (["speed fell", "slow", "available", "slow without load"], ["unavailable"]), "interference": (["slow at low load", "drops without load", "availability"], ["loaded"]),
+}
+ADVICE = {
+    "congestion": "add capacity or move load", "accessibility": "check random access, signalling links and licences", "retainability": "check coverage edges, neighbours and hardware",
+    "sleeping_cell": "reset the cell and check its radio chain", "transport": "check the backhaul''s rate and errors", "interference": "scan the uplink and check tilts",
+}
+_said = lambda terms, names: "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for (_, c), n in zip(terms, names)) + ")"
 add("diagnosis", V.diagnosis, O.sql(
-    "SELECT cell_id, hypothesis, score, CASE WHEN score >= 65 THEN 'consistent' WHEN score >= 45 THEN 'suggests' ELSE 'weak' END AS verdict, CASE WHEN score >= 70 THEN 'High' WHEN score >= 40 THEN 'Medium' ELSE 'Low' END AS confidence FROM ("
-    + " UNION ALL ".join(f"SELECT cell_id, '{k}' AS hypothesis, CAST(least(95, greatest(5, {b} + {_pt(s)} - ({_pt(c)}))) AS BIGINT) AS score FROM diag" for k, (b, s, c) in DIAG.items()) + ")", "diag"))
-add("events_timeline", V.events_timeline, O.sql(
+    "SELECT cell_id, hypothesis, score, supporting, opposing, CASE WHEN score >= 45 THEN advice END AS advice, CASE WHEN score >= 65 THEN 'consistent' WHEN score >= 45 THEN 'suggests' ELSE 'weak' END AS verdict, CASE WHEN score >= 70 THEN 'High' WHEN score >= 40 THEN 'Medium' ELSE 'Low' END AS confidence FROM ("
+    + " UNION ALL ".join(f"SELECT cell_id, '{k}' AS hypothesis, CAST(least(95, greatest(5, {b} + {_pt(s)} - ({_pt(c)}))) AS BIGINT) AS score, {_said(s, SAID[k][0])} AS supporting, {_said(c, SAID[k][1])} AS opposing, '{ADVICE[k]}' AS advice FROM diag" for k, (b, s, c) in DIAG.items()) + ")", "diag"))
+O.define("prio_all", ("life", "peers"), O.CTES["prio"][1].replace("FROM last JOIN", "FROM life JOIN"))
+add("events_timeline", lambda s: V.events_timeline(s, s.cells.filter("cell_id % 10 = 3").select("cell_id", F.lit("2001-05-07").cast("date").alias("at"), F.lit("ops").alias("author"), F.concat(F.lit("checked "), "cell").alias("note"))), O.sql(
     "SELECT cell_id, period, 'lifecycle' AS kind, was || ' -> ' || lifecycle AS note FROM (SELECT *, lag(lifecycle) OVER (PARTITION BY cell_id ORDER BY period) AS was FROM life) WHERE was <> lifecycle "
-    "UNION ALL SELECT cell_id, period, 'health', CASE WHEN score > was THEN 'up' ELSE 'down' END FROM (SELECT *, lag(score) OVER (PARTITION BY cell_id ORDER BY period) AS was FROM hcell) WHERE abs(score - was) >= 5", "life", "hcell"))
+    "UNION ALL SELECT cell_id, period, 'priority', CASE WHEN balanced > was THEN 'up' ELSE 'down' END FROM (SELECT *, lag(balanced) OVER (PARTITION BY cell_id ORDER BY period) AS was FROM prio_all) WHERE abs(balanced - was) >= 5 "
+    "UNION ALL SELECT cell_id, DATE '2001-05-07', 'note', 'ops: checked ' || cell FROM cells WHERE cell_id % 10 = 3", "life", "prio_all", "cells"))
 BA = " UNION ALL ".join(
     f"SELECT '{m}' AS metric, round(avg(x) FILTER (WHERE NOT after), 4) AS before, round(avg(x) FILTER (WHERE after), 4) AS after FROM (SELECT period, after, {AGG[m]}({m}) AS x FROM cw JOIN sides USING (period) WHERE rn <= 8 GROUP BY 1, 2)" for m in METRICS)
 O.define("sides", ("cw",), "SELECT period, period >= DATE '2000-06-05' AS after, row_number() OVER (PARTITION BY period >= DATE '2000-06-05' ORDER BY abs(period - DATE '2000-06-05')) AS rn FROM (SELECT DISTINCT period FROM cw)")
@@ -155,9 +172,7 @@ for name, sc in (("what_if_simulation", V.Scenario()), ("what_if_full_upgrade",
 
 def _cut(star):
     """The star as it was at the end of 2000."""
-    from dataclasses import replace
-
-    return replace(star, facts=star.facts.filter("date < '2001-01-01'"), extras=star.extras.filter("date < '2001-01-01'"))
+    return star.where(F.col("date") < F.lit("2001-01-01").cast("date"))
 
 
 def _figures(where: str) -> str:

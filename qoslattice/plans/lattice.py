@@ -28,8 +28,8 @@ add("cell_monthly", A.cell_monthly, O.sql("SELECT * FROM cm", "cm"))
 add("cell_weekly_complete", lambda s: A.cell_weekly(s, complete_weeks_only=True), O.sql("SELECT * FROM cw WHERE period + 6 <= (SELECT max(date) FROM facts)", "cw", "facts"))
 for g in ("weekly", "monthly"):
     add(f"kpi_{g}", lambda s, g=g: A.kpi_period(s, g), O.sql(
-        f"SELECT {O.start('date', g)} AS period, cell_id, kpi_key, round(avg(value), 4) AS avg, round(sum(value), 4) AS sum, round(max(value), 4) AS max, "
-        "round(min(value), 4) AS min, count(value) AS observed_days FROM extras GROUP BY 1, 2, 3", "extras"))
+        f"SELECT {O.start('date', g)} AS period, cell_id, technology, kpi_key, round(avg(value), 4) AS avg, round(sum(value), 4) AS sum, round(max(value), 4) AS max, "
+        "round(min(value), 4) AS min, count(value) AS observed_days FROM extras GROUP BY 1, 2, 3, 4", "extras"))
 for g in A.GRAINS:
     for level in ("site", "district", "region", "network"):
         add(f"entity_{level}_{g}", lambda s, v=level, g=g: A.entity_period(s, v, g), O.sql(f"SELECT * FROM ent_{level}_{g}", f"ent_{level}_{g}"))
@@ -55,7 +55,7 @@ def with_gaps(star):
     f = star.facts
     for m, every in (("prb", 5), ("users", 7)):
         f = f.withColumn(m, F.when(F.col("cell_id") % every != 0, F.col(m)))
-    star.facts = f
+    star.facts, star.wide = f, None
     return star
 
 

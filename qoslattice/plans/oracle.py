@@ -71,14 +71,19 @@ MONEY = "CAST(sum(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
 define("wide", (), f"""
 SELECT l_suppkey AS cell_id, CAST(l_shipdate AS DATE) AS date, {MONEY.format('l_quantity')} / count(*) * 2 AS prb, {MONEY.format('l_extendedprice')} / 1000 AS volume_mb,
   {MONEY.format('l_quantity')} AS users, {MONEY.format('l_extendedprice')} / count(*) / 2 AS throughput_kbps, 100 - {MONEY.format('l_tax')} / count(*) * 25 AS availability_pct,
-  {MONEY.format('l_discount')} / count(*) * 20 AS call_drop, count(*) FILTER (WHERE l_returnflag = 'R') / count(*) * 5 AS congestion
+  {MONEY.format('l_discount')} / count(*) * 20 AS call_drop, count(*) FILTER (WHERE l_returnflag = 'R') / count(*) * 5 AS congestion,
+  100 - count(*) FILTER (WHERE l_linestatus = 'F') / count(*) * 4 AS call_setup, {MONEY.format('l_tax')} / count(*) * 30 AS data_failure,
+  100 - {MONEY.format('l_discount')} / count(*) * 40 AS data_access, {MONEY.format('l_extendedprice')} / 500 AS payload
 FROM lineitem GROUP BY ALL""")
 define("facts", ("wide",), "SELECT cell_id, date, prb, volume_mb, users, throughput_kbps, availability_pct FROM wide")
-define("extras", ("wide",), "SELECT cell_id, date, 'call_drop' AS kpi_key, call_drop AS value FROM wide UNION ALL SELECT cell_id, date, 'congestion', congestion FROM wide")
+KEYS = ("call_drop", "congestion", "call_setup", "data_failure", "data_access", "payload")
+define("extras", ("wide",), " UNION ALL ".join(f"SELECT cell_id, date, '{'3G' if k in ('data_access', 'payload') else '4G'}' AS technology, '{k}' AS kpi_key, {k} AS value FROM wide" for k in KEYS))
 define("kpis", (), """
-SELECT * FROM (VALUES ('call_drop', 'Call drop rate', '%', true, 'Retainability', 1.5::DOUBLE, 1.0::DOUBLE, 1.9::DOUBLE, 'avg', true, true),
-  ('congestion', 'Congestion', '%', true, 'Congestion', 2.0, 1.5, 4.0, 'avg', false, false))
-  AS t(kpi_key, label, unit, worse_is_higher, category, target, warning, critical, agg, is_core, persistent)""")
+SELECT * FROM (VALUES ('4G', 'call_drop', 'Call drop rate', '%', true, 'Retainability', 1.5::DOUBLE, 1.0::DOUBLE, 1.9::DOUBLE, 'avg', true, true),
+  ('4G', 'congestion', 'Congestion', '%', true, 'Congestion', 2.0, 1.5, 4.0, 'avg', false, false), ('4G', 'call_setup', 'Call setup success', '%', false, 'Accessibility', 98.5, 99.0, 95.0, 'avg', false, false),
+  ('4G', 'data_failure', 'Data failure', '%', true, 'Accessibility', 1.0, 0.8, 2.0, 'max', false, false), ('3G', 'data_access', 'Data access success', '%', false, 'Accessibility', 98.0, 98.5, 95.0, 'min', false, false),
+  ('3G', 'payload', 'Payload', 'MB', false, 'Integrity', NULL, NULL, NULL, 'sum', false, false))
+  AS t(technology, kpi_key, label, unit, worse_is_higher, category, target, warning, critical, agg, is_core, persistent)""")
 define("flagged", ("wide",), f"SELECT *, prb >= {T} AS prb_breach, (prb >= {T} OR call_drop > 1.5) AS is_breach FROM wide")
 define("cw", ("flagged",), f"""
 SELECT {start('date', 'weekly')} AS period, cell_id, count(*) AS observed_days, count(*) FILTER (WHERE is_breach) AS breach_days, {MEASURES},
@@ -117,10 +122,10 @@ def _lifecycle(grain: str, opening: bool) -> str:
 SELECT period, cell_id, is_nc, streak, lifecycle, trend,
   CASE WHEN score = 0 THEN 'Normal' WHEN score >= 75 THEN 'Critical' WHEN score >= 45 THEN 'High' ELSE 'Watch' END AS severity, score AS severity_score,
   observed_days, breach_days, prb_avg, throughput_kbps, users, volume_mb, availability_pct
-FROM (SELECT *, CAST(CASE WHEN NOT is_nc THEN 0 ELSE
+FROM (SELECT *, CAST(CASE WHEN NOT is_nc THEN 0 ELSE least(100,
     CASE lifecycle WHEN 'Recurring' THEN 60 WHEN 'Persistent' THEN 80 WHEN 'Chronic' THEN 90 ELSE 40 END
     + CASE WHEN e >= 20 THEN 25 WHEN e >= 10 THEN 15 WHEN e >= 5 THEN 10 WHEN e >= 0 THEN 5 ELSE 0 END + least(15, 2 * breach_days)
-    + CASE WHEN trend = 'Worsening' THEN 10 ELSE 0 END + CASE WHEN availability_pct < 99 THEN 5 ELSE 0 END END AS BIGINT) AS score
+    + CASE WHEN trend = 'Worsening' THEN 10 ELSE 0 END + CASE WHEN availability_pct < 99 THEN 5 ELSE 0 END) END AS BIGINT) AS score
   FROM (SELECT *, prb_avg - {T} AS e,
       CASE WHEN nth = 1 THEN 'Stable' WHEN {net} >= 2 THEN 'Improving' WHEN {net} <= -2 THEN 'Worsening' ELSE 'Stable' END AS trend,
       CASE WHEN NOT is_nc THEN CASE WHEN coalesce(was_nc, false) THEN 'Recovering' ELSE 'Healthy' END

@@ -13,7 +13,12 @@ def components(links: DataFrame) -> DataFrame:
     node that can be reached.
 
     Each round takes the smallest label among a node and its neighbours, then
-    jumps to that label's own label, so a chain's reach doubles with each round.
+    jumps to that label's own label, so a chain's reach doubles with each round. A
+    hub's rows meet one row of the other side, by a sort-merge join whose large
+    partitions Spark splits; groups are added up before they are shuffled.
+
+    Defined results: links of a node to itself and repeated links add nothing; no
+    links give no nodes; ends are not null.
     Every round is written to the shared folder; it ends when no label changes.
     """
     # Written first: the links' own plan would run once for each direction.

@@ -2,9 +2,9 @@
 
 Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased.
 Each benchmark item yields its windows of ``WINDOW`` words (a shorter item: its
-whole sequence). Every window of every document is looked up by hash in the set
-of test windows; what is found is verified word by word in a join, and the
-verified windows mark words as hit.
+whole sequence). The hashes of these windows are broadcast; every window of every
+document is looked up by its hash where the document is read, and what is found
+is verified word by word. Verified windows are united to spans of hit words.
 
 Defined results: a null or wordless document has no words and no hits; an item
 without words has no windows; items of equal text are all named; rows of equal
@@ -12,23 +12,29 @@ or null doc_id are judged on their own text; empty tables give an empty result
 or no hits; other columns are ignored, or kept by ``remove_spans`` and
 ``drop_documents``.
 
-Scale: a document's windows are only kept where their hash is in the set, so
-nothing but candidates is shuffled; removal needs no shuffle at all. The set is broadcast up to SET_LIMIT
-distinct windows, counted first; beyond it windows are joined by a shuffle.
+Scale: a window that isn't in the set never leaves its task; what goes on is its
+hash and place. The set is broadcast in portions of PORTION windows, counted
+first: a larger benchmark means more passes over the documents by the same plan.
+Spans come back to their texts by a broadcast where their counted number allows,
+else by a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, text_key, whole_text, with_text
+from .common import lower_ascii, materialize, text_key, whole_text, with_text
 
 #: A word of a text whose letters are not lower-cased yet.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Windows that are broadcast at most, some 100 bytes each.
-SET_LIMIT = 100_000
+#: Hashes in a broadcast, at most: two longs each, 32 MB or so in a task's memory.
+PORTION = 1_000_000
+#: Documents with spans that are broadcast, at most, and spans of them all.
+BROADCAST_DOCS, BROADCAST_SPANS = 50_000, 200_000
 #: The code points that end a word.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -54,118 +60,107 @@ def test_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-class TestSet:
-    """The distinct test windows by length; ``known`` holds them as sets if they
-    are SET_LIMIT at most, counted first, else it is None."""
-
-    __test__ = False
-
-    def __init__(self, benchmark: DataFrame, window: int = WINDOW, set_limit: int = SET_LIMIT):
-        self.grams = test_windows(benchmark, window)
-        counts = self.grams.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").collect()
-        self.lengths = [r["length"] for r in counts]
-        self.known = None
-        if sum(r["n"] for r in counts) <= set_limit:
-            rows = self.grams.select("length", "gram", F.xxhash64(F.split("gram", " ")).alias("h")).collect()
-            self.known = {n: ([r["h"] for r in rows if r["length"] == n], [r["gram"] for r in rows if r["length"] == n]) for n in self.lengths}
+def _hash(words: Column, at: Column, length: Column) -> Column:
+    return F.xxhash64(F.slice(words, at, length))
 
 
-def _windows(words: Column, tests: TestSet, verify: bool) -> Column:
-    """Array of struct(first, after, gram): windows in the set by hash; with
-    ``verify``, by their words, too. Without a set, all windows."""
+def windows(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, text_key, words, first, length, h): all windows of the documents, ``first`` from 0."""
+    words = docs.select("doc_id", text_key().alias("text_key"), words_of(whole_text()).alias("words"))
 
     def of(length: int) -> Column:
-        gram = lambda i: F.array_join(F.slice(words, i, length), " ")
         # slice counts from 1, results from 0.
-        starts = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - length + 1)).otherwise(F.array().cast("array<int>"))
-        if tests.known is not None:
-            hashes, grams = tests.known[length]
-            met = lambda i: F.xxhash64(F.slice(words, i, length)).isin(hashes)
-            starts = F.filter(starts, lambda i: met(i) & gram(i).isin(grams) if verify else met(i))
-        return F.transform(starts, lambda i: F.struct((i - 1).alias("first"), (i - 1 + length).alias("after"), gram(i).alias("gram")))
-
-    none = F.array().cast("array<struct<first:int,after:int,gram:string>>")
-    return F.concat(*map(of, tests.lengths)) if tests.lengths else none
-
-
-def hits(docs: DataFrame, tests: TestSet) -> DataFrame:
-    """(doc_id, text_key, spans, items) of the documents with verified windows.
-
-    ``spans``: sorted array of struct(first, after), in words; ``items``: sorted
-    ids as strings. Equal rows share one result.
-    """
-    words = docs.select("doc_id", text_key().alias("text_key"), words_of(whole_text()).alias("words"))
-    windows = words.select("doc_id", "text_key", F.explode(_windows(F.col("words"), tests, False)).alias("w")).select("doc_id", "text_key", "w.*")
-    kept = F.broadcast(tests.grams) if tests.known is not None else tests.grams
-    verified = windows.join(kept.select("gram", "items"), "gram")
-    # A document's own windows bound each group.
-    return verified.groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.collect_set(F.struct("first", "after"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
+        starts = F.when(F.size("words") >= length, F.sequence(F.lit(1), F.size("words") - length + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct((i - 1).alias("first"), F.lit(length).alias("length"), _hash(F.col("words"), i, F.lit(length)).alias("h")))
+
+    return words.select("doc_id", "text_key", "words", F.explode(F.concat(*map(of, lengths))).alias("w")).select("doc_id", "text_key", "words", "w.*")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, portion: int = PORTION) -> DataFrame:
+    """(doc_id, text_key, first, after, items): the documents' windows that are test
+    windows word by word; ``items``: the ids of the items that hold it, as strings.
+    Equal rows give equal windows."""
+    grams = materialize(test_windows(benchmark, window).withColumn("h", F.xxhash64(F.split("gram", " "))))
+    counts = {r["length"]: r["n"] for r in grams.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return docs.sparkSession.createDataFrame([], "doc_id long, text_key long, first int, after int, items array<string>")
+    portions = -(-sum(counts.values()) // portion)
+    every = windows(docs, sorted(counts))
+    found = []
+    for i in range(portions):
+        known = grams.filter(F.pmod("h", F.lit(portions)) == i).select("h", "length").distinct()
+        met = every.join(F.broadcast(known), ["h", "length"])
+        gram = F.array_join(F.slice("words", F.col("first") + 1, F.col("length")), " ")
+        # Each portion is a job of its own: its broadcast is gone before the next.
+        found.append(materialize(met.select("doc_id", "text_key", "first", (F.col("first") + F.col("length")).alias("after"), gram.alias("gram")).distinct()))
+    return reduce(DataFrame.unionByName, found).join(grams.select("gram", "items"), "gram").drop("gram")
+
+
+def spans_of(found: DataFrame) -> DataFrame:
+    """(doc_id, text_key, spans, n_hit): the windows of ``hits`` united to disjoint
+    spans, an array of struct(first, after) by place, and the words in them."""
+    mine = Window.partitionBy("doc_id", "text_key")
+    before = F.max("after").over(mine.orderBy("first", "after").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = found.select("doc_id", "text_key", "first", "after", (F.coalesce(before, F.lit(-1)) < F.col("first")).cast("int").alias("fresh"))
+    island = F.sum("fresh").over(mine.orderBy("first", "after").rowsBetween(Window.unboundedPreceding, 0))
+    islands = fresh.withColumn("island", island).groupBy("doc_id", "text_key", "island").agg(F.min("first").alias("first"), F.max("after").alias("after"))
+    return islands.groupBy("doc_id", "text_key").agg(
+        F.array_sort(F.collect_list(F.struct("first", "after"))).alias("spans"), F.sum(F.col("after") - F.col("first")).alias("n_hit")
     )
 
 
-def covered(spans: Column) -> Column:
-    """How many words the sorted ``spans`` cover together."""
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.greatest(F.lit(0), s["after"] - F.greatest(s["first"], acc["end"]))
-        return F.struct(F.greatest(acc["end"], s["after"]).alias("end"), (acc["n"] + fresh).alias("n"))
-
-    return F.aggregate(spans, start, step, lambda acc: acc["n"])
-
-
-def _with_hits(docs: DataFrame, found: DataFrame) -> DataFrame:
-    right = found.select(F.col("doc_id").alias("_of"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"), F.col("items").alias("_items"))
+def _joined(docs: DataFrame, right: DataFrame) -> DataFrame:
+    right = right.withColumnsRenamed({"doc_id": "_of", "text_key": "_key"})
     return docs.join(right, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("text_key") == F.col("_key")), "left").drop("_of", "_key")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     counted = docs.select("doc_id", text_key().alias("text_key"), F.size(words_of(whole_text())).cast("long").alias("n_words"))
-    items = F.coalesce("_items", F.array().cast("array<string>"))
-    n_hit = F.coalesce(covered(F.col("_spans")), F.lit(0).cast("long"))
-    return _with_hits(counted, hits(docs, TestSet(benchmark))).select(
+    found = hits(docs, benchmark)
+    named = found.select("doc_id", "text_key", F.explode("items").alias("item")).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    both = spans_of(found).select("doc_id", "text_key", "n_hit").join(named.withColumnsRenamed({"doc_id": "i", "text_key": "k"}), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k"))).drop("i", "k")
+    return _joined(counted, both).select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
 
 def _marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(row, text, words, spans): ``docs`` as struct ``row``, words and hit spans.
-
-    With the set at hand spans are found where the text is read; without it they
-    come from the join of windows."""
-    tests = TestSet(benchmark)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", text_key().alias("text_key"), words_of(whole_text()).alias("words"))
-    if tests.known is None:
-        rows = _with_hits(rows, hits(docs, tests)).withColumn("spans", F.coalesce("_spans", F.array().cast("array<struct<first:int,after:int>>")))
-    else:
-        plain = F.transform(_windows(F.col("words"), tests, True), lambda w: F.struct(w["first"].alias("first"), w["after"].alias("after")))
-        rows = rows.withColumn("spans", F.array_sort(plain))
-    return rows.select("row", "text", "words", "spans")
+    """(row, text, spans, n_hit): ``docs`` as struct ``row``, with their spans of hit words."""
+    spans = materialize(spans_of(hits(docs, benchmark)))
+    size = spans.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
+    small = size["docs"] <= BROADCAST_DOCS and size["spans"] <= BROADCAST_SPANS
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", text_key().alias("text_key"))
+    return _joined(rows, F.broadcast(spans) if small else spans.hint("merge")).select("row", "text", "spans", F.coalesce("n_hit", F.lit(0)).alias("n_hit"))
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.0) -> DataFrame:
     """``docs`` without those of whose words more than ``most_share`` are hit."""
-    share = covered(F.col("spans")) / F.greatest(F.lit(1), F.size("words"))
+    share = F.when(F.col("n_hit") > 0, F.col("n_hit") / F.size(words_of(F.col("text")))).otherwise(0.0)
     return _marked(docs, benchmark).filter(share <= most_share).select("row.*")
 
 
+def without(text: Column, spans: Column) -> Column:
+    """``text`` less the words of the disjoint ``spans`` (one at least, by place), from a
+    span's first letter to its last."""
+    # Word and gap alternate: gap 0, word 0, gap 1, word 1 ... gap n. A word's mark:
+    # 0 it stays, 1 it goes, 2 it goes with the gap before it.
+    marks = F.flatten(F.transform(spans, lambda s, i: F.concat(
+        F.array_repeat(F.lit(0), s["first"] - F.when(i > 0, spans[i - 1]["after"]).otherwise(0)), F.array(F.lit(1)), F.array_repeat(F.lit(2), s["after"] - s["first"] - 1)
+    )))
+    pieces = F.arrays_zip(F.split(text, WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("word"), marks.alias("mark"))
+    mark = lambda p: F.coalesce(p["mark"], F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(mark(p) == 0, F.concat(p["gap"], F.coalesce(p["word"], F.lit("")))).when(mark(p) == 1, p["gap"]).otherwise("")), "")
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with hit words cut out of ``text``, from a span's first letter to
     its last; ``n_chars`` follows the text. Texts without hits stay as they are."""
     rows = _marked(docs, benchmark)
-    text = F.col("text")
-    # Word and gap alternate: gap 0, word 0, gap 1, word 1 ... gap n.
-    pieces = F.arrays_zip(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("word"), F.split(text, WORD, -1).alias("gap"))
-    hit = lambda i: F.exists("spans", lambda s: (s["first"] <= i) & (i < s["after"]))
-    inside = lambda i: F.exists("spans", lambda s: (s["first"] < i) & (i < s["after"]))
-    kept = F.array_join(
-        F.transform(pieces, lambda p, i: F.concat(F.when(inside(i), "").otherwise(p["gap"]), F.when(hit(i), "").otherwise(F.coalesce(p["word"], F.lit(""))))),
-        "",
-    )
-    clean = F.size("spans") == 0
-    return with_text(rows, docs.columns, F.when(clean, text).otherwise(kept), clean)
+    clean = F.col("n_hit") == 0
+    return with_text(rows, docs.columns, F.when(clean, F.col("text")).otherwise(without(F.col("text"), F.col("spans"))), clean)
 
 
 ORACLE_SQL = r"""

@@ -1,9 +1,8 @@
 """Document fingerprints by consistent weighted sampling.
 
-A document is a weighted set: each word ends one run of up to five words (runs
-at the start are marked as such), weighted by how often it occurs. For each of
-SAMPLES samples and each term, gamma variables r and c and a uniform b, all
-drawn from the term's hash, give
+A document is a weighted set: its words, lower-cased, weighted by how often they
+occur. For each of SAMPLES samples and each term, gamma variables r and c and a
+uniform b, all drawn from the term's hash, give
 
     t = floor(ln(weight) / r + b),  y = exp(r (t - b)),  a = c / (y exp(r)),
 
@@ -20,9 +19,10 @@ In ``edited_report`` a document's next is the following one by descending
 doc_id (null ids last; equal ids by the hash of the text); a single document is
 its own next; an empty table gives an empty result; other columns are ignored.
 
-Scale: neighbours meet by one shuffle of the texts into ranges of doc_id. Each
-range also gets the first document of the next one; rows stream through a task
-in batches, so a range of any size fits.
+Scale: neighbours meet by one shuffle of the texts into ranges of doc_id and text
+hash, whose bounds come from a sample of keys; they decide the balance alone, never
+the result. Each range also gets the first document of the next one; rows stream
+through a task in batches, so a range of any size fits.
 """
 
 from __future__ import annotations
@@ -33,18 +33,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_key, whole_text
 
 SAMPLES = 128
-TERM_WORDS = 5
 SEED = 42
 #: Terms of texts that are sampled together, at most by one text.
 BATCH_TERMS = 1 << 15
-#: Ranges for each shuffle partition: more of them even out what a task gets.
-RANGES_EACH = 4
+#: Ranges for each shuffle partition: more of them even out what a task gets; and keys
+#: sampled for each range, about.
+RANGES_EACH, KEYS_EACH = 4, 20
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -57,22 +57,10 @@ FACTORS, OFFSETS = _draws()
 
 
 def term_hashes(text: str, reuse: tuple[int, np.ndarray] | None = None) -> np.ndarray:
-    """A hash for each word's run; ``reuse``: (k, hashes) of a text that starts with the same k words."""
+    """A hash for each word; ``reuse``: (k, hashes) of a text that starts with the same k words."""
     words = text.encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = 0
-    if reuse is not None:
-        known = min(reuse[0], len(words))
-    joined = b" " + b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1)
-    starts = ends - lengths
-    # A run at the start begins with the blank before the first word, which marks it.
-    low = np.concatenate([np.zeros(TERM_WORDS - 1, np.int64), starts])[: len(words)]
-    digest = xxhash.xxh64_intdigest
-    fresh = [digest(joined[a:b], SEED) for a, b in zip(low[known:].tolist(), ends[known:].tolist())]
-    fresh = np.array(fresh, np.uint64)
+    known = min(reuse[0], len(words)) if reuse else 0
+    fresh = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words[known:]], np.uint64)
     return np.concatenate([reuse[1][:known], fresh]) if known else fresh
 
 
@@ -204,25 +192,45 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = rows.iloc[[-1]]
 
 
+#: A row's place in the order: by descending doc_id, null ids last, then by the hash of the text.
+PLACE = np.dtype([("none", np.int8), ("id", np.int64), ("key", np.int64)])
+
+
+def _place() -> list[Column]:
+    return [F.col("doc_id").isNull().cast("byte").alias("none"), F.bitwise_not(F.coalesce("doc_id", F.lit(0)).cast("long")).alias("id"), F.col("text_key").alias("key")]
+
+
+def range_bounds(rows: DataFrame, count: int) -> np.ndarray:
+    """The places at which ``count`` ranges of about as many rows begin, but for the first."""
+    thin = max(1, rows.count() // (KEYS_EACH * count))
+    keys = rows.select(*_place()).distinct().filter(F.pmod(F.xxhash64("none", "id", "key"), F.lit(thin)) == 0)
+    found = np.sort(np.array([tuple(r) for r in keys.collect()], PLACE), order=["none", "id", "key"])
+    return found[[len(found) * i // count for i in range(1, count)]] if len(found) else found
+
+
 def edited_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited form, and how alike they are."""
     spark = docs.sparkSession
-    count = RANGES_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = docs.approxQuantile("doc_id", [i / count for i in range(1, count)], 1 / (8 * count))
-    limits = F.array(*[F.lit(int(x)) for x in sorted(set(bounds))]).cast("array<long>")
-    where = F.when(F.col("doc_id").isNull(), F.size(limits) + 1).otherwise(F.size(F.filter(limits, lambda x: x > F.col("doc_id"))))
-    rows = docs.select("doc_id", text_key().alias("text_key"), whole_text().alias("text"), where.alias("range"))
-
-    firsts = rows.groupBy("range").agg(F.max("doc_id").alias("first_id"))  # a row for each range
-    ranges = sorted(r["range"] for r in firsts.select("range").collect())
-    before = dict(zip(ranges, [*ranges[-1:], *ranges[:-1]]))
-    if not ranges:
-        return spark.createDataFrame([], REPORT)
-    lend_to = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("range"))
+    rows = docs.select("doc_id", text_key().alias("text_key"), whole_text().alias("text"))
+    bounds = spark.sparkContext.broadcast(range_bounds(docs.select("doc_id", text_key().alias("text_key")), RANGES_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    @F.pandas_udf("int")
+    def range_of(none: pd.Series, ids: pd.Series, keys: pd.Series) -> pd.Series:
+        at = np.zeros(len(ids), PLACE)
+        at["none"], at["id"], at["key"] = none, ids, keys
+        return pd.Series(np.searchsorted(bounds.value, at, side="right").astype(np.int32))
+
+    place = F.struct(*_place())
+    rows = rows.withColumn("range", range_of(*_place()))
+    keys = docs.select("doc_id", text_key().alias("text_key")).withColumn("range", range_of(*_place()))
+    # A row for each range; the last one's next is the first.
+    firsts = keys.groupBy("range").agg(F.min(place).alias("first"))
+    lend_to = F.coalesce(F.lag("range").over(Window.orderBy("range")), F.max("range").over(Window.partitionBy()))
+    firsts = firsts.select(F.col("range").alias("of"), "first", lend_to.alias("lend_to"))
     lent = (
-        rows.join(F.broadcast(firsts.withColumnRenamed("range", "of")), (F.col("range") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .groupBy("range").agg(F.min_by(F.struct("doc_id", "text_key", "text"), F.struct(F.col("text_key").isNotNull(), "text_key")).alias("x"))
-        .select("x.*", lend_to.alias("range"), F.lit(True).alias("lent"))
+        rows.join(F.broadcast(firsts), (F.col("range") == F.col("of")) & (place == F.col("first")))
+        .groupBy("lend_to").agg(F.first(F.struct("doc_id", "text_key", "text")).alias("x"))
+        .select("x.*", F.col("lend_to").alias("range"), F.lit(True).alias("lent"))
     )
     every = rows.withColumn("lent", F.lit(False)).unionByName(lent)
     order = ["range", "lent", F.col("doc_id").desc_nulls_last(), "text_key"]

@@ -216,7 +216,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS) -> Dat
     rest = [c for c in docs.columns if c not in added]
     keyed = docs.select(F.struct(*rest).alias("row"), "doc_id", "source", text_key().alias("text_key")).select("row", key)
     # The window uses the join's own partitioning: texts are shuffled once.
-    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+    others = [F.col(f"row.`{c}`") for c in rest if c != "text"]
+    nth = F.row_number().over(Window.partitionBy("row_key").orderBy(F.to_json(F.struct(*others)) if others else "row_key"))
     out = keyed.join(shares, "row_key").select("row", "shares", nth.alias("nth")).filter(F.col("nth") <= F.size("shares"))
     return out.select("row", F.element_at("shares", F.col("nth")).alias("t")).select("row.*", *[f"t.{c}" for c in added])
 

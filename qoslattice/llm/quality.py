@@ -1,10 +1,13 @@
 """Quality classifier over supervised subword embeddings.
 
-A text's features are its words, as written, for each word whether it repeats
-the one before, and the character n-grams of its bytes, hashed into BUCKETS. Each bucket has a learned vector; a document is the
+A text's features are its words, as written, its pairs of neighbouring words and the
+character n-grams of its bytes, hashed into BUCKETS; a pair's hash is the exclusive or
+of its words' hashes, so order does not tell pairs apart and a word next to itself is
+one feature whatever the word. Each bucket has a learned vector; a document is the
 mean of its features' vectors, and a softmax over two outputs gives the label.
-Vectors and outputs are trained together by stochastic gradient descent in
-numpy. As output follows mean linearly, scoring needs one number a bucket.
+Vectors and outputs are trained together by stochastic gradient descent on the log
+loss in numpy, text by text. As output follows mean linearly, scoring needs one
+number a bucket.
 
 Defined results: a null or empty text is scored by the bias alone; without
 labelled rows every score is 0.5; rows of equal or null doc_id are scored on
@@ -26,24 +29,25 @@ from .training import fit, held_out, labelled_sample
 BITS = 16
 BUCKETS = 1 << BITS
 DIMENSIONS = 16
-RATE, EPOCHS = 1.0, 8
+EPOCHS = 6
+#: Step sizes of the outputs, and of the vectors: a feature has a small share in a
+#: document, so its gradient is small, too. A vector's step is at most CALM over the
+#: squared length of the shares, so that short texts are not overshot.
+OUTPUT_RATE, VECTOR_RATE, CALM = 0.5, 300.0, 0.5
 #: Labelled rows learnt from, at most.
 SAMPLE_ROWS = 4000
 GRAMS = (2, 3, 4)
 THRESHOLD = 0.3
-#: Hashes of the features of a word that repeats the one before, or does not.
-AGAIN, FRESH = np.uint64(0x3333333333333333), np.uint64(0xCCCCCCCCCCCCCCCC)
 #: Bytes whose n-grams are hashed at once.
 CHUNK = 1 << 16
 
 
 def features(text: str) -> np.ndarray:
-    """Buckets of the text's words and character n-grams, with repeats."""
+    """Buckets of the text's words, word pairs and character n-grams, with repeats."""
     raw = (text or "").encode("utf-8", "replace")
     digest = xxhash.xxh64_intdigest
     words = np.array([digest(w) for w in raw.split()], np.uint64)
-    again = np.where(words[1:] == words[:-1], AGAIN, FRESH)
-    out = [words, again, again]
+    out = [words, (words[1:] ^ words[:-1]) * np.uint64(0xBF58476D1CE4E5B9)]
     for at in range(0, len(raw), CHUNK):
         part = np.frombuffer(raw[at : at + CHUNK + max(GRAMS) - 1], np.uint8).astype(np.uint64)
         for n in GRAMS:
@@ -56,32 +60,38 @@ def features(text: str) -> np.ndarray:
     return (np.concatenate(out) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, shares in the document's features)."""
+    at, n = np.unique(features(text), return_counts=True)
+    return at.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
+
+
+def gradients(vectors: np.ndarray, outputs: np.ndarray, bias: np.ndarray, at: np.ndarray, share: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text's log loss, by the vectors ``at``, the outputs and the bias."""
+    mean = share @ vectors[at]
+    raw = outputs @ mean + bias
+    p = np.exp(raw - raw.max())
+    p /= p.sum()
+    p[label] -= 1
+    return share[:, None] * (p @ outputs), np.outer(p, mean), p
+
+
 def learn(sample: pd.DataFrame) -> np.ndarray:
     """One logit a bucket, then the bias."""
     rng = np.random.default_rng(0)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
     outputs, bias = np.zeros((2, DIMENSIONS)), np.zeros(2)
-    rows = []
-    for text in sample["text"]:
-        at, n = np.unique(features(text), return_counts=True)
-        rows.append((at.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
-    labels = sample["label"].to_numpy()
+    rows, labels = [shares(t) for t in sample["text"]], sample["label"].to_numpy()
     steps, done = EPOCHS * len(rows), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
-            rate = RATE * (1 - done / steps)
+            rate = 1 - done / steps
             done += 1
             at, share = rows[i]
-            mean = share @ vectors[at]
-            raw = outputs @ mean + bias
-            p = np.exp(raw - raw.max())
-            p /= p.sum()
-            p[labels[i]] -= 1
-            back = p @ outputs
-            outputs -= rate * np.outer(p, mean)
-            bias -= rate * p
-            # Shares are small numbers; a feature's step is scaled up as if it stood for its document.
-            vectors[at] -= rate * np.sqrt(share)[:, None] * back
+            by_vectors, by_outputs, by_bias = gradients(vectors, outputs, bias, at, share, labels[i])
+            outputs -= rate * OUTPUT_RATE * by_outputs
+            bias -= rate * OUTPUT_RATE * by_bias
+            vectors[at] -= rate * min(VECTOR_RATE, CALM / max(1e-9, float(share @ share))) * by_vectors
     if not len(rows):
         return np.zeros(BUCKETS + 1)
     return np.append(vectors @ (outputs[1] - outputs[0]), bias[1] - bias[0])

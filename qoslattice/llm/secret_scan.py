@@ -1,18 +1,26 @@
-"""Secret scan over a trigram inverted index.
+"""Secret scan over a trigram index.
 
-Each rule's regex yields a Boolean query over trigrams that any match must
-hold. Postings of the queried trigrams are intersected per document, and only
-the candidates are verified with the regex. A rule without a mandatory trigram
-(a run of hex digits) scans every text.
+Each rule's regex yields a Boolean query over trigrams that any match must hold.
+The index has a column of bits for each trigram, one bit a row: its postings, which
+lie with the rows that they stand for. A query intersects the columns of a clause
+and unites the clauses; rows that meet it are candidates and are verified with the
+regex. A rule without a mandatory trigram (a run of hex digits) scans every text.
+
+The bits of a clause are only looked up where its lead trigram is posted: fewest
+leads that reach all clauses are tested first, the others seldom.
 
 Defined results: a null text counts as empty; an empty text has no spans; rows
 with the same or a null doc_id are each judged on their own text; an empty
 table gives an empty result; columns other than doc_id and text are ignored.
+
+Scale: one pass over the texts, no shuffle and no join, whatever key is hot; the
+work is linear in a text and its matches.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -116,33 +124,33 @@ def trigram_query(pattern: str) -> Query:
     return _walk(re._parser.parse(pattern))[1]
 
 
-def postings(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(trigram, doc_id), once for each document that holds the trigram.
+def leads(queries: list[Query]) -> list[str]:
+    """Trigrams of which each clause holds one: greedily the one that most clauses hold."""
+    clauses, chosen = {c for q in queries for c in q}, []
+    while clauses:
+        counts = Counter(t for c in clauses for t in c)
+        best = min(counts, key=lambda t: (-counts[t], t))
+        chosen.append(best)
+        clauses = {c for c in clauses if best not in c}
+    return chosen
 
-    Only trigrams that some query asks for are posted; no query reads others.
-    """
-    text = F.lower(whole_text())
-    held = F.array_compact(
-        F.array(*[F.when(text.contains(t), F.lit(t)) for t in vocabulary]).cast("array<string>")
-    )
-    return docs.select("doc_id", F.explode(held).alias("trigram"))
 
+def index(rows: DataFrame, queries: list[Query], text: str = "text") -> DataFrame:
+    """``rows`` with ``postings``: an array of trigrams, those of the queries that the
+    text holds, as far as their clause's lead is posted, too."""
+    low, first = F.col("_low"), leads(queries)
+    held = lambda names: F.array_compact(F.array(*[F.when(low.contains(t), F.lit(t)) for t in names]).cast("array<string>"))
+    behind = {t: sorted({x for q in queries for c in q if t in c for x in c} - set(first)) for t in first}
+    more = [F.when(F.array_contains("_leads", t), held(names)).otherwise(F.array().cast("array<string>")) for t, names in behind.items() if names]
+    rows = rows.withColumn("_low", F.lower(text)).withColumn("_leads", held(first))
+    some = F.when(F.size("_leads") > 0, F.array_distinct(F.concat("_leads", *more))).otherwise(F.col("_leads"))
+    return rows.withColumn("postings", some).drop("_low", "_leads")
 
-def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
-    """(doc_id, kinds): documents whose postings meet the query of each kind."""
-    queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) != ANY}
-    vocabulary = sorted({t for q in queries.values() for clause in q for t in clause})
-    held = postings(docs, vocabulary).groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
-
-    def met(query: Query) -> Column:
-        clauses = [
-            reduce(Column.__and__, [F.array_contains("held", t) for t in sorted(c)])
-            for c in sorted(query, key=sorted)
-        ]
-        return reduce(Column.__or__, clauses)
 
-    kinds = F.array_compact(F.array(*[F.when(met(q), F.lit(k)) for k, q in queries.items()]).cast("array<string>"))
-    return held.select("doc_id", kinds.alias("kinds")).filter(F.size("kinds") > 0)
+def met(query: Query, postings: str = "postings") -> Column:
+    """Whether a row's postings meet the query: intersected by clause, clauses united."""
+    clauses = [reduce(Column.__and__, [F.array_contains(postings, t) for t in sorted(c)]) for c in sorted(query, key=sorted)]
+    return (F.size(postings) > 0) & reduce(Column.__or__, clauses)
 
 
 def _kept(spans: Column, rank: int, rule: Rule) -> Column:
@@ -161,15 +169,13 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     ``spans``: array of struct(start, end, rank, kind, match), unordered; ``rank``
     is the kind's place in ``rules``.
     """
-    indexed = [r.kind for r in rules if trigram_query(r.pattern) != ANY]
-    found = candidates(docs, rules).withColumnRenamed("doc_id", "candidate_id")
-    rows = docs.select("doc_id", whole_text().alias("text"))
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("candidate_id")), "left").drop("candidate_id")
+    queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) != ANY}
+    rows = index(docs.select("doc_id", whole_text().alias("text")), list(queries.values()))
 
     none = F.array().cast("array<string>")
     for i, r in enumerate(rules):
         # Verification: the regex runs on candidates, or on all where no trigram is mandatory.
-        asked = F.array_contains("kinds", r.kind) if r.kind in indexed else F.lit(True)
+        asked = met(queries[r.kind]) if r.kind in queries else F.lit(True)
         take = lambda g, p=r.pattern: F.regexp_extract_all("text", F.lit(p), F.lit(g))
         rows = rows.withColumn(f"m{i}", F.when(asked, take(0)).otherwise(none))
         if r.group:

@@ -244,16 +244,18 @@ def by_bucket(rows: DataFrame, judge, schema: str, batch_rows: int) -> DataFrame
         held: list[pd.DataFrame] = []
         count = 0
         for batch in batches:
+            if batch.empty:
+                continue
+            # The batch's last bucket may go on; it is the held one if that fills the batch.
+            last = (batch[BUCKET] == batch[BUCKET].iloc[-1]).all(axis=1).to_numpy()
+            cut = int(np.argmax(last))
+            closed = cut > 0 or (held and (held[-1][BUCKET].iloc[-1] != batch[BUCKET].iloc[0]).any())
+            if closed and count + cut >= batch_rows:
+                yield judged(pd.concat([*held, batch.iloc[:cut]], ignore_index=True))
+                held, count = [], 0
+                batch = batch.iloc[cut:]
             held.append(batch)
             count += len(batch)
-            if count < batch_rows:
-                continue
-            part = pd.concat(held, ignore_index=True)
-            last = (part[BUCKET] == part[BUCKET].iloc[-1]).all(axis=1).to_numpy()
-            cut = int(np.argmax(last))  # the last bucket may go on
-            if cut:
-                yield judged(part.iloc[:cut].reset_index(drop=True))
-            held, count = [part.iloc[cut:]], len(part) - cut
         if count:
             yield judged(pd.concat(held, ignore_index=True))
 
@@ -281,6 +283,8 @@ def near_dup_report(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = R
 
 #: For whole documents: shingles of five words, alike from a Jaccard similarity of 0.8.
 DOC_WORDS, SIMILARITY = 5, 0.8
+#: Fingerprints of whole texts link as candidates up to this many bits.
+DOC_RADIUS = 3
 #: Shingles that many texts hold come last in a text's order, this many at most. They are counted in one of
 #: SAMPLED texts, from SAMPLE_LEAST on; which ones they are decides the time alone, never the result.
 COMMON, SAMPLED, SAMPLE_LEAST = 100_000, 16, 3
@@ -330,14 +334,15 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def sketch(text: Column, common, similarity: float, width: int = DOC_WORDS) -> Column:
-    """struct(n, keys): the size of the shingle set, and the text's buckets: its prefix.
-    ``common``: a broadcast of ``common_shingles``."""
+    """struct(n, fp, keys): the size of the shingle set, its fingerprint, and the text's
+    buckets: its prefix. ``common``: a broadcast of ``common_shingles``."""
 
-    @F.pandas_udf("n int, keys array<long>")
+    @F.pandas_udf("n int, fp long, keys array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, width) for t in texts]
         keys = [prefix(s, *common.value, similarity).view(np.int64) for s in sets]
-        return pd.DataFrame({"n": np.array([len(s) for s in sets], np.int32), "keys": keys})
+        fps = np.array([majority(s) for s in sets], np.int64)
+        return pd.DataFrame({"n": np.array([len(s) for s in sets], np.int32), "fp": fps, "keys": keys})
 
     return of(text)
 
@@ -410,18 +415,30 @@ def open_pairs(shared: DataFrame, judged: DataFrame, labels: DataFrame, similari
     )
 
 
+def fingerprint_pairs(distinct: DataFrame, radius: int = DOC_RADIUS) -> DataFrame:
+    """(a, b), a < b, of ``distinct`` (text_key, fp): texts whose fingerprints are linked,
+    each text with the least of its fingerprint, and these with each other."""
+    least = materialize(distinct.groupBy("fp").agg(F.min("text_key").alias("least")))
+    same = distinct.join(least, "fp").filter("text_key <> least").select(F.col("least").alias("a"), F.col("text_key").alias("b"))
+    of = lambda side: least.select(F.col("fp").alias(side), F.col("least").alias(f"text_{side}"))
+    near = links(least.select("fp"), radius).join(of("a"), "a").join(of("b"), "b")
+    return same.unionByName(near.select(F.least("text_a", "text_b").alias("a"), F.greatest("text_a", "text_b").alias("b")))
+
+
 def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int = DOC_WORDS, block: int = DOC_BLOCK) -> DataFrame:
     """(text_key, label) of texts that are not alone in their group of similar texts.
 
-    Texts that share a shingle of their prefixes, a bucket, are candidates: no pair
-    alike by ``similarity`` is lost. Each is first compared with the bucket's least text,
-    its pivot, which settles groups of near copies by one comparison a member, then
-    with other pivots; what is not in one group then is compared in pairs.
+    Candidates are texts whose fingerprints link by bit-sliced comparison. As distant
+    fingerprints do not prove sets unlike, those that share a shingle of their prefixes,
+    a bucket, are candidates as well: no pair alike by ``similarity`` is lost. Each is
+    compared with the bucket's least text, its pivot, which settles groups of near
+    copies by one comparison a member, then with other pivots; what is not in one group
+    then is compared in pairs. All candidates are judged by their shingle sets.
     """
     texts = docs.select(text_key().alias("text_key"), whole_text().alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
     sketched = materialize(texts.select("text_key", sketch(F.col("text"), common, similarity, width).alias("s")).select("text_key", "s.*"))
-    distinct = sketched.groupBy("text_key").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    distinct = sketched.groupBy("text_key").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     placed = distinct.select("text_key", "n", F.explode("keys").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("text_key").alias("pivot")).filter("members > 1")
     shared = materialize(placed.join(sizes.drop("members"), "bucket"))
@@ -437,7 +454,8 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int =
         texts.join(asked, F.col("text_key") == F.col("asked"), "left_semi").dropDuplicates(["text_key"])
         .select("text_key", set_of(F.col("text")).alias("set"))
     )
-    first = shared.filter("text_key <> pivot").select(F.col("pivot").alias("a"), F.col("text_key").alias("b")).distinct()
+    met = shared.filter("text_key <> pivot").select(F.col("pivot").alias("a"), F.col("text_key").alias("b"))
+    first = met.unionByName(fingerprint_pairs(distinct.select("text_key", "fp"))).distinct()
     judged = materialize(distances(first, sets, similarity, block))
     labels = components(judged.filter("alike"))
     joined = lambda links: components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links.filter("alike").select("a", "b")))
@@ -461,8 +479,10 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, width: int = DOC
         .select(F.xxhash64("first.doc_id", "first.text_key").alias("kept_key"))
     )
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", text_key()).alias("row_key"))
-    # Rows repeated in full share a key; the window uses the join's own partitioning.
-    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+    # Rows of one doc_id and text share a key: the first by its other columns stays. The
+    # window uses the join's own partitioning.
+    rest = [F.col(f"row.`{c}`") for c in docs.columns if c != "text"]
+    nth = F.row_number().over(Window.partitionBy("row_key").orderBy(F.to_json(F.struct(*rest))))
     joined = keyed.join(kept, F.col("row_key") == F.col("kept_key"))
     return joined.withColumn("nth", nth).filter("nth = 1").select("row.*")
 

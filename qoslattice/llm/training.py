@@ -1,4 +1,7 @@
-"""Bounded, reproducible training samples and models that fit in one task."""
+"""Bounded, reproducible training samples and models that fit in one task.
+
+Defined results: null labels and held-out rows are not learnt from, a null text
+counts as empty, ties go by hash; empty tables give an empty sample."""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_text
+from .common import materialize, text_key, whole_text
 
 #: Words of the labelled rows that a model is fitted on, at most.
 SAMPLE_WORDS = 8_000_000
@@ -22,7 +25,8 @@ def held_out(doc_id: Column) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> DataFrame:
     """(order, text, label): the ``rows`` labelled, not held-out documents of
-    least hash. A doc_id labelled twice counts once, with its greater label."""
+    least hash. A doc_id labelled twice counts once, with its greater label; of the
+    rows of one doc_id the text of least hash is taken, so ``rows`` bounds the sample."""
     order = F.xxhash64("doc_id")
     chosen = (
         labels.filter(F.col(column).isNotNull() & ~held_out(F.col("doc_id")))
@@ -30,7 +34,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int)
         .orderBy(order, "doc_id").limit(rows)
         .select(F.col("doc_id").alias("of"), order.alias("order"), "label")
     )
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("order", whole_text().alias("text"), "label")
+    found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
+    return found.groupBy("of").agg(F.min(F.struct(text_key().alias("k"), "order", whole_text().alias("text"), "label")).alias("x")).select("x.order", "x.text", "x.label")
 
 
 def fit(sample: DataFrame, learn: Callable[[pd.DataFrame], np.ndarray], words: int = SAMPLE_WORDS) -> np.ndarray:

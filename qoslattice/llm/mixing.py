@@ -33,8 +33,8 @@ SLOT_CHUNK = 1 << 16
 #: Weights of the sources in code point order, repeating; no source is taken more often than MOST_EPOCHS.
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
-#: Bits of the hash that choose a document's range in its source.
-RANGE_BITS = 10
+#: Documents of a source's range, about: the hash's first bits choose it, one bit at least.
+RANGE_DOCS = 1 << 16
 
 
 def with_size(docs: DataFrame) -> DataFrame:
@@ -151,8 +151,9 @@ def slots(spark, sources: list, chunk: int = SLOT_CHUNK) -> DataFrame:
     return ranked.unionByName(open_turns)
 
 
-def laid_out(sized: DataFrame, range_bits: int = RANGE_BITS) -> DataFrame:
-    """Adds ``start``: where each document begins on its source's shuffled line."""
+def laid_out(sized: DataFrame, range_bits: int) -> DataFrame:
+    """Adds ``start``: where each document begins on its source's shuffled line. The
+    line is in order of hashes, so it does not depend on the number of ranges."""
     order = F.xxhash64("doc_id", "text_key")
     ranges = sized.withColumn("order", order).withColumn("range", F.shiftrightunsigned("order", 64 - range_bits))
     sums = ranges.groupBy("source", "range").agg(F.sum("size").alias("n"))
@@ -184,7 +185,8 @@ def taken_words(sized: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHT
         .groupBy("rank", (F.col("turn") % F.col("blocks")).alias("block"))
         .agg(F.count_if(~last).alias("uses"), F.max(F.when(last, F.col("rest"))).alias("until"))
     )
-    placed = laid_out(sized).join(terms, F.col("source").eqNullSafe(F.col("of_source")))
+    # As if all documents were of one source: a range is never larger then.
+    placed = laid_out(sized, max(1, (sized.count() // RANGE_DOCS).bit_length())).join(terms, F.col("source").eqNullSafe(F.col("of_source")))
     end = F.col("start") + F.col("size")
     pieces = (
         placed.filter("size > 0")

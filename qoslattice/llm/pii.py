@@ -155,7 +155,7 @@ def _valid(kind: Column, match: Column) -> Column:
 def _signless(match: Column) -> Column:
     """``match`` with bracketed signs as plain ones, so that features don't tell them apart."""
     at = F.regexp_replace(match, r"\x20?[\[({]at[\])}]\x20?", "@")
-    return F.regexp_replace(at, r"\x20?[\[({]dot[\])}]\x20?", ".")
+    return F.regexp_replace(at, r"\x20?[\[({](?:dot|\.)[\])}]\x20?", ".")
 
 
 def _features(kind: Column, base: Column, match: Column, before: Column, after: Column) -> list[Column]:
@@ -188,7 +188,7 @@ def propose(rows: DataFrame) -> DataFrame:
 
     def described(s: Column) -> Column:
         i = s["generator"]
-        signless = F.when((kind(i) == "email") & ~base(i), _signless(s["match"])).otherwise(s["match"])
+        signless = F.when(kind(i).isin("email", "ip") & ~base(i), _signless(s["match"])).otherwise(s["match"])
         return F.struct(
             s["start"].alias("start"), s["end"].alias("end"), rank(i).alias("rank"), kind(i).alias("kind"), base(i).alias("base"), i.alias("generator"),
             _valid(kind(i), s["match"]).alias("valid"), *_features(kind(i), base(i), signless, s["before"], s["after"]),

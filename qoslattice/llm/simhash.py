@@ -288,8 +288,9 @@ DOC_RADIUS = 3
 #: Shingles that many texts hold come last in a text's order, this many at most. They are counted in one of
 #: SAMPLED texts, from SAMPLE_LEAST on; which ones they are decides the time alone, never the result.
 COMMON, SAMPLED, SAMPLE_LEAST = 100_000, 16, 3
-#: Pivots that a bucket's members are compared with before its open pairs are.
-DOC_PIVOTS = 3
+#: Rounds of further pivots, by number, that a bucket's members of other groups are
+#: compared with before its open pairs are: the few that are still apart then get many.
+PIVOT_ROUNDS = ((1,), (2,), tuple(range(3, 15)))
 #: Texts of a bucket that one task compares with as many others, and partners that a text is sent to at once.
 DOC_BLOCK = 1024
 #: Distances are sums of doubles; the slack only covers their rounding.
@@ -367,15 +368,15 @@ def named(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("label", F.coalesce("label", "text_key"))
 
 
-def pivot_pairs(shared: DataFrame, labels: DataFrame, similarity: float, turn: int) -> DataFrame:
+def pivot_pairs(shared: DataFrame, labels: DataFrame, similarity: float, turns: tuple[int, ...]) -> DataFrame:
     """(a, b), a < b: members of buckets that hold two groups, and their bucket's
-    ``turn``-th pivot, where that is of another group and of a fitting size."""
+    pivots of these ``turns``, where those are of another group and of a fitting size."""
     rows = materialize(named(shared.select("bucket", "text_key", "n"), labels))
-    order = F.struct(F.xxhash64("text_key", F.lit(turn)), F.col("text_key").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"))
-    mixed = rows.groupBy("bucket").agg(F.min(order).alias("first"), F.min("label").alias("low"), F.max("label").alias("high"))
+    order = lambda turn: F.struct(F.xxhash64("text_key", F.lit(turn)), F.col("text_key").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"))
+    mixed = rows.groupBy("bucket").agg(F.array(*[F.min(order(t)) for t in turns]).alias("pivots"), F.min("label").alias("low"), F.max("label").alias("high"))
     a, b, most = F.col("text_key"), F.col("first.p"), F.greatest("n", "first.n_p")
     return (
-        rows.join(mixed.filter("low < high"), "bucket")
+        rows.join(mixed.filter("low < high"), "bucket").withColumn("first", F.explode(F.array_distinct("pivots")))
         .filter((F.col("label") != F.col("first.label_p")) & (F.least("n", "first.n_p") >= similarity * most - SLACK * most))
         .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     )
@@ -387,6 +388,10 @@ def open_pairs(shared: DataFrame, judged: DataFrame, labels: DataFrame, similari
     Jaccard distance is a metric: texts within 1 - ``similarity`` of each other are
     as far from the bucket's pivot, give or take as much. So are their sizes alike.
     What is left of a bucket is cut into blocks, and each two blocks are a task's.
+
+    Sets alike by ``similarity`` share a number of shingles that follows from their
+    sizes. In an order held by all, the first of these stand in both prefixes: as many
+    as a prefix is longer than what a set may lack. So a pair meets in that many buckets.
     """
     reach = 1 - similarity + SLACK
     far = judged.select(F.col("a").alias("pivot"), F.col("b").alias("text_key"), "apart")
@@ -411,10 +416,18 @@ def open_pairs(shared: DataFrame, judged: DataFrame, labels: DataFrame, similari
         .filter((F.col("i") < F.col("j")) | (a < b))
         .filter(F.col("label_a") != F.col("label_b"))
         .filter((F.least("n_a", "n_b") >= similarity * most - SLACK * most) & (F.abs(F.col("apart_a") - F.col("apart_b")) <= reach))
-        .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+        .groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.count("*").alias("met"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+        .filter(F.col("met") >= least_met(F.col("n_a"), F.col("n_b"), similarity)).select("a", "b")
     )
 
 
+def least_met(n_a: Column, n_b: Column, similarity: float) -> Column:
+    """The buckets that sets of these sizes share at least if they are alike."""
+    both = F.ceil(similarity / (1 + similarity) * (n_a + n_b) - SLACK * (n_a + n_b))
+    spare = lambda n: 1 - F.ceil(similarity * n - SLACK * n) + both  # noqa: E731  (the prefix's length, less n, plus both)
+    return F.least(spare(n_a), spare(n_b))
+
+
 def fingerprint_pairs(distinct: DataFrame, radius: int = DOC_RADIUS) -> DataFrame:
     """(a, b), a < b, of ``distinct`` (text_key, fp): texts whose fingerprints are linked,
     each text with the least of its fingerprint, and these with each other."""
@@ -459,8 +472,8 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     judged = materialize(distances(first, sets, similarity, block))
     labels = components(judged.filter("alike"))
     joined = lambda links: components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links.filter("alike").select("a", "b")))
-    for turn in range(1, DOC_PIVOTS):
-        pairs = pivot_pairs(shared, labels, similarity, turn).join(judged.select("a", "b"), ["a", "b"], "left_anti")
+    for turns in PIVOT_ROUNDS:
+        pairs = pivot_pairs(shared, labels, similarity, turns).join(judged.select("a", "b"), ["a", "b"], "left_anti")
         labels = joined(distances(materialize(pairs), sets, similarity, block))
     pairs = open_pairs(shared, judged, labels, similarity, block).join(judged.select("a", "b"), ["a", "b"], "left_anti")
     return joined(distances(materialize(pairs), sets, similarity, block)).withColumnRenamed("node", "text_key")

@@ -419,7 +419,7 @@ def taken_by_hand(rows):
         free -= above
     target |= {s: left * weight[s] / parts for s in free}
     at, out = Counter(), {}
-    for _, i, k, s, n in sorted(rows, key=lambda r: (str(r[3]), r[0], r[1] is not None, r[1] or 0, r[2])):
+    for _, i, k, s, n in sorted(rows, key=lambda r: (str(r[3]), r[0] % (1 << 64), r[1] is not None, r[1] or 0, r[2])):
         take = min(int(target[s] + 0.5), 3 * sizes[s])
         rounds, rest = divmod(take, sizes[s]) if sizes[s] else (0, 0)
         low, at[s] = at[s], at[s] + n

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key, whole_text
+from .common import discard, materialize, text_key, whole_text
 from .components import components
 
 SEED = 42
@@ -368,21 +368,30 @@ def named(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("label", F.coalesce("label", "text_key"))
 
 
-def pivot_pairs(shared: DataFrame, labels: DataFrame, similarity: float, turns: tuple[int, ...]) -> DataFrame:
-    """(a, b), a < b: members of buckets that hold two groups, and their bucket's
-    pivots of these ``turns``, where those are of another group and of a fitting size."""
-    rows = materialize(named(shared.select("bucket", "text_key", "n"), labels))
+def still_mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``shared`` (bucket, text_key, n, pivot, ...) whose bucket holds two
+    groups by ``labels``, with ``label``. Groups only grow: what goes here is settled for good."""
+    rows = materialize(named(shared.drop("label"), labels))
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+    kept = materialize(rows.join(mixed, "bucket"))
+    discard(rows)
+    return kept
+
+
+def pivot_pairs(rows: DataFrame, similarity: float, turns: tuple[int, ...]) -> DataFrame:
+    """(a, b), a < b: members of the buckets ``rows``, and their bucket's pivots of
+    these ``turns``, where those are of another group and of a fitting size."""
     order = lambda turn: F.struct(F.xxhash64("text_key", F.lit(turn)), F.col("text_key").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"))
-    mixed = rows.groupBy("bucket").agg(F.array(*[F.min(order(t)) for t in turns]).alias("pivots"), F.min("label").alias("low"), F.max("label").alias("high"))
+    pivots = rows.groupBy("bucket").agg(F.array(*[F.min(order(t)) for t in turns]).alias("pivots"))
     a, b, most = F.col("text_key"), F.col("first.p"), F.greatest("n", "first.n_p")
     return (
-        rows.join(mixed.filter("low < high"), "bucket").withColumn("first", F.explode(F.array_distinct("pivots")))
+        rows.join(pivots, "bucket").withColumn("first", F.explode(F.array_distinct("pivots")))
         .filter((F.col("label") != F.col("first.label_p")) & (F.least("n", "first.n_p") >= similarity * most - SLACK * most))
         .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     )
 
 
-def open_pairs(shared: DataFrame, judged: DataFrame, labels: DataFrame, similarity: float, block: int) -> DataFrame:
+def open_pairs(shared: DataFrame, judged: DataFrame, similarity: float, block: int) -> DataFrame:
     """(a, b), a < b: pairs of one bucket and two groups that may yet be alike.
 
     Jaccard distance is a metric: texts within 1 - ``similarity`` of each other are
@@ -395,12 +404,9 @@ def open_pairs(shared: DataFrame, judged: DataFrame, labels: DataFrame, similari
     """
     reach = 1 - similarity + SLACK
     far = judged.select(F.col("a").alias("pivot"), F.col("b").alias("text_key"), "apart")
-    rows = named(shared.join(far, ["pivot", "text_key"], "left").withColumn("apart", F.coalesce("apart", F.lit(0.0))), labels)
+    rows = shared.join(far, ["pivot", "text_key"], "left").withColumn("apart", F.coalesce("apart", F.lit(0.0)))
     rows = materialize(rows.select("bucket", "text_key", "n", "apart", "label", (F.col("pivot") == F.col("text_key")).alias("is_pivot")))
-    mixed = rows.groupBy("bucket").agg(
-        F.max(F.when(F.col("is_pivot"), F.col("label"))).alias("own"), F.min("label").alias("low"), F.max("label").alias("high")
-    )
-    rows = materialize(rows.join(mixed.filter("low < high").drop("low", "high"), "bucket"))
+    rows = materialize(rows.join(rows.groupBy("bucket").agg(F.max(F.when(F.col("is_pivot"), F.col("label"))).alias("own")), "bucket"))
     # One of each pair is in another group than the pivot.
     nearest = rows.filter("label <> own").groupBy("bucket").agg(F.min("apart").alias("nearest"))
     rows = rows.join(nearest, "bucket").filter((F.col("label") != F.col("own")) | (F.col("apart") >= F.col("nearest") - reach))
@@ -450,33 +456,34 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     """
     texts = docs.select(text_key().alias("text_key"), whole_text().alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
-    sketched = materialize(texts.select("text_key", sketch(F.col("text"), common, similarity, width).alias("s")).select("text_key", "s.*"))
-    distinct = sketched.groupBy("text_key").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    placed = distinct.select("text_key", "n", F.explode("keys").alias("bucket"))
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("text_key").alias("pivot")).filter("members > 1")
-    shared = materialize(placed.join(sizes.drop("members"), "bucket"))
+    sketched = texts.select("text_key", sketch(F.col("text"), common, similarity, width).alias("s")).select("text_key", "s.*")
+    distinct = materialize(sketched.dropDuplicates(["text_key"]))
+    placed = distinct.select("text_key", F.explode("keys").alias("bucket"))
+    sizes = placed.groupBy("bucket").agg(F.min("text_key").alias("pivot"), F.max("text_key").alias("last")).filter("pivot < last").drop("last")
+    met = materialize(placed.join(sizes, "bucket"))
 
     @F.pandas_udf("array<long>")
     def set_of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: shingle_set(t, width).view(np.int64))
 
-    # Grows with the input: joined alike at every size.
-    asked = shared.select(F.col("text_key").alias("asked")).distinct().hint("merge")
-    # Equal texts have equal sets; one of them is enough.
-    sets = materialize(
-        texts.join(asked, F.col("text_key") == F.col("asked"), "left_semi").dropDuplicates(["text_key"])
-        .select("text_key", set_of(F.col("text")).alias("set"))
-    )
-    met = shared.filter("text_key <> pivot").select(F.col("pivot").alias("a"), F.col("text_key").alias("b"))
-    first = met.unionByName(fingerprint_pairs(distinct.select("text_key", "fp"))).distinct()
-    judged = materialize(distances(first, sets, similarity, block))
-    labels = components(judged.filter("alike"))
+    # Grows with the input: joined alike at every size. Equal texts have equal sets; one is enough.
+    asked = met.select(F.col("text_key").alias("asked")).distinct().hint("merge")
+    one = texts.join(asked, F.col("text_key") == F.col("asked"), "left_semi").dropDuplicates(["text_key"])
+    sets = materialize(one.select("text_key", set_of(F.col("text")).alias("set")))
+    judge = lambda pairs: materialize(distances(materialize(pairs), sets, similarity, block))
+    near = judge(fingerprint_pairs(distinct.select("text_key", "fp")))
+    labels = components(near.filter("alike"))
+    shared = still_mixed(met.join(distinct.select("text_key", "n"), "text_key"), labels)
+    pivots = shared.filter("text_key <> pivot").select(F.col("pivot").alias("a"), F.col("text_key").alias("b")).distinct()
+    judged = judge(pivots)
     joined = lambda links: components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links.filter("alike").select("a", "b")))
+    labels = joined(judged)
     for turns in PIVOT_ROUNDS:
-        pairs = pivot_pairs(shared, labels, similarity, turns).join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        labels = joined(distances(materialize(pairs), sets, similarity, block))
-    pairs = open_pairs(shared, judged, labels, similarity, block).join(judged.select("a", "b"), ["a", "b"], "left_anti")
-    return joined(distances(materialize(pairs), sets, similarity, block)).withColumnRenamed("node", "text_key")
+        shared = still_mixed(shared, labels)
+        labels = joined(judge(pivot_pairs(shared, similarity, turns).join(judged.select("a", "b"), ["a", "b"], "left_anti")))
+    shared = still_mixed(shared, labels)
+    pairs = open_pairs(shared, judged, similarity, block).join(judged.select("a", "b"), ["a", "b"], "left_anti")
+    return joined(judge(pairs)).withColumnRenamed("node", "text_key")
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, width: int = DOC_WORDS) -> DataFrame:

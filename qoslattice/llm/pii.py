@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,25 +39,25 @@ MOST_IN_PART = 255
 
 @dataclass(frozen=True)
 class Generator:
-    """``hint``: a cheap test that texts with matches pass, "" for none."""
+    """``hints``: texts with matches hold one of these, none if empty: a cheap test."""
 
     kind: str
     base: bool
     pattern: str
-    hint: str = ""
+    hints: tuple[str, ...] = ()
 
 
 # The base forms as dealt, written so that no run is scanned twice: quantifiers
 # are possessive where nothing after them could take a character back, and a
 # run is entered at its start only, or where the last match ended.
 GENERATORS = (
-    Generator("email", True, r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
-    Generator("ip", True, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "."),
+    Generator("email", True, r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", ("@",)),
+    Generator("ip", True, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", (".",)),
     Generator("card", True, r"[0-9](?:[\x20-]?[0-9])++"),
-    Generator("phone", True, r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
-    Generator("email", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[\[({]at[\])}]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[({]dot[\])}]\x20?)[A-Za-z0-9-]++)++"),
+    Generator("phone", True, r"\+[0-9][\x20().0-9-]+[0-9]", ("+",)),
+    Generator("email", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[\[({]at[\])}]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[({]dot[\])}]\x20?)[A-Za-z0-9-]++)++", ("@", "at)", "at]", "at}")),
     Generator("phone", False, r"(?<![0-9])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
-    Generator("ip", False, r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9])", ".]"),
+    Generator("ip", False, r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9])", (".]", ".)")),
     Generator("card", False, r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])"),
 )
 CUE = r"(?i)mail|phone|tel|call|fax|mobile|card|visa|contact|address|\bip\b"
@@ -179,7 +180,8 @@ def propose(rows: DataFrame) -> DataFrame:
     features, and ``settled``: the array of its valid base spans."""
     text, columns = whole_text(), rows.columns
     matches = [F.regexp_extract_all(text, F.lit(g.pattern), F.lit(0)) for g in GENERATORS]
-    matches = [F.when(text.contains(g.hint), m).otherwise(F.array().cast("array<string>")) if g.hint else m for g, m in zip(GENERATORS, matches)]
+    hinted = lambda g: reduce(Column.__or__, [text.contains(h) for h in g.hints])
+    matches = [F.when(hinted(g), m).otherwise(F.array().cast("array<string>")) if g.hints else m for g, m in zip(GENERATORS, matches)]
     rows = rows.select(*columns, *[m.alias(f"_m{i}") for i, m in enumerate(matches)])
     each = F.array(*[F.struct(F.lit(i).alias("generator"), gaps_of(text, g.pattern, F.col(f"_m{i}")).alias("gaps"), F.col(f"_m{i}").alias("whole")) for i, g in enumerate(GENERATORS)])
     spans = F.flatten(F.transform(each, lambda x: F.transform(spans_between(x["gaps"], x["whole"], x["whole"], CONTEXT), lambda s: s.withField("generator", x["generator"]))))

@@ -290,10 +290,12 @@ DOC_RADIUS = 3
 COMMON, SAMPLED, SAMPLE_LEAST = 100_000, 16, 3
 #: Rounds of further pivots, by number, that a bucket's members of other groups are
 #: compared with before its open pairs are: the few that are still apart then get many.
-PIVOT_ROUNDS = ((1,), (2,), tuple(range(3, 15)))
+PIVOT_ROUNDS = ((1, 2), tuple(range(3, 15)))
 #: Texts of a bucket that one task compares with as many others, and partners that a text is sent to at once.
 DOC_BLOCK = 1024
-#: Distances are sums of doubles; the slack only covers their rounding.
+#: Bits of a parity sketch, at least.
+SKETCH_BITS = 64
+#: Sizes are multiplied by doubles; the slack only covers their rounding.
 SLACK = 1e-9
 
 
@@ -334,33 +336,67 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
     return shingles[order], np.array([r["n"] for r in rows], np.int64)[order]
 
 
+def parities(found: np.ndarray) -> bytes:
+    """Bit p: whether an odd number of the hashes ``found`` fall on p. There are as many
+    bits as hashes, rounded up to a power of two."""
+    bits = max(SKETCH_BITS, 1 << max(len(found) - 1, 0).bit_length())
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parities_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the other's length.
+    Each hash that only one set holds turns one bit: the sets differ in so many at least."""
+    size = min(len(a), len(b))
+    whole = [np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0) for x in (a, b)]
+    return int.from_bytes((whole[0] ^ whole[1]).tobytes(), "little").bit_count()
+
+
 def sketch(text: Column, common, similarity: float, width: int = DOC_WORDS) -> Column:
-    """struct(n, fp, keys): the size of the shingle set, its fingerprint, and the text's
-    buckets: its prefix. ``common``: a broadcast of ``common_shingles``."""
+    """struct(n, fp, parity, keys): the size of the shingle set, its fingerprint, its parity
+    sketch, and the text's buckets: its prefix. ``common``: a broadcast of ``common_shingles``."""
 
-    @F.pandas_udf("n int, fp long, keys array<long>")
+    @F.pandas_udf("n int, fp long, parity binary, keys array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, width) for t in texts]
         keys = [prefix(s, *common.value, similarity).view(np.int64) for s in sets]
         fps = np.array([majority(s) for s in sets], np.int64)
-        return pd.DataFrame({"n": np.array([len(s) for s in sets], np.int32), "fp": fps, "keys": keys})
+        return pd.DataFrame({"n": np.array([len(s) for s in sets], np.int32), "fp": fps, "parity": [parities(s) for s in sets], "keys": keys})
 
     return of(text)
 
 
-def distances(pairs: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(a, b, apart, alike) of ``pairs`` (a, b): their Jaccard distance, and whether
-    they are linked. A text with many partners is sent once for ``block`` of them."""
+def paired(pairs: DataFrame, values: DataFrame, block: int) -> DataFrame:
+    """``pairs`` (a, b) with the columns of ``values`` (text_key, ...) for both ends, as
+    <name>_a and <name>_b. A text with many partners is sent once for ``block`` of them."""
     degree = pairs.groupBy("a").agg(F.count("*").alias("partners"))
     dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / block)).alias("salt"))
-    of = lambda name: sets.select(F.col("text_key").alias(name), F.col("set").alias(f"set_{name}"))
+    of = lambda end: values.select(F.col("text_key").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in values.columns if c != "text_key"])
     left = dealt.select("a", "salt").distinct().join(of("a"), "a")
+    return dealt.join(of("b"), "b").join(left, ["a", "salt"])
+
+
+def within_reach(pairs: DataFrame, sketches: DataFrame, similarity: float, block: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose parity sketches (text_key, n, parity) don't rule them out.
+
+    Sets alike by ``similarity`` differ in (n_a + n_b) (1 - similarity) / (1 + similarity)
+    hashes at most, hence in no more bits: no such pair is lost."""
+
+    @F.pandas_udf("long")
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([parities_apart(x, y) for x, y in zip(a, b)], dtype="int64")
+
+    share = (1 - similarity) / (1 + similarity) + SLACK
+    found = paired(pairs, sketches, block).withColumn("most", F.lit(share) * (F.col("n_a") + F.col("n_b")))
+    return found.filter(apart("parity_a", "parity_b") <= F.col("most")).select("a", "b")
+
+
+def distances(pairs: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(a, b, alike) of ``pairs`` (a, b): whether the Jaccard similarity of their
+    ``sets`` (text_key, set) links them."""
     both = F.size(F.array_intersect("set_a", "set_b"))
-    counted = dealt.join(of("b"), "b").join(left, ["a", "salt"]).select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("all"))
-    return counted.select(
-        "a", "b", F.when(F.col("all") > 0, 1 - F.col("both") / F.col("all")).otherwise(0.0).alias("apart"),
-        (F.col("both") >= F.lit(float(similarity)) * F.col("all")).alias("alike"),
-    )
+    counted = paired(pairs, sets, block).select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("all"))
+    return counted.select("a", "b", (F.col("both") >= F.lit(float(similarity)) * F.col("all")).alias("alike"))
 
 
 def named(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -369,7 +405,7 @@ def named(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def still_mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``shared`` (bucket, text_key, n, pivot, ...) whose bucket holds two
+    """The rows of ``shared`` (bucket, text_key, n) whose bucket holds two
     groups by ``labels``, with ``label``. Groups only grow: what goes here is settled for good."""
     rows = materialize(named(shared.drop("label"), labels))
     mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
@@ -391,29 +427,18 @@ def pivot_pairs(rows: DataFrame, similarity: float, turns: tuple[int, ...]) -> D
     )
 
 
-def open_pairs(shared: DataFrame, judged: DataFrame, similarity: float, block: int) -> DataFrame:
+def open_pairs(shared: DataFrame, similarity: float, block: int) -> DataFrame:
     """(a, b), a < b: pairs of one bucket and two groups that may yet be alike.
 
-    Jaccard distance is a metric: texts within 1 - ``similarity`` of each other are
-    as far from the bucket's pivot, give or take as much. So are their sizes alike.
-    What is left of a bucket is cut into blocks, and each two blocks are a task's.
-
-    Sets alike by ``similarity`` share a number of shingles that follows from their
-    sizes. In an order held by all, the first of these stand in both prefixes: as many
+    A bucket is cut into blocks, and each two blocks are a task's. Sets alike by
+    ``similarity`` are of like sizes, and share a number of shingles that follows from
+    these. In an order held by all, the first of them stand in both prefixes: as many
     as a prefix is longer than what a set may lack. So a pair meets in that many buckets.
     """
-    reach = 1 - similarity + SLACK
-    far = judged.select(F.col("a").alias("pivot"), F.col("b").alias("text_key"), "apart")
-    rows = shared.join(far, ["pivot", "text_key"], "left").withColumn("apart", F.coalesce("apart", F.lit(0.0)))
-    rows = materialize(rows.select("bucket", "text_key", "n", "apart", "label", (F.col("pivot") == F.col("text_key")).alias("is_pivot")))
-    rows = materialize(rows.join(rows.groupBy("bucket").agg(F.max(F.when(F.col("is_pivot"), F.col("label"))).alias("own")), "bucket"))
-    # One of each pair is in another group than the pivot.
-    nearest = rows.filter("label <> own").groupBy("bucket").agg(F.min("apart").alias("nearest"))
-    rows = rows.join(nearest, "bucket").filter((F.col("label") != F.col("own")) | (F.col("apart") >= F.col("nearest") - reach))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"))
-    rows = rows.join(sizes.filter("low < high"), "bucket").withColumn("blocks", F.ceil(F.col("rows") / block).cast("int"))
+    sizes = shared.groupBy("bucket").agg(F.count("*").alias("rows"))
+    rows = shared.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("rows") / block).cast("int"))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("text_key", "n", "apart", "label")]
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("text_key", "n", "label")]
     left = rows.select("bucket", *side("a"), F.col("mine").alias("i"), F.explode(F.sequence("mine", F.col("blocks") - 1)).alias("j"))
     right = rows.select("bucket", *side("b"), F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("i"), F.col("mine").alias("j"))
     a, b, most = F.col("text_key_a"), F.col("text_key_b"), F.greatest("n_a", "n_b")
@@ -421,7 +446,7 @@ def open_pairs(shared: DataFrame, judged: DataFrame, similarity: float, block: i
         left.hint("merge").join(right, ["bucket", "i", "j"])
         .filter((F.col("i") < F.col("j")) | (a < b))
         .filter(F.col("label_a") != F.col("label_b"))
-        .filter((F.least("n_a", "n_b") >= similarity * most - SLACK * most) & (F.abs(F.col("apart_a") - F.col("apart_b")) <= reach))
+        .filter(F.least("n_a", "n_b") >= similarity * most - SLACK * most)
         .groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.count("*").alias("met"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
         .filter(F.col("met") >= least_met(F.col("n_a"), F.col("n_b"), similarity)).select("a", "b")
     )
@@ -452,38 +477,47 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     a bucket, are candidates as well: no pair alike by ``similarity`` is lost. Each is
     compared with the bucket's least text, its pivot, which settles groups of near
     copies by one comparison a member, then with other pivots; what is not in one group
-    then is compared in pairs. All candidates are judged by their shingle sets.
+    then is compared in pairs. Parity sketches, an eighth to a quarter of a byte a shingle,
+    rule out nearly all unlike pairs; the rest are judged by their shingle sets.
     """
     texts = docs.select(text_key().alias("text_key"), whole_text().alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
     sketched = texts.select("text_key", sketch(F.col("text"), common, similarity, width).alias("s")).select("text_key", "s.*")
     distinct = materialize(sketched.dropDuplicates(["text_key"]))
-    placed = distinct.select("text_key", F.explode("keys").alias("bucket"))
-    sizes = placed.groupBy("bucket").agg(F.min("text_key").alias("pivot"), F.max("text_key").alias("last")).filter("pivot < last").drop("last")
-    met = materialize(placed.join(sizes, "bucket"))
+    sketches = distinct.select("text_key", "n", "parity")
+    # Dealt once, for the count of a bucket's texts and for the texts of those that have two.
+    placed = distinct.select("text_key", "n", F.explode("keys").alias("bucket")).repartition("bucket")
+    order = F.struct("text_key", "n")
+    sizes = placed.groupBy("bucket").agg(F.min(order).alias("first"), F.max("text_key").alias("last")).filter("first.text_key < last")
+    met = materialize(placed.join(sizes, "bucket").select("bucket", "text_key", "n", F.col("first.text_key").alias("pivot"), F.col("first.n").alias("n_pivot")))
 
     @F.pandas_udf("array<long>")
     def set_of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: shingle_set(t, width).view(np.int64))
 
-    # Grows with the input: joined alike at every size. Equal texts have equal sets; one is enough.
-    asked = met.select(F.col("text_key").alias("asked")).distinct().hint("merge")
-    one = texts.join(asked, F.col("text_key") == F.col("asked"), "left_semi").dropDuplicates(["text_key"])
-    sets = materialize(one.select("text_key", set_of(F.col("text")).alias("set")))
-    judge = lambda pairs: materialize(distances(materialize(pairs), sets, similarity, block))
-    near = judge(fingerprint_pairs(distinct.select("text_key", "fp")))
-    labels = components(near.filter("alike"))
-    shared = still_mixed(met.join(distinct.select("text_key", "n"), "text_key"), labels)
-    pivots = shared.filter("text_key <> pivot").select(F.col("pivot").alias("a"), F.col("text_key").alias("b")).distinct()
-    judged = judge(pivots)
-    joined = lambda links: components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links.filter("alike").select("a", "b")))
-    labels = joined(judged)
+    def judge(pairs: DataFrame) -> DataFrame:
+        near = materialize(within_reach(materialize(pairs), sketches, similarity, block))
+        ends = near.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+        # Equal texts have equal sets; one is enough.
+        one = texts.join(ends, F.col("text_key") == F.col("end"), "left_semi").dropDuplicates(["text_key"])
+        sets = materialize(one.select("text_key", set_of(F.col("text")).alias("set")))
+        judged = materialize(distances(near, sets, similarity, block).filter("alike").select("a", "b"))
+        discard(sets)
+        return judged
+
+    most = F.greatest("n", "n_pivot")
+    pivots = (
+        met.filter((F.col("text_key") != F.col("pivot")) & (F.least("n", "n_pivot") >= similarity * most - SLACK * most))
+        .select(F.col("pivot").alias("a"), F.col("text_key").alias("b"))
+    )
+    alike = judge(fingerprint_pairs(distinct.select("text_key", "fp")).unionByName(pivots).distinct())
+    labels = components(alike)
+    joined = lambda links: components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
+    shared = still_mixed(met.select("bucket", "text_key", "n"), labels)
     for turns in PIVOT_ROUNDS:
+        labels = joined(judge(pivot_pairs(shared, similarity, turns)))
         shared = still_mixed(shared, labels)
-        labels = joined(judge(pivot_pairs(shared, similarity, turns).join(judged.select("a", "b"), ["a", "b"], "left_anti")))
-    shared = still_mixed(shared, labels)
-    pairs = open_pairs(shared, judged, similarity, block).join(judged.select("a", "b"), ["a", "b"], "left_anti")
-    return joined(judge(pairs)).withColumnRenamed("node", "text_key")
+    return joined(judge(open_pairs(shared, similarity, block))).withColumnRenamed("node", "text_key")
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, width: int = DOC_WORDS) -> DataFrame:

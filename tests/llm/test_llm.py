@@ -517,3 +517,19 @@ def test_pipeline_catches_edited_copies(spark):
         texts += [" ".join(words), " ".join(changed)]
     kept = {r["doc_id"] for r in simhash.near_dedup(docs(spark, list(enumerate(texts)))).collect()}
     assert sum(2 * i + 1 not in kept for i in range(150)) >= 0.9 * 150 and all(2 * i in kept for i in range(150))
+
+
+def test_parity_sketches_rule_out_no_alike_sets():
+    rng = np.random.default_rng(5)
+    for n in [0, 1, 2, 5, 63, 64, 65, 300, 1000]:
+        base = rng.integers(0, 2**64, n, np.uint64)
+        for drop, add in [(0, 0), (0, 1), (n // 9, n // 9), (n // 5, 0), (0, n // 4), (n, n)]:
+            other = np.concatenate([base[drop:], rng.integers(0, 2**64, add, np.uint64)])
+            a, b = set(base.tolist()), set(other.tolist())
+            apart = simhash.parities_apart(simhash.parities(np.unique(base)), simhash.parities(np.unique(other)))
+            assert apart <= len(a ^ b)
+            if len(a & b) >= 0.8 * len(a | b):
+                assert apart <= (len(a) + len(b)) * 0.2 / 1.8 + simhash.SLACK * (len(a) + len(b))
+    # Unlike sets of like size are told apart.
+    x, y = (simhash.parities(rng.integers(0, 2**64, 500, np.uint64)) for _ in range(2))
+    assert simhash.parities_apart(x, y) > 1000 * 0.2 / 1.8

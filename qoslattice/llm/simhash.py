@@ -55,9 +55,14 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(words) - width + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())], np.uint64)
+    starts, ends = (ends - lengths)[: len(words) - width + 1], ends[width - 1 :]
+    del words
+    digest, found = xxhash.xxh64_intdigest, np.empty(len(starts), np.uint64)
+    # In steps, as Python's numbers take far more memory than the array's.
+    for at in range(0, len(found), COUNTED):
+        step = slice(at, at + COUNTED)
+        found[step] = [digest(joined[a:b], SEED) for a, b in zip(starts[step].tolist(), ends[step].tolist())]
+    return found
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -358,10 +363,13 @@ def sketch(text: Column, common, similarity: float, width: int = DOC_WORDS) -> C
 
     @F.pandas_udf("n int, fp long, parity binary, keys array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, width) for t in texts]
-        keys = [prefix(s, *common.value, similarity).view(np.int64) for s in sets]
-        fps = np.array([majority(s) for s in sets], np.int64)
-        return pd.DataFrame({"n": np.array([len(s) for s in sets], np.int32), "fp": fps, "parity": [parities(s) for s in sets], "keys": keys})
+        def row(t: str) -> tuple:
+            # One set at a time; a copy of the prefix does not keep the whole set.
+            found = shingle_set(t, width)
+            return len(found), majority(found), parities(found), prefix(found, *common.value, similarity).view(np.int64).copy()
+
+        n, fp, parity, keys = zip(*map(row, texts)) if len(texts) else ((), (), (), ())
+        return pd.DataFrame({"n": np.array(n, np.int32), "fp": np.array(fp, np.int64), "parity": list(parity), "keys": list(keys)})
 
     return of(text)
 

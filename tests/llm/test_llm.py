@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from compare import assert_same, connection
 
-from qoslattice.llm import boosting, components, decontaminate, fingerprint, mixing, pii, quality, registry, secret_scan, simhash, token_counts, toxicity, url_filter
+from qoslattice.llm import boosting, components, decontaminate, fill_middle, fingerprint, line_rules, mixing, pii, quality, registry, secret_scan, simhash, spelling, token_counts, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
@@ -40,6 +40,8 @@ REPORTS = {
     "contamination": lambda d, s: decontaminate.contamination_report(d, s.createDataFrame([(1, None), (2, "")], "item_id long, text string")),
     "mixing": lambda d, s: mixing.mixing_report(d),
     "simhash": lambda d, s: simhash.near_dup_report(d),
+    "line rules": lambda d, s: line_rules.rules_report(d),
+    "fill middle": lambda d, s: fill_middle.fill_middle_report(d),
 }
 
 

@@ -21,6 +21,8 @@ FIELDS = ("date", "cell", "site", "district", "region", *MEASURES)
 #: Names of summary rows, which are not places.
 SUMMARY_WORDS = ("total", "avg", "average", "sum", "grand total")
 CORRUPT = "_rejected"
+#: Lines of a header at most.
+HEADER_LINES = 100
 #: Letters that tell the buckets of new names apart.
 NAME_PREFIX = 8
 
@@ -37,9 +39,52 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", place.alias("line"))
 
 
+def _odd(value: Column) -> Column:
+    """1 if ``value`` holds an odd number of quotes: a field is left open, or closed."""
+    return (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))) % 2
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line): the records of the files; one whose quoted fields hold line breaks
+    takes several lines, joined by a line feed, and has the place of its first.
+
+    A parity scan: a record begins where an even number of quotes lies behind it. Of a split
+    only its number of odd lines and the last of them are added up over the file, so a field
+    may go over any edge; lines are sorted in splits that hold or continue such a field, and
+    no others. A quote that nothing closes to the end of its file opens no field: from
+    there on each line stands alone.
+    """
+    lines = _lines(spark, path)
+    if lines.filter(_odd(F.col("value")) == 1).isEmpty():
+        return lines
+    of = {c: F.col(f"line.{c}").alias(c) for c in ("file", "split", "nth")}
+    odd = _odd(F.col("value")).alias("odd")
+    sums = lines.select(of["file"], of["split"], of["nth"], odd).groupBy("file", "split").agg(F.sum("odd").alias("turns"), F.max(F.when(F.col("odd") == 1, F.col("nth"))).alias("last"))
+    # A row a split from here: the record that goes on into a split began at the last odd line before it.
+    file = Window.partitionBy("file")
+    before = file.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    turn = F.when(F.col("last").isNotNull(), F.struct("split", F.col("last").alias("nth")))
+    splits = sums.select(
+        "file", "split", "turns", (F.coalesce(F.sum("turns").over(before), F.lit(0)) % 2).alias("behind"), F.last(turn, ignorenulls=True).over(before).alias("began"),
+        F.when(F.sum("turns").over(file) % 2 == 1, F.max(turn).over(file)).alias("unclosed"),
+    )
+    rows = lines.select("value", *of.values(), odd).join(splits, ["file", "split"])
+    calm = (F.col("turns") == 0) & (F.col("behind") == 0)
+    in_split = Window.partitionBy("file", "split").orderBy("nth")
+    place = F.struct("split", "nth")
+    behind = F.col("behind") + F.coalesce(F.sum("odd").over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    alone = F.coalesce(place >= F.col("unclosed"), F.lit(False))
+    marked = rows.filter(~calm).withColumn("begins", (behind % 2 == 0) | alone)
+    first = F.last(F.when(F.col("begins"), place), ignorenulls=True).over(in_split.rowsBetween(Window.unboundedPreceding, 0))
+    marked = marked.withColumn("first", F.coalesce(first, "began"))
+    whole = marked.groupBy("file", "first").agg(F.array_sort(F.collect_list(F.struct("split", "nth", "value"))).alias("lines"))
+    line = lambda at: F.struct("file", F.col(f"{at}split").alias("split"), F.col(f"{at}nth").alias("nth")).alias("line")
+    return rows.filter(calm).select("value", line("")).unionByName(whole.select(F.array_join("lines.value", "\n").alias("value"), line("first.")))
+
+
 def header_of(spark: SparkSession, path: str) -> list[str]:
     """Column names of a CSV file (of a folder: of one of its files)."""
-    first = _first_line(spark, path)
+    first = _first_record(spark, path)
     if first is None:
         return []
     names = [x.strip() for x in next(csv.reader([first]), [])]
@@ -49,21 +94,32 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
-def _first_line(spark: SparkSession, path: str) -> str | None:
-    first = _lines(spark, path).filter("line.split = 0").limit(1).collect()
-    return first[0]["value"] if first else None
+def _first_record(spark: SparkSession, path: str) -> str | None:
+    """The header: the first line, and those after it that a quoted name goes on in."""
+    lines = _lines(spark, path).filter("line.split = 0")
+    first = lines.limit(1).collect()
+    if not first or first[0]["value"].count('"') % 2 == 0:
+        return first[0]["value"] if first else None
+    file = first[0]["line"]["file"]
+    found = ""
+    for row in lines.filter(F.col("line.file") == file).orderBy("line").limit(HEADER_LINES).collect():
+        found = f"{found}\n{row['value']}" if found else row["value"]
+        if found.count('"') % 2 == 0:
+            return found
+    raise IngestError("the header has a quote that nothing closes")
 
 
 def stage_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, the malformed line of a rejected row, and the row's
-    place in its file (``line``). Header lines and blank lines are no rows."""
+    """All columns as strings, the malformed text of a rejected row, and the row's
+    place in its file (``line``). Headers and blank lines are no rows; quoted fields
+    may hold line breaks and doubled quotes."""
     names = header_of(spark, path)
     if not names:
         raise IngestError("the file has no header")
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names) + f", {CORRUPT} string"
-    header = _first_line(spark, path)
-    rows = _lines(spark, path).filter((F.trim("value") != "") & (F.col("value") != F.lit(header)))
-    parsed = F.from_csv("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    header = _first_record(spark, path)
+    rows = records(spark, path).filter((F.trim("value") != "") & (F.col("value") != F.lit(header)))
+    parsed = F.from_csv("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"', "maxCharsPerColumn": "-1"})
     return rows.select(parsed.alias("row"), "line").select("row.*", "line")
 
 

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 
 from .ingest import integrity
-from .workspace import SCHEMAS, Workspace
+from .workspace import SCHEMAS, Change, Workspace
 
 #: Days for which an imported source file is kept.
 RETENTION_DAYS = 90
@@ -30,26 +30,41 @@ def catalog(ws: Workspace) -> DataFrame:
     return ws.spark.createDataFrame([(n, ws.table(n).count()) for n in SCHEMAS], "table string, rows long")
 
 
-def purge(ws: Workspace, keep: tuple[str, ...] = ()) -> list[str]:
-    """Delete versions that are neither current nor in ``keep``, and the folders that
-    no version names any more; returns the versions' names."""
+def purge(ws: Workspace, keep: tuple[str, ...] = (), stale_hours: float = 24.0) -> list[str]:
+    """Delete versions that are neither current nor in ``keep``, and folders that no
+    version names; returns the versions' names. Folders of changes under way stay: what is
+    there is listed first, then what runs, then what versions name, so a change that ends
+    or starts meanwhile loses nothing. A change that runs for ``stale_hours`` is dead."""
+    found = {}
+    for name in SCHEMAS:
+        table = ws._path(f"{ws.path}/data/{name}")
+        for s in ws._fs.listStatus(table) if ws._fs.exists(table) else ():
+            batch = s.getPath().getName()
+            found[f"data/{name}/{batch}"] = batch.removeprefix("batch=").partition("-")[0]
+    staged = ws._path(f"{ws.path}/staging")
+    for s in ws._fs.listStatus(staged) if ws._fs.exists(staged) else ():
+        found[f"staging/{s.getPath().getName()}"] = s.getPath().getName()
+    running = ws.running(stale_hours)
     gone = [v for v in ws.versions() if v not in {ws.version, *keep}]
     for v in gone:
         ws._fs.delete(ws._path(f"{ws.path}/versions/{v}.json"), False)
     used = {f for v in ws.versions() for folders in ws.manifest(v)["folders"].values() for f in folders}
-    for name in SCHEMAS:
-        table = ws._path(f"{ws.path}/data/{name}")
-        for s in ws._fs.listStatus(table) if ws._fs.exists(table) else ():
-            if f"data/{name}/{s.getPath().getName()}" not in used:
-                ws._fs.delete(s.getPath(), True)
+    for folder, token in found.items():
+        if folder not in used and token not in running:
+            ws._fs.delete(ws._path(f"{ws.path}/{folder}"), True)
     return gone
 
 
 def compact(ws: Workspace) -> str:
     """The current state rewritten to one folder a table; the next imports add to it."""
-    folders = ws.manifest()["folders"]
-    tables = {n: ws.table(n).drop("month") for n in folders if len(folders[n]) > 1}
-    return ws._commit(folders | {n: [ws._append(n, df)] for n, df in tables.items()}, made_by={"kind": "compact"})
+
+    def build(change: Change) -> dict:
+        for name in SCHEMAS:
+            if len(change.folders[name]) > 1:
+                change.replace(name, change.table(name).drop("month"))
+        return {"kind": "compact"}
+
+    return ws.update(build)[0]
 
 
 def archive(lines: DataFrame, path: str) -> None:

@@ -1,20 +1,28 @@
 """Workspaces: append-only Parquet folders, versions that list them, and imports.
 
-``data/<table>/<id>`` holds what one import added; nothing there is ever changed.
+``data/<table>/<id>`` holds what one change added; nothing there is ever changed.
 ``versions/<number>.json`` names the folders that make up a version, with its
 rules, its KPI registry and the import that made it. Readers take the highest
 number, so a failed import leaves no trace and a new ruleset writes one small
 file. Facts and KPIs lie in folders by month, which scans prune. Paths go through
 Hadoop's file systems, so a workspace may lie in any store.
+
+Writers don't wait for each other. Each builds the version after the one that it
+read, and creates that number's file only if it isn't there; who comes second builds
+anew on what the first has made. While a writer works, ``running/<token>`` keeps
+``maintenance.purge`` from the folders that it has written.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +48,16 @@ KPI_TARGETS = {
 DATED = ("facts", "extras")
 
 
+#: How often a writer builds anew because another came first.
+ATTEMPTS = 20
+#: Seconds after which an empty version file is what a dead writer has left.
+STUCK = 600
+
+
+class Conflict(RuntimeError):
+    """Another writer committed first."""
+
+
 @dataclass
 class ImportResult:
     import_id: str
@@ -50,6 +68,38 @@ class ImportResult:
     new_cells: int
 
 
+@dataclass
+class Change:
+    """One try at the next version: what it is built on, and what it has written."""
+
+    ws: Workspace
+    token: str
+    base: str | None
+    folders: dict[str, list[str]]
+    rules: Rules
+    written: list[str] = field(default_factory=list)
+
+    def table(self, name: str) -> DataFrame:
+        return self.ws._table(name, self.folders[name])
+
+    def append(self, name: str, rows: DataFrame) -> str:
+        """A new folder with ``rows``; its path below the workspace."""
+        folder = f"data/{name}/batch={self.token}-{uuid.uuid4().hex}"
+        self.written.append(folder)
+        self.ws._write(name, rows, folder)
+        return folder
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        self.folders[name] = [self.append(name, rows)]
+
+    def add(self, name: str, rows: DataFrame) -> None:
+        self.folders[name] = [*self.folders[name], self.append(name, rows)]
+
+
+def _rules(manifest: dict) -> Rules:
+    return Rules(**manifest["rules"] | {"priority_weights": tuple(manifest["rules"]["priority_weights"])})
+
+
 class Workspace:
     def __init__(self, spark: SparkSession, path: str, rules: Rules | None = None):
         self.spark, self.path = spark, path.rstrip("/")
@@ -60,11 +110,16 @@ class Workspace:
         if self.version is None:
             if self._fs.exists(self._path(f"{self.path}/data")):
                 raise ValueError(f"{self.path} holds data, but no complete version")
-            self._commit({n: [] for n in SCHEMAS}, rules or Rules())
+            first = Change(self, "", None, {n: [] for n in SCHEMAS}, rules or Rules())
+            try:
+                self._commit(first, None)
+            except Conflict:
+                pass  # another writer made the workspace just now
 
     def versions(self) -> list[str]:
+        """Complete versions: a file that is still being written has no length yet."""
         folder = self._path(f"{self.path}/versions")
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder) if s.getLen() > 0] if self._fs.exists(folder) else []
         return sorted(n.removesuffix(".json") for n in names if n.endswith(".json"))
 
     @property
@@ -79,41 +134,98 @@ class Workspace:
             stream.close()
 
     def rules_of(self, version: str | None = None) -> Rules:
-        row = self.manifest(version)["rules"]
-        return Rules(**row | {"priority_weights": tuple(row["priority_weights"])})
+        return _rules(self.manifest(version))
 
     @property
     def rules(self) -> Rules:
         return self.rules_of()
 
-    def _commit(self, folders: dict[str, list[str]], rules: Rules | None = None, made_by: dict | None = None) -> str:
-        """The next version. Written aside and renamed, it appears as a whole; a
-        number that another writer took first is not taken again."""
-        last = self.version
-        row = {"folders": folders, "rules": as_row(rules or self.rules), "made_by": made_by, "at": datetime.now(UTC).isoformat()}
-        name = f"{int(last or 0) + 1:012d}"
-        part, goal = self._path(f"{self.path}/versions/{name}.{uuid.uuid4().hex}"), self._path(f"{self.path}/versions/{name}.json")
-        stream = self._fs.create(part, False)
-        stream.write(bytearray(json.dumps(row).encode()))
-        stream.close()
-        if self._fs.exists(goal) or not self._fs.rename(part, goal):
-            self._fs.delete(part, False)
-            raise ValueError(f"another writer committed version {name}")
+    def _commit(self, change: Change, made_by: dict | None) -> str:
+        """The version after the change's base; ``Conflict`` if that is there already."""
+        row = {"folders": change.folders, "rules": as_row(change.rules), "made_by": made_by, "base": change.base, "at": datetime.now(UTC).isoformat()}
+        name = f"{int(change.base or 0) + 1:012d}"
+        if not self._create(f"versions/{name}.json", json.dumps(row).encode()):
+            raise Conflict(f"another writer committed version {name}")
         return name
 
-    def _append(self, name: str, rows: DataFrame) -> str:
-        """A new folder with ``rows``; its path below the workspace."""
-        folder = f"data/{name}/batch={uuid.uuid4().hex}"
+    def _create(self, name: str, content: bytes) -> bool:
+        """A new file below the workspace; False if there is one of this name. The store
+        decides, in one step: no look beforehand can tell."""
+        goal = self._path(f"{self.path}/{name}")
+        if goal.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file":
+            # Hadoop's local files can't be created so; a link to a whole file can.
+            place = goal.toUri().getPath()
+            part = f"{place}.{uuid.uuid4().hex}"
+            os.makedirs(os.path.dirname(place), exist_ok=True)
+            with open(part, "wb") as f:
+                f.write(content)
+            try:
+                os.link(part, place)
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(part)
+            return True
+        try:
+            stream = self._fs.createFile(goal).overwrite(False).recursive().opt("fs.option.create.conditional.overwrite", True).build()
+            stream.write(bytearray(content))
+            stream.close()
+            return True
+        except Py4JJavaError:
+            if not self._fs.exists(goal):
+                raise
+            status = self._fs.getFileStatus(goal)
+            if status.getLen() == 0 and datetime.now(UTC).timestamp() - status.getModificationTime() / 1000 > STUCK:
+                self._fs.delete(goal, False)
+            return False
+
+    def update(self, build: Callable[[Change], dict | None], token: str | None = None) -> tuple[str, dict | None]:
+        """The version that ``build`` makes of the latest one, and what it returns, which
+        the history keeps. ``build`` runs again on the new latest version whenever another
+        writer was first, so no change is lost and none is made on what it has not seen."""
+        token = token or uuid.uuid4().hex
+        running = self._path(f"{self.path}/running/{token}")
+        self._create(f"running/{token}", b"running")
+        try:
+            for _ in range(ATTEMPTS):
+                base = self.version
+                change = None
+                try:
+                    manifest = self.manifest(base)
+                    change = Change(self, token, base, {n: list(manifest["folders"].get(n, [])) for n in SCHEMAS}, _rules(manifest))
+                    made_by = build(change)
+                    if not self._fs.exists(running):
+                        raise RuntimeError("the running change was purged")
+                    return self._commit(change, made_by), made_by
+                except Exception:
+                    for folder in change.written if change else ():
+                        self._fs.delete(self._path(f"{self.path}/{folder}"), True)
+                    # On a base that is no longer the latest, folders may have been purged meanwhile.
+                    if self.version == base:
+                        raise
+            raise Conflict(f"other writers were first {ATTEMPTS} times")
+        finally:
+            self._fs.delete(running, False)
+
+    def running(self, stale_hours: float = 24.0) -> set[str]:
+        """Tokens of the changes under way; one without an end for so long is dead."""
+        folder = self._path(f"{self.path}/running")
+        found = self._fs.listStatus(folder) if self._fs.exists(folder) else ()
+        since = datetime.now(UTC).timestamp() - 3600 * stale_hours
+        return {s.getPath().getName() for s in found if s.getModificationTime() / 1000 >= since}
+
+    def _write(self, name: str, rows: DataFrame, folder: str) -> None:
         if name in DATED:
             rows = rows.withColumn("month", F.trunc("date", "month"))
             # One task a month and slice of cells: few files, sorted for the readers' statistics.
             rows.repartition("month", F.pmod(F.xxhash64("cell_id"), F.lit(16))).sortWithinPartitions("month", "cell_id", "date").write.partitionBy("month").parquet(f"{self.path}/{folder}")
         else:
             rows.write.parquet(f"{self.path}/{folder}")
-        return folder
 
     def table(self, name: str, version: str | None = None) -> DataFrame:
-        folders = self.manifest(version)["folders"][name]
+        return self._table(name, self.manifest(version)["folders"][name])
+
+    def _table(self, name: str, folders: list[str]) -> DataFrame:
         schema = SCHEMAS[name] + (", month date" if name in DATED else "")
         if not folders:
             return kpis.seeds(self.spark) if name == "kpis" else self.spark.createDataFrame([], schema)
@@ -136,15 +248,17 @@ class Workspace:
     def set_rules(self, **patch) -> Rules:
         """The next ruleset; facts stay, everything derived follows when read. KPIs
         whose target a changed rule is get that target."""
-        rules, folders = updated(self.rules, **patch), self.manifest()["folders"]
-        synced = [(key, float(patch[name])) for name, keys in KPI_TARGETS.items() if name in patch for key in keys]
-        if synced:
-            target = F.col("target")
-            for key, value in synced:
-                target = F.when(F.col("kpi_key") == key, value).otherwise(target)
-            folders = folders | {"kpis": [self._append("kpis", self.table("kpis").withColumn("target", target))]}
-        self._commit(folders, rules, {"kind": "rules", "patch": patch})
-        return rules
+        def build(change: Change) -> dict:
+            change.rules = updated(change.rules, **patch)
+            synced = [(key, float(patch[name])) for name, keys in KPI_TARGETS.items() if name in patch for key in keys]
+            if synced:
+                target = F.col("target")
+                for key, value in synced:
+                    target = F.when(F.col("kpi_key") == key, value).otherwise(target)
+                change.replace("kpis", change.table("kpis").withColumn("target", target))
+            return {"kind": "rules", "patch": patch}
+
+        return self.rules_of(self.update(build)[0])
 
     def rulesets(self) -> DataFrame:
         """(ruleset, version, at, rules): every ruleset, rules as JSON; the latest has the greatest number."""
@@ -157,26 +271,35 @@ class Workspace:
     def set_status(self, rows: DataFrame) -> None:
         """The state of work of any number of entities (STATUS): new, or in the place of the old."""
         changes = rows.select("scope", "id", "status", "owner", "review_date")
-        self._replace("status", ingest.replace_partitions(self.table("status"), changes, ["scope", "id"]))
+        self._replace("status", lambda stored: ingest.replace_partitions(stored, changes, ["scope", "id"]))
 
     def add_notes(self, rows: DataFrame) -> None:
         """Append ``rows`` (NOTES) to the notes on cells."""
-        folders = self.manifest()["folders"]
-        self._commit(folders | {"notes": [*folders["notes"], self._append("notes", rows.select("cell_id", "at", "author", "note"))]}, made_by={"kind": "notes"})
+
+        def build(change: Change) -> dict:
+            change.add("notes", rows.select("cell_id", F.col("at").cast("date").alias("at"), "author", "note"))
+            return {"kind": "notes"}
+
+        self.update(build)
 
     def set_kpis(self, changes: DataFrame) -> None:
         """Add KPIs to the registry, or change them."""
-        self._replace("kpis", kpis.save(self.table("kpis"), changes))
+        self._replace("kpis", lambda stored: kpis.save(stored, changes))
 
     def remove_kpi(self, technology: str, key: str) -> None:
-        self._replace("kpis", kpis.remove(self.table("kpis"), technology, key))
+        self._replace("kpis", lambda stored: kpis.remove(stored, technology, key))
 
     def reset_kpis(self) -> None:
-        self._replace("kpis", kpis.reset(self.table("kpis"), self.spark))
+        self._replace("kpis", lambda stored: kpis.reset(stored, self.spark))
 
-    def _replace(self, name: str, rows: DataFrame) -> None:
-        folders = self.manifest()["folders"]
-        self._commit(folders | {name: [self._append(name, rows)]}, made_by={"kind": name})
+    def _replace(self, name: str, rows: Callable[[DataFrame], DataFrame]) -> None:
+        """The table ``name`` as ``rows`` makes it of the stored one."""
+
+        def build(change: Change) -> dict:
+            change.replace(name, rows(change.table(name)))
+            return {"kind": name}
+
+        self.update(build)
 
     def history(self) -> DataFrame:
         """(version, at, kind, file, checksum, source_rows, inserted, duplicates, rejected, new_cells, score): what made each version."""
@@ -193,49 +316,53 @@ class Workspace:
         ``raw`` may hold rejected rows (``ingest.CORRUPT``). It is read once: the
         cleaned rows are staged in the workspace's folder until the commit."""
         bad = F.col(ingest.CORRUPT).isNotNull() if ingest.CORRUPT in raw.columns else F.lit(False)
-        staging = f"{self.path}/staging/{uuid.uuid4().hex}"
+        token = uuid.uuid4().hex
+        staging = f"{self.path}/staging/{token}"
         # Rejected and unusable rows stay as nulls, to be counted.
         ingest.typed(raw.withColumn("usable", ~bad), mapping, "usable").write.parquet(staging)
         every = self.spark.read.parquet(staging)
         real = ingest.real_rows(every)
         total, usable = (int(x) for x in every.agg(F.count("*"), F.count_if(ingest.is_real())).first())
         rows = ingest.dedupe(real)
-        stored_cells, stored = self.table("cells"), self.table("facts")
-        folders = {k: list(v) for k, v in self.manifest()["folders"].items()}
-        cells = self._append("cells", self._merged_cells(rows))
-        merged = self._read("cells", [cells])
-        known = merged.select("cell_id", "cell")
-        keyed = rows.join(known, "cell")
         months = real.agg(F.trunc(F.min("date"), "month").alias("low"), F.trunc(F.max("date"), "month").alias("high")).first()
         within = lambda df: df.filter(F.col("month").between(months["low"], months["high"]))
-        facts = self._append("facts", ingest.new_facts(keyed.select("cell_id", "date", *MEASURES), within(stored), ["cell_id", "date"]))
-        inserted = self._read("facts", [facts]).count()
-        extras = within(self.table("extras"))
-        more = [df for df in (ingest.unpivot_kpis(rows, kpi_names) if kpi_names is not None else None, ingest.derived(rows, derived) if derived else None) if df is not None]
-        for df in more:
-            found = df.join(known, "cell").select("cell_id", "date", F.lit(technology).alias("technology"), "kpi_key", "value")
-            folders["extras"].append(self._append("extras", ingest.new_facts(found, extras, ["cell_id", "date", "technology", "kpi_key"])))
-            extras = extras.unionByName(self._read("extras", folders["extras"][-1:]))
         present = [F.avg(F.col(m).isNotNull().cast("double")) for m in MEASURES]
         seen = rows.agg(F.countDistinct("cell").alias("cells"), (100 * sum(present[1:], present[0]) / len(present)).alias("complete")).first()
-        counts = {
-            "source_rows": total, "inserted": inserted, "duplicates": usable - inserted, "rejected": total - usable,
-            "new_cells": merged.count() - stored_cells.count(),
-        }
-        score = aggregates.quality_score(
-            F.lit(100.0 * seen["cells"] / max(1, merged.count())), F.lit(seen["complete"] or 0.0), F.lit(ingest.mapping_confidence(mapping, raw.columns)),
-            F.lit((total - usable) / max(1, total)), F.lit((usable - inserted) / max(1, total)),
-        )
-        score = self.spark.range(1).select(score).first()[0]
-        folders["cells"] = [cells]
-        folders["facts"] += [facts] if inserted else []
-        version = self._commit(folders, made_by={"kind": "import", **(source or {}), **counts, "score": score})
-        self._fs.delete(self._path(staging), True)
-        return ImportResult(version, **counts)
-
-    def _merged_cells(self, rows: DataFrame) -> DataFrame:
-        """Stored cells with gaps filled, and new ones under their majority parents."""
-        stored = self.table("cells")
+        more = [df for df in (ingest.unpivot_kpis(rows, kpi_names) if kpi_names is not None else None, ingest.derived(rows, derived) if derived else None) if df is not None]
+
+        def build(change: Change) -> dict:
+            """Ids and anti-joins against the version that the change is built on."""
+            stored_cells, stored, extras = change.table("cells"), within(change.table("facts")), within(change.table("extras"))
+            change.replace("cells", self._merged_cells(stored_cells, rows))
+            merged = change.table("cells")
+            known = merged.select("cell_id", "cell")
+            keyed = rows.join(known, "cell")
+            facts = change.append("facts", ingest.new_facts(keyed.select("cell_id", "date", *MEASURES), stored, ["cell_id", "date"]))
+            inserted = self._table("facts", [facts]).count()
+            change.folders["facts"] += [facts] if inserted else []
+            for df in more:
+                found = df.join(known, "cell").select("cell_id", "date", F.lit(technology).alias("technology"), "kpi_key", "value")
+                change.add("extras", ingest.new_facts(found, extras, ["cell_id", "date", "technology", "kpi_key"]))
+                extras = extras.unionByName(self._table("extras", change.folders["extras"][-1:]))
+            cells = merged.count()
+            counts = {
+                "source_rows": total, "inserted": inserted, "duplicates": usable - inserted, "rejected": total - usable,
+                "new_cells": cells - stored_cells.count(),
+            }
+            score = aggregates.quality_score(
+                F.lit(100.0 * seen["cells"] / max(1, cells)), F.lit(seen["complete"] or 0.0), F.lit(ingest.mapping_confidence(mapping, raw.columns)),
+                F.lit((total - usable) / max(1, total)), F.lit((usable - inserted) / max(1, total)),
+            )
+            return {"kind": "import", **(source or {}), **counts, "score": self.spark.range(1).select(score).first()[0]}
+
+        try:
+            version, made_by = self.update(build, token)
+        finally:
+            self._fs.delete(self._path(staging), True)
+        return ImportResult(version, *(made_by[c] for c in ("source_rows", "inserted", "duplicates", "rejected", "new_cells")))
+
+    def _merged_cells(self, stored: DataFrame, rows: DataFrame) -> DataFrame:
+        """``stored`` cells with gaps filled, and new ones under their majority parents."""
         place = rows.select("cell").distinct()
         for child, parent in (("cell", "site"), ("site", "district"), ("district", "region")):
             place = place.join(ingest.majority_parent(rows, child, parent), child, "left")

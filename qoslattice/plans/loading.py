@@ -158,6 +158,49 @@ _gmaj = lambda child, parent: MAJ.format(child, parent).replace("FROM deduped",
 add("csv_import", _imported, O.sql(
     f"SELECT g.date, g.cell, p.district, {', '.join('g.' + m for m in MEASURES)} FROM gdeduped g LEFT JOIN ({_gmaj('cell', 'site')}) s ON s.cell = g.cell LEFT JOIN ({_gmaj('site', 'district')}) p ON p.site = s.site", "gdeduped"))
 add("csv_rejects", _rejects, O.sql("SELECT 'good' AS kind, count(*) FILTER (WHERE line % 7 <> 0) AS rows FROM raw UNION ALL SELECT 'rejected', count(*) FILTER (WHERE line % 7 = 0) FROM raw", "raw"))
+
+
+def _two_writers(spark, d):
+    """Two workspaces on one store: while the first merges the even days, the second merges
+    all days of odd cells. Both commit, and a fact that both bring is held once."""
+    path = f"{shared_dir(spark)}/ws-{uuid.uuid4().hex}"
+    first, second = Workspace(spark, path), Workspace(spark, path)
+    mapping = {f: f for f in I.FIELDS}
+    deduped(spark, d).select(*[F.col(f).cast("string").alias(f) for f in I.FIELDS], "line").write.parquet(f"{path}-rows")
+    rows = spark.read.parquet(f"{path}-rows")
+    write, waiting = first._write, [lambda: second.import_rows(rows.filter("cell LIKE '%1' OR cell LIKE '%3' OR cell LIKE '%5'"), mapping)]
+
+    def interrupted(name, df, folder):
+        if waiting:
+            waiting.pop()()
+        write(name, df, folder)
+
+    first._write = interrupted
+    first.import_rows(rows.filter("dayofmonth(date) % 2 = 0"), mapping)
+    return first.table("facts").join(first.table("cells"), "cell_id").select("date", "cell", *MEASURES)
+
+
+add("import_two_writers", _two_writers, O.sql(f"SELECT date, cell, {', '.join(MEASURES)} FROM deduped WHERE day(date) % 2 = 0 OR right(cell, 1) IN ('1', '3', '5')", "deduped"))
+
+
+def _noted_file(spark, d):
+    """Orders as a CSV file whose notes hold line breaks, commas and doubled quotes."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    parts = [F.lit('"order '), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("\n\nof, ")).otherwise(F.lit(" of ")), F.lit('""'), F.col("o_orderpriority"), F.lit('"""')]
+    body = orders.select(F.concat_ws(",", F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, F.concat(*parts)).otherwise(F.col("o_orderstatus")), F.col("o_custkey").cast("string")).alias("value"), F.col("o_orderkey").alias("i"))
+    header = spark.range(1).select(F.lit('key,"note\nof it",customer').alias("value"), F.lit(-1).cast("long").alias("i"))
+    body.unionByName(header).repartitionByRange(4, "i").sortWithinPartitions("i").select("value").coalesce(1).write.text(path)
+    return path
+
+
+def _noted(spark, d):
+    good, _ = I.split_rejects(I.stage_csv(spark, _noted_file(spark, d)))
+    return good.select(F.col("key").cast("long").alias("o_orderkey"), F.col("`note\nof it`").alias("note"), F.col("customer").cast("long").alias("o_custkey"))
+
+
+add("csv_records", _noted, """
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'order ' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || chr(10) || 'of, ' ELSE ' of ' END || '"' || o_orderpriority || '"' ELSE o_orderstatus END AS note, o_custkey FROM orders""")
 HEADERS = [("TCH Congestion (%)", "tch_congestion"), ("2G CSSR", "call_setup_success_2g"), ("SDCCH Blocking", "sdcch_congestion"), ("Call Drop Rate 2G", "call_drop_rate_2g"), ("Weather", None)]
 add("kpi_discover", lambda s, d: I.discover_kpis(s.createDataFrame([(h,) for h, _ in HEADERS], "header string"), kpis.seeds(s).filter("technology = '2G'")).select("header", "kpi_key"),
     "SELECT * FROM (VALUES " + ", ".join(f"('{h}', '{k}')" for h, k in HEADERS if k) + ") AS t(header, kpi_key)")

@@ -32,7 +32,12 @@ def nc_lifecycle(star: Star, grain: str = "weekly", streak_mode: str = "consecut
     ``streak_mode``: "consecutive" counts non-compliant periods alone; "opening"
     also counts the compliant period that opens a streak.
     """
-    rows = cell_period(star, grain)
+    return lifecycle_of(cell_period(star, grain), star, grain, streak_mode)
+
+
+def lifecycle_of(rows: DataFrame, star: Star, grain: str = "weekly", streak_mode: str = "consecutive") -> DataFrame:
+    """The lifecycle of ``rows`` in the shape of ``cell_period``. Where they are not a
+    cell's whole history, ``seed`` on its first row is the streak there."""
     by_cell = Window.partitionBy("cell_id").orderBy("period")
     bad = F.coalesce("is_nc", F.lit(False))
     rows = (
@@ -46,7 +51,10 @@ def nc_lifecycle(star: Star, grain: str = "weekly", streak_mode: str = "consecut
     place = F.row_number().over(Window.partitionBy("cell_id", "island").orderBy("period"))
     # Island 0 has no compliant period in front.
     opened = F.when(F.col("island") > 0, 1).otherwise(0) if streak_mode == "consecutive" else F.lit(0)
-    rows = rows.withColumn("streak", F.when(F.col("is_nc"), place - opened).otherwise(0))
+    streak = place - opened
+    if "seed" in rows.columns:
+        streak = streak + F.when(F.col("island") == 0, F.coalesce(F.first("seed").over(by_cell) - 1, F.lit(0))).otherwise(0)
+    rows = rows.withColumn("streak", F.when(F.col("is_nc"), streak).otherwise(0))
     return _judged(rows.withColumn("lifecycle", _lifecycle(star, grain)).withColumn("trend", _trend()), star)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rules, as_row, updated
-from ..operators import aggregates, intelligence
+from ..operators import aggregates
 from ..operators.investigate import NOTES
 from . import ingest, kpis
 from .star import DEFAULT_TECHNOLOGY, MEASURES, Star
@@ -402,10 +402,3 @@ class Workspace:
     def imported_before(self, path: str) -> bool:
         """Whether a file of this content was imported already."""
         return not self.history().filter(F.col("checksum") == ingest.file_checksum(self.spark, path)).isEmpty()
-
-    def materialize(self, path: str, grains=("weekly", "monthly")) -> None:
-        """The derived tables as Parquet, partitioned by period."""
-        star = self.star()
-        for grain in grains:
-            aggregates.cell_period(star, grain).write.mode("overwrite").partitionBy("period").parquet(f"{path}/cell_{grain}")
-            intelligence.nc_lifecycle(star, grain).write.mode("overwrite").partitionBy("period").parquet(f"{path}/lifecycle_{grain}")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ..functions.exprs import (
     magnitude, nc_transition, numbered, quadrant, rank_of, rounded, severity_pct,
 )
 from ..functions.rules import MODES
+from ..functions.selection import exact_quantiles
 from ..sources.star import Star
 from .aggregates import ENTITY, cell_weekly, kpi_period
 from .intelligence import health_network, last_week, latest, nc_lifecycle, recent_weeks, scored, with_back
@@ -26,7 +25,7 @@ AVERAGED = ("prb_avg", "throughput_kbps", "availability_pct")
 
 def kpi_values(star: Star, grain: str = "weekly") -> DataFrame:
     """KPI rows with the value that the KPI's aggregation names, breach and severity."""
-    rows = kpi_period(star, grain).join(star.kpis, ["technology", "kpi_key"]).withColumn("value", by_agg("agg", "avg", "sum", "max", "min"))
+    rows = kpi_period(star, grain).join(star.active_kpis, ["technology", "kpi_key"]).withColumn("value", by_agg("agg", "avg", "sum", "max", "min"))
     return rows.withColumn("breached", breach("value", "target", "worse_is_higher")).withColumn("severity", severity_pct("value", "target", "worse_is_higher"))
 
 
@@ -65,26 +64,26 @@ def kpi_trend(star: Star, weeks: int = 12) -> DataFrame:
 
 
 def metric_values(star: Star) -> DataFrame:
-    """(cell_id, metric, value): measures and KPIs of the last week, long."""
-    wide = last_week(star).unpivot(["cell_id"], list(METRICS), "metric", "value")
-    return wide.unionByName(last_kpis(star).select("cell_id", F.col("kpi_key").alias("metric"), "value"))
+    """(cell_id, technology, metric, value): measures, which have no technology, and KPIs
+    of the last week, long."""
+    wide = last_week(star).unpivot(["cell_id"], list(METRICS), "metric", "value").withColumn("technology", F.lit(None).cast("string"))
+    return wide.unionByName(last_kpis(star).select("cell_id", "technology", F.col("kpi_key").alias("metric"), "value"))
 
 
 def distributions(star: Star, points: int = 21) -> DataFrame:
-    """(metric, q, value): exact, interpolated quantiles at equal steps. Values are
-    counted before they meet, so a metric's task holds its distinct values: at most
-    one for each cell of the last week."""
+    """(technology, metric, q, value): exact, interpolated quantiles at equal steps."""
     steps = [i / (points - 1) for i in range(points)]
-    rows = metric_values(star).groupBy("metric").agg(F.percentile("value", steps).alias("p"))
-    return rows.select("metric", F.posexplode("p").alias("i", "v")).select("metric", (F.col("i") / (points - 1)).alias("q"), rounded("v").alias("value"))
+    return exact_quantiles(metric_values(star), ["technology", "metric"], "value", steps).withColumn("value", rounded("value"))
 
 
 def distribution_summary(star: Star) -> DataFrame:
-    v = F.col("value")
-    return metric_values(star).groupBy("metric").agg(
-        F.count(v).alias("n"), rounded(F.avg(v)).alias("mean"), rounded(F.min(v)).alias("min"), rounded(F.max(v)).alias("max"),
-        rounded(F.percentile(v, 0.5)).alias("p50"), rounded(F.percentile(v, 0.9)).alias("p90"),
-    )
+    """(technology, metric, n, mean, min, max, p50, p90) over the cells of the last week."""
+    v, keys = F.col("value"), ["technology", "metric"]
+    values = metric_values(star)
+    base = values.groupBy(*keys).agg(F.count(v).alias("n"), rounded(F.avg(v)).alias("mean"), rounded(F.min(v)).alias("min"), rounded(F.max(v)).alias("max"))
+    at = lambda q: rounded(F.max(F.when(F.col("q") == q, v)))
+    points = exact_quantiles(values, keys, "value", [0.5, 0.9]).groupBy(F.col("technology").alias("_t"), F.col("metric").alias("_m")).agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
+    return base.join(points, base.technology.eqNullSafe(points["_t"]) & (base.metric == points["_m"]), "left").drop("_t", "_m")
 
 
 def throughput_median(star: Star) -> DataFrame:
@@ -100,23 +99,23 @@ def scatter(star: Star) -> DataFrame:
 
 
 def correlations(star: Star) -> DataFrame:
-    """Pearson's r of every pair of metrics over the cells of the last week: metrics
-    are spread to columns once, so no pair needs a join."""
-    names = sorted([*METRICS, *(r["kpi_key"] for r in star.kpis.select("kpi_key").collect())])
-    wide = metric_values(star).groupBy("cell_id").pivot("metric", names).agg(F.first("value"))
-    pairs = list(combinations(names, 2))
-    one = wide.agg(
-        *[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
-        *[F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"n{i}") for i, (a, b) in enumerate(pairs)],
-    )
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), rounded(f"r{i}").alias("pearson"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(pairs)])
-    return one.select(F.explode(rows).alias("x")).select("x.*")
-
-
-def dual_breach_quadrants(star: Star, x: str = "call_drop", y: str = "congestion") -> DataFrame:
+    """(a_technology, a, b_technology, b, pearson, n): Pearson's r of every pair of metrics
+    that some cell of the last week has both of, over the ``n`` cells that do. A cell's
+    values are paired where they lie; pairs are added up as moments, so what is shuffled
+    is a row a pair and task, however many cells and metrics there are."""
+    vector = F.array_sort(F.collect_list(F.struct("metric", F.coalesce("technology", F.lit("")).alias("technology"), "value")))
+    cells = metric_values(star).filter("value IS NOT NULL").groupBy("cell_id").agg(vector.alias("v"))
+    pairs = F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    names = [F.nullif(F.col("x.a.technology"), F.lit("")).alias("a_technology"), F.col("x.a.metric").alias("a"), F.nullif(F.col("x.b.technology"), F.lit("")).alias("b_technology"), F.col("x.b.metric").alias("b")]
+    return cells.select(F.explode(F.flatten(pairs)).alias("x")).groupBy(*names).agg(rounded(F.corr("x.a.value", "x.b.value")).alias("pearson"), F.count("*").alias("n"))
+
+
+def dual_breach_quadrants(star: Star, x: str = "call_drop", y: str = "congestion", technology: str | None = None) -> DataFrame:
     """Cells by two KPIs' breaches; a KPI without target is judged by its upper median
-    over the cells that have both."""
+    over the cells that have both. ``technology``: needed where several share a key."""
     rows = last_kpis(star).filter(F.col("kpi_key").isin(x, y) & F.col("value").isNotNull())
+    if technology:
+        rows = rows.filter(F.col("technology") == technology)
     both = rows.groupBy("cell_id").agg(F.countDistinct("kpi_key").alias("n")).filter("n = 2")
     rows = rows.join(both, "cell_id", "left_semi")
     # Of the values in falling order the lower median: in rising order the upper one.
@@ -219,20 +218,26 @@ def explorer(star: Star, level: str, parent_id: int | None = None, q: str | None
 
 
 def place_map(star: Star, level: str = "region", region_id: int | None = None) -> DataFrame:
-    """Regions, or a region's districts, with their KPIs' means and breaches. What
-    is not measured stays null."""
+    """Regions, or a region's districts, with ``kpis``: mean and number of breaches by
+    ``technology:kpi_key``. What is not measured has no entry."""
     key, name = ENTITY[level]
     rows = state(star)
     if region_id is not None:
         rows = rows.filter(F.col("region_id") == region_id)
     base = rows.groupBy(F.col(key).alias("id"), F.col(name).alias("name")).agg(*_rollup()[:-1])
-    values = last_kpis(star).join(star.cells, "cell_id").groupBy(F.col(key).alias("kpi_of"))
-    names = [r["kpi_key"] for r in star.kpis.select("kpi_key").orderBy("kpi_key").collect()]
-    spread = values.agg(
-        *[rounded(F.avg(F.when(F.col("kpi_key") == k, F.col("value")))).alias(f"{k}_avg") for k in names],
-        *[F.count_if((F.col("kpi_key") == k) & F.col("breached")).alias(f"{k}_nc") for k in names],
-    )
-    return base.join(spread, F.col("id") == F.col("kpi_of"), "left").drop("kpi_of")
+    figures = F.struct(rounded(F.avg("value")).alias("avg"), F.count_if("breached").alias("nc"))
+    values = last_kpis(star).join(star.cells, "cell_id").groupBy(F.col(key).alias("kpi_of"), _kpi_name()).agg(figures.alias("figures"))
+    return base.join(_as_map(values, "kpi_of", "figures"), F.col("id") == F.col("kpi_of"), "left").drop("kpi_of")
+
+
+def _kpi_name() -> Column:
+    return F.concat_ws(":", "technology", "kpi_key").alias("kpi")
+
+
+def _as_map(values: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, kpis): the rows of each key as a map from ``technology:kpi_key``; there are
+    no more of these than KPIs."""
+    return values.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("kpi", value))).alias("kpis"))
 
 
 def breadcrumbs(star: Star) -> DataFrame:
@@ -240,7 +245,7 @@ def breadcrumbs(star: Star) -> DataFrame:
 
 
 def cell_table(star: Star, search=None, lifecycle=None, trend=None, severity=None, min_priority=None, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page of cells, worst first, with their KPI values."""
+    """A page of cells, worst first, with ``kpis``: their KPI values by ``technology:kpi_key``."""
     rows = state(star)
     if search:
         rows = rows.filter(contains_folded(search, "cell", "site", "district", "region"))
@@ -250,8 +255,8 @@ def cell_table(star: Star, search=None, lifecycle=None, trend=None, severity=Non
     if min_priority is not None:
         rows = rows.filter(F.col("priority_score") >= min_priority)
     page = rows.orderBy(F.desc_nulls_last("priority_score"), "cell_id").limit(max(1, min(500, limit)) + offset).offset(offset)
-    names = [r["kpi_key"] for r in star.kpis.select("kpi_key").orderBy("kpi_key").collect()]
-    spread = last_kpis(star).join(page.select("cell_id"), "cell_id", "left_semi").groupBy("cell_id").pivot("kpi_key", names).agg(F.first("value"))
+    values = last_kpis(star).join(page.select("cell_id"), "cell_id", "left_semi").select("cell_id", _kpi_name(), "value")
+    spread = _as_map(values, "cell_id", "value")
     return page.select("cell_id", "cell", "site", "district", "region", "is_nc", "lifecycle", "trend", "severity", "prb_avg", "breach_days", "throughput_kbps", "users", "volume_mb", "availability_pct", "priority_score", "priority_band").join(spread, "cell_id", "left")
 
 

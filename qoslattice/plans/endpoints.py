@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import views as V
-from ..sources.star import from_orders
+from ..sources.star import KPIS, from_orders
 from . import oracle as O
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -17,6 +17,12 @@ def add(name, query, sql=None):
         ORACLE_SQL[name] = sql
 
 
+def spread(rows, parts={"": ""}):
+    """The adapter's KPIs out of the map ``kpis`` into columns, whose keys are unique there."""
+    entry = lambda t, k, field: F.col("kpis")[f"{t}:{k}"][field[1:]] if field else F.col("kpis")[f"{t}:{k}"]
+    return rows.select("*", *[entry(t, k, field).alias(k + end) for t, k, *_ in KPIS for end, field in parts.items()]).drop("kpis")
+
+
 O.define("kw", ("extras",), f"""
 SELECT {O.start('date', 'weekly')} AS period, cell_id, technology, kpi_key, round(avg(value), 4) AS avg, round(sum(value), 4) AS sum, round(max(value), 4) AS max, round(min(value), 4) AS min
 FROM extras GROUP BY 1, 2, 3, 4""")
@@ -37,16 +43,16 @@ add("kpi_worst_cells", V.kpi_worst_cells, O.sql(f"SELECT b.*, cell, site, distri
 add("kpi_trend_12w", V.kpi_trend, O.sql(
     "SELECT technology, kpi_key, period, value, coalesce(CASE WHEN worse_is_higher THEN value > target ELSE value < target END, false) AS breached FROM (SELECT technology, kpi_key, period, target, worse_is_higher, round(avg(value), 4) AS value "
     "FROM kv WHERE period IN (SELECT period FROM backs WHERE back < 12) GROUP BY 1, 2, 3, 4, 5)", "kv", "backs"))
-add("perf_percentiles", V.distributions, O.sql(
+add("perf_percentiles", lambda s: V.distributions(s).drop("technology"), O.sql(
     "SELECT metric, i / 20 AS q, round(v[i + 1], 4) AS value FROM (SELECT metric, v, unnest(range(21)) AS i FROM (SELECT metric, quantile_cont(value, ["
     + ", ".join(str(i / 20) for i in range(21)) + "]) AS v FROM mv GROUP BY 1))", "mv"))
-add("perf_summary", V.distribution_summary, O.sql(
+add("perf_summary", lambda s: V.distribution_summary(s).drop("technology"), O.sql(
     "SELECT metric, count(value) AS n, round(avg(value), 4) AS mean, round(min(value), 4) AS min, round(max(value), 4) AS max, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.9), 4) AS p90 FROM mv GROUP BY 1", "mv"))
 add("perf_median", V.throughput_median, O.sql("SELECT count(*) AS cells, round(median(throughput_kbps), 4) AS throughput_median_kbps FROM cwlast", "cwlast"))
 add("perf_scatter_quadrants", V.scatter, O.sql(
     f"SELECT cell_id, prb_avg, throughput_kbps, users, is_nc, CASE WHEN prb_avg >= {O.T} AND throughput_kbps < m THEN 'congested' WHEN prb_avg >= {O.T} THEN 'busy' WHEN throughput_kbps < m THEN 'quiet' ELSE 'healthy' END AS quadrant "
     "FROM cwlast, (SELECT median(throughput_kbps) AS m FROM cwlast)", "cwlast"))
-add("perf_correlations", V.correlations, O.sql(
+add("perf_correlations", lambda s: V.correlations(s).drop("a_technology", "b_technology"), O.sql(
     "SELECT x.metric AS a, y.metric AS b, round(corr(x.value, y.value), 4) AS pearson, count(*) AS n FROM mv x JOIN mv y ON x.cell_id = y.cell_id AND x.metric < y.metric GROUP BY 1, 2", "mv"))
 add("dual_breach_quadrants", V.dual_breach_quadrants, O.sql(
     "SELECT CASE WHEN x AND y THEN 'critical' WHEN x THEN 'x_impaired' WHEN y THEN 'y_impaired' ELSE 'optimal' END AS quadrant, count(*) AS cells FROM "
@@ -97,16 +103,16 @@ add("explorer_children", lambda s: V.explorer(s, "district", parent_id=1), O.sql
     f"SELECT district_id AS id, district AS name, {ROLL}, max(priority_score) AS priority_score, {O.BAND.format('max(priority_score)')} AS priority_band FROM state WHERE region_id = 1 GROUP BY 1, 2", "state"))
 for level, of in (("region", None), ("district", 1)):
     K = ", ".join(f"round(avg(value) FILTER (WHERE kpi_key = '{k}'), 4) AS {k}_avg, count(*) FILTER (WHERE kpi_key = '{k}' AND breached) AS {k}_nc" for k in O.KEYS)
-    add(f"{level}_map", lambda s, v=level, r=of: V.place_map(s, v, r), O.sql(
+    add(f"{level}_map", lambda s, v=level, r=of: spread(V.place_map(s, v, r), {"_avg": ".avg", "_nc": ".nc"}), O.sql(
         f"SELECT a.*, b.* EXCLUDE (kid) FROM (SELECT {level}_id AS id, {level} AS name, {ROLL} FROM state {'WHERE region_id = 1' if of else ''} GROUP BY 1, 2) a "
         f"LEFT JOIN (SELECT {level}_id AS kid, {K} FROM klast JOIN cells USING (cell_id) GROUP BY 1) b ON id = kid", "state", "klast", "cells"))
 add("breadcrumbs", V.breadcrumbs, O.sql("SELECT cell_id, concat_ws(' > ', 'Network', region, district, site, cell) AS path FROM cells", "cells"))
 PAGE = "cell_id, cell, site, district, region, is_nc, lifecycle, trend, severity, prb_avg, breach_days, throughput_kbps, users, volume_mb, availability_pct, priority_score, priority_band"
 KPI_PAGE = "LEFT JOIN (SELECT cell_id, " + ", ".join(f"max(value) FILTER (WHERE kpi_key = '{k}') AS {k}" for k in O.KEYS) + " FROM klast GROUP BY 1) k USING (cell_id)"
 PAGE_KPIS = ", ".join(O.KEYS)
-add("cell_table_paged", lambda s: V.cell_table(s, limit=20, offset=10), O.sql(
+add("cell_table_paged", lambda s: spread(V.cell_table(s, limit=20, offset=10)), O.sql(
     f"SELECT {PAGE}, {PAGE_KPIS} FROM (SELECT * FROM state ORDER BY priority_score DESC NULLS LAST, cell_id LIMIT 20 OFFSET 10) {KPI_PAGE}", "state", "klast"))
-add("cell_table_filtered", lambda s: V.cell_table(s, search="nation", severity="Critical", min_priority=25), O.sql(
+add("cell_table_filtered", lambda s: spread(V.cell_table(s, search="nation", severity="Critical", min_priority=25)), O.sql(
     f"SELECT {PAGE}, {PAGE_KPIS} FROM (SELECT * FROM state WHERE severity = 'Critical' AND priority_score >= 25 AND (contains(lower(cell), 'nation') OR contains(lower(site), 'nation') OR contains(lower(district), 'nation') OR contains(lower(region), 'nation')) "
     f"ORDER BY priority_score DESC NULLS LAST, cell_id LIMIT 100) {KPI_PAGE}", "state", "klast"))
 for g in ("daily", "weekly"):

@@ -411,7 +411,7 @@ def integrity(cells: DataFrame, facts: DataFrame, extras: DataFrame) -> DataFram
     """(problem, n): broken keys of a store."""
     doubles = lambda df, keys: df.groupBy(*keys).count().filter("count > 1").agg(F.count("*").alias("n"))
     checks = {
-        "duplicate_facts": doubles(facts, ["cell_id", "date"]), "duplicate_kpis": doubles(extras, ["cell_id", "date", "kpi_key"]),
+        "duplicate_facts": doubles(facts, ["cell_id", "date"]), "duplicate_kpis": doubles(extras, [*(["technology"] if "technology" in extras.columns else []), "cell_id", "date", "kpi_key"]),
         "duplicate_cells": doubles(cells, ["cell_id"]), "orphan_facts": facts.join(cells, "cell_id", "left_anti").agg(F.count("*").alias("n")),
         "cells_without_site": cells.filter("site_id IS NULL").agg(F.count("*").alias("n")),
     }

@@ -56,10 +56,15 @@ class Star:
         if "technology" not in self.extras.columns:
             self.extras = self.extras.withColumn("technology", F.lit(DEFAULT_TECHNOLOGY))
 
+    @property
+    def active_kpis(self) -> DataFrame:
+        """The registry without KPIs that are switched off."""
+        return self.kpis.filter(F.coalesce("active", F.lit(True))) if "active" in self.kpis.columns else self.kpis
+
     @property
     def breaching_kpis(self) -> DataFrame:
         """KPIs whose breach makes a day non-compliant."""
-        return self.kpis.filter(F.col("target").isNotNull() & (F.col("is_core") | F.col("persistent")))
+        return self.active_kpis.filter(F.col("target").isNotNull() & (F.col("is_core") | F.col("persistent")))
 
     def where(self, condition: Column) -> Star:
         """The star of the days that meet ``condition`` (on date, cell_id or month)."""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,45 @@ def clean_up(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of texts and results that a task of ``mapped`` holds about at once, but for a single larger row.
+PORTION_BYTES = 4 << 20
+
+
+def mapped(rows: DataFrame, of: Callable[[str], tuple], fields: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
+    """(text_key, ``fields``) for ``rows`` (text_key, text): what ``of`` makes of each text.
+
+    Texts are taken from a batch one by one and results leave as soon as PORTION_BYTES are
+    there, so memory does not grow with the rows of a batch. Arrays come as numpy arrays."""
+
+    def column(values: tuple, kind: pa.DataType) -> pa.Array:
+        if not pa.types.is_list(kind):
+            return pa.array(values, kind)
+        offsets = [0]
+        for v in values:
+            offsets.append(offsets[-1] + len(v))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(_joined(values), kind.value_type))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts, start, held, size = batch.column(0), batch.column(1), 0, [], 0
+            for i in range(batch.num_rows):
+                text = texts[i].as_py()
+                held.append(of(text))
+                size += len(text) + sum(x.nbytes if hasattr(x, "nbytes") else len(x) if isinstance(x, bytes) else 8 for x in held[-1])
+                if size >= PORTION_BYTES or i == batch.num_rows - 1:
+                    columns = [column(c, t) for c, (_, t) in zip(zip(*held, strict=True), fields, strict=True)]
+                    yield pa.RecordBatch.from_arrays([keys.slice(start, len(held)), *columns], ["text_key", *(n for n, _ in fields)])
+                    start, held, size = i + 1, [], 0
+
+    return rows.select("text_key", "text").mapInArrow(work, f"text_key long, {schema}")
+
+
+def _joined(arrays):
+    import numpy as np
+
+    return np.concatenate(arrays) if arrays else np.array([], np.int64)
+
+
 def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

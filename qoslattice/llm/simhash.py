@@ -25,11 +25,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_key, whole_text
+from .common import discard, mapped, materialize, text_key, whole_text
 from .components import components
 
 SEED = 42
@@ -309,6 +310,11 @@ def shingle_set(text: str, width: int = DOC_WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
+def shingle_sets(texts: DataFrame, width: int = DOC_WORDS) -> DataFrame:
+    """(text_key, set) of ``texts`` (text_key, text)."""
+    return mapped(texts, lambda t: (shingle_set(t, width).view(np.int64),), [("set", pa.list_(pa.int64()))], "set array<long>")
+
+
 def prefix(found: np.ndarray, common: np.ndarray, weights: np.ndarray, similarity: float) -> np.ndarray:
     """The first n - ceil(similarity * n) + 1 of the n shingles ``found``, the ``common``
     ones (sorted) last, by weight. Sets alike by ``similarity`` share at least
@@ -329,12 +335,8 @@ def prefix(found: np.ndarray, common: np.ndarray, weights: np.ndarray, similarit
 def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, weights): those that a sample of ``texts`` holds most often."""
 
-    @F.pandas_udf("array<long>")
-    def set_of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: shingle_set(t, width).view(np.int64))
-
     sample = texts.filter(F.pmod("text_key", F.lit(SAMPLED)) == 0).dropDuplicates(["text_key"])
-    counts = sample.select(F.explode(set_of(F.col("text"))).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    counts = shingle_sets(sample, width).select(F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
     rows = counts.filter(F.col("n") >= SAMPLE_LEAST).orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
     shingles = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(shingles)
@@ -357,21 +359,18 @@ def parities_apart(a: bytes, b: bytes) -> int:
     return int.from_bytes((whole[0] ^ whole[1]).tobytes(), "little").bit_count()
 
 
-def sketch(text: Column, common, similarity: float, width: int = DOC_WORDS) -> Column:
-    """struct(n, fp, parity, keys): the size of the shingle set, its fingerprint, its parity
-    sketch, and the text's buckets: its prefix. ``common``: a broadcast of ``common_shingles``."""
+def sketched(texts: DataFrame, common, similarity: float, width: int = DOC_WORDS) -> DataFrame:
+    """(text_key, n, fp, parity, keys) of ``texts`` (text_key, text): the size of the shingle
+    set, its fingerprint, its parity sketch, and the text's buckets: its prefix. ``common``:
+    a broadcast of ``common_shingles``."""
 
-    @F.pandas_udf("n int, fp long, parity binary, keys array<long>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        def row(t: str) -> tuple:
-            # One set at a time; a copy of the prefix does not keep the whole set.
-            found = shingle_set(t, width)
-            return len(found), majority(found), parities(found), prefix(found, *common.value, similarity).view(np.int64).copy()
+    def of(text: str) -> tuple:
+        # One set at a time; a copy of the prefix does not keep the whole set.
+        found = shingle_set(text, width)
+        return len(found), majority(found), parities(found), prefix(found, *common.value, similarity).view(np.int64).copy()
 
-        n, fp, parity, keys = zip(*map(row, texts)) if len(texts) else ((), (), (), ())
-        return pd.DataFrame({"n": np.array(n, np.int32), "fp": np.array(fp, np.int64), "parity": list(parity), "keys": list(keys)})
-
-    return of(text)
+    fields = [("n", pa.int32()), ("fp", pa.int64()), ("parity", pa.binary()), ("keys", pa.list_(pa.int64()))]
+    return mapped(texts, of, fields, "n int, fp long, parity binary, keys array<long>")
 
 
 def paired(pairs: DataFrame, values: DataFrame, block: int) -> DataFrame:
@@ -490,8 +489,7 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     """
     texts = docs.select(text_key().alias("text_key"), whole_text().alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
-    sketched = texts.select("text_key", sketch(F.col("text"), common, similarity, width).alias("s")).select("text_key", "s.*")
-    distinct = materialize(sketched.dropDuplicates(["text_key"]))
+    distinct = materialize(sketched(texts, common, similarity, width).dropDuplicates(["text_key"]))
     sketches = distinct.select("text_key", "n", "parity")
     # Dealt once, for the count of a bucket's texts and for the texts of those that have two.
     placed = distinct.select("text_key", "n", F.explode("keys").alias("bucket")).repartition("bucket")
@@ -499,16 +497,12 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     sizes = placed.groupBy("bucket").agg(F.min(order).alias("first"), F.max("text_key").alias("last")).filter("first.text_key < last")
     met = materialize(placed.join(sizes, "bucket").select("bucket", "text_key", "n", F.col("first.text_key").alias("pivot"), F.col("first.n").alias("n_pivot")))
 
-    @F.pandas_udf("array<long>")
-    def set_of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: shingle_set(t, width).view(np.int64))
-
     def judge(pairs: DataFrame) -> DataFrame:
         near = materialize(within_reach(materialize(pairs), sketches, similarity, block))
         ends = near.select(F.explode(F.array("a", "b")).alias("end")).distinct()
         # Equal texts have equal sets; one is enough.
         one = texts.join(ends, F.col("text_key") == F.col("end"), "left_semi").dropDuplicates(["text_key"])
-        sets = materialize(one.select("text_key", set_of(F.col("text")).alias("set")))
+        sets = materialize(shingle_sets(one, width))
         judged = materialize(distances(near, sets, similarity, block).filter("alike").select("a", "b"))
         discard(sets)
         return judged

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clamp_round, delta, delta_pct, pct_change, rounded
+from ..functions.rules import Rules
 from ..sources.star import Star
 from .aggregates import ENTITY, cell_weekly, flagged_facts
 from .intelligence import health_last, last_week, latest, nc_lifecycle, scored
@@ -50,17 +51,6 @@ def findings(star: Star) -> DataFrame:
     return rows.select("cell_id", F.explode(found).alias("finding"))
 
 
-@dataclass(frozen=True)
-class Rule:
-    """``support`` and ``contra``: (points, what was seen, condition)."""
-
-    name: str
-    base: int
-    advice: str
-    support: tuple
-    contra: tuple
-
-
 #: What the rules look at, and the KPIs that may tell it, the first that is measured.
 KPI_INPUTS = {
     "call_drop": ("call_drop", "call_drop_rate_4g", "call_drop_rate_3g", "call_drop_rate_2g"),
@@ -71,73 +61,106 @@ KPI_INPUTS = {
     "data_failure": ("data_failure", "data_service_failure_4g"),
 }
 
+#: A row is a condition on a metric of a cell. Conditions of one clause are alternatives, and
+#: a term holds if each of its clauses does; then it adds ``points`` to its hypothesis (side
+#: "base" or "support") or takes them away ("contra"). ``technology``: whose KPI it is, null
+#: for measures, inputs and KPIs of any. ``nth`` orders terms. A missing value meets nothing.
+RULE_ROW = "hypothesis string, side string, nth int, term string, points int, clause int, technology string, metric string, comparison string, limit double"
+COMPARISONS = {">=": lambda a, b: a >= b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, "<": lambda a, b: a < b}
+#: What every cell has, for conditions that always hold.
+ALWAYS = (None, "always", ">=", 0.0)
+#: What to do about each hypothesis.
+ADVICE = {
+    "congestion": "add capacity or move load", "accessibility": "check random access, signalling links and licences", "retainability": "check coverage edges, neighbours and hardware",
+    "sleeping_cell": "reset the cell and check its radio chain", "transport": "check the backhaul's rate and errors", "interference": "scan the uplink and check tilts",
+}
+
 
-def diagnosis_rules(star: Star) -> tuple[Rule, ...]:
-    """The six rules over the columns of ``diagnosis``; a missing value supports nothing.
+def diagnosis_rules(r: Rules) -> list[tuple]:
+    """The rows (RULE_ROW) of six hypotheses under the thresholds ``r``.
 
     Fixed values: bases, points and limits."""
-    r = star.rules
-    prb, thr, vol, users, avail = (F.col(c) for c in ("prb_avg", "throughput_kbps", "volume_mb", "users", "availability_pct"))
-    drop, congested, sdcch, setup, access, failure = (F.col(c) for c in KPI_INPUTS)
-    low = (vol < 10) | (users < 2)
-    return (
-        Rule(
-            "congestion", 35, "add capacity or move load",
-            ((30, "load", prb >= r.prb_threshold_pct), (30, "blocking", congested >= r.tch_congestion_pct), (15, "users grow", F.col("users_pct") >= 10), (15, "volume grows", F.col("volume_pct") >= 10), (15, "lasting", F.col("streak") >= r.persistent_weeks)),
-            ((25, "load far below threshold", prb < r.prb_threshold_pct - 15),),
-        ),
-        Rule(
-            "accessibility", 30, "check random access, signalling links and licences",
-            ((30, "setup", setup < r.cssr_pct), (25, "data access", access < r.data_access_pct), (30, "data failures", failure > r.data_failure_pct), (20, "signalling blocked", sdcch > r.sdcch_congestion_pct)),
-            ((20, "setup healthy", setup >= r.cssr_pct),),
-        ),
-        Rule(
-            "retainability", 30, "check coverage edges, neighbours and hardware",
-            ((35, "drops", drop > r.call_drop_pct), (15, "availability", avail < 99)), ((20, "drops healthy", drop <= r.call_drop_pct),),
-        ),
-        Rule(
-            "sleeping_cell", 20, "reset the cell and check its radio chain",
-            ((50, "available, yet idle", (avail >= 99) & low & ((F.col("was_volume_mb") > 100) | (F.col("was_users") > 20))),),
-            ((20, "unavailable", low & (avail < 99)), (40, "carries traffic", ~low)),
-        ),
-        Rule(
-            "transport", 30, "check the backhaul's rate and errors",
-            ((25, "speed fell", F.col("throughput_pct") <= -15), (20, "slow", thr < 2000), (10, "available", avail >= 99.5), (25, "slow without load", (prb < 40) & (thr < 2000))),
-            ((20, "unavailable", avail < 95),),
-        ),
-        Rule(
-            "interference", 30, "scan the uplink and check tilts",
-            ((30, "slow at low load", (prb < 60) & (thr < 4000)), (25, "drops without load", (drop > r.call_drop_pct) & (prb < r.prb_threshold_pct)), (10, "availability", avail < 99)),
-            ((20, "loaded", prb >= r.prb_threshold_pct),),
-        ),
-    )
+    of = lambda metric, comparison, limit, technology=None: (technology, metric, comparison, float(limit))
+    low = [of("volume_mb", "<", 10), of("users", "<", 2)]
+    terms = [
+        ("congestion", "base", 35, "", [[ALWAYS]]),
+        ("congestion", "support", 30, "load", [[of("prb_avg", ">=", r.prb_threshold_pct)]]),
+        ("congestion", "support", 30, "blocking", [[of("congestion", ">=", r.tch_congestion_pct)]]),
+        ("congestion", "support", 25, "signalling blocks", [[of("sdcch_congestion", ">=", r.sdcch_congestion_pct, "2G")]]),
+        ("congestion", "support", 15, "users grow", [[of("users_pct", ">=", 10)]]),
+        ("congestion", "support", 15, "volume grows", [[of("volume_pct", ">=", 10)]]),
+        ("congestion", "support", 15, "lasting", [[of("streak", ">=", r.persistent_weeks)]]),
+        ("congestion", "contra", 25, "load far below threshold", [[of("prb_avg", "<", r.prb_threshold_pct - 15)]]),
+        ("accessibility", "base", 30, "", [[ALWAYS]]),
+        ("accessibility", "support", 30, "setup", [[of("setup", "<", r.cssr_pct)]]),
+        ("accessibility", "support", 25, "data access", [[of("data_access", "<", r.data_access_pct)]]),
+        ("accessibility", "support", 30, "data failures", [[of("data_failure", ">", r.data_failure_pct)]]),
+        ("accessibility", "support", 20, "signalling blocked", [[of("sdcch", ">", r.sdcch_congestion_pct)]]),
+        ("accessibility", "contra", 20, "setup healthy", [[of("setup", ">=", r.cssr_pct)]]),
+        ("retainability", "base", 30, "", [[ALWAYS]]),
+        ("retainability", "support", 35, "drops", [[of("call_drop", ">", r.call_drop_pct)]]),
+        ("retainability", "support", 15, "availability", [[of("availability_pct", "<", 99)]]),
+        ("retainability", "contra", 20, "drops healthy", [[of("call_drop", "<=", r.call_drop_pct)]]),
+        ("sleeping_cell", "base", 20, "", [[ALWAYS]]),
+        ("sleeping_cell", "support", 50, "available, yet idle", [[of("availability_pct", ">=", 99)], low, [of("was_volume_mb", ">", 100), of("was_users", ">", 20)]]),
+        ("sleeping_cell", "contra", 20, "unavailable", [low, [of("availability_pct", "<", 99)]]),
+        ("sleeping_cell", "contra", 40, "carries traffic", [[of("volume_mb", ">=", 10)], [of("users", ">=", 2)]]),
+        ("transport", "base", 30, "", [[ALWAYS]]),
+        ("transport", "support", 25, "speed fell", [[of("throughput_pct", "<=", -15)]]),
+        ("transport", "support", 20, "slow", [[of("throughput_kbps", "<", 2000)]]),
+        ("transport", "support", 10, "available", [[of("availability_pct", ">=", 99.5)]]),
+        ("transport", "support", 25, "slow without load", [[of("prb_avg", "<", 40)], [of("throughput_kbps", "<", 2000)]]),
+        ("transport", "contra", 20, "unavailable", [[of("availability_pct", "<", 95)]]),
+        ("interference", "base", 30, "", [[ALWAYS]]),
+        ("interference", "support", 30, "slow at low load", [[of("prb_avg", "<", 60)], [of("throughput_kbps", "<", 4000)]]),
+        ("interference", "support", 25, "drops without load", [[of("call_drop", ">", r.call_drop_pct)], [of("prb_avg", "<", r.prb_threshold_pct)]]),
+        ("interference", "support", 10, "availability", [[of("availability_pct", "<", 99)]]),
+        ("interference", "contra", 20, "loaded", [[of("prb_avg", ">=", r.prb_threshold_pct)]]),
+    ]
+    return [(name, side, nth, term, points, clause, *condition) for nth, (name, side, points, term, clauses) in enumerate(terms) for clause, conditions in enumerate(clauses) for condition in conditions]
 
 
-def diagnosis(star: Star) -> DataFrame:
-    """(cell_id, hypothesis, score, verdict, confidence, supporting, opposing, advice)
-    for the cells of the last week. Advice is given from a score of 45 on."""
+def cell_signs(star: Star) -> DataFrame:
+    """(cell_id, technology, metric, value): what the rules may ask about the cells of the
+    last week, long: measures and their changes, the streak, each KPI under its technology
+    and under none, and the inputs of KPI_INPUTS."""
     by_cell = Window.partitionBy("cell_id").orderBy("period")
     rows = nc_lifecycle(star).select("*", *[F.lag(m).over(by_cell).alias(f"was_{m}") for m in ("users", "volume_mb", "throughput_kbps")])
     rows = latest(rows, star).select("*", pct_change("users", "was_users").alias("users_pct"), pct_change("volume_mb", "was_volume_mb").alias("volume_pct"), pct_change("throughput_kbps", "was_throughput_kbps").alias("throughput_pct"))
-    asked = sorted({k for keys in KPI_INPUTS.values() for k in keys})
-    week = star.since(star.last_period()).extras.filter(F.col("kpi_key").isin(asked)).withColumn("period", F.trunc("date", "week")).groupBy("period", "cell_id")
-    kpis = week.agg(*[rounded(F.avg(F.when(F.col("kpi_key") == k, F.col("value")))).alias(f"kpi_{k}") for k in asked])
-    inputs = [F.coalesce(*[F.col(f"kpi_{k}") for k in keys]).alias(name) for name, keys in KPI_INPUTS.items()]
-    rows = rows.join(kpis, ["period", "cell_id"], "left").select(*rows.columns, *inputs)
-    points = lambda terms: sum((F.when(c, p).otherwise(0) for p, _, c in terms), F.lit(0))
-    seen = lambda terms: F.concat_ws("; ", *[F.when(c, F.lit(name)) for _, name, c in terms])
-    scores = [
-        F.struct(
-            F.lit(r.name).alias("hypothesis"), F.least(F.lit(95), F.greatest(F.lit(5), r.base + points(r.support) - points(r.contra))).cast("long").alias("score"),
-            seen(r.support).alias("supporting"), seen(r.contra).alias("opposing"), F.lit(r.advice).alias("advice"),
-        )
-        for r in diagnosis_rules(star)
-    ]
-    long = rows.select("cell_id", F.explode(F.array(*scores)).alias("x")).select("cell_id", "x.*")
+    names = ("prb_avg", "throughput_kbps", "users", "volume_mb", "availability_pct", "streak", "users_pct", "volume_pct", "throughput_pct", "was_users", "was_volume_mb")
+    signs = rows.select("cell_id", F.lit(0.0).alias("always"), *[F.col(n).cast("double").alias(n) for n in names]).unpivot(["cell_id"], ["always", *names], "metric", "value").select("cell_id", F.lit(None).cast("string").alias("technology"), "metric", "value")
+    week = star.since(star.last_period()).extras.withColumn("period", F.trunc("date", "week")).filter(F.col("period") == F.lit(star.last_period()))
+    known = week.groupBy("cell_id", "technology", F.col("kpi_key").alias("metric")).agg(rounded(F.avg("value")).alias("value")).filter("value IS NOT NULL").join(rows.select("cell_id"), "cell_id", "left_semi")
+    # An input is the first of its KPIs that is measured; of technologies that share a key, the newest.
+    inputs = [F.struct(F.lit(name).alias("input"), F.lit(nth).alias("nth"), F.lit(key).alias("key")) for name, keys in KPI_INPUTS.items() for nth, key in enumerate(keys)]
+    asked = known.select("*", F.explode(F.filter(F.array(*inputs), lambda x: x["key"] == F.col("metric"))).alias("x"))
+    first = asked.groupBy("cell_id", "x.input").agg(F.min_by("value", F.struct("x.nth", -F.substring("technology", 1, 1).try_cast("int"))).alias("value"))
+    return signs.unionByName(known).unionByName(first.select("cell_id", F.lit(None).cast("string").alias("technology"), F.col("input").alias("metric"), "value"))
+
+
+def diagnosis(star: Star, rules: DataFrame | None = None, advice: dict[str, str] | None = None) -> DataFrame:
+    """(cell_id, hypothesis, score, verdict, confidence, supporting, opposing, advice) for
+    the cells of the last week, by the conditions ``rules`` (RULE_ROW; six hypotheses if not
+    given). Advice is given from a score of 45 on. Signs meet conditions by metric; a cell's
+    conditions are added up to terms, and these to scores, so a new rule is a new row."""
+    rules = star.spark.createDataFrame(diagnosis_rules(star.rules), RULE_ROW) if rules is None else rules
+    term = ["hypothesis", "side", "nth", "term", "points"]
+    clauses = rules.groupBy(*term).agg(F.expr("bit_or(shiftleft(1L, clause))").alias("needed"))
+    conditions = rules.join(clauses, term).withColumnRenamed("technology", "of_technology")
+    met = F.lit(False)
+    for sign, holds in COMPARISONS.items():
+        met = met | ((F.col("comparison") == sign) & holds(F.col("value"), F.col("limit")))
+    signs = cell_signs(star)
+    hits = signs.join(conditions, "metric").filter(F.col("of_technology").eqNullSafe(F.col("technology")) & met)
+    terms = hits.groupBy("cell_id", *term, "needed").agg(F.expr("bit_or(shiftleft(1L, clause))").alias("met")).filter("met = needed")
+    seen = lambda side: F.concat_ws("; ", F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("nth", "term")))), lambda x: x["term"]))
+    total = F.sum(F.when(F.col("side") == "contra", -F.col("points")).otherwise(F.col("points")))
+    found = terms.groupBy("cell_id", "hypothesis").agg(F.least(F.lit(95), F.greatest(F.lit(5), total)).cast("long").alias("score"), seen("support").alias("supporting"), seen("contra").alias("opposing"))
+    told = F.create_map(*[F.lit(x) for pair in (advice or ADVICE).items() for x in pair])
     score = F.col("score")
-    return long.select(
+    return found.select(
         "cell_id", "hypothesis", "score", F.when(score >= 65, "consistent").when(score >= 45, "suggests").otherwise("weak").alias("verdict"),
-        F.when(score >= 70, "High").when(score >= 40, "Medium").otherwise("Low").alias("confidence"), "supporting", "opposing", F.when(score >= 45, F.col("advice")).alias("advice"),
+        F.when(score >= 70, "High").when(score >= 40, "Medium").otherwise("Low").alias("confidence"), "supporting", "opposing", F.when(score >= 45, told[F.col("hypothesis")]).alias("advice"),
     )
 
 
@@ -160,17 +183,44 @@ def events_timeline(star: Star, notes: DataFrame | None = None, score_step: floa
     return events.unionByName(notes.select("cell_id", F.col("at").alias("period"), F.lit("note").alias("kind"), F.concat_ws(": ", "author", "note").alias("note")))
 
 
-def before_after(star: Star, intervention: str, most: int = 8) -> DataFrame:
-    """Metrics of the network in up to ``most`` weeks on each side of a week."""
-    rows = cell_weekly(star)
-    weeks = rows.select("period").distinct().withColumn("after", F.col("period") >= F.lit(intervention).cast("date"))
-    near = F.when(F.col("after"), F.datediff("period", F.lit(intervention).cast("date"))).otherwise(F.datediff(F.lit(intervention).cast("date"), "period"))
-    kept = weeks.withColumn("rn", F.row_number().over(Window.partitionBy("after").orderBy(near))).filter(F.col("rn") <= most).select("period", "after")
-    by_week = rows.join(kept, "period").groupBy("period", "after").agg(*[(F.avg if m in AVERAGED else F.sum)(m).alias(m) for m in METRICS])
-    side = lambda m, after: rounded(F.avg(F.when(F.col("after") == after, F.col(m))))
-    wide = by_week.agg(*[side(m, False).alias(f"b_{m}") for m in METRICS], *[side(m, True).alias(f"a_{m}") for m in METRICS])
+INTERVENTION = "scope string, id long, at date"
+
+
+def interventions_before_after(star: Star, interventions: DataFrame, most: int = 8) -> DataFrame:
+    """(scope, id, at, metric, before, after, delta_pct) for any number of ``interventions``
+    (INTERVENTION): metrics of the entity in up to ``most`` weeks with data on each side.
+    Weeks that start on ``at`` or later are after it; without a date it is the entity's middle week.
+
+    Weeks are added up by entity once. An intervention's windows become a row a week, and
+    meet the entity's weeks by scope, id and week. Where weeks are missing, windows reach
+    further: each side keeps its nearest ``most`` of all weeks of the entity."""
+    weekly = cell_weekly(star).join(star.cells, "cell_id")
+    levels = [F.struct(F.lit(level).alias("scope"), (F.col(key) if key else F.lit(0)).cast("long").alias("id")) for level, (key, _) in ENTITY.items()]
+    figures = [(F.avg if m in AVERAGED else F.sum)(m).alias(m) for m in METRICS]
+    asked = interventions.select("scope", F.coalesce("id", F.lit(0).cast("long")).alias("id"), "at").distinct()
+    # Only the entities that are asked for are added up.
+    by_entity = weekly.select("period", *METRICS, F.explode(F.array(*levels)).alias("e")).select("period", *METRICS, "e.*")
+    by_entity = by_entity.join(asked.select("scope", "id").distinct(), ["scope", "id"], "left_semi").groupBy("scope", "id", "period").agg(*figures)
+    # A week's number among those of its entity: windows are ranges of these numbers.
+    own = Window.partitionBy("scope", "id").orderBy("period")
+    numbered_weeks = by_entity.withColumn("nth", F.row_number().over(own)).withColumn("weeks", F.count("*").over(Window.partitionBy("scope", "id")))
+    middle = numbered_weeks.filter(F.col("nth") == F.floor(F.col("weeks") / 2) + 1).select("scope", "id", F.col("period").alias("middle"))
+    dated = asked.join(middle, ["scope", "id"]).withColumn("from", F.coalesce("at", "middle"))
+    # The number of the first week after: one more than the weeks before. Weeks meet an entity's dates by its key.
+    starts = dated.join(numbered_weeks.select("scope", "id", "period", "nth"), ["scope", "id"]).groupBy("scope", "id", "at", "from").agg((F.count_if(F.col("period") < F.col("from")) + 1).cast("int").alias("start"))
+    window = F.explode(F.sequence(F.col("start") - most, F.col("start") + most - 1)).alias("nth")
+    met = starts.select("scope", "id", "at", "from", "start", window).join(numbered_weeks, ["scope", "id", "nth"])
+    side = lambda m, after: rounded(F.avg(F.when((F.col("nth") >= F.col("start")) == after, F.col(m))))
+    wide = met.groupBy("scope", "id", "at", "from").agg(*[side(m, False).alias(f"b_{m}") for m in METRICS], *[side(m, True).alias(f"a_{m}") for m in METRICS])
     items = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"b_{m}").alias("before"), F.col(f"a_{m}").alias("after")) for m in METRICS])
-    return wide.select(F.explode(items).alias("x")).select("x.*").withColumn("delta_pct", delta_pct("after", "before"))
+    long = wide.select("scope", "id", F.col("from").alias("at"), F.explode(items).alias("x")).select("scope", "id", "at", "x.*")
+    return long.withColumn("delta_pct", delta_pct("after", "before"))
+
+
+def before_after(star: Star, intervention: str | None = None, scope: str = "network", entity_id: int = 0, most: int = 8) -> DataFrame:
+    """Metrics of an entity in up to ``most`` weeks on each side of a date, of the network if not told."""
+    one = star.spark.createDataFrame([(scope, entity_id)], "scope string, id long").select("*", F.lit(intervention).cast("date").alias("at"))
+    return interventions_before_after(star, one, most).select("metric", "before", "after", "delta_pct")
 
 
 def peers(star: Star, cell_id: int, limit: int = 10) -> DataFrame:

@@ -154,6 +154,33 @@ BA = " UNION ALL ".join(
     f"SELECT '{m}' AS metric, round(avg(x) FILTER (WHERE NOT after), 4) AS before, round(avg(x) FILTER (WHERE after), 4) AS after FROM (SELECT period, after, {AGG[m]}({m}) AS x FROM cw JOIN sides USING (period) WHERE rn <= 8 GROUP BY 1, 2)" for m in METRICS)
 O.define("sides", ("cw",), "SELECT period, period >= DATE '2000-06-05' AS after, row_number() OVER (PARTITION BY period >= DATE '2000-06-05' ORDER BY abs(period - DATE '2000-06-05')) AS rn FROM (SELECT DISTINCT period FROM cw)")
 add("before_after", lambda s: V.before_after(s, "2000-06-05"), O.sql(f"SELECT metric, before, after, round((after - before) / nullif(abs(before), 0) * 100, 1) AS delta_pct FROM ({BA})", "cw", "sides"))
+
+
+def interventions(star):
+    """Every district on a date and at its middle, some cells, and the network."""
+    day = lambda d: F.lit(d).cast("date").alias("at")
+    districts = star.cells.select(F.lit("district").alias("scope"), F.col("district_id").alias("id")).distinct()
+    cells = star.cells.filter("cell_id % 10 = 3").select(F.lit("cell").alias("scope"), F.col("cell_id").alias("id"))
+    network = star.spark.range(1).select(F.lit("network").alias("scope"), "id")
+    return districts.select("*", day("2000-06-05")).unionByName(districts.select("*", day(None))).unionByName(cells.select("*", day("1999-03-03"))).unionByName(network.select("*", day(None)))
+
+
+O.define("entweeks", ("cw", "cells"), " UNION ALL ".join(
+    f"SELECT '{scope}' AS scope, {key} AS id, period, " + ", ".join(f"{AGG[m]}({m}) AS {m}" for m in METRICS) + " FROM cw JOIN cells USING (cell_id) GROUP BY 1, 2, 3" for scope, key in (("district", "district_id"), ("cell", "cell_id"), ("network", "0::BIGINT"))))
+O.define("asked", ("entweeks", "cells"), """
+SELECT scope, id, at_day FROM (SELECT DISTINCT 'district' AS scope, district_id AS id, DATE '2000-06-05' AS at_day FROM cells UNION ALL SELECT 'cell', cell_id, DATE '1999-03-03' FROM cells WHERE cell_id % 10 = 3)
+UNION ALL SELECT scope, id, period FROM (SELECT scope, id, period, row_number() OVER (PARTITION BY scope, id ORDER BY period) AS i, count(*) OVER (PARTITION BY scope, id) AS n FROM entweeks WHERE scope <> 'cell') WHERE i = n // 2 + 1""")
+O.define("sided", ("entweeks", "asked"), "SELECT a.at_day, e.*, e.period >= a.at_day AS after, row_number() OVER (PARTITION BY scope, id, a.at_day, e.period >= a.at_day ORDER BY abs(e.period - a.at_day)) AS rn FROM entweeks e JOIN asked a USING (scope, id)")
+add("before_after_many", lambda s: V.interventions_before_after(s, interventions(s)).filter("before IS NOT NULL OR after IS NOT NULL"), O.sql(
+    "SELECT scope, id, at_day AS \"at\", metric, before, after, round((after - before) / nullif(abs(before), 0) * 100, 1) AS delta_pct FROM (" + " UNION ALL ".join(
+        f"SELECT scope, id, at_day, '{m}' AS metric, round(avg({m}) FILTER (WHERE NOT after), 4) AS before, round(avg({m}) FILTER (WHERE after), 4) AS after FROM sided WHERE rn <= 8 GROUP BY 1, 2, 3" for m in METRICS) + ") WHERE before IS NOT NULL OR after IS NOT NULL", "sided"))
+OWN_RULE = [
+    ("growth", "base", 0, "", 40, 0, None, "always", ">=", 0.0), ("growth", "support", 1, "both grow", 30, 0, None, "volume_pct", ">=", 20.0), ("growth", "support", 1, "both grow", 30, 1, None, "users_pct", ">=", 20.0),
+    ("growth", "contra", 2, "3G or 4G is well", 15, 0, "3G", "data_access", ">=", 98.0), ("growth", "contra", 2, "3G or 4G is well", 15, 0, "4G", "call_drop", "<", 1.0), ("growth", "support", 3, "of another technology", 50, 0, "2G", "data_access", ">=", 0.0),
+]
+add("diagnosis_own_rule", lambda s: V.diagnosis(s, s.spark.createDataFrame(OWN_RULE, V.RULE_ROW), {"growth": "plan ahead"}).select("cell_id", "hypothesis", "score", "supporting", "opposing", "advice"), O.sql(
+    "SELECT cell_id, 'growth' AS hypothesis, score, CASE WHEN g THEN 'both grow' ELSE '' END AS supporting, CASE WHEN w THEN '3G or 4G is well' ELSE '' END AS opposing, CASE WHEN score >= 45 THEN 'plan ahead' END AS advice FROM ("
+    "SELECT *, CAST(40 + CASE WHEN g THEN 30 ELSE 0 END - CASE WHEN w THEN 15 ELSE 0 END AS BIGINT) AS score FROM (SELECT cell_id, coalesce(vp >= 20 AND up >= 20, false) AS g, coalesce(data_access >= 98, false) OR coalesce(call_drop < 1, false) AS w FROM diag))", "diag"))
 add("peers", lambda s: V.peers(s, 7), O.sql(
     "SELECT l.cell_id, l.prb_avg, l.throughput_kbps, l.is_nc, c.cell, h.score AS health_score FROM last l JOIN cells c USING (cell_id) LEFT JOIN hcell h ON h.cell_id = l.cell_id AND h.period = l.period "
     "WHERE c.district_id = (SELECT district_id FROM cells WHERE cell_id = 7) AND l.cell_id <> 7 ORDER BY h.score NULLS LAST, l.cell_id LIMIT 10", "last", "cells", "hcell"))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import header_key, parsed_date, rounded
 from ..operators.aggregates import cell_weekly
 from ..sources import ingest as I
 from ..sources import kpis
+from ..sources import repair as R
 from ..sources.star import MEASURES, cells_from_orders, facts_from_orders, from_orders
 from ..sources.workspace import Workspace
 from ..streaming import windows as S
@@ -228,6 +231,43 @@ def doubled_facts(spark, d):
 O.define("dfacts", ("facts",), "SELECT * REPLACE (CASE WHEN day(date) % 2 = 0 THEN prb END AS prb) FROM facts UNION ALL SELECT * REPLACE (cell_id + 100000 AS cell_id) FROM facts WHERE cell_id % 3 = 0 AND day(date) % 3 <> 0")
 add("dim_repair", lambda s, d: I.repair(doubled_cells(s, d), doubled_facts(s, d))[1].select("cell_id", "date", *[rounded(m, 4).alias(m) for m in MEASURES]), O.sql(
     "SELECT kept AS cell_id, date, " + ", ".join(f"round({m}, 4) AS {m}" for m in MEASURES) + " FROM (SELECT *, cell_id % 100000 AS kept FROM dfacts) QUALIFY row_number() OVER (PARTITION BY kept, date ORDER BY (prb IS NOT NULL)::INT DESC, cell_id) = 1", "dfacts"))
+
+
+def _repaired(spark, d):
+    """Doubled cells, and cells that are aliases of the next one, whose own name may be one
+    again: facts, KPIs, notes and states by the cells that stay."""
+    cells, name = doubled_cells(spark, d), lambda i: F.col(f"{i}.cell")
+    own = cells_from_orders(spark, d)
+    chain = own.filter("cell_id % 10 IN (1, 2)").alias("a").join(own.alias("b"), F.expr("b.cell_id = a.cell_id + 1"))
+    aliases = chain.select(F.lit("cell").alias("level"), F.concat(F.lit(" "), F.lower(name("a"))).alias("alias"), name("b").alias("name"))
+    _, moves = R.repaired_cells(cells, aliases)
+    extras = from_orders(spark, d).extras.filter("kpi_key = 'congestion'")
+    extras = extras.unionByName(extras.filter("cell_id % 3 = 0").withColumn("cell_id", F.col("cell_id") + 100_000).withColumn("value", F.col("value") + 1))
+    notes = cells.select("cell_id", F.lit("2000-01-01").cast("date").alias("at"), F.lit("me").alias("author"), F.lit("seen").alias("note"))
+    status = cells.select(F.lit("cell").alias("scope"), F.col("cell_id").alias("id"), F.col("cell_id").cast("string").alias("status"), F.lit("me").alias("owner"), F.expr("date_add(DATE'2000-01-01', CAST(cell_id % 7 AS INT))").alias("review_date"))
+    facts = R.moved_facts(doubled_facts(spark, d), moves)
+    out = [
+        facts.select(F.lit("facts").alias("tab"), "cell_id", F.col("date"), rounded("users", 4).alias("x"), F.col("prb").isNotNull().cast("string").alias("y")),
+        R.moved_extras(extras, moves).select(F.lit("extras").alias("tab"), "cell_id", "date", rounded("value", 4).alias("x"), F.col("kpi_key").alias("y")),
+        R.moved_notes(notes, moves).select(F.lit("notes").alias("tab"), "cell_id", F.col("at").alias("date"), F.lit(None).cast("double").alias("x"), F.col("note").alias("y")),
+        R.moved_status(status, moves).select(F.lit("status").alias("tab"), F.col("id").alias("cell_id"), F.col("review_date").alias("date"), F.lit(None).cast("double").alias("x"), F.col("status").alias("y")),
+    ]
+    return reduce(DataFrame.unionByName, out)
+
+
+O.define("known", ("cells",), "SELECT cell_id AS id FROM cells UNION ALL SELECT cell_id + 100000 FROM cells WHERE cell_id % 3 = 0")
+# Where aliases end, and the least id of all that end there.
+O.define("ends", ("known", "cells"), """
+SELECT id, CASE WHEN id % 100000 % 10 = 1 AND id % 100000 + 2 IN (SELECT cell_id FROM cells) THEN id % 100000 + 2 WHEN id % 100000 % 10 IN (1, 2) AND id % 100000 + 1 IN (SELECT cell_id FROM cells) THEN id % 100000 + 1 ELSE id % 100000 END AS e FROM known""")
+O.define("moves", ("ends",), "SELECT id, min(id) OVER (PARTITION BY e) AS kept FROM ends")
+_first = lambda what, key, better, old: f"SELECT {what} FROM ({{}}) JOIN moves ON {old} = moves.id QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {better}{old} <> kept, {old}) = 1"
+O.define("dextras", ("extras",), "SELECT cell_id, date, kpi_key, value FROM extras WHERE kpi_key = 'congestion' UNION ALL SELECT cell_id + 100000, date, kpi_key, value + 1 FROM extras WHERE kpi_key = 'congestion' AND cell_id % 3 = 0")
+add("dim_repair_all_tables", _repaired, O.sql(" UNION ALL ".join("(" + q + ")" for q in (
+    _first("'facts' AS tab, kept AS cell_id, date, round(users, 4) AS x, CASE WHEN prb IS NOT NULL THEN 'true' ELSE 'false' END AS y", "kept, date", "(prb IS NOT NULL)::INT DESC, ", "cell_id").format("SELECT * FROM dfacts"),
+    _first("'extras', kept, date, round(value, 4), kpi_key", "kept, date", "", "cell_id").format("SELECT * FROM dextras"),
+    _first("'notes', kept, DATE '2000-01-01', NULL::DOUBLE, 'seen'", "kept", "", "old").format("SELECT id AS old FROM known"),
+    _first("'status', kept, DATE '2000-01-01' + (old % 7)::INT, NULL::DOUBLE, old::VARCHAR", "kept", "old % 7 DESC, ", "old").format("SELECT id AS old FROM known"),
+)), "dfacts", "dextras", "known", "moves"))
 add("integrity_duplicates", lambda s, d: I.integrity(doubled_cells(s, d), doubled_facts(s, d).unionByName(doubled_facts(s, d).filter("cell_id = 5")), from_orders(s, d).extras), O.sql(
     "SELECT 'duplicate_facts' AS problem, count(*) AS n FROM facts WHERE cell_id = 5 UNION ALL SELECT 'duplicate_kpis', 0 UNION ALL SELECT 'duplicate_cells', 0 UNION ALL SELECT 'orphan_facts', 0 UNION ALL SELECT 'cells_without_site', 0", "facts"))
 kpi_rows = lambda s, d: from_orders(s, d).extras.filter("kpi_key = 'call_drop'").select("cell_id", "date", "value", F.lit(1).alias("version"))
@@ -245,6 +285,13 @@ add("delete_insert_partition", _replaced, O.sql(
 add("place_stats", lambda s, d: I.place_stats(deduped(s, d), cells_from_orders(s, d).filter("district_id < 12").select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("name")) for f in ("cell", "site", "district", "region")])).alias("x")).select("x.*")), O.sql(
     "SELECT field, count(*) AS distinct, count(hit) AS matched, count(*) - count(hit) AS unmatched FROM (" + " UNION ALL ".join(
         f"SELECT DISTINCT '{f}' AS field, r.{f}, k.{f} AS hit FROM deduped r LEFT JOIN (SELECT DISTINCT {f} FROM cells WHERE district_id < 12) k ON lower(trim(r.{f})) = lower(k.{f}) WHERE r.{f} IS NOT NULL" for f in ("cell", "site", "district", "region")) + ") GROUP BY 1", "deduped", "cells"))
-add("stream_events_tumbling", lambda s, d: S.replay(s, d), """
+stream_dir = lambda s: f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+add("stream_events_tumbling", lambda s, d: S.replay(s, d, stream_dir(s)), """
 SELECT time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, ROUND(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE), 4) AS value FROM events GROUP BY 1, 2""")
 add("batch_events_tumbling", lambda s, d: S.tumbling(s.read.parquet(f"{d}/events.parquet")), ORACLE_SQL["stream_events_tumbling"])
+add("stream_events_followed", lambda s, d: S.replay_followed(s, d, stream_dir(s), "click", "purchase", "2 HOURS"), """
+SELECT a.user_id, a.ts AS first_ts, b.ts AS second_ts, a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b
+ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'""")
+add("batch_events_sliding", lambda s, d: S.sliding(s.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))), """
+SELECT w AS window_start, event_type, count(*) AS n, ROUND(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE), 4) AS value
+FROM (SELECT *, unnest([time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE for i in [0, 1, 2, 3]])::TIMESTAMP AS w FROM events) GROUP BY 1, 2""")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import Rules, as_row, updated
 from ..operators import aggregates
 from ..operators.investigate import NOTES
-from . import ingest, kpis
+from . import ingest, kpis, repair
 from .star import DEFAULT_TECHNOLOGY, MEASURES, Star
 
 CELLS = "cell_id long, cell string, site_id long, site string, district_id long, district string, region_id long, region string"
@@ -232,8 +232,11 @@ class Workspace:
         return self._read(name, folders)
 
     def _read(self, name: str, folders: list[str]) -> DataFrame:
+        return self._batches(name, folders).drop("batch")
+
+    def _batches(self, name: str, folders: list[str]) -> DataFrame:
         schema = SCHEMAS[name] + (", month date" if name in DATED else "") + ", batch string"
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/data/{name}").parquet(*[f"{self.path}/{f}" for f in folders]).drop("batch")
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/data/{name}").parquet(*[f"{self.path}/{f}" for f in folders])
 
     def star(self, version: str | None = None) -> Star:
         """The state of ``version``, under the rules of that version."""
@@ -374,6 +377,34 @@ class Workspace:
         gaps = ["site_id", "site", "district_id", "district", "region_id", "region"]
         return ingest.backfill(stored, place, "cell", gaps).select(*stored.columns).unionByName(new)
 
+    def repair(self, aliases: DataFrame | None = None) -> dict[str, int]:
+        """One row a place, by ``aliases`` (level, alias, name) and by names written alike,
+        with every table moved to the ids that stay, in one version; returns how many ids
+        of each level went. Of facts and KPIs only imports that hold a changed cell are rewritten."""
+
+        def build(change: Change) -> dict:
+            cells, moves = repair.repaired_cells(change.table("cells"), aliases)
+            home = f"{self.path}/staging/{change.token}-{uuid.uuid4().hex}"
+            moves.write.parquet(home)
+            moves = self.spark.read.schema("level string, id long, kept long").parquet(home)
+            gone = {r["level"]: r["n"] for r in moves.filter("id <> kept").groupBy("level").agg(F.count("*").alias("n")).collect()}
+            change.replace("cells", cells)
+            changed = moves.filter("level = 'cell' AND id <> kept").select(F.explode(F.array("id", "kept")).alias("cell_id")).distinct()
+            for name, of in (("facts", repair.moved_facts), ("extras", repair.moved_extras)):
+                if change.folders[name] and gone.get("cell"):
+                    batches = {r["batch"] for r in self._batches(name, change.folders[name]).join(changed, "cell_id", "left_semi").select("batch").distinct().collect()}
+                    hit = [f for f in change.folders[name] if f.rpartition("batch=")[2] in batches]
+                    if hit:
+                        new = change.append(name, of(self._table(name, hit).drop("month"), moves))
+                        change.folders[name] = [*(f for f in change.folders[name] if f not in hit), new]
+            for name, of in (("notes", repair.moved_notes), ("status", repair.moved_status)):
+                if change.folders[name]:
+                    change.replace(name, of(change.table(name), moves))
+            self._fs.delete(self._path(home), True)
+            return {"kind": "repair", "gone": gone}
+
+        return self.update(build)[1]["gone"]
+
     def import_csv(self, path: str, mapping: dict[str, str] | None = None, **more) -> ImportResult:
         """Merge a CSV file; a file whose content was imported before inserts nothing,
         and the history says so by its checksum."""

@@ -38,11 +38,18 @@ for g in A.GRAINS:
 add("entity_cube", A.entity_cube, O.sql(
     "SELECT period, region_id, district_id, site_id, CASE WHEN grouping(site_id) = 0 THEN 'site' WHEN grouping(district_id) = 0 THEN 'district' WHEN grouping(region_id) = 0 THEN 'region' ELSE 'network' END AS level, "
     f"{O.NC_COUNTS}, round(avg(prb), 4) AS prb_avg FROM placed_weekly GROUP BY GROUPING SETS ((period), (period, region_id), (period, region_id, district_id), (period, region_id, district_id, site_id))", "placed_weekly"))
-QUERIES["calendar"] = lambda spark, d: calendar(spark)
-ORACLE_SQL["calendar"] = """
+
+
+def data_calendar(star):
+    """The calendar of the years that the facts cover."""
+    span = star.facts.agg(F.min("date").alias("low"), F.max("date").alias("high")).first()
+    return calendar(star.spark, f"{span['low'].year}-01-01", f"{span['high'].year}-12-31")
+
+
+add("calendar", data_calendar, O.sql("""
 SELECT CAST(strftime(date, '%Y%m%d') AS INTEGER) AS date_id, date, CAST(extract('isoyear' FROM date) AS INTEGER) AS iso_year, CAST(extract('week' FROM date) AS INTEGER) AS iso_week,
   CAST(date_trunc('week', date) AS DATE) AS week_start, CAST(month(date) AS INTEGER) AS month, CAST(year(date) AS INTEGER) AS year, CAST(quarter(date) AS INTEGER) AS quarter
-FROM (SELECT CAST(unnest(range(DATE '2020-01-01', DATE '2036-01-01', INTERVAL 1 DAY)) AS DATE) AS date)"""
+FROM (SELECT CAST(unnest(range((SELECT make_date(year(min(date)), 1, 1) FROM facts), (SELECT make_date(year(max(date)) + 1, 1, 1) FROM facts), INTERVAL 1 DAY)) AS DATE) AS date)""", "facts"))
 COVERAGE = """
 SELECT date, observed, coalesce(max(observed) OVER (ORDER BY date RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), observed) AS expected
 FROM (SELECT date, count(DISTINCT cell_id) AS observed FROM facts GROUP BY 1)"""

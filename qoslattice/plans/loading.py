@@ -112,8 +112,26 @@ DATES = (
     ("05-Jul-26", "2026-07-05"), ("12/28/26", "2026-12-28"), ("2026-07-28 00:00:00", "2026-07-28"), ("2026-07-28 00:00", "2026-07-28"), ("2026-7-8", "2026-07-08"), ("07/05/2026", "2026-05-07"), ("12/28/2026", "2026-12-28"),
     ("06.07.2026", "2026-07-06"), ("2026/07/09", "2026-07-09"), ("20260710", "2026-07-10"), ("05-Jul-2026", "2026-07-05"), ("05/07/95", "1995-07-05"), ("soon", None), ("", None),
 )
-add("date_parse", lambda s, d: s.createDataFrame([(a,) for a, _ in DATES], "raw string").select("raw", parsed_date("raw").alias("date")),
-    "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL::DATE' if b is None else 'DATE ' + chr(39) + b + chr(39)})" for a, b in DATES) + ") AS t(raw, date)")
+#: How an order's date may be written: a Spark pattern, DuckDB's, and what stands around it.
+FORMS = (
+    ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S", "+00:00"), ("yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M", ""), ("dd/MM/yy", "%d/%m/%y", " 06:30"), ("dd-MM-yy", "%d-%m-%y", ""), ("dd.MM.yy", "%d.%m.%y", ""), ("dd-MMM-yyyy", "%d-%b-%Y", ""),
+    ("yyyy/MM/dd", "%Y/%m/%d", ""), ("yyyyMMdd", "%Y%m%d", ""), ("dd.MM.yyyy", "%d.%m.%Y", ""), ("dd/MM/yyyy", "%d/%m/%Y", ""),
+)
+_nth = f"o_orderkey % {len(FORMS) + 1}"
+
+
+def _written_dates(spark, d):
+    """(o_orderkey, raw): order dates in many forms, one in eleven of them no date, and the literals of DATES beside."""
+    forms = F.lit("soon")
+    for i, (spark_form, _, end) in enumerate(FORMS):
+        forms = F.when(F.expr(_nth) == i, F.concat(F.date_format("o_orderdate", spark_form), F.lit(end))).otherwise(forms)
+    literals = spark.createDataFrame([(-i, a) for i, (a, _) in enumerate(DATES, 1)], "o_orderkey long, raw string")
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), forms.alias("raw")).unionByName(literals)
+
+
+add("date_parse", lambda s, d: _written_dates(s, d).select("o_orderkey", "raw", parsed_date("raw").alias("date")),
+    "SELECT o_orderkey::BIGINT AS o_orderkey, CASE " + " ".join(f"WHEN {_nth} = {i} THEN strftime(o_orderdate, '{form}') || '{end}'" for i, (_, form, end) in enumerate(FORMS)) + f" ELSE 'soon' END AS raw, CASE WHEN {_nth} < {len(FORMS)} THEN o_orderdate::DATE END AS date FROM orders "
+    "UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-i}, '{a}', {'NULL::DATE' if b is None else 'DATE ' + chr(39) + b + chr(39)})" for i, (a, b) in enumerate(DATES, 1)) + ") AS t(o_orderkey, raw, date)")
 parts = lambda s, d: s.read.parquet(f"{d}/part.parquet")
 add("header_normalize", lambda s, d: parts(s, d).select("p_partkey", header_key(F.concat("p_name", F.lit("  UTILISATION_(%) "), "p_type")).alias("key")),
     "SELECT p_partkey, trim(regexp_replace(replace(lower(p_name || '  UTILISATION_(%) ' || p_type), 'utilisation', 'utilization'), '[^a-z0-9]+', ' ', 'g')) AS key FROM part")
@@ -205,9 +223,32 @@ def _noted(spark, d):
 add("csv_records", _noted, """
 SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'order ' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || chr(10) || 'of, ' ELSE ' of ' END || '"' || o_orderpriority || '"' ELSE o_orderstatus END AS note, o_custkey FROM orders""")
 HEADERS = [("TCH Congestion (%)", "tch_congestion"), ("2G CSSR", "call_setup_success_2g"), ("SDCCH Blocking", "sdcch_congestion"), ("Call Drop Rate 2G", "call_drop_rate_2g"), ("Weather", None)]
-add("kpi_discover", lambda s, d: I.discover_kpis(s.createDataFrame([(h,) for h, _ in HEADERS], "header string"), kpis.seeds(s).filter("technology = '2G'")).select("header", "kpi_key"),
-    "SELECT * FROM (VALUES " + ", ".join(f"('{h}', '{k}')" for h, k in HEADERS if k) + ") AS t(header, kpi_key)")
-add("derived_detect", lambda s, d: s.createDataFrame([(k,) for k in I.derivable(list(kpis.BUILTINS), [c for b in kpis.BUILTINS[:2] for c in b.sources])], "kpi_key string"), "SELECT * FROM (VALUES ('3g_dl_power_congestion'), ('3g_ul_ce_congestion')) AS t(kpi_key)")
+
+
+def _headers(spark, d):
+    """(header): names of counters that a file of every part might have, a few of which are KPIs'."""
+    known = F.array(*[F.lit(h) for h, _ in HEADERS])
+    nth = F.col("p_partkey") % 9
+    name = F.when(nth < len(HEADERS), known[nth.cast("int")]).otherwise(F.col("p_type"))
+    return spark.read.parquet(f"{d}/part.parquet").select(F.when(nth % 2 == 0, F.upper(name)).otherwise(F.regexp_replace(name, " ", "_")).alias("header"), "p_partkey")
+
+
+_name = "CASE " + " ".join(f"WHEN p_partkey % 9 = {i} THEN '{h}'" for i, (h, _) in enumerate(HEADERS)) + " ELSE p_type END"
+O.define("headers", (), f"SELECT DISTINCT CASE WHEN p_partkey % 9 % 2 = 0 THEN upper({_name}) ELSE replace({_name}, ' ', '_') END AS header, p_partkey % 9 AS nth FROM part")
+add("kpi_discover", lambda s, d: I.discover_kpis(_headers(s, d).select("header"), kpis.seeds(s).filter("technology = '2G'")).select("header", "kpi_key"), O.sql(
+    "SELECT DISTINCT header, CASE nth " + " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(HEADERS) if k) + " END AS kpi_key FROM headers WHERE nth IN (" + ", ".join(str(i) for i, (_, k) in enumerate(HEADERS) if k) + ")", "headers"))
+
+
+def _derivable(spark, d):
+    """(source, kpi_key): the derived KPIs that a supplier's counters suffice for. Which counters
+    it has follows from its key."""
+    counters = [c for b in kpis.BUILTINS for c in b.sources]
+    has = F.filter(F.array(*[F.when(F.col("s_suppkey") % (i + 2) != 0, F.lit(c)) for i, c in enumerate(counters)]), lambda x: x.isNotNull())
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("source"), has.alias("headers"))
+    return I.derivable_of(rows, list(kpis.BUILTINS))
+
+
+add("derived_detect", _derivable, "SELECT s_suppkey::BIGINT AS source, kpi_key FROM supplier, (VALUES " + ", ".join(f"('{b.key}', {3 * i + 2})" for i, b in enumerate(kpis.BUILTINS)) + ") AS b(kpi_key, m) WHERE s_suppkey % m <> 0 AND s_suppkey % (m + 1) <> 0 AND s_suppkey % (m + 2) <> 0")
 add("dim_duplicates", lambda s, d: I.dim_duplicates(doubled_cells(s, d)), O.sql("SELECT cell, 2::BIGINT AS n FROM cells WHERE cell_id % 3 = 0", "cells"))
 add("place_values", lambda s, d: I.place_values(deduped(s, d), cells_from_orders(s, d).filter("district_id < 12").select(F.lit("district").alias("field"), F.col("district").alias("name")).distinct(), "district"), O.sql(
     "SELECT district AS name, count(*) AS rows, district IN (SELECT district FROM cells WHERE district_id < 12) AS matched FROM deduped WHERE district IS NOT NULL GROUP BY 1 ORDER BY rows DESC, name LIMIT 8", "deduped", "cells"))

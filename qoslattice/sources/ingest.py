@@ -356,6 +356,13 @@ def derivable(kpis: list[DerivedKpi], headers: list[str]) -> list[str]:
     return [k.key for k in kpis if set(k.sources) <= set(headers)]
 
 
+def derivable_of(files: DataFrame, kpis: list[DerivedKpi]) -> DataFrame:
+    """(source, kpi_key): which ``kpis`` the headers of each of many ``files`` (source, headers) suffice for."""
+    wanted = F.array(*[F.struct(F.lit(k.key).alias("kpi_key"), F.array(*[F.lit(s) for s in k.sources]).alias("sources")) for k in kpis])
+    met = F.filter(wanted, lambda k: F.size(F.array_except(k["sources"], F.col("headers"))) == 0)
+    return files.select("source", F.explode(met).alias("k")).select("source", "k.kpi_key")
+
+
 #: Names up to this length are matched by letters, longer ones by pairs of letters.
 SHORT_NAME = 10
 

@@ -4,8 +4,10 @@ Generators propose spans with high recall, overlapping ones included. Spans of t
 base forms that fit their rule are settled. All other candidates are judged by
 boosted trees over format and context features. The trees are fitted to texts made
 up by a seed, in which it is known what is personal and what only looks like it
-(``examples``); a fifth of these is held out, and gives each generator the threshold
-at which its accepted candidates are personal at PRECISION. So a text's spans depend
+(``examples``): order numbers, sums, versions and the like take the same shapes, so that
+cues and other words around a candidate have to decide. Contexts that no tree has seen are
+held out, and give each generator the threshold at which its accepted candidates are
+personal at PRECISION. So a text's spans depend
 on the text alone, not on the corpus or the shard that it lies in. Candidates that
 pass, and overlap no settled span, are added: a phone number without its country
 code, an address with a bracketed "at", a defanged ip, a card in dots.
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import gaps_of, replaced, span_digest, spans_between, whole_text, with_text
+from .common import bound, gaps_of, replaced, running, span_digest, spans_between, whole_text, with_text
 
 #: The kinds in their order, and what a base match must be.
 KINDS = ("email", "ip", "card", "phone")
@@ -60,15 +62,25 @@ GENERATORS = (
     Generator("ip", False, r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9])", (".]", ".)")),
     Generator("card", False, r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])"),
 )
-CUE = r"(?i)mail|phone|tel|call|fax|mobile|card|visa|contact|address|\bip\b"
+#: Words before a candidate that speak for its kind, and words around it that speak against any.
+CUES = {
+    "email": r"(?i)\b((?:e-?)?mails?|mailto|contact|write|reach|address|reply)\b", "ip": r"(?i)\b(ip|ips|hosts?|from|address|server|login|client)\b",
+    "card": r"(?i)\b(cards?|visa|mastercard|paid|charged?|debit|credit|payment)\b", "phone": r"(?i)\b(phones?|tel|telephone|calls?|called|fax|mobile|cell|dial|text|whatsapp|contact|reach)\b",
+}
+AGAINST = (
+    r"(?i)\b(order|orders|invoice|isbn|issn|build|built|version|release|v|part|parts|sku|serial|item|items|units?|sum|total|list|lot|batch|ref|reference|ticket|case|id|ids|no|nr|number|code"
+    r"|model|volume|pages?|rows?|lines?|section|chapter|sample|example|range|ratio|steps?|test|log|tracking|shipment|account|sold|euros?|dollars?|pieces|kg|mm)\b"
+)
 CONTEXT = 24
-FEATURES = ["generator", "digits", "groups", "luhn", "parts", "brackets", "cue", "joined", "run"]
+FEATURES = ["generator", "digits", "groups", "luhn", "parts", "brackets", "cue", "against", "joined", "run"]
 #: Digits from which a number, with those around it, is too long for a phone.
 TOO_LONG = 16
 #: Accepted candidates of a generator are positive at this rate.
 PRECISION = 0.98
-#: Made-up texts that the trees are fitted to, of which every HELD_OUT-th sets thresholds.
-EXAMPLES, HELD_OUT = 4000, 5
+#: Made-up texts: the trees are fitted to those of two in three contexts, the others set thresholds.
+EXAMPLES = 6000
+#: Of HELD_OUT contexts one is held out, with all its texts.
+HELD_OUT = 3
 
 
 def _luhn_digits(rnd: random.Random, valid: bool) -> str:
@@ -96,30 +108,53 @@ def _form(rnd: random.Random, kind: str, valid: bool) -> str:
     return rnd.choice("./_").join(digits[i : i + 4] for i in range(0, 16, 4))
 
 
-def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, str | None]]:
-    """(text, kind or None): texts with one candidate each, personal if a kind is named.
-    What is not: forms joined to a word, parts of longer numbers, wrong checksums and
-    parts, and now and then a plain number among goods."""
+#: Contexts: what stands before and after a candidate. Personal ones by kind, and those of
+#: numbers and words that only look like it, for all kinds.
+PERSONAL = {
+    "phone": (("call", ""), ("tel:", ""), ("fax", ""), ("my phone is", ""), ("mobile", "please"), ("dial", "now"), ("reach me at", "after six"), ("text", ""), ("cell:", "")),
+    "email": (("mail", ""), ("contact", ""), ("e-mail to", ""), ("write to", "soon"), ("reach us at", ""), ("reply to", "")),
+    "ip": (("ip", ""), ("from host", ""), ("address", ""), ("login from", "failed"), ("server", "is down"), ("client", "")),
+    "card": (("card", ""), ("visa", ""), ("paid by card", ""), ("charged to", ""), ("credit card", "ends"), ("payment with", "")),
+}
+IMPERSONAL = (
+    ("order", "shipped"), ("invoice no", "is due"), ("isbn", ""), ("build", "is out"), ("sum", "units sold"), ("list", "items"), ("version", "fixes it"), ("part", "fits"), ("ticket", "closed"),
+    ("serial", ""), ("lot", "was bad"), ("tracking", "arrives"), ("sku", "sells"), ("ref", ""), ("rows", "were read"), ("a total of", "pieces"), ("sample", ""), ("code", "opens it"),
+)
+
+
+def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, str | None, int]]:
+    """(text, kind or None, context): texts with one candidate each, personal if a kind is
+    named. What is not: the same shapes in other contexts or in none, forms joined to a
+    word, parts of longer numbers, wrong checksums and parts."""
     rnd, out = random.Random(seed), []
     words = "the new report came late and all of them read it in May".split()
-    cues = {"phone": ["call", "tel:", "fax", "my phone is"], "email": ["mail", "contact", "e-mail to"], "ip": ["ip", "from host", "address"], "card": ["card", "visa", "paid by card"]}
+    some = lambda: " ".join(rnd.choices(words, k=rnd.randrange(1, 6)))
     for _ in range(n):
-        kind = rnd.choice(KINDS)
-        trick = rnd.random() < 0.4
-        text = _form(rnd, kind, kind in ("phone", "email") or not trick)
-        before, after = " ".join(rnd.choices(words, k=rnd.randrange(1, 6))), " ".join(rnd.choices(words, k=rnd.randrange(1, 6)))
-        if rnd.random() < (0.2 if trick else 0.6):
-            before = f"{before} {rnd.choice(cues[kind])}"
-        gaps = (" ", " ")
-        if trick and kind in ("phone", "email"):
-            way = rnd.randrange(3) if kind == "phone" else 0
+        kind, draw = rnd.choice(KINDS), rnd.random()
+        shape = _form(rnd, kind, True)
+        gaps, context, truth = (" ", " "), ("", ""), kind
+        spot = rnd.randrange(HELD_OUT)  # texts without a context are shared out
+        if draw < 0.45:  # personal, told by its context
+            spot = rnd.randrange(len(PERSONAL[kind]))
+            context = PERSONAL[kind][spot]
+        elif draw < 0.55:  # personal by its form, where nothing speaks against it; four dotted groups are no card by themselves
+            truth = None if kind == "card" else kind
+        elif draw < 0.8:  # the same shape elsewhere
+            truth, spot = None, rnd.randrange(len(IMPERSONAL))
+            context = IMPERSONAL[spot]
+        elif kind in ("ip", "card"):
+            truth, shape = None, _form(rnd, kind, False)
+            context = rnd.choice([("", ""), rnd.choice(PERSONAL[kind])])
+        else:
+            truth, way = None, rnd.randrange(3) if kind == "phone" else 0
             if way == 0:
                 gaps = rnd.choice([(" ", "é"), (" ", "漢")]) if kind == "email" or rnd.random() < 0.5 else ("x", " ")
             elif way == 1:
                 gaps = (f" {rnd.randrange(10**4, 10**6)} ", f" {rnd.randrange(10**4, 10**6)} ")
             else:
-                before, text = f"{before} parts", f"{text} {rnd.randrange(10**4, 10**6)}"
-        out.append((f"{before}{gaps[0]}{text}{gaps[1]}{after}", None if trick else kind))
+                gaps = (" ", f" {rnd.randrange(10**4, 10**6)} ")
+        before, after = " ".join(x for x in (some(), context[0]) if x), " ".join(x for x in (context[1], some()) if x)
+        out.append((f"{before}{gaps[0]}{shape}{gaps[1]}{after}", truth, spot))
     return out
 
 
@@ -169,7 +204,8 @@ def _features(kind: Column, base: Column, match: Column, before: Column, after:
         flag(F.when(count.between(*CARD_DIGITS), _luhn(digits))).alias("luhn"),
         flag(F.when(kind == "ip", _small_parts(match))).alias("parts"),
         flag(match.contains("(")).alias("brackets"),
-        flag(before.rlike(CUE)).alias("cue"),
+        flag(reduce(Column.__or__, [(kind == k) & before.rlike(cue) for k, cue in CUES.items()])).alias("cue"),
+        flag(before.rlike(AGAINST) | after.rlike(AGAINST)).alias("against"),
         flag(before.rlike(r"[\p{L}\p{N}]$") | after.rlike(r"^[\p{L}\p{N}]")).alias("joined"),
         flag(~base & (F.length(_digits(F.concat(F.regexp_extract(before, r"(?:[0-9][\x20-]?)++$", 0), match, F.regexp_extract(after, r"^(?:[\x20-]?[0-9])++", 0)))) >= TOO_LONG)).alias("run"),
     ]
@@ -203,8 +239,7 @@ def propose(rows: DataFrame) -> DataFrame:
 def fit(spark: SparkSession) -> tuple[list[boosting.Node], dict[int, float], dict[int, tuple[int, int, int]]]:
     """Trees, the threshold of each generator that isn't of a base form, and how they
     do on the texts held out: (accepted, of these personal, personal)."""
-    rows = [(i, t, k) for i, (t, k) in enumerate(examples())]
-    made = spark.createDataFrame(rows, "n int, text string, truth string").withColumn("held", F.col("n") % HELD_OUT == 0)
+    made = spark.createDataFrame(examples(), "text string, truth string, context int").withColumn("held", F.col("context") % HELD_OUT == 1)
     seen = propose(made).select("held", "truth", F.explode(F.filter("found", lambda c: ~c["base"])).alias("c"))
     personal = F.coalesce(F.col("truth") == F.col("c.kind"), F.lit(False))
     counted = seen.groupBy("held", *[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.count_if(personal).alias("positives"))
@@ -235,12 +270,25 @@ def with_spans(rows: DataFrame) -> DataFrame:
 
     plain = lambda spans: F.transform(spans, lambda c: F.struct(*[c[f].alias(f) for f in ("start", "end", "rank", "kind", "base")]))
     rows = propose(rows).withColumn("_added", plain(F.filter("found", accepted))).withColumn("_settled", plain(F.col("settled"))).drop("found", "settled")
-    # Of spans by start, one that begins before the end of an earlier one overlaps it; few texts have added ones.
-    apart = F.filter("_added", lambda c: F.forall("_settled", lambda s: (s["end"] <= c["start"]) | (c["end"] <= s["start"])))
-    spans = F.when(F.size("_added") > 0, F.array_sort(F.array_distinct(F.concat("_settled", apart)))).otherwise(F.array_sort("_settled"))
+    spans = F.when(F.size("_added") > 0, F.array_sort(_apart(F.concat("_settled", "_added")))).otherwise(F.array_sort("_settled"))
     return rows.withColumn("spans", spans).drop("_added", "_settled")
 
 
+def _apart(spans: Column) -> Column:
+    """``spans`` without those that are not of a base form and overlap one that is. By start,
+    the furthest end of the base spans so far and the next one's start tell."""
+    by_start = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (~s["base"]).alias("added"), s.alias("span")))), lambda x: x["span"])
+    last = F.lit(2**31 - 1)
+
+    def of(x: Column) -> Column:
+        upto = running(F.transform(x, lambda s: F.when(s["base"], s["end"]).otherwise(0)), F.greatest)
+        coming = F.reverse(running(F.reverse(F.transform(x, lambda s: F.when(s["base"], s["start"]).otherwise(last))), F.least))
+        both = bound(upto, lambda u: bound(coming, lambda c: F.filter(x, lambda s, i: s["base"] | ((u[i] <= s["start"]) & (c[i] >= s["end"])))))
+        return both
+
+    return bound(by_start, of)
+
+
 def pii_report(docs: DataFrame) -> DataFrame:
     rows = with_spans(docs.select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])

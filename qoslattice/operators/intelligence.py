@@ -148,14 +148,16 @@ def histogram(star: Star, column: str, grain: str = "weekly") -> DataFrame:
     return latest(nc_lifecycle(star, grain), star, grain).groupBy("period", column).agg(F.count("*").alias("cells"))
 
 
-def scored(star: Star, last_only: bool = False) -> DataFrame:
+def scored(star: Star, last_only: bool = False, lifecycle: DataFrame | None = None) -> DataFrame:
     """Weekly lifecycle rows with the components of priority and of health, and a
     priority for each mode. Both come from one pass: they share the cell's windows
     and the week's peers, all its cells, the cell itself included. ``last_only``:
-    of the last week, whose peers alone are read then."""
+    of the last week, whose peers alone are read then. ``lifecycle``: weekly rows as they
+    are stored, in place of the facts."""
     rules = star.rules
-    rows = nc_lifecycle(star).withColumn("was_volume", F.lag("volume_mb").over(Window.partitionBy("cell_id").orderBy("period")))
-    peers = (last_week(star) if last_only else cell_weekly(star)).groupBy("period").agg(*[rounded(F.avg(c), 4).alias(f"peer_{c}") for c in ("users", "volume_mb", "throughput_kbps")])
+    rows = (nc_lifecycle(star) if lifecycle is None else lifecycle).withColumn("was_volume", F.lag("volume_mb").over(Window.partitionBy("cell_id").orderBy("period")))
+    weeks = lifecycle if lifecycle is not None else last_week(star) if last_only else cell_weekly(star)
+    peers = (latest(weeks, star) if last_only else weeks).groupBy("period").agg(*[rounded(F.avg(c), 4).alias(f"peer_{c}") for c in ("users", "volume_mb", "throughput_kbps")])
     rows = (latest(rows, star) if last_only else rows).join(peers, "period")
     above = lambda c: F.when(F.col(f"peer_{c}") > 0, clamp_round(100 * (F.col(c) - F.col(f"peer_{c}")) / F.col(f"peer_{c}"))).otherwise(0.0)
     peer, speed = F.col("peer_throughput_kbps"), F.col("throughput_kbps")
@@ -179,17 +181,18 @@ def scored(star: Star, last_only: bool = False) -> DataFrame:
     return parts.select("*", *[score(m).alias(m) for m in MODES], health.alias("health_score"))
 
 
-def priority(star: Star, include_stale: bool = False) -> DataFrame:
+def priority(star: Star, include_stale: bool = False, lifecycle: DataFrame | None = None) -> DataFrame:
     """Components of each cell's priority in its last week (by default, only cells
     that the last week of all has), with a score for each mode."""
-    rows = scored(star, last_only=not include_stale)
+    rows = scored(star, not include_stale, lifecycle)
     if include_stale:
         rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("cell_id").orderBy(F.desc("period")))).filter("rn = 1")
     return rows.select("period", "cell_id", "lifecycle", "severity", *COMPONENTS, *MODES)
 
 
-def priority_queue(star: Star, mode: str = "balanced", limit: int | None = None) -> DataFrame:
-    rows = priority(star).select("period", "cell_id", *COMPONENTS, F.lit(mode).alias("mode"), F.col(mode).alias("score"), band(F.col(mode)).alias("band"))
+def priority_queue(star: Star, mode: str = "balanced", limit: int | None = None, lifecycle: DataFrame | None = None) -> DataFrame:
+    """``lifecycle``: weekly rows as a workspace's period tables hold them; then no fact is read."""
+    rows = priority(star, lifecycle=lifecycle).select("period", "cell_id", *COMPONENTS, F.lit(mode).alias("mode"), F.col(mode).alias("score"), band(F.col(mode)).alias("band"))
     return rows.orderBy(F.desc("score"), "cell_id").limit(limit) if limit else rows
 
 

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rounded
+from ..operators import intelligence as I
 from ..operators import views as V
 from ..operators.aggregates import cell_weekly
 from ..sources.derived import Derived
@@ -49,7 +50,7 @@ def _made(spark, d) -> tuple[Workspace, Derived]:
     ws.import_rows(rows.filter("not late").drop("late"), mapping, lte)
     ws.import_rows(rows.filter("not late").drop("late"), mapping, gsm, technology="2G")
     ws.set_kpis(ws.table("kpis").filter("kpi_key = 'tch_congestion'").withColumn("active", F.lit(False)))
-    derived = Derived(ws, grains=("weekly",))
+    derived = Derived(ws, grains=("weekly",), slices=2)
     derived.refresh()
     ws.import_rows(rows.filter("late").drop("late"), mapping, lte)
     if derived.refresh().whole:
@@ -77,6 +78,13 @@ BY_NAME = "SELECT x.* EXCLUDE (cell_id), cell FROM {} x JOIN cells USING (cell_i
 add("ws_cell_weekly", lambda ws, _: named(cell_weekly(ws.star()), ws), O.sql(BY_NAME.format("stcw"), "stcw", "cells"))
 add("ws_cell_weekly_late_days", lambda ws, derived: named(derived.table("cell_weekly"), ws), O.sql(BY_NAME.format("stcw"), "stcw", "cells"))
 add("ws_lifecycle_late_days", lambda ws, derived: named(derived.table("lifecycle_weekly"), ws), O.sql(BY_NAME.format("stlife"), "stlife", "cells"))
+O.define("stlast", ("stlife",), "SELECT * FROM stlife WHERE period = (SELECT max(period) FROM stlife)")
+O.define("stpeers", ("stlife",), O.CTES["peers"][1].replace("FROM life ", "FROM stlife "))
+O.define("stprio", ("stlast", "stpeers"), O.CTES["prio"][1].replace("FROM last JOIN peers", "FROM stlast JOIN stpeers"))
+add("ws_priority_stored", lambda ws, derived: named(I.priority_queue(ws.star(), lifecycle=derived.table("lifecycle_weekly")), ws), O.sql(
+    f"SELECT period, cell, {', '.join(I.COMPONENTS)}, 'balanced' AS mode, balanced AS score, {O.BAND.format('balanced')} AS band FROM stprio JOIN cells USING (cell_id)", "stprio", "cells"))
+add("ws_priority_stale", lambda ws, derived: named(I.priority(ws.star(), include_stale=True), ws).groupBy("period").agg(F.count("*").alias("cells")), O.sql(
+    "SELECT period, count(*) AS cells FROM (SELECT cell_id, max(period) AS period FROM stlife GROUP BY 1) GROUP BY 1", "stlife"))
 add("ws_kpi_overview", lambda ws, _: V.kpi_overview(ws.star()).select("technology", "kpi_key", "target", "breached_cells", "observed_cells"), O.sql(
     "SELECT technology, kpi_key, CASE WHEN kpi_key = 'call_drop_rate_4g' THEN 1.5::DOUBLE END AS target, count(*) FILTER (WHERE breached) AS breached_cells, count(*) AS observed_cells FROM stkpis GROUP BY ALL", "stkpis"))
 add("ws_correlations", lambda ws, _: V.correlations(ws.star()), O.sql(

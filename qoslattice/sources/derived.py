@@ -27,7 +27,7 @@ from ..operators.intelligence import lifecycle_of, nc_lifecycle
 from .star import Star
 from .workspace import Workspace
 
-#: Folders of cells in a period.
+#: Folders of cells in a period, if not told.
 SLICES = 32
 CELL_ROW = (
     "period date, cell_id long, observed_days long, breach_days long, prb_avg double, prb_max double, volume_mb double, users double, "
@@ -49,13 +49,14 @@ class Refreshed:
     lifecycle_rows: int = 0
 
 
-def _slice() -> Column:
-    return F.pmod(F.xxhash64("cell_id"), F.lit(SLICES)).cast("int")
+class Derived:
+    """``slices``: folders of cells in a period, so many that one holds a few million cells at most."""
 
+    def __init__(self, ws: Workspace, path: str | None = None, grains: tuple[str, ...] = ("weekly", "monthly"), slices: int = SLICES):
+        self.ws, self.path, self.grains, self.slices = ws, (path or f"{ws.path}/derived").rstrip("/"), grains, slices
 
-class Derived:
-    def __init__(self, ws: Workspace, path: str | None = None, grains: tuple[str, ...] = ("weekly", "monthly")):
-        self.ws, self.path, self.grains = ws, (path or f"{ws.path}/derived").rstrip("/"), grains
+    def _slice(self) -> Column:
+        return F.pmod(F.xxhash64("cell_id"), F.lit(self.slices)).cast("int")
 
     def table(self, name: str) -> DataFrame:
         return self._stored(name).drop("slice")
@@ -77,10 +78,10 @@ class Derived:
         """Bring the tables to the workspace's present version."""
         version = self.ws.version
         manifest, state = self.ws.manifest(version), self.state()
-        now = {"version": version, "rules": manifest["rules"], "grains": list(self.grains), "folders": {n: manifest["folders"][n] for n in ("facts", "extras", "kpis")}}
+        now = {"version": version, "rules": manifest["rules"], "grains": list(self.grains), "slices": self.slices, "folders": {n: manifest["folders"][n] for n in ("facts", "extras", "kpis")}}
         grown = state is not None and all(set(state["folders"][n]) <= set(now["folders"][n]) for n in ("facts", "extras"))
         star = self.ws.star(version)
-        if grown and all(state[k] == now[k] for k in ("rules", "grains")) and state["folders"]["kpis"] == now["folders"]["kpis"]:
+        if grown and all(state[k] == now[k] for k in ("rules", "grains", "slices")) and state["folders"]["kpis"] == now["folders"]["kpis"]:
             added = {n: [f for f in now["folders"][n] if f not in state["folders"][n]] for n in ("facts", "extras")}
             done = self._partial(star, version, added)
         else:
@@ -94,7 +95,7 @@ class Derived:
         return done
 
     def _write(self, rows: DataFrame, name: str, mode: str = "static") -> None:
-        rows = rows.drop("slice").withColumn("slice", _slice())
+        rows = rows.drop("slice").withColumn("slice", self._slice())
         dealt = rows.repartition("period", "slice").sortWithinPartitions("period", "slice", "cell_id")
         dealt.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("period", "slice").parquet(f"{self.path}/{name}")
 
@@ -124,8 +125,8 @@ class Derived:
         span = touched.agg(F.min("period").alias("low"), F.max("period").alias("high")).first()
         if span["low"] is None:
             return 0, 0
-        # SLICES numbers at most.
-        slices = [r["slice"] for r in touched.select(_slice().alias("slice")).distinct().collect()]
+        # As many numbers as there are slices at most.
+        slices = [r["slice"] for r in touched.select(self._slice().alias("slice")).distinct().collect()]
         firsts = touched.groupBy("cell_id").agg(F.min("period").alias("first"))
         fresh = self._aggregated(star, grain, span, firsts).join(touched, ["cell_id", "period"], "left_semi")
         cells, lives = self._stored(f"cell_{grain}").filter(F.col("slice").isin(slices)), self._stored(f"lifecycle_{grain}").filter(F.col("slice").isin(slices))
@@ -153,7 +154,7 @@ class Derived:
     def _merge(self, changed: DataFrame, stored: DataFrame, name: str) -> int:
         """Rewrite the folders that ``changed`` falls into; other rows of theirs stay."""
         staging = f"{self.path}/staging/{uuid.uuid4().hex}"
-        changed.drop("slice").withColumn("slice", _slice()).write.parquet(staging)
+        changed.drop("slice").withColumn("slice", self._slice()).write.parquet(staging)
         changed = self.ws.spark.read.parquet(staging)
         folders = changed.select("period", "slice").distinct()
         others = stored.join(folders, ["period", "slice"], "left_semi").join(changed.select("cell_id", "period"), ["cell_id", "period"], "left_anti")

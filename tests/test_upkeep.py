@@ -3,7 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from qoslattice.operators import intelligence, investigate
-from qoslattice.sources import kpis, maintenance, synthetic
+from qoslattice.sources import ingest, kpis, maintenance, synthetic
 from qoslattice.sources.star import Star, kpi_registry
 from qoslattice.sources.workspace import Workspace
 
@@ -40,3 +40,13 @@ def test_maintenance(spark, tmp_path):
     now = datetime(2026, 7, 10)
     assert maintenance.next_run(datetime(2026, 7, 1), 7, now) == (datetime(2026, 7, 8), True)
     assert maintenance.expired(datetime(2026, 1, 1), now) and not maintenance.expired(datetime(2026, 7, 1), now)
+
+
+def test_archive_and_suggestions(spark, tmp_path):
+    lines = spark.createDataFrame([("2026-01-05", "C1"), ("2026-01-06", "C\n2")], "date string, cell string")
+    maintenance.archive(lines, f"file://{tmp_path}/archive")
+    assert {f.suffix for f in (tmp_path / "archive").glob("part-*")} == {".gz"}
+    assert spark.read.option("header", True).option("multiLine", True).csv(f"file://{tmp_path}/archive").count() == 2
+    known = spark.createDataFrame([("district", "Greater Accra"), ("district", "Ashanti"), ("site", "Greter Accra")], "field string, name string")
+    rows = spark.createDataFrame([("Greter Accra",), ("ashanti",), (None,)], "district string")
+    assert [(r["name"], r["candidate"]) for r in ingest.place_suggestions(rows, known, "district").collect()] == [("Greter Accra", "Greater Accra")]

@@ -40,3 +40,13 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, steps: list[fl
     low, high, at = F.col("_low"), F.col("_high"), F.col("_at")
     between = F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
     return found.select(*keys, "q", between.alias(value))
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, steps: list[float], few: bool) -> DataFrame:
+    """The same by one aggregation where the caller has seen that groups are small, which
+    spares three passes; else by selection."""
+    if not few:
+        return exact_quantiles(rows, keys, value, steps)
+    found = rows.groupBy(*keys).agg(F.percentile(value, steps).alias("_p")).filter("_p IS NOT NULL")
+    asked = F.arrays_zip(F.array(*[F.lit(float(q)) for q in steps]).alias("q"), F.col("_p").alias("v"))
+    return found.select(*keys, F.explode(asked).alias("_x")).select(*keys, F.col("_x.q").alias("q"), F.col("_x.v").alias(value))

@@ -10,7 +10,7 @@ from ..functions.exprs import (
     magnitude, nc_transition, numbered, quadrant, rank_of, rounded, severity_pct,
 )
 from ..functions.rules import MODES
-from ..functions.selection import exact_quantiles
+from ..functions.selection import quantiles
 from ..sources.star import Star
 from .aggregates import ENTITY, cell_weekly, kpi_period
 from .intelligence import health_network, last_week, latest, nc_lifecycle, recent_weeks, scored, with_back
@@ -70,10 +70,18 @@ def metric_values(star: Star) -> DataFrame:
     return wide.unionByName(last_kpis(star).select("cell_id", "technology", F.col("kpi_key").alias("metric"), "value"))
 
 
+#: Cells up to which a metric's values of a week fit in one task with ease.
+FEW_CELLS = 100_000
+
+
+def few_cells(star: Star) -> bool:
+    return star.cells.limit(FEW_CELLS + 1).count() <= FEW_CELLS
+
+
 def distributions(star: Star, points: int = 21) -> DataFrame:
     """(technology, metric, q, value): exact, interpolated quantiles at equal steps."""
     steps = [i / (points - 1) for i in range(points)]
-    return exact_quantiles(metric_values(star), ["technology", "metric"], "value", steps).withColumn("value", rounded("value"))
+    return quantiles(metric_values(star), ["technology", "metric"], "value", steps, few_cells(star)).withColumn("value", rounded("value"))
 
 
 def distribution_summary(star: Star) -> DataFrame:
@@ -82,7 +90,7 @@ def distribution_summary(star: Star) -> DataFrame:
     values = metric_values(star)
     base = values.groupBy(*keys).agg(F.count(v).alias("n"), rounded(F.avg(v)).alias("mean"), rounded(F.min(v)).alias("min"), rounded(F.max(v)).alias("max"))
     at = lambda q: rounded(F.max(F.when(F.col("q") == q, v)))
-    points = exact_quantiles(values, keys, "value", [0.5, 0.9]).groupBy(F.col("technology").alias("_t"), F.col("metric").alias("_m")).agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
+    points = quantiles(values, keys, "value", [0.5, 0.9], few_cells(star)).groupBy(F.col("technology").alias("_t"), F.col("metric").alias("_m")).agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
     return base.join(points, base.technology.eqNullSafe(points["_t"]) & (base.metric == points["_m"]), "left").drop("_t", "_m")
 
 

@@ -146,6 +146,38 @@ def period_start(date, grain: str) -> Column:
     return date if grain == "daily" else F.trunc(date, "week" if grain == "weekly" else "month")
 
 
+def period_label(start, grain: str) -> Column:
+    """A period's short name: month and day, ISO week as W31, or year and month."""
+    start = col(start)
+    if grain == "weekly":
+        return F.concat(F.lit("W"), F.weekofyear(start).cast("string"))
+    return F.date_format(start, "MM-dd" if grain == "daily" else "yyyy-MM")
+
+
+def add_periods(start, steps, grain: str) -> Column:
+    """The start of the period ``steps`` further on, or back if negative."""
+    start, steps = col(start), col(steps) if isinstance(steps, str) else steps if isinstance(steps, Column) else F.lit(steps)
+    if grain == "monthly":
+        return F.add_months(start, steps)
+    return F.date_add(start, (steps * (7 if grain == "weekly" else 1)).cast("int"))
+
+
+#: Unit, the next larger one, and how many make one of it.
+LARGER_UNITS = {"kbps": ("Mbps", 1000), "MB": ("GB", 1024)}
+
+
+def in_words(value, unit, digits: int = 1) -> Column:
+    """A value with its unit for people: large rates and volumes in the larger unit, percents
+    without a space, "-" as no unit, nothing at all as a dash."""
+    value, unit = col(value), col(unit)
+    number = lambda x: F.regexp_replace(F.format_number(x, digits), ",", "")
+    out = F.when(value.isNull(), "\u2014")
+    for small, (large, factor) in LARGER_UNITS.items():
+        out = out.when((unit == small) & (F.abs(value) >= factor), F.concat(number(rounded(value / factor, digits)), F.lit(f" {large}")))
+    plain = number(rounded(value, digits))
+    return out.when(unit.isNull() | (unit == "-") | (unit == ""), plain).when(unit == "%", F.concat(plain, F.lit("%"))).otherwise(F.concat(plain, F.lit(" "), unit))
+
+
 def contains_folded(needle: str, *columns) -> Column:
     """Any of ``columns`` holds ``needle``, whatever the case; nulls don't."""
     found = [F.coalesce(F.contains(F.lower(col(c)), F.lit(needle.lower())), F.lit(False)) for c in columns]

@@ -280,18 +280,26 @@ def what_if(star: Star, scenario: Scenario = Scenario()) -> DataFrame:
     return rows.select("*", rounded(F.col("prb") - F.col("sim_prb"), 1).alias("reduction"), (F.col("sim_prb") < RESOLVED_PRB).alias("resolved"))
 
 
-def snapshot_compare(a: Star, b: Star) -> DataFrame:
-    """(key, a, b, delta, delta_pct): the state of two stores."""
+def snapshot_figures(star: Star) -> DataFrame:
+    """(key, value): what a store holds and how its last week stands."""
+    stored = star.facts.agg(F.count("*").cast("double").alias("rows"))
+    week = last_week(star).agg(
+        F.count("*").cast("double").alias("cells"), F.count_if("is_nc").cast("double").alias("nc_cells"),
+        *[rounded((F.avg if m in AVERAGED else F.sum)(m)).alias(m) for m in METRICS],
+    )
+    health = health_last(star).agg(rounded(F.avg("score"), 1).alias("health_score"))
+    row = stored.join(week).join(health).withColumn("ruleset_version", F.lit(float(star.rules.version)))  # one row each
+    return row.unpivot([], ["rows", "cells", "nc_cells", *METRICS, "health_score", "ruleset_version"], "key", "value")
+
 
-    def figures(star: Star) -> DataFrame:
-        rows = last_week(star).agg(
-            F.count("*").cast("double").alias("cells"), F.count_if("is_nc").cast("double").alias("nc_cells"),
-            *[rounded((F.avg if m in AVERAGED else F.sum)(m)).alias(m) for m in METRICS],
-        )
-        return rows.unpivot([], ["cells", "nc_cells", *METRICS], "key", "value")
+#: Figures of a snapshot of which more is worse.
+WORSE_IS_HIGHER = ("nc_cells", "prb_avg")
 
-    both = figures(a).withColumnRenamed("value", "a").join(figures(b).withColumnRenamed("value", "b"), "key", "full")
-    return both.select("key", "a", "b", delta("b", "a").alias("delta"), delta_pct("b", "a").alias("delta_pct"))
+
+def snapshot_compare(a: Star, b: Star) -> DataFrame:
+    """(key, a, b, delta, delta_pct, worse_is_higher): the figures of two stores."""
+    both = snapshot_figures(a).withColumnRenamed("value", "a").join(snapshot_figures(b).withColumnRenamed("value", "b"), "key", "full")
+    return both.select("key", "a", "b", delta("b", "a").alias("delta"), delta_pct("b", "a").alias("delta_pct"), F.col("key").isin(*WORSE_IS_HIGHER).alias("worse_is_higher"))
 
 
 def investigation_scope(star: Star, scope: str, entity_id: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Report packs: sections as small tables, rendered as Markdown, CSV or HTML.
 
 A section is a DataFrame with a bounded number of rows; only those reach the
-driver, to be rendered.
+driver, to be rendered. Packs that are published leave a record in a history of
+JSON lines, which anyone can read and which writers only append to.
 """
 
 from __future__ import annotations
@@ -9,14 +10,16 @@ from __future__ import annotations
 import csv
 import html
 import io
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..sources.star import Star
-from . import forecast, intelligence, views
+from . import forecast, intelligence, overview, views
 
 MOST_ROWS = 200
 #: Days after which a report of a schedule is due again.
@@ -35,10 +38,12 @@ SECTIONS: dict[str, Callable[[Star], DataFrame]] = {
     "worst_districts": views.worst_districts,
     "comparison": lambda s: views.compare_periods(s, "region"),
     "risk": forecast.risk_counts,
+    "technologies": overview.technology_cards,
+    "recommendations": overview.recommendations,
 }
 #: Report type: its sections.
 TYPES = {
-    "executive": ("summary", "executive", "kpi_cards", "worst_districts", "nc_movement"),
+    "executive": ("summary", "executive", "technologies", "kpi_cards", "worst_districts", "nc_movement", "recommendations"),
     "operations": ("summary", "priority", "severity", "worst_cells", "comparison"),
     "planning": ("summary", "health", "nc_movement", "risk"),
 }
@@ -93,3 +98,33 @@ def due(schedule: str, last: date | None, today: date) -> tuple[date, int]:
     """(next due date, days overdue); a report never made is due today."""
     following = today if last is None else last + timedelta(days=SCHEDULES[schedule])
     return following, max(0, (today - following).days)
+
+
+RENDERERS = {"md": as_markdown, "csv": as_csv, "html": as_html}
+HISTORY = "id string, kind string, schedule string, made_at timestamp, sections int, rows long, formats array<string>"
+
+
+def publish(star: Star, folder: str, kind: str, made_at: datetime, formats: tuple[str, ...] = ("md",), schedule: str | None = None) -> str:
+    """Render a pack into ``folder`` (any Hadoop path), one text a format, and append its
+    record; returns the pack's id. The record comes last, so what it names is there."""
+    tables, name = pack(star, kind), uuid.uuid4().hex
+    for f in formats:
+        star.spark.createDataFrame([(RENDERERS[f](tables),)], "value string").coalesce(1).write.text(f"{folder}/packs/{name}.{f}")
+    record = (name, kind, schedule, made_at, len(tables), sum(len(t.rows) for t in tables), list(formats))
+    star.spark.createDataFrame([record], HISTORY).coalesce(1).write.mode("append").json(f"{folder}/history")
+    return name
+
+
+def history(spark: SparkSession, folder: str) -> DataFrame:
+    """Records (HISTORY), newest first. Lines that are no record are left out."""
+    lines = spark.read.schema(HISTORY + ", broken string").option("columnNameOfCorruptRecord", "broken").json(f"{folder}/history")
+    return lines.filter("broken IS NULL AND id IS NOT NULL").drop("broken").orderBy(F.desc("made_at"), "id")
+
+
+def due_reports(records: DataFrame, today: date) -> DataFrame:
+    """(kind, schedule, last, next_due, days_overdue) of everything that has a schedule."""
+    newest = Window.partitionBy("kind", "schedule").orderBy(F.desc("made_at"))
+    last = records.filter(F.col("schedule").isin(*SCHEDULES)).withColumn("rn", F.row_number().over(newest)).filter("rn = 1")
+    days = F.create_map(*[F.lit(x) for pair in SCHEDULES.items() for x in pair])[F.col("schedule")]
+    rows = last.select("kind", "schedule", F.col("made_at").cast("date").alias("last"), F.date_add(F.col("made_at").cast("date"), days).alias("next_due"))
+    return rows.withColumn("days_overdue", F.greatest(F.lit(0), F.datediff(F.lit(today), "next_due")))

@@ -226,7 +226,7 @@ def explorer(star: Star, level: str, parent_id: int | None = None, q: str | None
 
 
 def place_map(star: Star, level: str = "region", region_id: int | None = None) -> DataFrame:
-    """Regions, or a region's districts, with ``kpis``: mean and number of breaches by
+    """Regions, or a region's districts, worst first, with ``kpis``: mean and number of breaches by
     ``technology:kpi_key``. What is not measured has no entry."""
     key, name = ENTITY[level]
     rows = state(star)
@@ -235,7 +235,8 @@ def place_map(star: Star, level: str = "region", region_id: int | None = None) -
     base = rows.groupBy(F.col(key).alias("id"), F.col(name).alias("name")).agg(*_rollup()[:-1])
     figures = F.struct(rounded(F.avg("value")).alias("avg"), F.count_if("breached").alias("nc"))
     values = last_kpis(star).join(star.cells, "cell_id").groupBy(F.col(key).alias("kpi_of"), _kpi_name()).agg(figures.alias("figures"))
-    return base.join(_as_map(values, "kpi_of", "figures"), F.col("id") == F.col("kpi_of"), "left").drop("kpi_of")
+    mapped = base.join(_as_map(values, "kpi_of", "figures"), F.col("id") == F.col("kpi_of"), "left").drop("kpi_of")
+    return mapped.orderBy(F.asc_nulls_last("health_score"), "id")
 
 
 def _kpi_name() -> Column:

@@ -202,14 +202,17 @@ def _cut(star):
     return star.where(F.col("date") < F.lit("2001-01-01").cast("date"))
 
 
-def _figures(where: str) -> str:
-    rows = f"(SELECT * FROM cw WHERE period = (SELECT max(period) FROM cw {where}))"
-    parts = [f"SELECT 'cells' AS key, count(*)::DOUBLE AS v FROM {rows}", f"SELECT 'nc_cells', count(*) FILTER (WHERE is_nc)::DOUBLE FROM {rows}"]
-    return " UNION ALL ".join(parts + [f"SELECT '{m}', round({AGG[m]}({m}), 4) FROM {rows}" for m in METRICS])
+def _figures(cut: str) -> str:
+    """The twin of snapshot_figures; ``cut`` limits facts and weeks alike."""
+    last = f"(SELECT max(period) FROM cw WHERE period < {cut})"
+    rows = f"(SELECT * FROM cw WHERE period = {last})"
+    parts = [f"SELECT 'rows' AS key, count(*)::DOUBLE AS v FROM facts WHERE date < {cut}", f"SELECT 'cells', count(*)::DOUBLE FROM {rows}", f"SELECT 'nc_cells', count(*) FILTER (WHERE is_nc)::DOUBLE FROM {rows}"]
+    parts += [f"SELECT '{m}', round({AGG[m]}({m}), 4) FROM {rows}" for m in METRICS]
+    return " UNION ALL ".join(parts + [f"SELECT 'health_score', round(avg(score), 1) FROM hcell WHERE period = {last}", "SELECT 'ruleset_version', 1.0::DOUBLE"])
 
 
 # 2000-12-31 is a Sunday: the cut ends a whole week.
 add("snapshot_compare", lambda s: V.snapshot_compare(_cut(s), s), O.sql(
-    f"SELECT key, a.v AS a, b.v AS b, {PAIR.format('b.v', 'a.v')} FROM ({_figures('WHERE period < DATE ' + chr(39) + '2001-01-01' + chr(39))}) a JOIN ({_figures('')}) b USING (key)", "cw"))
+    f"SELECT key, a.v AS a, b.v AS b, {PAIR.format('b.v', 'a.v')}, key IN ('nc_cells', 'prb_avg') AS worse_is_higher FROM ({_figures('DATE ' + chr(39) + '2001-01-01' + chr(39))}) a JOIN ({_figures('DATE ' + chr(39) + '9999-01-01' + chr(39))}) b USING (key)", "cw", "facts", "hcell"))
 add("investigation_region", lambda s: V.investigation_scope(s, "region", 2), O.sql(
     "SELECT period, count(*) AS cells, count(*) FILTER (WHERE is_nc) AS nc_cells, " + ", ".join(f"round({a}({m}), 4) AS {m}" for m, a in AGG.items()) + " FROM cw JOIN cells USING (cell_id) WHERE region_id = 2 GROUP BY 1", "cw", "cells"))

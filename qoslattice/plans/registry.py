@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import endpoints, insight, lattice, loading, stores
+from . import dossiers, endpoints, insight, lattice, loading, stores
 
-MODULES = (lattice, endpoints, insight, loading, stores)
+MODULES = (lattice, endpoints, insight, loading, stores, dossiers)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:

@@ -19,15 +19,26 @@ def test_registry(spark):
 
 
 def test_faults_are_diagnosed(spark):
-    rows = synthetic.rows(spark, cells=15, weeks=10).cache()
+    rows = synthetic.rows(spark, cells=22, weeks=10).cache()
     cells = rows.select("cell_id", "cell", F.lit(1).cast("long").alias("site_id"), "site", F.lit(1).cast("long").alias("district_id"), "district", F.lit(1).cast("long").alias("region_id"), "region").distinct()
-    star = Star(spark, cells, rows.select("cell_id", "date", "prb", "volume_mb", "users", "throughput_kbps", "availability_pct"), rows.unpivot(["cell_id", "date"], ["call_drop", "congestion"], "kpi_key", "value"), kpi_registry(spark))
+    star = Star(spark, cells, rows.select("cell_id", "date", "prb", "volume_mb", "users", "throughput_kbps", "availability_pct"), synthetic.kpi_rows(rows), kpis.seeds(spark))
     states = {r["cell_id"]: r["lifecycle"] for r in intelligence.latest(intelligence.nc_lifecycle(star)).collect()}
-    assert states[1] == "Chronic" and states[4] in ("Persistent", "Recurring") and states[12] == "Healthy" and states[11] in ("Recovering", "Healthy")
-    top = {}
-    for r in investigate.diagnosis(star).orderBy("score").collect():
-        top[r["cell_id"]] = r["hypothesis"]
-    assert top[1] == "congestion" and top[9] == "retainability" and top[10] in ("transport", "interference")
+    assert states[2] == states[22] == "Chronic" and states[5] in ("Persistent", "Recurring") and states[12] == "Healthy" and states[17] in ("Recovering", "Healthy")
+    top = lambda s: {r["cell_id"]: r["hypothesis"] for r in investigate.diagnosis(s).orderBy("score").collect()}
+    # A sleeping cell is told by its fall, in the week in which it begins: the seventh of ten.
+    onset = top(star.where(F.col("date") < F.lit("2026-02-23").cast("date")))
+    assert onset[8] == "sleeping_cell" and onset[2] == "congestion"
+    top = top(star)
+    assert top[2] == "congestion" and top[11] == "retainability" and top[14] in ("transport", "interference", "accessibility")
+
+
+def test_made_up_values_are_the_same_again(spark):
+    days = synthetic.rows(spark, cells=20, weeks=2)
+    values = synthetic.kpi_rows(days)
+    again = synthetic.kpi_rows(synthetic.rows(spark, cells=20, weeks=2).repartition(3, "date"))
+    assert values.exceptAll(again).count() == 0 and values.count() == 20 * 14 * 5
+    assert {r["technology"] for r in values.select("technology").distinct().collect()} == {"2G", "3G", "4G"}
+    assert {r["fault"] for r in days.select("fault").distinct().collect()} == {None, *synthetic.FAULTS}
 
 
 def test_maintenance(spark, tmp_path):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,14 +26,14 @@ def components(links: DataFrame) -> DataFrame:
     both = one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
     while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
-        )
-        lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("step"))
+        # A node's own label stands beside its neighbours': no second join with the labels.
+        beside = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("was"))
+        own = labels.select("node", "label", F.col("label").cast("long").alias("was"))
+        lower = beside.unionByName(own).groupBy("node").agg(F.min("label").alias("step"), F.max("was").alias("was"))
         roots = labels.select(F.col("node").alias("step"), F.col("label").alias("jump"))
         after = materialize(lower.join(roots, "step").select("node", "was", F.col("jump").alias("label")))
-        changed = after.filter("label <> was").limit(1).count()
+        discard(labels)
         labels = after.drop("was")
-        if not changed:
+        if after.filter("label <> was").isEmpty():
+            discard(one_way)
             return labels

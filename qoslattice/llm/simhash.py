@@ -337,10 +337,11 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
 
     sample = texts.filter(F.pmod("text_key", F.lit(SAMPLED)) == 0).dropDuplicates(["text_key"])
     counts = shingle_sets(sample, width).select(F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
-    rows = counts.filter(F.col("n") >= SAMPLE_LEAST).orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
-    shingles = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(shingles)
-    return shingles[order], np.array([r["n"] for r in rows], np.int64)[order]
+    # As Arrow: a Python object a row would take the driver many times these bytes.
+    rows = counts.filter(F.col("n") >= SAMPLE_LEAST).orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    shingles, weights = (np.array(rows[c], np.int64) for c in ("shingle", "n"))
+    order = np.argsort(shingles.view(np.uint64))
+    return shingles.view(np.uint64)[order], weights[order]
 
 
 def parities(found: np.ndarray) -> bytes:
@@ -486,6 +487,10 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     copies by one comparison a member, then with other pivots; what is not in one group
     then is compared in pairs. Parity sketches, an eighth to a quarter of a byte a shingle,
     rule out nearly all unlike pairs; the rest are judged by their shingle sets.
+
+    A round without pairs, or whose pairs are all unlike, changes no group, and what would
+    follow from it is not run: each shuffle or broadcast costs the driver a thread that
+    stays for a minute, and on small tables a minute holds hundreds.
     """
     texts = docs.select(text_key().alias("text_key"), whole_text().alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
@@ -498,13 +503,20 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     met = materialize(placed.join(sizes, "bucket").select("bucket", "text_key", "n", F.col("first.text_key").alias("pivot"), F.col("first.n").alias("n_pivot")))
 
     def judge(pairs: DataFrame) -> DataFrame:
-        near = materialize(within_reach(materialize(pairs), sketches, similarity, block))
+        asked = materialize(pairs)
+        if asked.isEmpty():
+            return asked
+        near = materialize(within_reach(asked, sketches, similarity, block))
+        discard(asked)
+        if near.isEmpty():
+            return near
         ends = near.select(F.explode(F.array("a", "b")).alias("end")).distinct()
         # Equal texts have equal sets; one is enough.
         one = texts.join(ends, F.col("text_key") == F.col("end"), "left_semi").dropDuplicates(["text_key"])
         sets = materialize(shingle_sets(one, width))
         judged = materialize(distances(near, sets, similarity, block).filter("alike").select("a", "b"))
         discard(sets)
+        discard(near)
         return judged
 
     most = F.greatest("n", "n_pivot")
@@ -516,10 +528,14 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     labels = components(alike)
     joined = lambda links: components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
     shared = still_mixed(met.select("bucket", "text_key", "n"), labels)
-    for turns in PIVOT_ROUNDS:
-        labels = joined(judge(pivot_pairs(shared, similarity, turns)))
-        shared = still_mixed(shared, labels)
-    return joined(judge(open_pairs(shared, similarity, block))).withColumnRenamed("node", "text_key")
+    for pairs_of in [*(lambda rows, t=turns: pivot_pairs(rows, similarity, t) for turns in PIVOT_ROUNDS), lambda rows: open_pairs(rows, similarity, block)]:
+        if shared.isEmpty():
+            break
+        found = judge(pairs_of(shared))
+        if not found.isEmpty():
+            labels = joined(found)
+            shared = still_mixed(shared, labels)
+    return labels.withColumnRenamed("node", "text_key")
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, width: int = DOC_WORDS) -> DataFrame:

@@ -564,6 +564,14 @@ def test_pipeline_catches_edited_copies(spark):
     assert sum(2 * i + 1 not in kept for i in range(150)) >= 0.9 * 150 and all(2 * i in kept for i in range(150))
 
 
+def test_rounds_without_pairs_are_not_run(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(simhash, "within_reach", lambda *a, f=simhash.within_reach: calls.append(1) or f(*a))
+    rng = random.Random(43)
+    texts = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(40)) for _ in range(6)]
+    assert {r["doc_id"] for r in simhash.near_dedup(docs(spark, list(enumerate([*texts, texts[0]])))).collect()} == set(range(6)) and not calls
+
+
 def test_parity_sketches_rule_out_no_alike_sets():
     rng = np.random.default_rng(5)
     for n in [0, 1, 2, 5, 63, 64, 65, 300, 1000]:

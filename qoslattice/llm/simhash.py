@@ -296,7 +296,11 @@ DOC_RADIUS = 3
 COMMON, SAMPLED, SAMPLE_LEAST = 100_000, 16, 3
 #: Rounds of further pivots, by number, that a bucket's members of other groups are
 #: compared with before its open pairs are: the few that are still apart then get many.
-PIVOT_ROUNDS = ((1, 2), tuple(range(3, 15)))
+#: Number 0 is the member in whose prefix the bucket's shingle stands earliest: it has the fewest
+#: shingles of its own, so it is the nearest to what a group of near copies has in common.
+PIVOT_ROUNDS = ((0, 1, 2), tuple(range(3, 15)))
+#: Low bits of a key that hold a shingle's place in a prefix; the others name the bucket.
+PLACE_BITS = 16
 #: Texts of a bucket that one task compares with as many others, and partners that a text is sent to at once.
 DOC_BLOCK = 1024
 #: Bits of a parity sketch, at least.
@@ -332,6 +336,13 @@ def prefix(found: np.ndarray, common: np.ndarray, weights: np.ndarray, similarit
     return np.concatenate([found[~often], found[late]])[:count]
 
 
+def placed_keys(found: np.ndarray) -> np.ndarray:
+    """Keys of a prefix: a shingle's high bits, and its place from 0 in the low ones. Later places
+    than fit are held as the last that does, which keeps more pairs than the true one."""
+    places = np.minimum(np.arange(len(found), dtype=np.uint64), np.uint64((1 << PLACE_BITS) - 1))
+    return ((found >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | places).view(np.int64)
+
+
 def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, weights): those that a sample of ``texts`` holds most often."""
 
@@ -362,13 +373,13 @@ def parities_apart(a: bytes, b: bytes) -> int:
 
 def sketched(texts: DataFrame, common, similarity: float, width: int = DOC_WORDS) -> DataFrame:
     """(text_key, n, fp, parity, keys) of ``texts`` (text_key, text): the size of the shingle
-    set, its fingerprint, its parity sketch, and the text's buckets: its prefix. ``common``:
-    a broadcast of ``common_shingles``."""
+    set, its fingerprint, its parity sketch, and the text's buckets: its prefix, by
+    ``placed_keys``. ``common``: a broadcast of ``common_shingles``."""
 
     def of(text: str) -> tuple:
-        # One set at a time; a copy of the prefix does not keep the whole set.
+        # One set at a time; the keys are a copy of the prefix, which does not keep the whole set.
         found = shingle_set(text, width)
-        return len(found), majority(found), parities(found), prefix(found, *common.value, similarity).view(np.int64).copy()
+        return len(found), majority(found), parities(found), placed_keys(prefix(found, *common.value, similarity))
 
     fields = [("n", pa.int32()), ("fp", pa.int64()), ("parity", pa.binary()), ("keys", pa.list_(pa.int64()))]
     return mapped(texts, of, fields, "n int, fp long, parity binary, keys array<long>")
@@ -413,7 +424,7 @@ def named(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def still_mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``shared`` (bucket, text_key, n) whose bucket holds two
+    """The rows of ``shared`` (bucket, pos, text_key, n) whose bucket holds two
     groups by ``labels``, with ``label``. Groups only grow: what goes here is settled for good."""
     rows = materialize(named(shared.drop("label"), labels))
     mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
@@ -425,7 +436,8 @@ def still_mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
 def pivot_pairs(rows: DataFrame, similarity: float, turns: tuple[int, ...]) -> DataFrame:
     """(a, b), a < b: members of the buckets ``rows``, and their bucket's pivots of
     these ``turns``, where those are of another group and of a fitting size."""
-    order = lambda turn: F.struct(F.xxhash64("text_key", F.lit(turn)), F.col("text_key").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"))
+    rank = lambda turn: F.xxhash64("text_key", F.lit(turn)) if turn else F.col("pos").cast("long")
+    order = lambda turn: F.struct(rank(turn).alias("rank"), F.col("text_key").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"))
     pivots = rows.groupBy("bucket").agg(F.array(*[F.min(order(t)) for t in turns]).alias("pivots"))
     a, b, most = F.col("text_key"), F.col("first.p"), F.greatest("n", "first.n_p")
     return (
@@ -440,31 +452,35 @@ def open_pairs(shared: DataFrame, similarity: float, block: int) -> DataFrame:
 
     A bucket is cut into blocks, and each two blocks are a task's. Sets alike by
     ``similarity`` are of like sizes, and share a number of shingles that follows from
-    these. In an order held by all, the first of them stand in both prefixes: as many
-    as a prefix is longer than what a set may lack. So a pair meets in that many buckets.
+    these. In an order held by all, the first one they share has the others behind it in
+    both sets: so a pair meets in a bucket that stands early enough in both prefixes, and
+    where it stands late in one of them, it need not meet. Members of a group of near copies
+    that have too many shingles of their own, which come first, thus meet nobody.
     """
-    sizes = shared.groupBy("bucket").agg(F.count("*").alias("rows"))
-    rows = shared.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("rows") / block).cast("int"))
+    a, b, n, most = F.col("text_key_a"), F.col("text_key_b"), F.col("n"), F.greatest("n_a", "n_b")
+    sizes = shared.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("n").alias("least"))
+    partner = F.greatest("least", similarity * n - SLACK * n)
+    rows = shared.join(sizes, "bucket").filter(F.col("pos") <= last_place(n, partner, similarity)).withColumn("blocks", F.ceil(F.col("rows") / block).cast("int"))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("text_key", "n", "label")]
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("text_key", "n", "pos", "label")]
     left = rows.select("bucket", *side("a"), F.col("mine").alias("i"), F.explode(F.sequence("mine", F.col("blocks") - 1)).alias("j"))
     right = rows.select("bucket", *side("b"), F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("i"), F.col("mine").alias("j"))
-    a, b, most = F.col("text_key_a"), F.col("text_key_b"), F.greatest("n_a", "n_b")
     return (
         left.hint("merge").join(right, ["bucket", "i", "j"])
         .filter((F.col("i") < F.col("j")) | (a < b))
         .filter(F.col("label_a") != F.col("label_b"))
         .filter(F.least("n_a", "n_b") >= similarity * most - SLACK * most)
-        .groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.count("*").alias("met"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-        .filter(F.col("met") >= least_met(F.col("n_a"), F.col("n_b"), similarity)).select("a", "b")
+        .filter(F.col("pos_a") <= last_place(F.col("n_a"), F.col("n_b"), similarity))
+        .filter(F.col("pos_b") <= last_place(F.col("n_b"), F.col("n_a"), similarity))
+        .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     )
 
 
-def least_met(n_a: Column, n_b: Column, similarity: float) -> Column:
-    """The buckets that sets of these sizes share at least if they are alike."""
-    both = F.ceil(similarity / (1 + similarity) * (n_a + n_b) - SLACK * (n_a + n_b))
-    spare = lambda n: 1 - F.ceil(similarity * n - SLACK * n) + both  # noqa: E731  (the prefix's length, less n, plus both)
-    return F.least(spare(n_a), spare(n_b))
+def last_place(n: Column, other: Column, similarity: float) -> Column:
+    """The last place, from 0, in a set of ``n`` shingles at which the first one that it shares
+    with an alike set of ``other`` shingles can stand, in an order held by both: all that they
+    share, similarity / (1 + similarity) of both sizes at least, must fit from there on."""
+    return n - F.ceil(similarity / (1 + similarity) * (n + other) - SLACK * (n + other))
 
 
 def fingerprint_pairs(distinct: DataFrame, radius: int = DOC_RADIUS) -> DataFrame:
@@ -485,7 +501,7 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     a bucket, are candidates as well: no pair alike by ``similarity`` is lost. Each is
     compared with the bucket's least text, its pivot, which settles groups of near
     copies by one comparison a member, then with other pivots; what is not in one group
-    then is compared in pairs. Parity sketches, an eighth to a quarter of a byte a shingle,
+    then is compared in pairs, where the places of the bucket's shingle allow it. Parity sketches, an eighth to a quarter of a byte a shingle,
     rule out nearly all unlike pairs; the rest are judged by their shingle sets.
 
     A round without pairs, or whose pairs are all unlike, changes no group, and what would
@@ -497,10 +513,11 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     distinct = materialize(sketched(texts, common, similarity, width).dropDuplicates(["text_key"]))
     sketches = distinct.select("text_key", "n", "parity")
     # Dealt once, for the count of a bucket's texts and for the texts of those that have two.
-    placed = distinct.select("text_key", "n", F.explode("keys").alias("bucket")).repartition("bucket")
+    bucket, pos = F.shiftright("key", PLACE_BITS).alias("bucket"), F.col("key").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("pos")
+    placed = distinct.select("text_key", "n", F.explode("keys").alias("key")).repartition(F.shiftright("key", PLACE_BITS)).select("text_key", "n", bucket, pos)
     order = F.struct("text_key", "n")
     sizes = placed.groupBy("bucket").agg(F.min(order).alias("first"), F.max("text_key").alias("last")).filter("first.text_key < last")
-    met = materialize(placed.join(sizes, "bucket").select("bucket", "text_key", "n", F.col("first.text_key").alias("pivot"), F.col("first.n").alias("n_pivot")))
+    met = materialize(placed.join(sizes, "bucket").select("bucket", "pos", "text_key", "n", F.col("first.text_key").alias("pivot"), F.col("first.n").alias("n_pivot")))
 
     def judge(pairs: DataFrame) -> DataFrame:
         asked = materialize(pairs)
@@ -527,7 +544,7 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     alike = judge(fingerprint_pairs(distinct.select("text_key", "fp")).unionByName(pivots).distinct())
     labels = components(alike)
     joined = lambda links: components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
-    shared = still_mixed(met.select("bucket", "text_key", "n"), labels)
+    shared = still_mixed(met.select("bucket", "pos", "text_key", "n"), labels)
     for pairs_of in [*(lambda rows, t=turns: pivot_pairs(rows, similarity, t) for turns in PIVOT_ROUNDS), lambda rows: open_pairs(rows, similarity, block)]:
         if shared.isEmpty():
             break

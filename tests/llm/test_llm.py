@@ -586,3 +586,69 @@ def test_parity_sketches_rule_out_no_alike_sets():
     # Unlike sets of like size are told apart.
     x, y = (simhash.parities(rng.integers(0, 2**64, 500, np.uint64)) for _ in range(2))
     assert simhash.parities_apart(x, y) > 1000 * 0.2 / 1.8
+
+
+def rows_joined(df, keys):
+    """Rows that the joins of ``df`` over so many keys made."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        elif "Join" in name and node.leftKeys().size() == keys:
+            found += node.metrics().apply("numOutputRows").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("block", [64, 1024])
+def test_unlike_members_of_a_large_group_are_not_joined_in_pairs(spark, block, monkeypatch):
+    rng, joined = random.Random(47), []
+    words, texts = [f"h{i}" for i in range(200)], []
+    for _ in range(400):
+        changed = list(words)
+        for k in rng.sample(range(5, 195, 6), rng.randrange(9)):
+            changed[k] = f"c{rng.randrange(10**9)}"
+        texts.append(" ".join(changed))
+    pairs_of = simhash.open_pairs
+
+    def counted(*args):
+        joined.append(rows_joined(pairs_of(*args), 3))
+        return pairs_of(*args)
+
+    monkeypatch.setattr(simhash, "open_pairs", counted)
+    monkeypatch.setattr(simhash.similar_texts, "__defaults__", (simhash.SIMILARITY, simhash.DOC_WORDS, block))
+    label = linked_groups(texts)
+    kept = [r["doc_id"] for r in simhash.near_dedup(docs(spark, list(enumerate(texts)))).collect()]
+    assert 50 < len(set(label)) < 350
+    assert sorted(kept) == sorted(min(i for i, x in enumerate(label) if x == g) for g in set(label))
+    assert joined and sum(joined) < 10 * len(texts)
+
+
+def test_alike_sets_meet_early_in_both_prefixes(spark):
+    rng, none, rows = np.random.default_rng(9), (np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
+    for n in (1, 2, 4, 5, 9, 10, 45, 60, 90, 333):
+        for _ in range(40):
+            x = np.unique(rng.integers(0, 2**64, n, np.uint64))
+            # Up to the limit: what one set lacks, or both lack of each other.
+            lost, own = rng.integers(0, n // 5 + 1), rng.integers(0, n // 4 + 1)
+            y = np.unique(np.append(rng.permutation(x)[lost:], rng.integers(0, 2**64, own, np.uint64)))
+            both = len(np.intersect1d(x, y))
+            common = np.unique(rng.choice(x, max(1, n // 2)))
+            for known in (none, (common, rng.integers(3, 9, len(common)))):
+                if both >= 0.8 * (len(x) + len(y) - both):
+                    a, b = ({k >> simhash.PLACE_BITS: k & 0xFFFF for k in simhash.placed_keys(simhash.prefix(s, *known, 0.8)).tolist()} for s in (x, y))
+                    shared = [(a[k], b[k]) for k in a if k in b]
+                    rows.append((len(x), len(y), min(p for p, _ in shared), min(q for _, q in shared)))
+    df = spark.createDataFrame(rows, "n int, m int, p int, q int")
+    late = df.filter((df.p > simhash.last_place(df.n, df.m, 0.8)) | (df.q > simhash.last_place(df.m, df.n, 0.8)))
+    assert len(rows) > 300 and late.count() == 0
+    # Bound reached: one place less would lose pairs.
+    assert df.filter(df.p == simhash.last_place(df.n, df.m, 0.8)).count()
+    long = np.unique(rng.integers(0, 2**64, 70_000, np.uint64))
+    keys = simhash.placed_keys(long)
+    assert (keys & 0xFFFF).tolist() == [min(i, 65_535) for i in range(len(long))] and (keys.view(np.uint64) >> np.uint64(16) == long >> np.uint64(16)).all()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import period_start
 from ..operators.aggregates import cell_period
-from ..operators.intelligence import lifecycle_of, nc_lifecycle
+from ..operators.intelligence import lifecycle_of
 from .star import Star
 from .workspace import Workspace
 
@@ -87,7 +87,8 @@ class Derived:
         else:
             for grain in self.grains:
                 self._write(cell_period(star, grain), f"cell_{grain}")
-                self._write(nc_lifecycle(star, grain), f"lifecycle_{grain}")
+                # From the stored rows: facts are read once.
+                self._write(lifecycle_of(self.table(f"cell_{grain}").drop("prb_max"), star, grain), f"lifecycle_{grain}")
             done = Refreshed(version, True)
         stream = self.ws._fs.create(self.ws._path(f"{self.path}/state.json"), True)
         stream.write(bytearray(json.dumps(now).encode()))

@@ -58,6 +58,23 @@ def test_import_plans_stay_small(spark, rows, tmp_path, monkeypatch):
     assert scans(seen["cells"]) < 12 and scans(seen["facts"], "row_number") == 0
 
 
+def test_only_files_that_name_a_day_twice_are_sorted(spark, rows, tmp_path, monkeypatch):
+    seen, dedupe = [], ingest.dedupe
+    monkeypatch.setattr(ingest, "dedupe", lambda df: seen.append(1) or dedupe(df))
+    ws = Workspace(spark, f"file://{tmp_path}/ws")
+    assert ws.import_rows(rows, MAPPING).inserted == 75 and not seen
+    twice = rows.unionByName(rows.filter("cell = 'C1'").withColumn("line", F.col("line") - 10_000).withColumn("prb", F.lit("77")))
+    result = Workspace(spark, f"file://{tmp_path}/again").import_rows(twice, MAPPING)
+    assert (result.inserted, result.duplicates, result.source_rows) == (75, 15, 90) and seen
+    assert Workspace(spark, f"file://{tmp_path}/again").table("facts").filter("prb = 77").count() == 15
+
+
+def test_names_of_kpis_are_sent_to_the_rows(spark, rows):
+    names = spark.createDataFrame([("site", "x")], "header string, kpi_key string")
+    plan = ingest.unpivot_kpis(ingest.typed(rows, {"date": "date", "cell": "cell"}), names)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_stored_lifecycles_follow_from_stored_weeks(spark, rows, tmp_path, monkeypatch):
     ws = Workspace(spark, f"file://{tmp_path}/ws")
     ws.import_rows(rows, MAPPING)
